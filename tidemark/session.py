@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,11 @@ def drop_cut(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a cluster gets it by --py-files as well)."""
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
