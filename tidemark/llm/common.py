@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: Distinct words that a worker remembers before it forgets them all; bounds the memory of a memo.
 MEMO_ENTRIES = 300_000
 
@@ -35,6 +37,7 @@ def map_texts(
 
     ``make`` is called once a task and returns ``kernel(ids, texts) -> {column: values}``.
     """
+    ship(docs.sparkSession)
     names = [f.strip().split()[0] for f in schema.split(",")]
     spark_schema = docs.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
