@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.packing import pack
 from tidemark.llm.piece_codec import round_trip
+from tidemark.llm.quality import quality_scores
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.url_filter import judge_urls
 
@@ -41,6 +43,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP2_SQL = """
 with rules(action, host, path) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
   ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
@@ -69,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_url_filter": op2_url_filter,
         "op3_exact_dedup": op3_exact_dedup,
         "op6_token_counts": op6_token_counts,
+        "op8_packing": op8_packing,
+        "op10_quality": op10_quality,
     }
 
 
