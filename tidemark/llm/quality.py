@@ -19,8 +19,8 @@ from tidemark.llm.common import map_texts
 
 #: Bounds of the fit: labelled rows of each class, the share of them that calibrates, and characters of a text.
 FIT_ROWS, CALIBRATION, FIT_CHARS = 1500, 4, 32_768
-#: Dictionary bytes, compression level, block bytes, and the bytes that dampen the difference of very short texts.
-DICT_BYTES, LEVEL, BLOCK, DAMP = 49_152, 3, 2048, 48
+#: Dictionary bytes, compression level, block bytes, and sizes that dampen the difference and the score of very short texts.
+DICT_BYTES, LEVEL, BLOCK, DAMP, SHORT = 49_152, 3, 2048, 48, 48
 
 
 @dataclass(frozen=True)
@@ -29,9 +29,19 @@ class QualityModel:
     bad: bytes
     slope: float
     offset: float
+    #: medians of the differences of bad and good calibration texts; what lies beyond counts as they do
+    low: float
+    high: float
     #: share of label 1, the score of a text without content
     prior: float
 
+    def curve(self, difference: float, size: int) -> float:
+        """Score of a text of ``size`` bytes; the fewer they are, the nearer it stays to the prior."""
+        prior = math.log(self.prior / (1 - self.prior)) if 0 < self.prior < 1 else 0.0
+        x = self.slope * min(max(difference, self.low), self.high) + self.offset
+        x = prior + (x - prior) * size / (size + SHORT)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
 
 class Sizes:
     """Compressed sizes of a text under both dictionaries, as one normalised difference (positive: like good text)."""
@@ -106,11 +116,11 @@ def fit_quality(
     sides = {y: [t for (_, k), t in texts if k == y] for y in (0, 1)}
     if not all(sides.values()):
         return None
-    # lines that several texts share (licences, quoted passages) tell what was copied, not how good a text is
-    seen = Counter(line for v in sides.values() for t in v for line in set(t.split("\n")))
-    sides = {y: ["\n".join(line for line in t.split("\n") if seen[line] < 2) for t in v] for y, v in sides.items()}
     train = {y: [t for n, t in enumerate(v) if n % CALIBRATION or len(v) < CALIBRATION] for y, v in sides.items()}
     held = {y: [t for n, t in enumerate(v) if not n % CALIBRATION] for y, v in sides.items()}
+    # lines that several texts share (licences, quoted passages) tell what was copied, not how good a text is
+    seen = Counter(line for v in sides.values() for t in v for line in set(t.split("\n")))
+    train = {y: ["\n".join(line for line in t.split("\n") if seen[line] < 2) for t in v] for y, v in train.items()}
     # both dictionaries see as many texts, so that neither is better for its amount of text alone
     least = min(map(len, train.values()))
     good, bad = _dictionary(train[1][:least]), _dictionary(train[0][:least])
@@ -118,8 +128,9 @@ def fit_quality(
     x = np.array([sizes.difference(t) for y in (0, 1) for t in held[y]])
     y = np.array([y for y in (0, 1) for _ in held[y]], float)
     weight = np.array([total[k] / len(held[k]) for k in (0, 1) for _ in held[k]])
-    slope, offset = _logistic(x, y, weight * len(x) / weight.sum())
-    return QualityModel(good, bad, slope, offset, total[1] / sum(total.values()))
+    low, high = sorted((float(np.median(x[y == 0])), float(np.median(x[y == 1]))))
+    slope, offset = _logistic(np.clip(x, low, high), y, weight * len(x) / weight.sum())
+    return QualityModel(good, bad, slope, offset, low, high, total[1] / sum(total.values()))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -133,11 +144,8 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
     def make():
         sizes = Sizes(model.good, model.bad) if model else None
 
-        def curve(x):
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * x + model.offset))))
-
         def kernel(keys, texts):
-            scores = [0.5 if sizes is None else model.prior if not t else curve(sizes.difference(t)) for t in texts]
+            scores = [0.5 if sizes is None else model.prior if not t else model.curve(sizes.difference(t), len(t)) for t in texts]
             return {id_col: keys, "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
         return kernel
