@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.embedding_dedup import embedding_components
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.piece_codec import round_trip
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.url_filter import judge_urls
 
@@ -39,10 +41,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -78,7 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_piece_codec": op1_piece_codec,
         "op2_url_filter": op2_url_filter,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_simhash": op5_simhash,
         "op6_token_counts": op6_token_counts,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_packing": op8_packing,
         "op10_quality": op10_quality,
     }
