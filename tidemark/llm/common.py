@@ -38,11 +38,11 @@ def map_texts(
     ``make`` is called once a task and returns ``kernel(ids, texts) -> {column: values}``.
     """
     ship(docs.sparkSession)
-    names = [f.strip().split()[0] for f in schema.split(",")]
     spark_schema = docs.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spark_schema)
+    names = spark_schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()

@@ -12,10 +12,10 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts
+from tidemark.llm.common import map_texts, text_or_empty
 
 #: Bounds of the fit: labelled rows of each class, the share of them that calibrates, and characters of a text.
 FIT_ROWS, CALIBRATION, FIT_CHARS = 1500, 4, 32_768
@@ -154,6 +154,17 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
     return map_texts(docs, id_col, text_col, f"{id_col} {kind}, score double, predicted int", make)
 
 
+def quality_column(model: QualityModel | None, text_col: str = "text") -> Column:
+    """The score as a column, for filters that keep a table's other columns where they are."""
+
+    @F.pandas_udf("double")
+    def score(texts):
+        sizes = Sizes(model.good, model.bad) if model else None
+        return texts.map(lambda t: 0.5 if sizes is None else model.prior if not t else model.curve(sizes.difference(t), len(t)))
+
+    return score(text_or_empty(text_col))
+
+
 def fold(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 5: rows of fold 0 are held out."""
     return F.crc32(F.col(id_col).cast("string")) % 5

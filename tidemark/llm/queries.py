@@ -12,6 +12,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.piece_codec import round_trip
+from tidemark.llm.pii import find_pii, fit_pii
 from tidemark.llm.quality import quality_scores
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_counts import token_counts
@@ -43,6 +44,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_pii(docs, model=fit_pii(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_piece_codec": op1_piece_codec,
         "op2_url_filter": op2_url_filter,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_pii": op4_pii,
         "op5_simhash": op5_simhash,
         "op6_token_counts": op6_token_counts,
         "op7_embedding_dedup": op7_embedding_dedup,
