@@ -34,6 +34,9 @@ class WordIds:
 
     #: the vocabulary file's own pattern, and what a text may hold to be cut by it
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: the character that stands for each byte in a byte-level vocabulary: itself where printable, else one from 256 on
+    PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    BYTES = {b: chr(b) for b in PRINTED} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)).difference(PRINTED)))}
     OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa7\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb\xbf\xc0-\xffŒœ–—‘-”…€]|<\\|")
 
     def __init__(self, path: str, entries: int = MEMO_ENTRIES):
@@ -75,9 +78,9 @@ class WordIds:
         if len(self.memo) > 2 * self.entries:
             self.memo = {}
             new = {w for words in cut.values() for w in words}
-        new = list(new)
-        for word, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(coded.ids, "<u4").tobytes()
+        for word in new:
+            spelled = word if word.isascii() else "".join(self.BYTES[b] for b in word.encode())
+            self.memo[word] = np.array([t.id for t in self.library.model.tokenize(spelled)], "<u4").tobytes()
         for part, words in cut.items():
             self.parts[part] = b"".join(map(self.memo.__getitem__, words))
 
