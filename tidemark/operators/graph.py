@@ -57,3 +57,17 @@ def connected_components(
         return labels
     ids = vertices.select(F.col(vertex)).distinct()
     return ids.join(labels, vertex, "left").select(vertex, F.coalesce("component", vertex).alias("component"))
+
+
+def group_members(edges: DataFrame, vertices: DataFrame, src: str = "src", dst: str = "dst", vertex: str = "stem") -> DataFrame:
+    """``stem, group_id`` (smallest member) for every vertex, isolated ones too."""
+    return connected_components(edges, vertices, src, dst, vertex).withColumnRenamed("component", "group_id")
+
+
+def groups(members: DataFrame) -> DataFrame:
+    """``group_id, size, members``, largest first, then by id."""
+    return (
+        members.groupBy("group_id")
+        .agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("stem")).alias("members"))
+        .orderBy(F.desc("size"), "group_id")
+    )
