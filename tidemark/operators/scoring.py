@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import geometry
-from tidemark.functions.vectors import l2_normalise
 from tidemark.operators.imagejobs import from_model, pixels_of, to_model
 from tidemark.operators.metrics import report
 from tidemark.operators.splits import in_split
@@ -53,11 +52,16 @@ def embed_images(images: DataFrame, make: Callable[[], Model], target: tuple[int
 
     def build():
         model = make()
-        return lambda x: model(x.reshape(-1, 3, *target))
+
+        def unit(x):
+            v = np.asarray(model(x.reshape(-1, 3, *target)), np.float32)
+            return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+        return unit
 
     inputs = images.select("stem", "height", "width", "channels", "data").mapInPandas(run, "stem string, x array<float>")
     embed = predict_batch_udf(build, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[[size]])
-    return inputs.select("stem", l2_normalise(embed("x")).cast("array<float>").alias("embedding"))
+    return inputs.select("stem", embed("x").alias("embedding"))
 
 
 def geometry_manifest(images: DataFrame, target: tuple[int, int], mode: str) -> DataFrame:

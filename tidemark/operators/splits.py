@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.vectors import uniform
+
 NAMES = ("train", "val", "test")
 #: Most group summaries that the exact sequential rule takes; beyond, only the largest groups go through it.
 HEAD = 200_000
@@ -99,9 +101,12 @@ def grouped_split(members: DataFrame, histograms: DataFrame, ratios: tuple[float
         tail = summary.join(placed.select("group_id"), "group_id", "left_anti")
         top = F.greatest("obstacle", "water", "sky")
         lead = F.when(F.col("obstacle") == top, 0).when(F.col("water") == top, 1).otherwise(2)
-        # cells are cut by the digest's first digits as well, so that a common size is no single partition
-        cell = Window.partitionBy("size", lead, F.substring("tie", 1, 2)).orderBy("tie", "group_id")
-        at = F.percent_rank().over(cell)
+        # cells are cut by the digest's first digits as well, so that a common size is no single partition; each starts
+        # at a drawn place, so that small ones do not all begin with the first split
+        parts = ["size", lead, F.substring("tie", 1, 2)]
+        cell = Window.partitionBy(*parts)
+        place = F.row_number().over(cell.orderBy("tie", "group_id")) - 1 + uniform(seed, *parts)
+        at = place / F.count(F.lit(1)).over(cell)
         tail = tail.select("group_id", F.when(at < first, NAMES[0]).when(at < second, NAMES[1]).otherwise(NAMES[2]).alias("split"))
         placed = placed.unionByName(tail)
     return members.join(placed, "group_id").select("stem", "split")

@@ -103,8 +103,9 @@ def write_splits(split: DataFrame, path: str, mode: str = "errorifexists") -> No
     split.select("split", "stem").distinct().repartition("split").sortWithinPartitions("split", "stem").select("split", "stem").write.mode(mode).partitionBy("split").text(path)
 
 
-def read_report(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_report(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False) -> DataFrame:
+    """JSON documents of a known schema: one to a file, or one to a line as ``write_report`` leaves them."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
