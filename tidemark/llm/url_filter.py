@@ -148,7 +148,8 @@ def judge_urls(
     listed = rules_frame(spark, rules)
     member = {a: bloom_cascade(listed.filter(F.col("action") == a), universe, max_bits) for a in ("allow", "block")}
     if None in member.values():
-        ranked = keyed.select("id", "host", "path", F.posexplode_outer("keys").alias("at", "key"), F.monotonically_increasing_id().alias("row"))
+        numbered = cut(keyed.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        ranked = numbered.select("row", "id", "host", "path", F.posexplode_outer("keys").alias("at", "key"))
         best = ranked.join(listed, "key", "left").groupBy("row").agg(
             F.first("id").alias("id"),
             F.first("host").alias("host"),
