@@ -25,9 +25,9 @@ from tidemark.llm.tiles import map_groups
 from tidemark.session import cut, ship
 
 #: Cells of the count sketch, lines of a hot word's tile, first number of candidates, words handled at once.
-CELLS, TILE, CANDIDATES, WORDS = 1 << 21, 4096, 4, 2_000_000
+CELLS, TILE, CANDIDATES, WORDS = 1 << 20, 4096, 4, 2_000_000
 #: Bits of the filter that tells which lines' word sets are asked for.
-WANTED_BITS = 1 << 24
+WANTED_BITS = 1 << 23
 
 
 class Lines:
@@ -159,6 +159,15 @@ def _read_lines(docs, id_col, text_col, least) -> DataFrame:
     return _map_lines(docs, id_col, text_col, schema, least, make)
 
 
+def _rarity(read: DataFrame) -> np.ndarray:
+    """For each cell of the sketch eight times the logarithm of its count, rounded up: 2 bytes a cell, whatever the corpus."""
+    cells = read.filter("cell is not null").groupBy("cell").agg(F.ceil(8 * F.log2(F.sum("n"))).cast("smallint").alias("code"))
+    found = cells.toArrow()
+    out = np.zeros(CELLS, np.int16)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
 def _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most) -> DataFrame:
     """Each line under its rarest words: ``key, ta, tb, tile, sig, doc, line, size, pos, bits``."""
     long, whole = T.LongType(), T.IntegerType()
@@ -166,7 +175,7 @@ def _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most) -> Data
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     def make():
-        counts = sketch.value
+        codes = sketch.value
 
         def kernel(ids, lines):
             if ids is None:
@@ -175,13 +184,13 @@ def _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most) -> Data
             owner = np.repeat(np.arange(len(lines.size)), lines.size)
             bits = lines.reduce(np.bitwise_xor, np.uint64(1) << (lines.words >> np.uint64(58))).view(np.int64)
             sig = lines.sig
-            often = counts[(lines.words % np.uint64(CELLS)).astype(np.int64)]
+            often = codes[(lines.words % np.uint64(CELLS)).astype(np.int64)].astype(np.int64)
             order = np.lexsort((lines.words, often, owner))
             words, often = lines.words[order], often[order]
             pos = np.arange(len(words)) - lines.starts[owner]
             lead = lines.size - np.ceil(threshold * lines.size - 1e-9).astype(np.int64) + 1
-            keep = np.flatnonzero((pos < lead[owner]) & (often > 1))  # a word that occurs once matches nothing
-            line, parts = owner[keep], np.maximum(1, -(-often[keep] // most))
+            keep = np.flatnonzero((pos < lead[owner]) & (often > 0))  # a word that occurs once matches nothing
+            line, parts = owner[keep], np.maximum(1, np.ceil(2.0 ** (often[keep] / 8) / most)).astype(np.int64)
             row = np.repeat(np.arange(len(keep)), parts)
             other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
             tile = (sig[line].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)[row]
@@ -234,10 +243,10 @@ def _wanted(pairs: DataFrame) -> np.ndarray:
     """A bit for the digests in candidate pairs: WANTED_BITS / 8 bytes, however many there are."""
     both = pairs.select(F.explode(F.array("sig", "other")).alias("s"))
     words = both.select(F.pmod("s", F.lit(WANTED_BITS)).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    found = words.toPandas()
+    found = words.select(F.col("w").cast("int"), "bits").toArrow()
     out = np.zeros(WANTED_BITS // 64, np.int64)
-    out[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out.view(np.uint8)
 
 
 def _word_sets(docs, id_col, text_col, least, wanted) -> DataFrame:
@@ -253,7 +262,8 @@ def _word_sets(docs, id_col, text_col, least, wanted) -> DataFrame:
                 return None
             sig = lines.sig
             _, first = np.unique(sig, return_index=True)
-            chosen = np.sort(first[bits[sig[first] % WANTED_BITS]])
+            spot = sig[first] % WANTED_BITS
+            chosen = np.sort(first[(bits[spot >> 3] >> (spot & 7) & 1) > 0])
             chosen = np.array([k for k in chosen.tolist() if int(sig[k]) not in seen], np.int64)
             if len(seen) > MEMO_ENTRIES:
                 seen.clear()
@@ -271,10 +281,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc, line, sig`` of the lines of at least ``least`` different words that no earlier line matches."""
     spark = docs.sparkSession
     read = cut(_read_lines(docs, id_col, text_col, least), "lines")
-    table = np.zeros(CELLS, np.int64)
-    cells = read.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
-    sketch = spark.sparkContext.broadcast(table)
+    sketch = spark.sparkContext.broadcast(_rarity(read))
     matched, open_lines, most_candidates = None, None, CANDIDATES
     while True:
         rows = _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most)
