@@ -10,8 +10,8 @@ proposes a few candidates under a word, and only lines with none verified and mo
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.common import MEMO_ENTRIES, text_or_empty
-from tidemark.llm.tiles import map_groups
 from tidemark.session import cut, ship
 
-#: Cells of the count sketch, lines of a hot word's tile, first number of candidates, words handled at once.
-CELLS, TILE, CANDIDATES, WORDS = 1 << 20, 4096, 4, 2_000_000
+#: Cells of the count sketch, lines of a hot word's tile, first numbers of candidates of any kind and of strong ones, characters handled at once.
+CELLS, TILE, CANDIDATES, STRONG, CHARS = 1 << 20, 4096, 64, 2, 8_000_000
 #: Bits of the filter that tells which lines' word sets are asked for.
 WANTED_BITS = 1 << 23
+#: Prefix rows that a task packs at once, and rows of a bucket.
+PACK, BUCKET = 1_000_000, 200_000
 
 
 class Lines:
@@ -57,47 +58,64 @@ class Lines:
         return Lines(self.row[chosen], self.line[chosen], self.words[at], size, starts)
 
 
+def word_digests(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit digests of the words data[begin:end]: eight bytes of all words that have them at a time."""
+    padded = data + b"\0" * 8
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    masks = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+    left = end - begin
+    out = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    todo = np.arange(len(begin))
+    at = begin.copy()
+    while len(todo):
+        h = out[todo] ^ (eight[at] & masks[np.minimum(left[todo], 8)])
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(29)
+        out[todo] = h
+        left[todo] -= 8
+        more = left[todo] > 0
+        todo, at = todo[more], at[more] + 8
+    return out
+
+
 class LineReader:
-    """Cuts texts into lines and lines into word sets; word digests are remembered up to a bound."""
+    """Cuts texts into lines and lines into word sets, many texts at a time."""
 
     def __init__(self, least: int):
         self.least = least
-        self.memo: dict[bytes, int] = {}
 
     def read(self, texts: list[str]) -> Iterator[tuple[int, Lines]]:
-        """(number of the first text, its and the next texts' lines of ``least`` words or more), WORDS words at a time."""
-        rows, numbers, sizes, words, first = [], [], [], [], 0
+        """(number of the first text, its and the next texts' lines of ``least`` words or more), about CHARS characters at a time."""
+        first, size = 0, 0
         for n, text in enumerate(texts):
-            for number, line in enumerate(text.encode().lower().split(b"\n")):
-                found = line.split()
-                if len(found) >= self.least:
-                    rows.append(n)
-                    numbers.append(number)
-                    sizes.append(len(found))
-                    words += found
-            if len(words) >= WORDS or n == len(texts) - 1:
-                yield first, self._sets(rows, numbers, sizes, words)
-                rows, numbers, sizes, words, first = [], [], [], [], n + 1
-
-    def _sets(self, rows, numbers, sizes, words) -> Lines:
-        from xxhash import xxh64_intdigest
-
-        new = set(words).difference(self.memo)
-        if len(self.memo) > 2 * MEMO_ENTRIES:
-            self.memo, new = {}, set(words)
-        for w in new:
-            self.memo[w] = xxh64_intdigest(w)
-        code = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((code, owner))
+            size += len(text)
+            if size >= CHARS or n == len(texts) - 1:
+                yield first, self._sets(texts[first : n + 1], first)
+                first, size = n + 1, 0
+
+    def _sets(self, texts: list[str], base: int) -> Lines:
+        data = "\n".join(texts).encode().lower()
+        raw = np.frombuffer(data, np.uint8)
+        gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        edge = np.diff(np.concatenate(([1], gap.view(np.int8), [1])))
+        begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        owner = np.searchsorted(np.flatnonzero(raw == 10), begin)
+        counts = np.array([t.count("\n") + 1 for t in texts], np.int64)
+        row = np.repeat(np.arange(len(texts)), counts)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        code = word_digests(data, begin, end)
+        # one number orders by line, then (nearly always) by word: equal words of a line come together
+        width = np.uint64(max(1, len(row).bit_length()))
+        order = np.argsort((owner.astype(np.uint64) << (np.uint64(64) - width)) | (code >> width))
         code, owner = code[order], owner[order]
         fresh = np.ones(len(code), bool)
         fresh[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
         code, owner = code[fresh], owner[fresh]
-        size = np.bincount(owner, minlength=len(sizes)).astype(np.int64)
-        keep = size >= self.least
-        lines = Lines(np.array(rows, np.int64), np.array(numbers, np.int64), code, size, np.cumsum(size) - size)
-        return lines if keep.all() else lines.take(np.flatnonzero(keep))
+        size = np.bincount(owner, minlength=len(row)).astype(np.int64)
+        lines = Lines(row + base, number, code, size, np.cumsum(size) - size)
+        return lines.take(np.flatnonzero(size >= self.least))
 
 
 def _map_lines(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType, least: int, make) -> DataFrame:
@@ -133,8 +151,13 @@ def _first_of_each(ids: pa.Array, lines: Lines) -> np.ndarray:
     return np.sort(order[fresh])
 
 
-def _read_lines(docs, id_col, text_col, least) -> DataFrame:
-    """``doc, line, sig`` of the lines (copies within a batch once), and ``cell, n`` of the count sketch."""
+def _lead(size: np.ndarray, threshold: float) -> np.ndarray:
+    """Words of a line's prefix."""
+    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+
+
+def _read_lines(docs, id_col, text_col, least, threshold) -> DataFrame:
+    """``doc, line, sig`` of the lines (copies within a batch once), and ``cell, n`` of the count sketch; cell -1 counts all prefix words."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("doc", kind), T.StructField("line", T.IntegerType()), T.StructField("sig", T.LongType()),
@@ -142,15 +165,16 @@ def _read_lines(docs, id_col, text_col, least) -> DataFrame:
     ])
 
     def make():
-        sketch = np.zeros(CELLS, np.int64)
+        sketch, total = np.zeros(CELLS, np.int64), [0]
 
         def kernel(ids, lines):
             if ids is None:
                 cell = np.flatnonzero(sketch)
-                none = pa.nulls(len(cell))
-                return {"doc": none, "line": none, "sig": none, "cell": cell, "n": sketch[cell]}
+                none = pa.nulls(len(cell) + 1)
+                return {"doc": none, "line": none, "sig": none, "cell": np.append(cell, -1), "n": np.append(sketch[cell], total[0])}
             own = lines.take(_first_of_each(ids, lines))
             np.add.at(sketch, (own.words % np.uint64(CELLS)).astype(np.int64), 1)
+            total[0] += int(_lead(own.size, threshold).sum())
             none = pa.nulls(len(own.row))
             return {"doc": ids.take(pa.array(own.row)), "line": own.line, "sig": own.sig, "cell": none, "n": none}
 
@@ -159,27 +183,77 @@ def _read_lines(docs, id_col, text_col, least) -> DataFrame:
     return _map_lines(docs, id_col, text_col, schema, least, make)
 
 
-def _rarity(read: DataFrame) -> np.ndarray:
-    """For each cell of the sketch eight times the logarithm of its count, rounded up: 2 bytes a cell, whatever the corpus."""
-    cells = read.filter("cell is not null").groupBy("cell").agg(F.ceil(8 * F.log2(F.sum("n"))).cast("smallint").alias("code"))
-    found = cells.toArrow()
+def _rarity(read: DataFrame) -> tuple[np.ndarray, int]:
+    """For each cell of the sketch eight times the logarithm of its count, rounded up (2 bytes a cell, whatever the corpus), and the number of prefix words."""
+    cells = read.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = cells.select("cell", F.when(F.col("cell") >= 0, F.ceil(8 * F.log2("n")).cast("bigint")).otherwise(F.col("n")).alias("code")).toArrow()
+    cell, code = found.column(0).to_numpy(), found.column(1).to_numpy()
     out = np.zeros(CELLS, np.int16)
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return out
+    out[cell[cell >= 0]] = code[cell >= 0]
+    return out, int(code[cell < 0].sum())
+
+
+class Packer:
+    """Prefix rows of many lines as one compressed value for each bucket of words, column by column."""
+
+    #: name and type of the fixed columns; a document id that is no integer travels apart
+    COLUMNS = (("group", "<u8"), ("sig", "<i8"), ("bits", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("tile", "<i4"), ("mixed", "u1"))
+
+    @classmethod
+    def pack(cls, columns: dict[str, np.ndarray], doc: list) -> bytes:
+        import zstandard
+
+        whole = all(isinstance(x, int) for x in doc)
+        ids = np.array(doc, "<i8").tobytes() if whole else pickle.dumps(doc)
+        head = np.array([len(doc), whole], "<i8").tobytes()
+        return zstandard.ZstdCompressor(level=1).compress(head + b"".join(columns[n].astype(t).tobytes() for n, t in cls.COLUMNS) + ids)
+
+    @classmethod
+    def unpack(cls, values: list[bytes]) -> dict[str, np.ndarray]:
+        import zstandard
+
+        reader, parts, docs = zstandard.ZstdDecompressor(), [], []
+        for value in values:
+            data = reader.decompress(value)
+            (n, whole), at, part = np.frombuffer(data, "<i8", 2), 16, {}
+            for name, kind in cls.COLUMNS:
+                part[name] = np.frombuffer(data, kind, n, at)
+                at += part[name].nbytes
+            parts.append(part)
+            docs.append(np.frombuffer(data, "<i8", n, at) if whole else np.array(pickle.loads(data[at:]), object))
+        return {name: np.concatenate([p[name] for p in parts]) for name, _ in cls.COLUMNS} | {"doc": np.concatenate(docs)}
 
 
-def _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most) -> DataFrame:
-    """Each line under its rarest words: ``key, ta, tb, tile, sig, doc, line, size, pos, bits``."""
-    long, whole = T.LongType(), T.IntegerType()
-    fields = [("key", whole), ("ta", whole), ("tb", whole), ("tile", whole), ("sig", long), ("doc", docs.schema[id_col].dataType), ("line", whole), ("size", whole), ("pos", whole), ("bits", long)]
-    schema = T.StructType([T.StructField(n, t) for n, t in fields])
+def _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most, buckets) -> DataFrame:
+    """Each line under its rarest words, packed: ``bucket, rows``. A hot word's lines are dealt to tiles, and to each pair of tiles with their own."""
+    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("rows", T.BinaryType())])
 
     def make():
         codes = sketch.value
+        held: list[tuple[dict, list]] = []
+        size = [0]
+
+        def flush():
+            columns = {n: np.concatenate([c[n] for c, _ in held]) for n, _ in Packer.COLUMNS} if held else {}
+            doc = [x for _, d in held for x in d]
+            held.clear()
+            size[0] = 0
+            if not doc:
+                return {"bucket": [], "rows": []}
+            bucket = (columns["group"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+            names, values, start = [], [], 0
+            for end in ends.tolist():
+                part = order[start:end]
+                names.append(int(bucket[part[0]]))
+                values.append(Packer.pack({n: columns[n][part] for n in columns}, [doc[k] for k in part.tolist()]))
+                start = end
+            return {"bucket": names, "rows": values}
 
         def kernel(ids, lines):
             if ids is None:
-                return None
+                return flush()
             lines = lines.take(_first_of_each(ids, lines))
             owner = np.repeat(np.arange(len(lines.size)), lines.size)
             bits = lines.reduce(np.bitwise_xor, np.uint64(1) << (lines.words >> np.uint64(58))).view(np.int64)
@@ -188,61 +262,100 @@ def _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most) -> Data
             order = np.lexsort((lines.words, often, owner))
             words, often = lines.words[order], often[order]
             pos = np.arange(len(words)) - lines.starts[owner]
-            lead = lines.size - np.ceil(threshold * lines.size - 1e-9).astype(np.int64) + 1
-            keep = np.flatnonzero((pos < lead[owner]) & (often > 0))  # a word that occurs once matches nothing
+            keep = np.flatnonzero((pos < _lead(lines.size, threshold)[owner]) & (often > 0))  # a word that occurs once matches nothing
             line, parts = owner[keep], np.maximum(1, np.ceil(2.0 ** (often[keep] / 8) / most)).astype(np.int64)
             row = np.repeat(np.arange(len(keep)), parts)
             other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
             tile = (sig[line].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)[row]
+            low, high = np.minimum(tile, other), np.maximum(tile, other)
             at = line[row]
-            return {
-                "key": (words[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)[row], "ta": np.minimum(tile, other), "tb": np.maximum(tile, other),
-                "tile": tile, "sig": sig[at], "doc": ids.take(pa.array(lines.row[at])), "line": lines.line[at], "size": lines.size[at],
-                "pos": pos[keep][row], "bits": bits[at],
-            }
+            group = words[keep][row] + (low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + (high.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            columns = {"group": group, "sig": sig[at], "bits": bits[at], "line": lines.line[at], "size": lines.size[at], "pos": pos[keep][row], "tile": tile, "mixed": low != high}
+            held.append((columns, ids.take(pa.array(lines.row[at])).to_pylist()))
+            size[0] += len(at)
+            return flush() if size[0] >= PACK else {"bucket": [], "rows": []}
 
         return kernel
 
     return _map_lines(docs, id_col, text_col, schema, least, make)
 
 
-def _candidates(columns: dict, threshold: float, most: int) -> dict:
-    """Under each word, up to ``most`` earlier lines for each line that pass all filters: ``sig, other, full``."""
+def _candidate_pairs(rows: DataFrame, threshold: float, most: int, probes) -> DataFrame:
+    """``sig, other, full`` of the lines that ``probes`` (a filter of digests, or None for all) lets propose."""
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("other", T.LongType()), T.StructField("full", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+
+        def work():
+            out = _candidates(Packer.unpack(held), threshold, most, probes.value if probes else None)
+            return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
+        for batch in batches:
+            for bucket, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield work()
+                    held = []
+                now = bucket
+                held.append(value)
+        if held:
+            yield work()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _in_filter(bits: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    spot = sig % WANTED_BITS
+    return (bits[spot >> 3] >> (spot & 7) & 1) > 0
+
+
+def _candidates(columns: dict, threshold: float, most: int, probes: np.ndarray | None = None) -> dict:
+    """Under each word, earlier lines for each line that pass all filters: ``sig, other, full``.
+
+    A line stops looking after ``most`` candidates, or a few (STRONG in the first round) whose bitmaps differ by at most half of
+    what is allowed; ``full`` tells that it stopped.
+    """
+    enough = STRONG * max(1, most // CANDIDATES)
     _, doc = np.unique(columns["doc"], return_inverse=True)
-    group, sig, probe = columns["__group"], columns["sig"], columns["probe"]
-    order = np.lexsort((columns["pos"], columns["line"], doc, sig, group))
+    _, group = np.unique(columns["group"], return_inverse=True)
+    sig = columns["sig"]
+    order = np.lexsort((columns["line"], doc, sig, group))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (sig[order][1:] != sig[order][:-1]) | (group[order][1:] != group[order][:-1])
     order = order[fresh]  # a line that several tasks sent stands at its earliest place
     order = order[np.lexsort((columns["line"][order], doc[order], group[order]))]
-    group, sig, probe = group[order], sig[order], probe[order]
-    size, pos, tile = columns["size"][order].astype(np.int64), columns["pos"][order].astype(np.int64), columns["tile"][order]
-    bits, mixed = columns["bits"][order], (columns["ta"] != columns["tb"])[order]
+    group, sig = group[order], sig[order]
+    size, pos, tile, bits = (columns[n][order].astype(np.int64) for n in ("size", "pos", "tile", "bits"))
+    mixed = columns["mixed"][order] > 0
     start = np.searchsorted(group, group)
-    taken = np.zeros(len(group), np.int64)
-    pending, step, found = np.flatnonzero(probe), 0, []
+    taken, strong = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+    pending, step, found = np.arange(len(group)), 0, []
+    if probes is not None:
+        pending = pending[_in_filter(probes, sig)]
     while len(pending):
         # each line against the step-th line of its word, earliest first
-        pending = pending[(start[pending] + step < pending) & (taken[pending] < most)]
+        pending = pending[(start[pending] + step < pending) & (taken[pending] < most) & (strong[pending] < enough)]
         y, x = pending, start[pending] + step
         step += 1
         both = size[x] + size[y]
-        near = (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9) & (~mixed[x] | (tile[x] != tile[y]))
-        rest = 1 + np.minimum(size[x] - pos[x], size[y] - pos[y]) - 1
-        near &= rest >= threshold / (1 + threshold) * both - 1e-9
-        near &= np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64)) <= (1 - threshold) / (1 + threshold) * both + 1e-9
+        apart = np.bitwise_count((bits[x] ^ bits[y]).view(np.uint64))
+        allowed = (1 - threshold) / (1 + threshold) * both + 1e-9
+        rest = np.minimum(size[x] - pos[x], size[y] - pos[y])
+        near = (apart <= allowed) & (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9)
+        near &= (~mixed[x] | (tile[x] != tile[y])) & (rest >= threshold / (1 + threshold) * both - 1e-9)
         y, x = y[near], x[near]
         taken[y] += 1
+        strong[y] += 2 * apart[near] <= allowed[near]
         found.append((y, x))
     y = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
     x = np.concatenate([b for _, b in found]) if found else np.zeros(0, np.int64)
-    return {"sig": sig[y], "other": sig[x], "full": taken[y] >= most}
+    return {"sig": sig[y], "other": sig[x], "full": (taken[y] >= most) | (strong[y] >= enough)}
 
 
-def _wanted(pairs: DataFrame) -> np.ndarray:
-    """A bit for the digests in candidate pairs: WANTED_BITS / 8 bytes, however many there are."""
-    both = pairs.select(F.explode(F.array("sig", "other")).alias("s"))
-    words = both.select(F.pmod("s", F.lit(WANTED_BITS)).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+def _filter_of(digests: DataFrame) -> np.ndarray:
+    """A bit for each digest (column ``s``): WANTED_BITS / 8 bytes, however many there are."""
+    words = digests.select(F.pmod("s", F.lit(WANTED_BITS)).alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     found = words.select(F.col("w").cast("int"), "bits").toArrow()
     out = np.zeros(WANTED_BITS // 64, np.int64)
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
@@ -262,8 +375,7 @@ def _word_sets(docs, id_col, text_col, least, wanted) -> DataFrame:
                 return None
             sig = lines.sig
             _, first = np.unique(sig, return_index=True)
-            spot = sig[first] % WANTED_BITS
-            chosen = np.sort(first[(bits[spot >> 3] >> (spot & 7) & 1) > 0])
+            chosen = np.sort(first[_in_filter(bits, sig[first])])
             chosen = np.array([k for k in chosen.tolist() if int(sig[k]) not in seen], np.int64)
             if len(seen) > MEMO_ENTRIES:
                 seen.clear()
@@ -279,20 +391,16 @@ def _word_sets(docs, id_col, text_col, least, wanted) -> DataFrame:
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least: int = 5, most: int = TILE) -> DataFrame:
     """``doc, line, sig`` of the lines of at least ``least`` different words that no earlier line matches."""
-    spark = docs.sparkSession
-    read = cut(_read_lines(docs, id_col, text_col, least), "lines")
-    sketch = spark.sparkContext.broadcast(_rarity(read))
-    matched, open_lines, most_candidates = None, None, CANDIDATES
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    read = cut(_read_lines(docs, id_col, text_col, least, threshold), "lines")
+    codes, total = _rarity(read)
+    sketch, buckets = broadcast(codes), max(64, -(-total // BUCKET))
+    matched, probes, limit = None, None, CANDIDATES
     while True:
-        rows = _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most)
-        if open_lines is None:
-            rows = rows.withColumn("probe", F.lit(True))
-        else:
-            rows = rows.join(open_lines.withColumn("probe", F.lit(True)), "sig", "left").withColumn("probe", F.coalesce("probe", F.lit(False)))
-        limit = most_candidates
-        pairs = map_groups(rows, ["key", "ta", "tb"], "sig bigint, other bigint, full boolean", lambda c: _candidates(c, threshold, limit))
+        rows = _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most, buckets)
+        pairs = _candidate_pairs(rows, threshold, limit, probes)
         pairs = cut(pairs.groupBy("sig", "other").agg(F.max("full").alias("full")), "candidates")
-        wanted = spark.sparkContext.broadcast(_wanted(pairs))
+        wanted = broadcast(_filter_of(pairs.select(F.explode(F.array("sig", "other")).alias("s"))))
         sets = cut(_word_sets(docs, id_col, text_col, least, wanted), "word-sets")
         both = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("other"), F.col("words").alias("theirs")), "other")
         shared = F.size(F.array_intersect("words", "theirs"))
@@ -303,7 +411,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         open_lines = state.filter("not ok and full").select("sig")
         if open_lines.isEmpty():
             break
-        most_candidates *= 16
+        probes, limit = broadcast(_filter_of(open_lines.select(F.col("sig").alias("s")))), limit * 16
     first = read.filter("sig is not null").groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("at"))
     return first.select("at.doc", "at.line", "sig").join(matched.distinct(), "sig", "left_anti")
 
@@ -316,7 +424,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     different words always stay, in their places, as do all lines of documents with a null id. Null texts stay null
     (no lines), empty ones empty. Rows that repeat a document are the same document: they keep the same lines. An
     empty table gives an empty result. The three added or replaced columns win over input columns of their names.
-    Digests are 64-bit XXH64 of words and a 64-bit sum of them for a line.
+    Words are told apart by 64-bit digests, lines by a 64-bit sum of them.
     """
     kept = kept_lines(docs, id_col, text_col, threshold, least, most)
     lists = kept.groupBy("doc").agg(F.collect_list(F.struct("line", "sig")).alias("__kept"))
