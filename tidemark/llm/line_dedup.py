@@ -27,6 +27,8 @@ from tidemark.session import cut, ship
 CELLS, TILE, CANDIDATES, STRONG, CHARS = 1 << 20, 4096, 64, 2, 8_000_000
 #: Bits of the filter that tells which lines' word sets are asked for.
 WANTED_BITS = 1 << 23
+#: Bits that the bitmaps of a strong candidate may differ by, and words of the wide bitmaps that are compared before word sets are.
+SURE, WIDE = 8, 8
 #: Prefix rows that a task packs at once, and rows of a bucket.
 PACK, BUCKET = 1_000_000, 200_000
 
@@ -314,7 +316,7 @@ def _candidates(columns: dict, threshold: float, most: int, probes: np.ndarray |
     """Under each word, earlier lines for each line that pass all filters: ``sig, other, full``.
 
     A line stops looking after ``most`` candidates, or a few (STRONG in the first round) whose bitmaps differ by at most half of
-    what is allowed; ``full`` tells that it stopped.
+    what is allowed and by no more than SURE bits (of long lines any two differ by less than is allowed); ``full`` tells that it stopped.
     """
     enough = STRONG * max(1, most // CANDIDATES)
     _, doc = np.unique(columns["doc"], return_inverse=True)
@@ -346,7 +348,7 @@ def _candidates(columns: dict, threshold: float, most: int, probes: np.ndarray |
         near &= (~mixed[x] | (tile[x] != tile[y])) & (rest >= threshold / (1 + threshold) * both - 1e-9)
         y, x = y[near], x[near]
         taken[y] += 1
-        strong[y] += 2 * apart[near] <= allowed[near]
+        strong[y] += (2 * apart[near] <= allowed[near]) & (apart[near] <= SURE)
         found.append((y, x))
     y = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
     x = np.concatenate([b for _, b in found]) if found else np.zeros(0, np.int64)
@@ -363,8 +365,9 @@ def _filter_of(digests: DataFrame) -> np.ndarray:
 
 
 def _word_sets(docs, id_col, text_col, least, wanted) -> DataFrame:
-    """``sig, words`` of the lines that the filter lets through."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))])
+    """``sig, words`` of the lines that the filter lets through, and their parity bitmaps of 64 * WIDE bits, ``w0, w1, ...``."""
+    wide = [f"w{k}" for k in range(WIDE)]
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("words", T.ArrayType(T.LongType())), *[T.StructField(n, T.LongType()) for n in wide]])
 
     def make():
         bits = wanted.value
@@ -382,13 +385,27 @@ def _word_sets(docs, id_col, text_col, least, wanted) -> DataFrame:
             seen.update(sig[chosen].tolist())
             own = lines.take(chosen)
             ends = np.append(own.starts, len(own.words)).astype(np.int32)
-            return {"sig": sig[chosen], "words": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own.words.view(np.int64), pa.int64()))}
+            slot = (own.words >> np.uint64(55)) % np.uint64(WIDE)
+            bit = np.uint64(1) << (own.words >> np.uint64(58))
+            maps = {n: own.reduce(np.bitwise_xor, np.where(slot == k, bit, np.uint64(0))).view(np.int64) for k, n in enumerate(wide)}
+            return maps | {"sig": sig[chosen], "words": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own.words.view(np.int64), pa.int64()))}
 
         return kernel
 
     return _map_lines(docs, id_col, text_col, schema, least, make).dropDuplicates(["sig"])
 
 
+def _near_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose wide bitmaps differ by no more bits than their sets may differ by words; only bitmaps and sizes travel."""
+    names = [f"w{k}" for k in range(WIDE)]
+    mine = sets.select("sig", F.size("words").alias("n"), *names)
+    theirs = sets.select(F.col("sig").alias("other"), F.size("words").alias("m"), *[F.col(n).alias(f"o{n}") for n in names])
+    apart = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"o{n}"))) for n in names), F.lit(0))
+    allowed = (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("m")) + 1e-9
+    both = pairs.join(mine, "sig").join(theirs, "other")
+    return both.filter((apart <= allowed) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select("sig", "other")
+
+
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least: int = 5, most: int = TILE) -> DataFrame:
     """``doc, line, sig`` of the lines of at least ``least`` different words that no earlier line matches."""
     broadcast = docs.sparkSession.sparkContext.broadcast
@@ -402,10 +419,13 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = cut(pairs.groupBy("sig", "other").agg(F.max("full").alias("full")), "candidates")
         wanted = broadcast(_filter_of(pairs.select(F.explode(F.array("sig", "other")).alias("s"))))
         sets = cut(_word_sets(docs, id_col, text_col, least, wanted), "word-sets")
-        both = pairs.join(sets, "sig").join(sets.select(F.col("sig").alias("other"), F.col("words").alias("theirs")), "other")
+        near = cut(_near_pairs(pairs, sets, threshold), "near")
+        both = near.join(sets.select("sig", "words"), "sig").join(sets.select(F.col("sig").alias("other"), F.col("words").alias("theirs")), "other")
         shared = F.size(F.array_intersect("words", "theirs"))
-        verified = both.select("sig", "full", (shared >= (threshold / (1 + threshold)) * (F.size("words") + F.size("theirs")) - 1e-9).alias("ok"))
-        state = cut(verified.groupBy("sig").agg(F.max("ok").alias("ok"), F.max("full").alias("full")), "verified")
+        verified = both.select("sig", (shared >= (threshold / (1 + threshold)) * (F.size("words") + F.size("theirs")) - 1e-9).alias("ok"))
+        verified = verified.groupBy("sig").agg(F.max("ok").alias("ok"))
+        state = pairs.groupBy("sig").agg(F.max("full").alias("full")).join(verified, "sig", "left")
+        state = cut(state.select("sig", "full", F.coalesce("ok", F.lit(False)).alias("ok")), "verified")
         new = state.filter("ok").select("sig")
         matched = new if matched is None else matched.unionByName(new)
         open_lines = state.filter("not ok and full").select("sig")
