@@ -24,7 +24,7 @@ from tidemark.llm.common import MEMO_ENTRIES, text_or_empty
 from tidemark.session import cut, ship
 
 #: Cells of the count sketch, lines of a hot word's tile, first numbers of candidates of any kind and of strong ones, characters handled at once.
-CELLS, TILE, CANDIDATES, STRONG, CHARS = 1 << 20, 4096, 64, 2, 8_000_000
+CELLS, TILE, CANDIDATES, STRONG, CHARS = 1 << 20, 4096, 512, 4, 8_000_000
 #: Bits of the filter that tells which lines' word sets are asked for.
 WANTED_BITS = 1 << 23
 #: Bits that the bitmaps of a strong candidate may differ by, and words of the wide bitmaps that are compared before word sets are.
@@ -120,8 +120,11 @@ class LineReader:
         return lines.take(np.flatnonzero(size >= self.least))
 
 
-def _map_lines(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType, least: int, make) -> DataFrame:
-    """Run ``make()(ids, lines) -> columns`` over all documents with an id; at the end of a task ``kernel(None, None)`` may add rows."""
+def _map_lines(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType, least: int, make, among=None) -> DataFrame:
+    """Run ``make()(ids, lines) -> columns`` over all documents with an id; at the end of a task ``kernel(None, None)`` may add rows.
+
+    ``among`` is a filter of document digests: those it rules out are not cut into lines.
+    """
     ship(docs.sparkSession)
     arrow = to_arrow_schema(schema)
 
@@ -133,6 +136,8 @@ def _map_lines(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
+                if among is not None:
+                    part = part.filter(pa.array(_in_filter(among.value, part.column(2).to_numpy())))
                 ids = part.column(0)
                 for first, lines in reader.read(part.column(1).to_pylist()):
                     yield pack(kernel(ids, lines))
@@ -140,12 +145,14 @@ def _map_lines(docs: DataFrame, id_col: str, text_col: str, schema: T.StructType
         if last is not None:
             yield pack(last)
 
-    return docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"), F.xxhash64(id_col).alias("digest"))
+    return rows.mapInArrow(run, schema)
 
 
 def _first_of_each(ids: pa.Array, lines: Lines) -> np.ndarray:
     """Of lines with one digest the earliest by (id, line), as indexes in ascending order."""
-    rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")
+    rank = np.array(ids.to_pylist())
+    rank = rank if rank.dtype.kind == "i" else np.unique(rank, return_inverse=True)[1]
     order = np.lexsort((lines.line, rank[lines.row], lines.sig))
     sig = lines.sig[order]
     fresh = np.ones(len(sig), bool)
@@ -159,7 +166,7 @@ def _lead(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _read_lines(docs, id_col, text_col, least, threshold) -> DataFrame:
-    """``doc, line, sig`` of the lines (copies within a batch once), and ``cell, n`` of the count sketch; cell -1 counts all prefix words."""
+    """``doc, line, sig`` of all lines, and ``cell, n`` of the count sketch (copies within a batch count once); cell -1 counts all prefix words."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("doc", kind), T.StructField("line", T.IntegerType()), T.StructField("sig", T.LongType()),
@@ -177,8 +184,8 @@ def _read_lines(docs, id_col, text_col, least, threshold) -> DataFrame:
             own = lines.take(_first_of_each(ids, lines))
             np.add.at(sketch, (own.words % np.uint64(CELLS)).astype(np.int64), 1)
             total[0] += int(_lead(own.size, threshold).sum())
-            none = pa.nulls(len(own.row))
-            return {"doc": ids.take(pa.array(own.row)), "line": own.line, "sig": own.sig, "cell": none, "n": none}
+            none = pa.nulls(len(lines.row))
+            return {"doc": ids.take(pa.array(lines.row)), "line": lines.line, "sig": lines.sig, "cell": none, "n": none}
 
         return kernel
 
@@ -261,7 +268,8 @@ def _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most, buckets
             bits = lines.reduce(np.bitwise_xor, np.uint64(1) << (lines.words >> np.uint64(58))).view(np.int64)
             sig = lines.sig
             often = codes[(lines.words % np.uint64(CELLS)).astype(np.int64)].astype(np.int64)
-            order = np.lexsort((lines.words, often, owner))
+            # words of a line stand in order of their digests: a stable sort by line and rarity leaves ties in that order
+            order = np.argsort((owner << 10) | often, kind="stable")
             words, often = lines.words[order], often[order]
             pos = np.arange(len(words)) - lines.starts[owner]
             keep = np.flatnonzero((pos < _lead(lines.size, threshold)[owner]) & (often > 0))  # a word that occurs once matches nothing
@@ -312,6 +320,11 @@ def _in_filter(bits: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return (bits[spot >> 3] >> (spot & 7) & 1) > 0
 
 
+def _codes(doc: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the document ids."""
+    return doc if doc.dtype.kind == "i" else np.unique(doc, return_inverse=True)[1]
+
+
 def _candidates(columns: dict, threshold: float, most: int, probes: np.ndarray | None = None) -> dict:
     """Under each word, earlier lines for each line that pass all filters: ``sig, other, full``.
 
@@ -319,18 +332,18 @@ def _candidates(columns: dict, threshold: float, most: int, probes: np.ndarray |
     what is allowed and by no more than SURE bits (of long lines any two differ by less than is allowed); ``full`` tells that it stopped.
     """
     enough = STRONG * max(1, most // CANDIDATES)
-    _, doc = np.unique(columns["doc"], return_inverse=True)
-    _, group = np.unique(columns["group"], return_inverse=True)
-    sig = columns["sig"]
-    order = np.lexsort((columns["line"], doc, sig, group))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (sig[order][1:] != sig[order][:-1]) | (group[order][1:] != group[order][:-1])
-    order = order[fresh]  # a line that several tasks sent stands at its earliest place
-    order = order[np.lexsort((columns["line"][order], doc[order], group[order]))]
+    group, sig = columns["group"], columns["sig"]
+    order = np.lexsort((columns["line"], _codes(columns["doc"]), group))
     group, sig = group[order], sig[order]
+    # a line that several tasks sent stands at its earliest place
+    _, first = np.unique(group * np.uint64(0x9E3779B97F4A7C15) + sig.view(np.uint64), return_index=True)
+    if len(first) < len(order):
+        first = np.sort(first)
+        order, group, sig = order[first], group[first], sig[first]
     size, pos, tile, bits = (columns[n][order].astype(np.int64) for n in ("size", "pos", "tile", "bits"))
     mixed = columns["mixed"][order] > 0
-    start = np.searchsorted(group, group)
+    fresh = np.append(True, group[1:] != group[:-1])
+    start = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
     taken, strong = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
     pending, step, found = np.arange(len(group)), 0, []
     if probes is not None:
@@ -364,7 +377,7 @@ def _filter_of(digests: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _word_sets(docs, id_col, text_col, least, wanted) -> DataFrame:
+def _word_sets(docs, id_col, text_col, least, wanted, among) -> DataFrame:
     """``sig, words`` of the lines that the filter lets through, and their parity bitmaps of 64 * WIDE bits, ``w0, w1, ...``."""
     wide = [f"w{k}" for k in range(WIDE)]
     schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("words", T.ArrayType(T.LongType())), *[T.StructField(n, T.LongType()) for n in wide]])
@@ -392,7 +405,7 @@ def _word_sets(docs, id_col, text_col, least, wanted) -> DataFrame:
 
         return kernel
 
-    return _map_lines(docs, id_col, text_col, schema, least, make).dropDuplicates(["sig"])
+    return _map_lines(docs, id_col, text_col, schema, least, make, among).dropDuplicates(["sig"])
 
 
 def _near_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -406,10 +419,12 @@ def _near_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     return both.filter((apart <= allowed) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select("sig", "other")
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least: int = 5, most: int = TILE) -> DataFrame:
-    """``doc, line, sig`` of the lines of at least ``least`` different words that no earlier line matches."""
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least: int = 5, most: int = TILE) -> DataFrame:
+    """``doc, line`` of the lines of at least ``least`` different words that an earlier line matches."""
     broadcast = docs.sparkSession.sparkContext.broadcast
     read = cut(_read_lines(docs, id_col, text_col, least, threshold), "lines")
+    lines = read.filter("sig is not null").select("doc", "line", "sig")
+    first = cut(lines.groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("at")), "first-lines")
     codes, total = _rarity(read)
     sketch, buckets = broadcast(codes), max(64, -(-total // BUCKET))
     matched, probes, limit = None, None, CANDIDATES
@@ -417,8 +432,11 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows = _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most, buckets)
         pairs = _candidate_pairs(rows, threshold, limit, probes)
         pairs = cut(pairs.groupBy("sig", "other").agg(F.max("full").alias("full")), "candidates")
-        wanted = broadcast(_filter_of(pairs.select(F.explode(F.array("sig", "other")).alias("s"))))
-        sets = cut(_word_sets(docs, id_col, text_col, least, wanted), "word-sets")
+        asked = pairs.select(F.explode(F.array("sig", "other")).alias("sig")).distinct()
+        wanted = broadcast(_filter_of(asked.select(F.col("sig").alias("s"))))
+        # each wanted line is read where it stands first
+        among = broadcast(_filter_of(first.join(asked, "sig", "left_semi").select(F.xxhash64("at.doc").alias("s"))))
+        sets = cut(_word_sets(docs, id_col, text_col, least, wanted, among), "word-sets")
         near = cut(_near_pairs(pairs, sets, threshold), "near")
         both = near.join(sets.select("sig", "words"), "sig").join(sets.select(F.col("sig").alias("other"), F.col("words").alias("theirs")), "other")
         shared = F.size(F.array_intersect("words", "theirs"))
@@ -432,8 +450,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if open_lines.isEmpty():
             break
         probes, limit = broadcast(_filter_of(open_lines.select(F.col("sig").alias("s")))), limit * 16
-    first = read.filter("sig is not null").groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("at"))
-    return first.select("at.doc", "at.line", "sig").join(matched.distinct(), "sig", "left_anti")
+    kept = first.join(matched.distinct(), "sig", "left_anti").select("at.doc", "at.line")
+    return lines.select("doc", "line").join(kept, ["doc", "line"], "left_anti")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least: int = 5, most: int = TILE) -> DataFrame:
@@ -442,12 +460,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line goes where a line of an earlier document (smaller id), or an earlier line of the same one, has word sets of Jaccard
     similarity ``threshold`` or more with it; it goes even where that line goes itself. Lines of fewer than ``least``
     different words always stay, in their places, as do all lines of documents with a null id. Null texts stay null
-    (no lines), empty ones empty. Rows that repeat a document are the same document: they keep the same lines. An
+    (no lines), empty ones empty. Rows that repeat an id are the same document: they lose the same lines. An
     empty table gives an empty result. The three added or replaced columns win over input columns of their names.
     Words are told apart by 64-bit digests, lines by a 64-bit sum of them.
     """
-    kept = kept_lines(docs, id_col, text_col, threshold, least, most)
-    lists = kept.groupBy("doc").agg(F.collect_list(F.struct("line", "sig")).alias("__kept"))
+    removed = removed_lines(docs, id_col, text_col, threshold, least, most)
+    lists = removed.groupBy("doc").agg(F.collect_set("line").alias("__gone"))
     base = docs.drop("n_lines", "n_removed")
     joined = base.join(lists.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left").drop("__doc")
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
@@ -455,17 +473,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = [f.name for f in base.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = LineReader(least)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids, texts = part.column(id_col).to_pylist(), part.column(text_col).to_pylist()
-                kept = [None if k is None else {(x["line"], x["sig"]) for x in k} for k in part.column("__kept").to_pylist()]
-                gone: list[set] = [set() for _ in texts]
-                for _, lines in reader.read([t or "" for t in texts]):
-                    for row, line, sig in zip(lines.row.tolist(), lines.line.tolist(), lines.sig.tolist(), strict=True):
-                        if ids[row] is not None and (line, sig) not in (kept[row] or ()):
-                            gone[row].add(line)
+                texts = part.column(text_col).to_pylist()
+                gone = [set(k) if k else () for k in part.column("__gone").to_pylist()]
                 new = [t if not g else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in g) for t, g in zip(texts, gone, strict=True)]
                 columns = {**{n: part.column(n) for n in order}, text_col: pa.array(new, pa.string())}
                 columns |= {"n_lines": pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int32()), "n_removed": pa.array([len(g) for g in gone], pa.int32())}
