@@ -229,3 +229,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, copies, "").collect()] == [frame.limit(1).first().doc_id]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_line_dedup_takes_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from tidemark.llm import queries
+
+    docs = line_docs() + [(400 + k, t) for k, t in enumerate(["All rights reserved.\n\n漢字の行\n- -", "all RIGHTS reserved.\n \n\n漢字の行\nw x y z", "z y x w v\nx\nX x x\nw x y\n" + "la " * 50, "la\nz y w x"])]
+    frame = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, n_chars int").repartition(3)
+    want = brute_lines(docs, least=1)
+    assert want[401] == " \n\nw x y z" and want[402] == "x\nw x y\nla " + "la " * 49 and want[403] == ""
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, "").collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame, least=0).collect()} == want
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    gone = {r.doc_id: r.n_removed for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert gone[401] == 2 and gone[402] == 2 and gone[403] == 2

@@ -86,7 +86,7 @@ class LineReader:
     """Cuts texts into lines and lines into word sets, many texts at a time."""
 
     def __init__(self, least: int):
-        self.least = least
+        self.least = max(1, least)
 
     def read(self, texts: list[str]) -> Iterator[tuple[int, Lines]]:
         """(number of the first text, its and the next texts' lines of ``least`` words or more), about CHARS characters at a time."""
@@ -165,8 +165,20 @@ def _lead(size: np.ndarray, threshold: float) -> np.ndarray:
     return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
 
 
+def _joinable(least: int, threshold: float) -> int:
+    """Words of the smallest line that can match a line of another set: one word more or fewer has to leave ``threshold``."""
+    n = max(1, least)
+    while n / (n + 1) < threshold - 1e-9 and n < 1 << 20:
+        n += 1
+    return n
+
+
 def _read_lines(docs, id_col, text_col, least, threshold) -> DataFrame:
-    """``doc, line, sig`` of all lines, and ``cell, n`` of the count sketch (copies within a batch count once); cell -1 counts all prefix words."""
+    """``doc, line, sig`` of all lines, and ``cell, n`` of the count sketch (copies within a batch count once); cell -1 counts all prefix words.
+
+    Lines that match nothing but their own set are not in the sketch: equal sets meet by ``sig``.
+    """
+    least_joined = _joinable(least, threshold)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([
         T.StructField("doc", kind), T.StructField("line", T.IntegerType()), T.StructField("sig", T.LongType()),
@@ -181,7 +193,8 @@ def _read_lines(docs, id_col, text_col, least, threshold) -> DataFrame:
                 cell = np.flatnonzero(sketch)
                 none = pa.nulls(len(cell) + 1)
                 return {"doc": none, "line": none, "sig": none, "cell": np.append(cell, -1), "n": np.append(sketch[cell], total[0])}
-            own = lines.take(_first_of_each(ids, lines))
+            own = lines.take(np.flatnonzero(lines.size >= least_joined))
+            own = own.take(_first_of_each(ids, own))
             np.add.at(sketch, (own.words % np.uint64(CELLS)).astype(np.int64), 1)
             total[0] += int(_lead(own.size, threshold).sum())
             none = pa.nulls(len(lines.row))
@@ -427,16 +440,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = cut(lines.groupBy("sig").agg(F.min(F.struct("doc", "line")).alias("at")), "first-lines")
     codes, total = _rarity(read)
     sketch, buckets = broadcast(codes), max(64, -(-total // BUCKET))
+    joined = _joinable(least, threshold)
     matched, probes, limit = None, None, CANDIDATES
     while True:
-        rows = _prefix_rows(docs, id_col, text_col, least, threshold, sketch, most, buckets)
+        rows = _prefix_rows(docs, id_col, text_col, joined, threshold, sketch, most, buckets)
         pairs = _candidate_pairs(rows, threshold, limit, probes)
         pairs = cut(pairs.groupBy("sig", "other").agg(F.max("full").alias("full")), "candidates")
         asked = pairs.select(F.explode(F.array("sig", "other")).alias("sig")).distinct()
         wanted = broadcast(_filter_of(asked.select(F.col("sig").alias("s"))))
         # each wanted line is read where it stands first
         among = broadcast(_filter_of(first.join(asked, "sig", "left_semi").select(F.xxhash64("at.doc").alias("s"))))
-        sets = cut(_word_sets(docs, id_col, text_col, least, wanted, among), "word-sets")
+        sets = cut(_word_sets(docs, id_col, text_col, joined, wanted, among), "word-sets")
         near = cut(_near_pairs(pairs, sets, threshold), "near")
         both = near.join(sets.select("sig", "words"), "sig").join(sets.select(F.col("sig").alias("other"), F.col("words").alias("theirs")), "other")
         shared = F.size(F.array_intersect("words", "theirs"))
@@ -458,8 +472,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All input columns with the text's repeated lines left out, and ``n_lines, n_removed``.
 
     A line goes where a line of an earlier document (smaller id), or an earlier line of the same one, has word sets of Jaccard
-    similarity ``threshold`` or more with it; it goes even where that line goes itself. Lines of fewer than ``least``
-    different words always stay, in their places, as do all lines of documents with a null id. Null texts stay null
+    similarity ``threshold`` or more with it; it goes even where that line goes itself. With ``least`` 1 that holds for every line
+    with a word; lines of fewer than ``least`` different words stay, in their places, and so do blank ones
+    (no words), whatever ``least``, and all lines of documents with a null id. Null texts stay null
     (no lines), empty ones empty. Rows that repeat an id are the same document: they lose the same lines. An
     empty table gives an empty result. The three added or replaced columns win over input columns of their names.
     Words are told apart by 64-bit digests, lines by a 64-bit sum of them.

@@ -66,8 +66,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, n_lines, n_removed, text_sha256`` of every document after the removal (null text: empty)."""
-    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """``doc_id, n_lines, n_removed, text_sha256`` of every document after the removal of repeated lines of any length (null text: empty; blank lines stay)."""
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
