@@ -7,8 +7,9 @@ token and the relative count at each of its places. Transitions carry the change
 are determinised as texts reach them, up to a bound, and kept by the worker.
 
 No piece crosses from a word into the next space mark, so that such a place resets the transducer. Texts are cut into
-chunks; each chunk becomes a state map (what stands before its first reset, the count from there on, the state at its
-end), and a parallel prefix scan composes the maps of all chunks of a text.
+chunks; each chunk becomes a state map: what its stretch before the first reset does to the states it may be entered in, the count
+from there on, the state at its end. A parallel prefix scan composes the maps of a text's chunks. Runs from two states over one text soon
+meet in one state, so that a chunk without a reset is read about once, whatever it is entered in.
 """
 
 from __future__ import annotations
@@ -16,14 +17,13 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import MEMO_ENTRIES, map_texts, tokenizer_path
 from tidemark.llm.sentence_model import NORMAL, SPACE, USER, SentenceModel, load
 
-#: Characters of a chunk, and states that are kept before the transducer starts afresh.
-CHUNK, STATES = 8192, 200_000
+#: Characters of a chunk and between the marks of a stretch, and states that are kept before the transducer starts afresh.
+CHUNK, MARK, STATES = 8192, 64, 200_000
 RESET = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
@@ -35,6 +35,10 @@ class State:
         self.suffix, self.lasts, self.counts = suffix, lasts, counts
         self.moves: dict[str, tuple[State, int]] = {}
 
+    @property
+    def key(self) -> tuple:
+        return self.suffix, self.lasts, self.counts
+
 
 class Transducer:
     """Deterministic, with integer outputs; ``barrier`` characters (no piece holds them) are spelled in bytes."""
@@ -117,24 +121,64 @@ class Transducer:
             total += step[1]
         return state, total
 
+    def tidy(self) -> None:
+        """Start afresh where too many states were reached; states that are held elsewhere stay good."""
+        if len(self.states) > STATES:
+            self._clear()
+
     def word(self, word: str) -> int:
         """Count of a part that begins at a reset and ends before one."""
         found = self.words.get(word)
         if found is None:
             if len(self.words) > 2 * MEMO_ENTRIES:
                 self.words = {}
-            if len(self.states) > STATES:
-                self._clear()
+            self.tidy()
             found = self.words[word] = self.run(self.root, word)[1]
         return found
 
 
+class Stretch:
+    """What a stretch of text without a reset does to a state, for the states that have been asked for.
+
+    The stretch is run once from the root, and the states on the way are kept at every MARK-th character. From another state it is run
+    only up to the first mark where both stand in one state: from there on all is known.
+    """
+
+    __slots__ = ("known", "machine", "marks", "text")
+
+    def __init__(self, machine: Transducer, text: str):
+        self.machine, self.text = machine, text
+        self.marks: list[tuple[State, int]] = []
+        self.known: dict[tuple, tuple[State, int]] = {}
+        state, total = machine.root, 0
+        for at in range(0, len(text), MARK):
+            state, more = machine.run(state, text[at : at + MARK])
+            total += more
+            self.marks.append((state, total))
+        machine.tidy()
+
+    def through(self, entry: State) -> tuple[State, int]:
+        """State behind the stretch and tokens in it, entered in the given state."""
+        found = self.known.get(entry.key)
+        if found is None:
+            state, total = entry, 0
+            for n, (mark, so_far) in enumerate(self.marks):
+                state, more = self.machine.run(state, self.text[n * MARK : (n + 1) * MARK])
+                total += more
+                if state is mark or state.key == mark.key:
+                    state, total = self.marks[-1][0], total + self.marks[-1][1] - so_far
+                    break
+            found = self.known[entry.key] = state, total
+            self.machine.tidy()
+        return found
+
+
 class Map:
-    """What a chunk does to any state: ``head`` runs on from it; after a reset, ``count`` more and ``end`` hold for all."""
+    """What chunks do to any state: it passes the stretches of ``head``; after a reset, ``count`` more and ``end`` hold for all."""
 
     __slots__ = ("count", "end", "head", "reset")
 
-    def __init__(self, head: str, reset: bool, count: int, end: State | None):
+    def __init__(self, head: tuple[Stretch, ...], reset: bool, count: int, end: State | None):
         self.head, self.reset, self.count, self.end = head, reset, count, end
 
 
@@ -147,7 +191,7 @@ def chunk_map(machine: Transducer, model: SentenceModel, chunk: str, first: bool
         found = RESET.search(chunk)
         at = found.start() if found else -1
     if at < 0:
-        return Map(chunk, False, 0, None)
+        return Map((Stretch(machine, chunk),), False, 0, None)
     rest = chunk[at:]
     last = 0
     if machine.resets:
@@ -157,40 +201,29 @@ def chunk_map(machine: Transducer, model: SentenceModel, chunk: str, first: bool
         last = max(last, 0)
     count = sum(map(machine.word, model.words(rest[:last]))) if last else 0
     end, more = machine.run(machine.root, rest[last:])
-    return Map(chunk[:at], True, count + more, end)
+    return Map((Stretch(machine, chunk[:at]),) if at else (), True, count + more, end)
 
 
-def compose(machine: Transducer, a: Map, b: Map) -> Map:
+def compose(a: Map, b: Map) -> Map:
     """First ``a``, then ``b``; associative."""
     if not a.reset:
         return Map(a.head + b.head, b.reset, b.count, b.end)
-    end, more = machine.run(a.end, b.head)
-    return Map(a.head, True, a.count + more + b.count, b.end if b.reset else end)
+    end, count = a.end, a.count
+    for stretch in b.head:
+        end, more = stretch.through(end)
+        count += more
+    return Map(a.head, True, count + b.count, b.end if b.reset else end)
 
 
 def count_tokens(machine: Transducer, model: SentenceModel, texts: list[str], chunk: int = CHUNK) -> list[int]:
-    """Tokens of each text: state maps of all chunks, then a scan that composes them in log2(chunks) steps."""
-    maps: list[Map] = []
-    owner: list[int] = []
-    for n, text in enumerate(texts):
+    """Tokens of each text: the state maps of its chunks, composed by neighbours in log2(chunks) rounds (a scan's way up; the text needs the last prefix alone)."""
+    counts = []
+    for text in texts:
         normal = model.normalize_text(text)
-        for at in range(0, len(normal), chunk):
-            maps.append(chunk_map(machine, model, normal[at : at + chunk], at == 0))
-            owner.append(n)
-    own = np.array(owner, np.int64)
-    step = 1
-    while step < len(maps):
-        same = np.flatnonzero(own[step:] == own[:-step])
-        if not len(same):
-            break
-        # chunks that already reach back to their text's first one have nothing left to take in
-        new = {i + step: compose(machine, maps[i], maps[i + step]) for i in same.tolist()}
-        for i, m in new.items():
-            maps[i] = m
-        step *= 2
-    counts = [0] * len(texts)
-    for n, m in zip(owner, maps, strict=True):
-        counts[n] = m.count
+        maps = [chunk_map(machine, model, normal[at : at + chunk], at == 0) for at in range(0, len(normal), chunk)]
+        while len(maps) > 1:
+            maps = [compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        counts.append(maps[0].count if maps else 0)
     return counts
 
 
