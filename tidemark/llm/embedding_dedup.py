@@ -61,7 +61,9 @@ def embedding_components(
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.withColumn("same", F.when(usable, F.sha2(F.concat_ws(",", F.col("label").cast("string"), v.cast("array<string>")), 256)))
+    # the label's length stands first, so that no label with a part of a vector reads like another label with another vector
+    name = F.col("label").cast("string")
+    rows = rows.withColumn("same", F.when(usable, F.sha2(F.concat_ws(",", F.length(name).cast("string"), name, v.cast("array<string>")), 256)))
     rows = cut(rows, "vectors")
     known = rows.filter("same is not null")
     classes = known.groupBy("same").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
