@@ -7,6 +7,7 @@ exact, and judging a row needs no join: the filters' words are literals of bound
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,7 +64,7 @@ def _build(keys: DataFrame, level: int, bits: int, probes: int) -> list[int]:
 
 
 def _contains(key: Column, level: int, bits: int, probes: int, words: list[int]) -> Column:
-    table = F.array(*[F.lit(w).cast("bigint") for w in words])
+    table = F.from_json(F.lit(json.dumps(words)), "array<bigint>")  # folded to one literal
     hit = F.lit(True)
     for p in range(probes):
         spot = _position(key, level, p, bits)
@@ -72,36 +73,36 @@ def _contains(key: Column, level: int, bits: int, probes: int, words: list[int])
     return hit
 
 
-def bloom_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 21, max_levels: int = 40):
+def bloom_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 40):
     """A function of a key column that tells membership in ``listed`` exactly, for every key of ``universe``.
 
     Both frames have a column ``key`` of distinct strings. Level 1 holds about log2(universe / listed) bits a listed
-    key, later levels two or three, so that size follows the list and only the logarithm of the corpus. Returns None
-    where level 1 would need more than ``max_bits`` (the caller then joins instead).
+    key, later levels two or three, so that size follows the list, which the caller holds, and only the logarithm of the corpus. Keys that
+    ``max_levels`` levels do not tell apart (hardly more than those of equal hashes) are compared themselves.
     """
     inside = listed.select("key")
-    outside = universe.join(inside, "key", "left_anti")
-    n_in, n_out = inside.count(), outside.count()
+    n_in, n_all = inside.count(), universe.count()
     if n_in == 0:
         return lambda key: F.lit(False)
-    levels, now, others = [], (inside, n_in), (outside, n_out)
-    while now[1]:
-        if len(levels) >= max_levels:
-            raise RuntimeError("the cascade did not settle")
+    levels, now, others = [], (inside, n_in), (universe, n_all)
+    while now[1] and len(levels) < max_levels:
         rate = 0.5 if levels else min(0.5, max(1e-9, now[1] / max(1, others[1])))
         probes = max(1, round(-math.log2(rate)))
         bits = 64 * max(1, math.ceil(now[1] * probes / math.log(2) / 64))
-        if bits > max_bits:
-            return None
         level = len(levels)
         words = _build(now[0], level, bits, probes)
         levels.append((bits, probes, words))
         wrong = others[0].filter(_contains(F.col("key"), level, bits, probes, words))
+        if not level:  # of the corpus only the few keys that pass meet the list
+            wrong = wrong.join(inside, "key", "left_anti")
         wrong = cut(wrong, "cascade")
         now, others = (wrong, wrong.count()), now
+    rest = [row["key"] for row in now[0].collect()] if now[1] else []
 
     def member(key: Column) -> Column:
         found = F.lit(len(levels) % 2 == 1)
+        if rest:
+            found = F.when(key.isin(rest), F.lit(len(levels) % 2 == 0)).otherwise(found)
         for level in reversed(range(len(levels))):
             bits, probes, words = levels[level]
             found = F.when(_contains(key, level, bits, probes, words), found).otherwise(F.lit(level % 2 == 1))
@@ -124,7 +125,6 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     default: str = "allow",
-    max_bits: int = 1 << 21,
 ) -> DataFrame:
     """One row per page: ``id, host, path, rule, verdict``.
 
@@ -132,8 +132,7 @@ def judge_urls(
     path starts with the rule's path; the longest fitting rule (host plus path, then more host labels) decides, and a
     url that no list holds gets ``default``. Null urls and urls without ``://`` have an empty host and path, which
     no rule fits. Repeated rows are each judged; other columns are ignored; no rules or no pages are fine. Two cascades,
-    one for each action, are built over the distinct candidate keys of all pages. Where a list is too long for
-    ``max_bits`` the keys are joined instead.
+    one for each action, are built over the distinct candidate keys of all pages.
     """
     spark = pages.sparkSession
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("__u"))
@@ -146,17 +145,7 @@ def judge_urls(
     keyed = base.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
     universe = cut(keyed.select(F.explode("keys").alias("key")).distinct(), "keys")
     listed = rules_frame(spark, rules)
-    member = {a: bloom_cascade(listed.filter(F.col("action") == a), universe, max_bits) for a in ("allow", "block")}
-    if None in member.values():
-        numbered = cut(keyed.withColumn("row", F.monotonically_increasing_id()), "numbered")
-        ranked = numbered.select("row", "id", "host", "path", F.posexplode_outer("keys").alias("at", "key"))
-        best = ranked.join(listed, "key", "left").groupBy("row").agg(
-            F.first("id").alias("id"),
-            F.first("host").alias("host"),
-            F.first("path").alias("path"),
-            F.min(F.when(F.col("action").isNotNull(), F.struct("at", "key", "action"))).alias("best"),
-        )
-        return best.select(F.col("id").alias(id_col), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    member = {a: bloom_cascade(listed.filter(F.col("action") == a), universe) for a in ("allow", "block")}
     judged = F.transform(
         F.col("keys"),
         lambda k: F.struct(k.alias("key"), F.when(member["allow"](k), "allow").when(member["block"](k), "block").alias("action")),
