@@ -41,10 +41,9 @@ def judged(url):
     return host, path, best[1] if best else None, best[0] if best else "allow"
 
 
-@pytest.mark.parametrize("bits", [1 << 21, 0])
-def test_url_rules_by_cascade_and_by_join(spark, bits):
+def test_url_rules_by_cascade(spark):
     pages = spark.createDataFrame([(n, u, "x", "y") for n, u in enumerate(URLS * 3)], "page_id long, url string, host string, rule string")
-    got = {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls(pages, RULES, max_bits=bits).select("page_id", "host", "path", "rule", "verdict").collect()}
+    got = {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict").collect()}
     assert got == {n: judged(u) for n, u in enumerate(URLS * 3)}
 
 
@@ -54,6 +53,23 @@ def test_url_rules_of_nothing(spark):
     assert url_filter.judge_urls(pages, []).first().verdict == "allow"
 
 
+def test_url_filter_takes_long_urls_and_long_lists(spark):
+    long = "http://a.com/de/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "s." * 3000 + "com/de/"), (3, "http://h77.net/p77/x"), (4, "http://h78.net/p77/x"), (None, "http://com/fr/")], "page_id long, url string")
+    rules = RULES + [("block", f"h{k}.net/p{k}/") for k in range(5000)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {1: ("com/de/", "block"), 2: ("com/de/", "block"), 3: ("h77.net/p77/", "block"), 4: (None, "allow"), None: ("com/fr/", "allow")}
+
+
+@pytest.mark.parametrize("levels", [1, 2, 40])
+def test_cascade_that_ends_early_compares_the_rest(spark, levels):
+    universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = universe.filter("hash(key) % 7 = 0")
+    member = url_filter.bloom_cascade(listed, universe, levels)
+    got = {r.key for r in universe.filter(member(F.col("key"))).collect()}
+    assert got == {r.key for r in listed.collect()}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.filter("hash(key) % 9 = 0")
@@ -154,6 +170,13 @@ def test_embedding_components_equal_brute_force(spark, most):
     assert embedding_dedup.embedding_components(frame.limit(0)).count() == 0
 
 
+def test_labels_with_parts_of_vectors_stay_apart(spark):
+    rows = [(1, [2.0], "x,1.0"), (2, [1.0, 2.0], "x"), (3, [1.0, 2.0], "x"), (4, [2.0], "x,1.0,"), (5, [1.0], "x:1"), (6, [1.0], "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(frame).collect()}
+    assert got == {1: (0, 1), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(3)
     a = rng.normal(size=(200, 32))
@@ -201,11 +224,57 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, most, first):
     monkeypatch.setattr(line_dedup, "CANDIDATES", first)
     docs = line_docs()
     frame = spark.createDataFrame([(d, t, "x", 3) for d, t in docs], "doc_id long, text string, sig string, line int").repartition(5)
-    got = line_dedup.dedup_lines(frame, most=most)
+    got = line_dedup.dedup_lines(frame, least=5, most=most)
     assert got.columns == ["doc_id", "text", "sig", "line", "n_lines", "n_removed"]
     assert {r.doc_id: r.text for r in got.collect()} == brute_lines(docs)
 
 
+def long_line_docs(seed=9):
+    """Lines of 70 to 3000 words, some a few words apart, so that bitmaps of every width meet."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for n, size in enumerate([70, 79, 82, 100, 150, 170, 300, 330, 640, 660, 1290, 3000]):
+        base = [f"w{rng.integers(0, 5000)}" for _ in range(size)]
+        for k in range(4):
+            copy = list(base)
+            for place in rng.choice(size, size * k // 28, replace=False):
+                copy[int(place)] = f"x{rng.integers(0, 10**9)}"
+            out.append((n * 10 + k, " ".join(copy[: len(copy) - k * size // 40])))
+    return [out[k] for k in rng.permutation(len(out))]
+
+
+@pytest.mark.parametrize(("most", "first"), [(4096, 4), (3, 1)])
+def test_line_dedup_of_long_lines_and_clashing_names(spark, monkeypatch, most, first):
+    monkeypatch.setattr(line_dedup, "CANDIDATES", first)
+    docs = long_line_docs()
+    names = ["doc", "sig", "line", "other", "removed_doc", "removed_lines", "REMOVED_DOC_", "__doc", "__gone", "text", "n_removed"]
+    frame = spark.createDataFrame([(d, *[1] * 9, t, 5) for d, t in docs], ["doc_id", *names]).repartition(3)
+    got = line_dedup.dedup_lines(frame, most=most)
+    want = brute_lines(docs, least=1)
+    assert got.columns == ["doc_id", *names[:-1], "n_lines", "n_removed"] and sum(t == "" for t in want.values()) > 12
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_line_dedup_of_a_huge_text_and_string_ids(spark):
+    docs = [("b", "\n".join(f"line number {k % 70_000} of the text" for k in range(70_100))), ("a", "line number 5 of the text\n\nx"), ("c", None), ("d", "x\nx y")]
+    frame = spark.createDataFrame(docs, "doc_id string, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    assert got == brute_lines_of_sets(docs) and len(got["b"]) > 1000
+
+
+def brute_lines_of_sets(docs):
+    """Of lines whose every near copy is an exact one (of five words here, one apart from the others)."""
+    seen, out = set(), {}
+    for doc, text in sorted(docs):
+        kept = []
+        for line in (text or "").split("\n"):
+            if not line or frozenset(line.split()) not in seen:
+                kept.append(line)
+            seen.add(frozenset(line.split()))
+        out[doc] = None if text is None else "\n".join(kept)
+    return out
+
+
 def test_line_dedup_edge_cases(spark):
     frame = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert [r.text for r in line_dedup.dedup_lines(frame).collect()] == ["a b c d e f"] * 3

@@ -76,6 +76,22 @@ def test_token_counts_equal_the_library(chunk):
     assert token_counts.count_tokens(machine, model, texts, chunk) == [len(i) for i in model.library.encode(texts)]
 
 
+def test_texts_without_spaces_are_read_about_once(monkeypatch):
+    machine, model = token_counts.compiled(tokenizer_path(MODEL))
+    words = "".join(random_texts(3000, 8, "thentionouéra"))[:60_000]
+    read, run = [0], token_counts.Transducer.run
+
+    def counted(self, state, text):
+        read[0] += len(text)
+        return run(self, state, text)
+
+    monkeypatch.setattr(token_counts.Transducer, "run", counted)
+    for text in (words, "a" * 60_000, "ab=" * 20_000):
+        read[0] = 0
+        assert token_counts.count_tokens(machine, model, [text], 512) == [len(model.library.encode(text))]
+        assert read[0] <= 2.2 * len(text)
+
+
 def test_token_count_query(docs):
     lib = sentence_model.load(tokenizer_path(MODEL)).library
     got = sorted(map(tuple, token_counts.token_counts(docs, limit=3).collect()), key=str)

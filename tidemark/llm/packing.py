@@ -2,8 +2,8 @@
 
 A document, or what is left of it after whole windows are cut off, goes to the fill level (or a new window) that leaves the smallest sum
 of squared counts of partly filled windows over all levels. The counts are kept in an array with one cell for each level.
-Each task packs its rows as they come and writes a window as soon as it is full. Windows that are left at the end (or when
-more than ``open_windows`` are open) are closed by cutting their pieces: whole windows first, and the rest by powers of two,
+Each task packs its rows as they come and writes a window as soon as it is full. Windows that are left at the end (and the fuller half
+when more than ``open_windows`` are open) are closed by cutting their pieces: whole windows first, and the rest by powers of two,
 which need no padding.
 """
 
@@ -84,6 +84,7 @@ class WordIds:
         for part, words in cut.items():
             self.parts[part] = b"".join(map(self.memo.__getitem__, words))
 
+
 class Packer:
     """One task's windows. ``emit(doc, start, ids, total, window, offset)`` gets each piece once."""
 
@@ -128,13 +129,16 @@ class Packer:
         self.counts[level + size] += 1
         self.open += 1
         if self.open > self.limit:
-            self.close()
+            self.close(self.limit // 2)
 
-    def close(self) -> None:
-        """Write all open windows: fullest first, cut where a window is full; the rest by powers of two."""
+    def close(self, keep: int = 0) -> None:
+        """Write open windows, fullest first, until ``keep`` are left: cut where a window is full, the rest by powers of two."""
         ready, filled = [], 0
         for level in range(self.window - 1, 0, -1):
-            for pieces in self.levels[level]:
+            while self.levels[level] and self.open > keep:
+                pieces = self.levels[level].pop()
+                self.counts[level] -= 1
+                self.open -= 1
                 for doc, at, ids, total in pieces:
                     while filled + len(ids) // 4 >= self.window:
                         room = self.window - filled
@@ -145,9 +149,6 @@ class Packer:
                     if ids:
                         ready.append((doc, at, ids, total))
                         filled += len(ids) // 4
-            self.levels[level] = []
-        self.counts[:] = 0
-        self.open = 0
         while filled:
             room = 1 << (filled.bit_length() - 1)
             filled -= room

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts, text_or_empty
 
-#: Bounds of the fit: labelled rows of each class, the share of them that calibrates, and characters of a text.
-FIT_ROWS, CALIBRATION, FIT_CHARS = 1500, 4, 32_768
+#: Bounds of the fit: labelled rows of each class, the share of them that calibrates, blocks of a text (from all over it) and their characters.
+FIT_ROWS, CALIBRATION, FIT_BLOCKS, FIT_CHARS = 1500, 4, 32, 1024
 #: Dictionary bytes, compression level, block bytes, and sizes that dampen the difference and the score of very short texts.
 DICT_BYTES, LEVEL, BLOCK, DAMP, SHORT = 49_152, 3, 2048, 48, 48
 
@@ -56,14 +56,20 @@ class Sizes:
             words.precompute_compress(level=LEVEL)
             self.sides.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_dict_id=False, write_content_size=False))
 
-    def difference(self, text: str) -> float:
-        data = text.encode()
+    def difference(self, data: bytes) -> float:
         if not data:
             return 0.0
         bad, good = (sum(len(side.compress(data[k : k + BLOCK])) for k in range(0, len(data), BLOCK)) for side in self.sides)
         return (bad - good) / (len(data) + DAMP)
 
 
+def _score(model: QualityModel | None, sizes: Sizes | None, text: str) -> float:
+    if model is None:
+        return 0.5
+    data = text.encode()
+    return model.curve(sizes.difference(data), len(data)) if data else model.prior
+
+
 def _dictionary(texts: list[str]) -> bytes:
     import zstandard
 
@@ -92,7 +98,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS
 ) -> QualityModel | None:
-    """Fit on at most ``rows`` labelled texts of each class, chosen by a hash of their id, FIT_CHARS characters each.
+    """Fit on at most ``rows`` labelled texts of each class, chosen by a hash of their id, FIT_BLOCKS blocks of FIT_CHARS characters each.
 
     ``labels`` holds what may be learnt from. Null labels and ids with contradicting labels are left out. Every
     CALIBRATION-th chosen text calibrates, the rest make the dictionaries. None where a class has no text at all.
@@ -111,7 +117,12 @@ def fit_quality(
     if not chosen:
         return None
     picked = docs.filter(F.col(id_col).isin(list(chosen)) & F.col(text_col).isNotNull())
-    texts = picked.select(F.col(id_col), F.substring(text_col, 1, FIT_CHARS)).dropDuplicates([id_col]).collect()
+    # a longer text is represented by blocks from all over it, drawn by a hash of their places; of rows that repeat an id the least text counts
+    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / FIT_CHARS).cast("int"))
+    drawn = F.slice(F.array_sort(F.transform(places, lambda n: F.struct(F.xxhash64("id", n).alias("h"), n.alias("n")))), 1, FIT_BLOCKS)
+    blocks = F.transform(F.array_sort(F.transform(drawn, lambda x: x["n"])), lambda n: F.substring(F.col("text"), n * FIT_CHARS + 1, F.lit(FIT_CHARS)))
+    sample = F.when(F.length("text") <= FIT_BLOCKS * FIT_CHARS, F.col("text")).otherwise(F.array_join(blocks, ""))
+    texts = picked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", sample.alias("text")).groupBy("id").agg(F.min("text")).collect()
     texts = sorted((chosen[i], t) for i, t in texts)
     sides = {y: [t for (_, k), t in texts if k == y] for y in (0, 1)}
     if not all(sides.values()):
@@ -125,7 +136,7 @@ def fit_quality(
     least = min(map(len, train.values()))
     good, bad = _dictionary(train[1][:least]), _dictionary(train[0][:least])
     sizes = Sizes(good, bad)
-    x = np.array([sizes.difference(t) for y in (0, 1) for t in held[y]])
+    x = np.array([sizes.difference(t.encode()) for y in (0, 1) for t in held[y]])
     y = np.array([y for y in (0, 1) for _ in held[y]], float)
     weight = np.array([total[k] / len(held[k]) for k in (0, 1) for _ in held[k]])
     low, high = sorted((float(np.median(x[y == 0])), float(np.median(x[y == 1]))))
@@ -145,7 +156,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "do
         sizes = Sizes(model.good, model.bad) if model else None
 
         def kernel(keys, texts):
-            scores = [0.5 if sizes is None else model.prior if not t else model.curve(sizes.difference(t), len(t)) for t in texts]
+            scores = [_score(model, sizes, t) for t in texts]
             return {id_col: keys, "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
         return kernel
@@ -160,7 +171,7 @@ def quality_column(model: QualityModel | None, text_col: str = "text") -> Column
     @F.pandas_udf("double")
     def score(texts):
         sizes = Sizes(model.good, model.bad) if model else None
-        return texts.map(lambda t: 0.5 if sizes is None else model.prior if not t else model.curve(sizes.difference(t), len(t)))
+        return texts.map(lambda t: _score(model, sizes, t))
 
     return score(text_or_empty(text_col))
 
