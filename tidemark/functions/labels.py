@@ -43,7 +43,8 @@ def f1(precision: Column, recall: Column) -> Column:
 
 
 def safety_score(obstacle_f1: Column, small_recall: Column, boundary_f1: Column, fpr: Column) -> Column:
-    return 0.40 * obstacle_f1 + 0.30 * small_recall + 0.20 * boundary_f1 + 0.10 * (1.0 - fpr)
+    parts = zip(SCORE_WEIGHTS.values(), (obstacle_f1, small_recall, boundary_f1, 1.0 - fpr), strict=True)
+    return sum((part * weight for weight, part in parts), F.lit(0.0))
 
 
 def colour(label: Column, fallback: tuple[int, int, int] = (128, 128, 128)) -> Column:

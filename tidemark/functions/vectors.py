@@ -63,9 +63,10 @@ def kl(teacher: Column, student: Column, temperature: float) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
 
 
-def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) that depends on the seed and keys alone, whatever the partitioning."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)).cast("double") / float(1 << 53)
+def uniform(seed: int, *keys: Column | str) -> Column:
+    """A number in [0, 1) that depends on the seed and keys alone, whatever the partitioning: 52 bits of a SHA-256."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]), 256)
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def gaussian(seed: int, *keys: Column) -> Column:

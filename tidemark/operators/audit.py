@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import AREA_BINS, ratio
@@ -31,11 +31,12 @@ def missing_and_extra(corpus: DataFrame, split: DataFrame) -> DataFrame:
 
 
 def problem_samples(problems: DataFrame, limit: int = 10) -> DataFrame:
-    """For each problem its count and first ``limit`` stems; only those leave the tasks."""
+    """For each problem its count and first ``limit`` stems: each task hands on its own first ones only."""
     counts = problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(
-        problems.groupBy("problem").agg(F.slice(F.array_sort(F.collect_list("stem")), 1, limit).alias("examples")), "problem"
-    )
+    first = lambda *parts: Window.partitionBy(*parts, "problem").orderBy("stem")
+    some = problems.withColumn("__s", F.pmod(F.xxhash64("stem"), F.lit(1024))).withColumn("__n", F.row_number().over(first("__s"))).filter(F.col("__n") <= limit)
+    some = some.withColumn("__n", F.row_number().over(first())).filter(F.col("__n") <= limit)
+    return counts.join(some.groupBy("problem").agg(F.array_sort(F.collect_list("stem")).alias("examples")), "problem")
 
 
 def unknown_labels(labels: DataFrame, known: tuple[int, ...] = (0, 1, 2, 4)) -> DataFrame:

@@ -115,6 +115,11 @@ def side_by_side(scores: DataFrame, official: DataFrame, modes: tuple[str, ...]
     return wide.join(official.select("stem", F.col("value").alias("official")), "stem", "left").withColumn("official_mask_available", F.col("official").isNotNull())
 
 
+def placed(rows: DataFrame, order: str, out: str) -> DataFrame:
+    """Adds each row's place (from 1) in an order, without one window over all rows."""
+    return _placed(rows, order).withColumnRenamed("__r", out)
+
+
 def pages(rows: DataFrame, size: int, order: str = "stem") -> DataFrame:
     """Adds ``sheet`` and ``slot`` (from 1): rows in order, ``size`` to a sheet."""
     return _placed(rows, order).withColumns({"sheet": F.floor((F.col("__r") - 1) / size) + 1, "slot": (F.col("__r") - 1) % size + 1}).drop("__r")
@@ -189,7 +194,7 @@ def bootstrap(per_unit: DataFrame, num: str, den: str, unit: str = "stem", repli
 def teacher_gate(teacher: DataFrame, student: DataFrame, gain: float = 0.005, more_fp: float = 5.0) -> DataFrame:
     """Teachers that may teach: score at least the student's plus ``gain``, false positives at most ``more_fp`` above."""
     s = student.select(F.col("safety_score").alias("s_score"), F.col("fp").alias("s_fp")).withColumn("k", F.lit(1))
-    out = teacher.withColumn("k", F.lit(1)).join(s, "k").drop("k")
+    out = teacher.withColumn("k", F.lit(1)).join(F.broadcast(s), "k").drop("k")  # the student is one row
     return out.withColumn("accepted", (F.col("safety_score") >= F.col("s_score") + gain) & (F.col("fp") <= F.col("s_fp") + more_fp))
 
 

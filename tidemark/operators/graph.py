@@ -65,9 +65,5 @@ def group_members(edges: DataFrame, vertices: DataFrame, src: str = "src", dst:
 
 
 def groups(members: DataFrame) -> DataFrame:
-    """``group_id, size, members``, largest first, then by id."""
-    return (
-        members.groupBy("group_id")
-        .agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("stem")).alias("members"))
-        .orderBy(F.desc("size"), "group_id")
-    )
+    """``group_id, size, first``, largest first, then by id; ``members`` itself lists who belongs to a group, so that none is gathered in one value."""
+    return members.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.min("stem").alias("first")).orderBy(F.desc("size"), "group_id")

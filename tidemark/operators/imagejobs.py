@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -10,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.labels import IGNORE, UNKNOWN
+from tidemark.functions.labels import IGNORE, OBSTACLE, UNKNOWN
 from tidemark.session import ship
 
 # Channel means and deviations (red, green, blue).
@@ -45,6 +47,45 @@ def decode_labels(pixels: np.ndarray) -> np.ndarray:
     return np.where(rgb.max(2) == 0, IGNORE, rgb.argmax(2)).astype(np.uint8)
 
 
+def encode_png(pixels: np.ndarray) -> bytes:
+    """A PNG file of (height, width, 1 or 3) bytes, red first."""
+    head = struct.pack(">IIBBBBB", pixels.shape[1], pixels.shape[0], 8, 0 if pixels.shape[2] == 1 else 2, 0, 0, 0)
+    lines = np.pad(np.ascontiguousarray(pixels, np.uint8).reshape(pixels.shape[0], -1), ((0, 0), (1, 0)))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def channel_sums(images: DataFrame) -> DataFrame:
+    """``stem, height, width, channels, red, green, blue``: sizes and sums of the channels of decoded colour images."""
+
+    def kernel(r):
+        sums = pixels_of(r)[:, :, :3].reshape(-1, min(3, r.channels)).sum(0, dtype=np.int64)
+        return {"stem": r.stem, "height": r.height, "width": r.width, "channels": r.channels, **dict(zip(("red", "green", "blue"), np.resize(sums, 3).tolist(), strict=True))}
+
+    return _each(images.select("stem", "height", "width", "channels", "data"), "stem string, height int, width int, channels int, red bigint, green bigint, blue bigint", kernel)
+
+
+def named_like_images(masks: DataFrame) -> DataFrame:
+    """Masks under their images' stems: a last m of the name goes."""
+    return masks.withColumn("stem", F.regexp_replace("stem", "m$", ""))
+
+
+def samples(images: DataFrame, masks: DataFrame, imus: DataFrame | None = None) -> DataFrame:
+    """Whole samples ``stem, height, width, channels, data, labels[, imu]``: decoded images with their labels, and the IMU mask where there is one."""
+    out = images.select("stem", "height", "width", "channels", "data").join(masks.select("stem", "labels"), "stem")
+    return out if imus is None else out.join(imus.select("stem", F.col("labels").alias("imu")), "stem", "left")
+
+
+def sample_counts(samples_: DataFrame) -> DataFrame:
+    """``stem, obstacle, red, imu_pixels``: a digest of whole samples (obstacle pixels, sum of red, pixels set in the IMU mask)."""
+
+    def kernel(r):
+        imu = None if r.imu is None else int(np.count_nonzero(np.frombuffer(r.imu, np.uint8)))
+        return {"stem": r.stem, "obstacle": int((np.frombuffer(r.labels, np.uint8) == OBSTACLE).sum()), "red": int(pixels_of(r)[:, :, 0].sum(dtype=np.int64)), "imu_pixels": imu}
+
+    return _each(samples_, "stem string, obstacle bigint, red bigint, imu_pixels bigint", kernel)
+
+
 def decode_masks(images: DataFrame) -> DataFrame:
     """``stem, height, width, labels`` (one byte a pixel) of decoded mask images."""
     kernel = lambda r: {"stem": r.stem, "height": r.height, "width": r.width, "labels": decode_labels(pixels_of(r)).tobytes()}

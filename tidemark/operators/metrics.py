@@ -68,8 +68,15 @@ def boundary_scores(counts: DataFrame, *keys: str) -> DataFrame:
     pooled = counts.groupBy(*keys).agg(*[
         F.sum(F.when(F.col("tolerance") == d, F.col(c))).alias(f"{c}{d}") for d in TOLERANCES for c in ("predicted", "tp_precision", "target", "tp_recall")
     ])
-    score = lambda d: f1(ratio(F.coalesce(f"tp_precision{d}", F.lit(0)), F.coalesce(f"predicted{d}", F.lit(0))), ratio(F.coalesce(f"tp_recall{d}", F.lit(0)), F.coalesce(f"target{d}", F.lit(0))))
-    return pooled.select(*keys, *[score(d).alias(f"boundary_f1_tol{d}") for d in TOLERANCES])
+    out = boundary_ratios(pooled)
+    return out.select(*keys, *[f"boundary_f1_tol{d}" for d in TOLERANCES])
+
+
+def boundary_ratios(pooled: DataFrame) -> DataFrame:
+    """Adds the boundary F1 of each tolerance to columns ``predicted1, tp_precision1, ...``."""
+    count = lambda c, d: F.coalesce(f"{c}{d}", F.lit(0))
+    score = lambda d: f1(ratio(count("tp_precision", d), count("predicted", d)), ratio(count("tp_recall", d), count("target", d)))
+    return pooled.withColumns({f"boundary_f1_tol{d}": score(d) for d in TOLERANCES})
 
 
 def component_scores(outcomes: DataFrame, images: DataFrame, *keys: str) -> DataFrame:
@@ -82,14 +89,21 @@ def component_scores(outcomes: DataFrame, images: DataFrame, *keys: str) -> Data
     left = images.groupBy(*keys).agg(F.count(F.lit(1)).alias("images"))
     right = outcomes.groupBy(*keys).agg(*sums, F.count_if("false_positive").alias("fp"))
     both = _beside(left, right, keys)
+    out = component_ratios(both)
+    return out.select(
+        *keys, "images", *[f"component_count_{n}" for n in bins], *[f"component_recall_{n}" for n in bins], "small_component_recall", "false_positive_components_per_100_images"
+    )
+
+
+def component_ratios(sums: DataFrame) -> DataFrame:
+    """Adds counts, recalls and false positives to columns ``images, n_<bin>, r_<bin>, fp``."""
+    bins = [n for n, _, _ in AREA_BINS]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     small = lambda p: sum((zero(f"{p}_{n}") for n in SMALL_BINS), F.lit(0))
-    return both.select(
-        *keys, "images",
-        *[zero(f"n_{n}").cast("double").alias(f"component_count_{n}") for n in bins],
-        *[ratio(zero(f"r_{n}"), zero(f"n_{n}")).alias(f"component_recall_{n}") for n in bins],
-        ratio(small("r"), small("n")).alias("small_component_recall"),
-        (100.0 * ratio(zero("fp"), F.col("images"))).alias("false_positive_components_per_100_images"),
+    return sums.withColumns(
+        {f"component_count_{n}": zero(f"n_{n}").cast("double") for n in bins}
+        | {f"component_recall_{n}": ratio(zero(f"r_{n}"), zero(f"n_{n}")) for n in bins}
+        | {"small_component_recall": ratio(small("r"), small("n")), "false_positive_components_per_100_images": 100.0 * ratio(zero("fp"), F.col("images"))}
     )
 
 
@@ -97,7 +111,7 @@ def _beside(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFra
     """Left join by key; frames of one row each are put side by side."""
     if keys:
         return left.join(right, list(keys), "left")
-    return left.withColumn("__k", F.lit(1)).join(right.withColumn("__k", F.lit(1)), "__k", "left").drop("__k")
+    return left.withColumn("__k", F.lit(1)).join(F.broadcast(right.withColumn("__k", F.lit(1))), "__k", "left").drop("__k")  # one row each
 
 
 def water_edge(pixels: DataFrame, *keys: str) -> DataFrame:
@@ -125,5 +139,10 @@ def report(pixels: DataFrame, *keys: str) -> DataFrame:
         water_edge(pixels, *keys),
     ):
         out = _beside(out, part, keys)
+    return with_score(out)
+
+
+def with_score(out: DataFrame) -> DataFrame:
+    """Adds the headline boundary F1 and the safety score."""
     score = safety_score(F.col("obstacle_f1"), F.col("small_component_recall"), F.col("boundary_f1_tol3"), F.col("obstacle_pixel_fpr"))
     return out.withColumns({"boundary_f1": F.col("boundary_f1_tol3"), "safety_score": score})

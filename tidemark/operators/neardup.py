@@ -132,6 +132,40 @@ def across_splits(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(left, "src").join(right, "dst").filter("left_split <> right_split")
 
 
+def top_across_splits(vectors: DataFrame, members: DataFrame, limit: int = 20, block: int = BLOCK) -> DataFrame:
+    """``src, dst, cosine, left_split, right_split``: the ``limit`` most similar pairs of different splits, whatever their cosine.
+
+    Each pair of blocks returns its own ``limit`` best only. Order as ``top_pairs``.
+    """
+    rows = members.join(vectors, "stem").select(F.col("stem").alias("id"), "split", F.col("embedding").cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    kind = rows.schema["id"].dataType.simpleString()
+    ship(rows.sparkSession)
+
+    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(frame, *key)
+        none = pd.DataFrame({"src": [], "dst": [], "cosine": [], "left_split": [], "right_split": []})
+        if not len(left) or not len(right):
+            return none
+        a, b = (np.stack(s.v.to_numpy()) for s in (left, right))
+        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, b))
+        x, y, p, q = left.id.to_numpy(), right.id.to_numpy(), left.split.to_numpy(), right.split.to_numpy()
+        apart = p[:, None] != q[None, :]
+        if key[0] == key[1]:
+            apart &= x[:, None] < y[None, :]
+        c = np.where(apart, a @ b.T, -np.inf)
+        least = np.partition(c, -limit, axis=None)[-limit] if c.size > limit else -np.inf
+        i, j = np.nonzero((c >= least) & apart)
+        flip = x[i] > y[j]
+        out = pd.DataFrame({
+            "src": np.where(flip, y[j], x[i]), "dst": np.where(flip, x[i], y[j]), "cosine": c[i, j],
+            "left_split": np.where(flip, q[j], p[i]), "right_split": np.where(flip, p[i], q[j]),
+        })
+        return out.sort_values(["cosine", "src", "dst"], ascending=False).head(limit) if len(out) else none
+
+    found = block_pairs(rows, block).groupBy("ba", "bb").applyInPandas(compare, f"src {kind}, dst {kind}, cosine double, left_split string, right_split string")
+    return top_pairs(found, limit)
+
+
 def top_pairs(pairs: DataFrame, limit: int = 20) -> DataFrame:
     """Most similar first; ties by both ids, descending."""
     return pairs.orderBy(F.desc("cosine"), F.desc("src"), F.desc("dst")).limit(limit)

@@ -38,7 +38,7 @@ def manifest_digest(pairs: DataFrame) -> DataFrame:
 
 def merkle_digest(pairs: DataFrame, buckets: int = 4096) -> DataFrame:
     """Another digest of the same lines that no task sees whole: of the digests of ``buckets`` parts, by a hash of the stem."""
-    part = F.pmod(F.xxhash64("stem"), F.lit(buckets))
+    part = F.conv(F.substring(F.sha2("stem", 256), 1, 8), 16, 10).cast("bigint") % buckets
     ordered = F.array_sort(F.collect_list(F.struct("stem", _manifest_line().alias("line"))))
     parts = pairs.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), ""), 256).alias("d"))
     tops = F.array_sort(F.collect_list(F.struct("part", "d")))

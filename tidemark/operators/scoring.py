@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import geometry
+from tidemark.functions.labels import UNKNOWN
+from tidemark.operators.dense import report_masks
 from tidemark.operators.imagejobs import from_model, pixels_of, to_model
-from tidemark.operators.metrics import report
 from tidemark.operators.splits import in_split
 from tidemark.session import ship
 
@@ -80,8 +81,25 @@ def pixel_rows(masks: DataFrame, name: str) -> DataFrame:
     return flat.select("stem", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), name)
 
 
+def aligned(masks: DataFrame, scored: DataFrame) -> DataFrame:
+    """``stem, y, x, target, pred`` of every target pixel; one without a prediction is unknown, which no metric counts."""
+    both = pixel_rows(masks, "target").join(pixel_rows(scored, "pred"), ["stem", "y", "x"], "left")
+    return both.withColumn("pred", F.coalesce("pred", F.lit(UNKNOWN)))
+
+
+def mask_pairs(masks: DataFrame, scored: DataFrame) -> DataFrame:
+    """The same as dense pairs: ``stem, height, width, target, pred``, one image a row."""
+    both = masks.select("stem", "height", "width", F.col("labels").alias("target")).join(scored.select("stem", F.col("labels").alias("pred")), "stem", "left")
+    unknown = F.unhex(F.repeat(F.lit(f"{UNKNOWN:02x}"), (F.col("height") * F.col("width")).cast("int")))
+    return both.withColumn("pred", F.coalesce("pred", unknown))
+
+
+def without_prediction(masks: DataFrame, scored: DataFrame) -> DataFrame:
+    """Stems of masks that no prediction belongs to (none, if all is well)."""
+    return masks.select("stem").join(scored.select("stem"), "stem", "left_anti")
+
+
 def evaluate(images: DataFrame, masks: DataFrame, split: DataFrame, name: str, make: Callable[[], Model], target: tuple[int, int] = (384, 512), mode: str = "stretch") -> DataFrame:
-    """The metric report of a model over one split: score, align with the masks by pixel, aggregate."""
+    """The metric report of a model over one split: score, put the masks beside, one kernel an image, sums. Images without a prediction count as images, their pixels as unknown."""
     scored = score_masks(in_split(images, split, name), make, target, mode)
-    both = pixel_rows(in_split(masks, split, name), "target").join(pixel_rows(scored, "pred"), ["stem", "y", "x"])
-    return report(both)
+    return report_masks(mask_pairs(in_split(masks, split, name), scored))

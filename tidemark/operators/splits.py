@@ -37,6 +37,19 @@ def ranked(rows: DataFrame, order: Column, out: str = "rank", buckets: int = 409
     return joined.withColumn(out, F.col("__before") + F.col("__i")).drop("__o", "__b", "__i", "__before")
 
 
+def ranked_within(rows: DataFrame, key: str, order: Column, out: str = "rank") -> DataFrame:
+    """Each row's place (from 1) within its key, in an order of hexadecimal digests; a key of many rows is no single window.
+
+    As ``ranked``: counts by the digest's first three digits, and places inside those.
+    """
+    keyed = rows.withColumns({"__o": order, "__b": F.substring(order, 1, 3)})
+    sizes = keyed.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(key, "__b").orderBy("__o"))
+    joined = keyed.withColumn("__i", inside).join(sizes.withColumn("__before", before).drop("__n"), [key, "__b"])
+    return joined.withColumn(out, F.col("__before") + F.col("__i")).drop("__o", "__b", "__i", "__before")
+
+
 def random_split(stems: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42, id_col: str = "stem") -> DataFrame:
     """``stem, split`` with exact quotas: train and val get their share of the distinct stems rounded half to even, test the rest."""
     check_ratios(ratios)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import labels as lab
 from tidemark.functions import paths, vectors
 from tidemark.functions.geometry import MODES, geometry, normalise
-from tidemark.operators import audit, components, experiments, graph, losses, metrics, morphology, neardup, provenance, splits
+from tidemark.operators import audit, components, dense, experiments, graph, losses, metrics, morphology, neardup, provenance, splits
 from tidemark.operators.imagejobs import resize_pixels
 from tidemark.plans import fixtures as fx
 from tidemark.session import cut
@@ -114,7 +114,7 @@ FRAME = lambda e, r: f"max({e}) over (partition by stem, y order by x range betw
 FRAME_Y = lambda e, r: f"max({e}) over (partition by stem, x order by y range between {r} preceding and {r} following)"
 
 
-def _boundary_sql() -> str:
+def _boundary_ctes() -> tuple[list[str], str]:
     ctes = ["b0 as (select *, (target = 0)::INT as tm, (pred = 0)::INT as pm from px)"]
     ctes.append("b1 as (select *, " + ", ".join(f"{FRAME(e, 1)} as {n}" for e, n in (("tm", "td"), ("1 - tm", "te"), ("pm", "pd"), ("1 - pm", "pe"))) + " from b0)")
     ctes.append("b2 as (select *, " + ", ".join(f"{FRAME_Y(n, 1)} as {n}2" for n in ("td", "te", "pd", "pe")) + " from b1)")
@@ -122,7 +122,12 @@ def _boundary_sql() -> str:
     ctes.append("b4 as (select *, " + ", ".join(f"{FRAME(e, r)} as {e}{r}" for e in ("tb", "pb") for r in lab.TOLERANCES) + " from b3)")
     ctes.append("b5 as (select *, " + ", ".join(f"{FRAME_Y(f'{e}{r}', r)} as {e}n{r}" for e in ("tb", "pb") for r in lab.TOLERANCES) + " from b4)")
     body = " union all ".join(f"select stem, {r} as tolerance, sum(pb) as predicted, sum(pb * tbn{r}) as tp_precision, sum(tb) as target, sum(tb * pbn{r}) as tp_recall from b5 group by stem" for r in lab.TOLERANCES)
-    return with_(fx.PIXELS, *ctes) + f"select stem, tolerance, predicted::BIGINT as predicted, tp_precision::BIGINT as tp_precision, target::BIGINT as target, tp_recall::BIGINT as tp_recall from ({body})"
+    return ctes, f"select stem, tolerance, predicted::BIGINT as predicted, tp_precision::BIGINT as tp_precision, target::BIGINT as target, tp_recall::BIGINT as tp_recall from ({body})"
+
+
+def _boundary_sql() -> str:
+    ctes, body = _boundary_ctes()
+    return with_(fx.PIXELS, *ctes) + body
 
 
 @query(_boundary_sql())
@@ -130,6 +135,11 @@ def boundary_matches(spark, d):
     return morphology.boundary_counts(fx.pixels(spark, d))
 
 
+@query(_boundary_sql())
+def boundary_matches_dense(spark, d):
+    return dense.boundary_counts(dense.mask_pairs(fx.pixels(spark, d)))
+
+
 @query(
     "select " + ", ".join(f"2 * p{r} * r{r} / greatest(p{r} + r{r}, 1e-12) as boundary_f1_tol{r}" for r in lab.TOLERANCES) + " from (select "
     + ", ".join(f"sum(tp_precision) filter (tolerance = {r}) / greatest(sum(predicted) filter (tolerance = {r}), 1) as p{r}, sum(tp_recall) filter (tolerance = {r}) / greatest(sum(target) filter (tolerance = {r}), 1) as r{r}" for r in lab.TOLERANCES)
@@ -137,7 +147,7 @@ def boundary_matches(spark, d):
     " ".join(f"boundary_f1_tol{r}" for r in lab.TOLERANCES),
 )
 def boundary_f1(spark, d):
-    return metrics.boundary_scores(morphology.boundary_counts(fx.pixels(spark, d)))
+    return metrics.boundary_scores(dense.boundary_counts(dense.mask_pairs(fx.pixels(spark, d))))
 
 
 RUNS = lambda name, cond: f"""{name} as (select stem, y, min(x) as x0, max(x) as x1 from (select stem, y, x, x - row_number() over (partition by stem, y order by x) as g from px where {cond}) group by stem, y, g)"""
@@ -178,7 +188,7 @@ def component_areas_dense(spark, d):
     + "select case when area <= 64 then 'tiny' when area <= 256 then 'very_small' when area <= 1024 then 'small' else 'medium_plus' end as bin, count(*) as components, sum(area)::BIGINT as pixels from (select sum(x1 - x0 + 1) as area from tc group by stem, component) group by 1"
 )
 def component_bins(spark, d):
-    areas = components.component_areas(components.pixel_components(fx.pixels(spark, d), F.col("target") == 0))
+    areas = components.component_areas(components.mask_components(components.to_masks(fx.pixels(spark, d), F.col("target"))))
     return areas.groupBy(lab.area_bin(F.col("area")).alias("bin")).agg(F.count(F.lit(1)).alias("components"), F.sum("area").alias("pixels"))
 
 
@@ -190,15 +200,57 @@ def component_overlaps(spark, d):
     return components.overlaps(*components.component_tables(fx.pixels(spark, d)))
 
 
-@query()
+BIN = "case when area <= 64 then 'tiny' when area <= 256 then 'very_small' when area <= 1024 then 'small' else 'medium_plus' end"
+
+
+def _outcome_ctes() -> list[str]:
+    """Components with their fates. In these pictures every block of overlapping components has one component on a side, so that its best pair is the assignment."""
+    return [
+        *_component_ctes("t", "target = 0"), *_component_ctes("p", "pred = 0 and target <> 4"),
+        "ta as (select stem, component, sum(x1 - x0 + 1)::BIGINT as area from tc group by all)", "pa as (select stem, component, sum(x1 - x0 + 1)::BIGINT as area from pc group by all)",
+        "ov as (select a.stem, a.component as gt, b.component as pred, sum(least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1)::BIGINT as inter from tc a join pc b on a.stem = b.stem and a.y = b.y and a.x0 <= b.x1 and b.x0 <= a.x1 group by all)",
+        "om as (select o.*, ta.area as ga, inter / greatest(ta.area + pa.area - inter, 1) as iou, count(*) over (partition by o.stem, o.pred) as dp from ov o join ta on ta.stem = o.stem and ta.component = o.gt join pa on pa.stem = o.stem and pa.component = o.pred)",
+        "mt as (select stem, gt, pred from (select *, row_number() over (partition by stem, case when dp = 1 then gt else -1 - pred end order by iou desc, gt, pred) as n from om) where n = 1 and inter / greatest(ga, 1) >= 0.5)",
+        f"oc as (select stem, side, component, area, {BIN} as bin, accepted, side = 'pred' and not accepted and area >= 16 as false_positive from ("
+        "select ta.*, 'target' as side, mt.gt is not null as accepted from ta left join mt on mt.stem = ta.stem and mt.gt = ta.component union all select pa.*, 'pred', mt.pred is not null from pa left join mt on mt.stem = pa.stem and mt.pred = pa.component))",
+    ]
+
+
+OUTCOMES = _recursive(fx.PIXELS, *_outcome_ctes()) + "select stem, side, component, area, bin, accepted, false_positive from oc"
+
+
+@query(OUTCOMES)
 def component_outcomes(spark, d):
     return components.component_outcomes(fx.pixels(spark, d))
 
 
-@query()
+@query(OUTCOMES)
+def component_outcomes_dense(spark, d):
+    found = dense.mask_outcomes(dense.mask_pairs(fx.pixels(spark, d)))
+    return found.withColumn("bin", lab.area_bin(F.col("area")))
+
+
+BIN_NAMES = [name for name, _, _ in lab.AREA_BINS]
+COMPONENT_SCORES = (
+    "select i.k, images, " + ", ".join(f"coalesce(n_{b}, 0)::DOUBLE as component_count_{b}, coalesce(r_{b}, 0) / greatest(coalesce(n_{b}, 0), 1) as component_recall_{b}" for b in BIN_NAMES)
+    + ", (coalesce(r_tiny, 0) + coalesce(r_very_small, 0) + coalesce(r_small, 0)) / greatest(coalesce(n_tiny, 0) + coalesce(n_very_small, 0) + coalesce(n_small, 0), 1) as small_component_recall"
+    + ", 100 * coalesce(fp, 0) / greatest(images, 1) as false_positive_components_per_100_images from (select k, count(*) as images from own group by k) i left join (select k, count(*) filter (where false_positive) as fp, "
+    + ", ".join(f"count(*) filter (where side = 'target' and bin = '{b}') as n_{b}, count(*) filter (where side = 'target' and accepted and bin = '{b}') as r_{b}" for b in BIN_NAMES)
+    + " from oc join own using (stem) group by k) c on c.k = i.k"
+)
+COMPONENT_DOUBLES = " ".join(f"component_count_{b} component_recall_{b}" for b in BIN_NAMES) + " small_component_recall false_positive_components_per_100_images"
+OWN = "own as (select distinct stem, k from px)"
+
+
+def keyed_pixels(source: str) -> list[str]:
+    """The pixel table under the name px0, and px as the given selection from it, with a key k."""
+    return [fx.PIXELS.replace("px as (", "px0 as ("), f"px as ({source})"]
+
+
+@query(_recursive(*keyed_pixels("select *, 0 as k from px0"), *_outcome_ctes(), OWN) + f"select * exclude (k) from ({COMPONENT_SCORES})", COMPONENT_DOUBLES)
 def component_scores(spark, d):
     px = fx.pixels(spark, d)
-    return metrics.component_scores(components.component_outcomes(px), px.select("stem").distinct())
+    return metrics.component_scores(dense.mask_outcomes(dense.mask_pairs(px)).withColumn("bin", lab.area_bin(F.col("area"))), px.select("stem").distinct())
 
 
 @query(
@@ -209,15 +261,39 @@ def water_edge(spark, d):
     return metrics.water_edge(fx.pixels(spark, d), "stem")
 
 
-@query()
+def report_sql(source: str, key: str | None = None) -> tuple[str, str]:
+    """SQL of the whole metric report, and its doubles: over a selection from px0 with a key k, which is left out or named."""
+    ctes, body = _boundary_ctes()
+    score = lambda r: f"2 * p{r} * r{r} / greatest(p{r} + r{r}, 1e-12) as boundary_f1_tol{r}"
+    part = lambda a, b, r: f"sum({a}) filter (tolerance = {r}) / greatest(sum({b}) filter (tolerance = {r}), 1)"
+    parts = [
+        *keyed_pixels(source), OWN, *_outcome_ctes(), *ctes,
+        f"ps as ({PIXEL_SCORES.replace('stem', 'k')})",
+        f"bf as (select k, {', '.join(map(score, lab.TOLERANCES))} from (select k, " + ", ".join(f"{part('tp_precision', 'predicted', r)} as p{r}, {part('tp_recall', 'target', r)} as r{r}" for r in lab.TOLERANCES) + f" from ({body}) b join own using (stem) group by k))",
+        f"cs as ({COMPONENT_SCORES})",
+        "we as (select k, coalesce(avg(abs(p - t)), 0) as water_edge_mae_px, sqrt(coalesce(avg((p - t) * (p - t)), 0)) as water_edge_rmse_px from (select k, stem, x, min(y) filter (where target = 1) as t, min(y) filter (where pred = 1) as p from px group by all) group by k)",
+    ]
+    score_of = "0.4 * obstacle_f1 + 0.3 * small_component_recall + 0.2 * boundary_f1_tol3 + 0.1 * (1 - obstacle_pixel_fpr)"
+    out = f"select * exclude (k){f', k as {key}' if key else ''}, boundary_f1_tol3 as boundary_f1, {score_of} as safety_score from ps join bf using (k) join cs using (k) join we using (k)"
+    doubles = "pixel_accuracy mean_iou obstacle_precision obstacle_recall obstacle_f1 obstacle_pixel_fpr iou_obstacle iou_water iou_sky water_edge_mae_px water_edge_rmse_px boundary_f1 safety_score "
+    return _recursive(*parts) + out, doubles + COMPONENT_DOUBLES + " " + " ".join(f"boundary_f1_tol{r}" for r in lab.TOLERANCES)
+
+
+@query(*report_sql("select *, 0 as k from px0"))
 def metric_report(spark, d):
-    return metrics.report(fx.pixels(spark, d))
+    return dense.report_masks(dense.mask_pairs(fx.pixels(spark, d)))
+
 
+@query(*report_sql("select *, 0 as k from px0 where stem % 20 = 0"))
+def metric_report_windows(spark, d):
+    """The report by windows and joins over pixel rows, for pixels that are no whole images; here of every twentieth picture, a split as any."""
+    return metrics.report(fx.pixels(spark, d).filter("stem % 20 = 0"))
 
-@query()
+
+@query(*report_sql("select px0.*, s_nationkey as k from px0 join supplier on s_suppkey = stem", "nation"))
 def metric_report_by_nation(spark, d):
     nation = fx.table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("stem"), F.col("s_nationkey").alias("nation"))
-    return metrics.report(fx.pixels(spark, d).join(nation, "stem"), "nation")
+    return dense.report_masks(dense.mask_pairs(fx.pixels(spark, d)).join(nation, "stem"), "nation")
 
 
 @query(with_(fx.PIXELS) + f"select g.stem, g.y, g.x, px.target from (select s_suppkey::INT as stem, y::INT as y, x::INT as x from supplier, range(12) a(y), range(20) b(x)) g join px on px.stem = g.stem and px.y = least(floor((g.y + 0.5) * 24 / 12), 23) and px.x = least(floor((g.x + 0.5) * 32 / 20), 31)")
@@ -261,7 +337,7 @@ def softmax_kl(spark, d):
     return fx.logits(spark, d).groupBy("stem").agg(F.max(F.get(vectors.softmax(s), 0)).alias("top_obstacle"), F.avg(vectors.kl(F.col("teacher"), s, 1.0)).alias("mean_kl"))
 
 
-@query(with_(fx.LOGITS) + "select max(list_max(list_transform([1, 2, 3], lambda k: abs(s[k] - t[k])))) as max_error, avg((list_position(s, list_max(s)) = list_position(t, list_max(t)))::INT) as agreement, false as passed from lg", "max_error agreement")
+@query(with_(fx.LOGITS) + "select max(list_max(list_transform([1, 2, 3], lambda k: abs(s[k] - t[k])))) as max_error, avg((list_position(s, list_max(s)) = list_position(t, list_max(t)))::INT) as agreement, max(list_max(list_transform([1, 2, 3], lambda k: abs(s[k] - t[k])))) <= 0.0001 and avg((list_position(s, list_max(s)) = list_position(t, list_max(t)))::INT) >= 0.9999 as passed from lg", "max_error agreement")
 def logit_parity(spark, d):
     return experiments.parity(fx.logits(spark, d))
 
@@ -275,7 +351,20 @@ def class_weights(spark, d):
     return losses.class_weights(metrics.histograms(fx.pixels(spark, d)))
 
 
-@query()
+def _region_sql() -> str:
+    ctes = [
+        "px as (select stem, y, x, target, pred from lg)", *_component_ctes("t", "target = 0"),
+        "sm as (select c.stem, c.y, c.x0, c.x1 from tc c join (select stem, component from tc group by all having sum(x1 - x0 + 1) <= 1024) using (stem, component))",
+        f"w0 as (select *, (target = 0)::INT as o, {FRAME('(target = 0)::INT', 3)} as d1, {FRAME('(target <> 0)::INT', 3)} as e1 from lg)",
+        f"w1 as (select *, {FRAME_Y('d1', 3)} as d2, {FRAME_Y('e1', 3)} as e2 from w0)",
+        f"w2 as (select w1.*, {KL('4.0')} as kl, (sm.stem is not null)::INT as small, least(greatest((list_max(list_transform(t, lambda z: exp(z))) / list_sum(list_transform(t, lambda z: exp(z))) - 0.5) / 0.5, 0), 1) as sure, "
+        "(list_position(t, list_max(t)) <> list_position(s, list_max(s)))::INT as apart from w1 left join sm on sm.stem = w1.stem and sm.y = w1.y and w1.x between sm.x0 and sm.x1 where target <> 4)",
+        "w3 as (select kl, least(greatest((1 + o + 2 * small + d2 * e2 + apart) * (0.25 + 0.75 * sure), 0.25), 6) as w from w2)",
+    ]
+    return _recursive(fx.LOGITS.replace("px as (", "px1 as (").replace("from px)", "from px1)"), *ctes) + "select sum(w * kl) / sum(w) as region_kd from w3"
+
+
+@query(_region_sql(), "region_kd")
 def region_weighted_kd(spark, d):
     px = fx.logits(spark, d)
     found = cut(components.pixel_components(px, F.col("target") == 0), "runs")
@@ -315,10 +404,12 @@ def cosine_join(spark, d):
     return neardup.cosine_pairs(fx.vectors(spark, d), 0.4)
 
 
-@query()
+@query(with_(VEC, PAIRS) + "select count(*) as pairs, true as enough from pairs")
 def cosine_join_lsh_recall(spark, d):
+    """The approximate join finds nine tenths of the exact one's pairs at least."""
     v = fx.vectors(spark, d)
-    return neardup.recall_of(neardup.cosine_pairs_lsh(v, 0.4), neardup.cosine_pairs(v, 0.4))
+    found = neardup.recall_of(neardup.cosine_pairs_lsh(v, 0.4), neardup.cosine_pairs(v, 0.4))
+    return found.select("pairs", (F.col("recall") >= 0.9).alias("enough"))
 
 
 EDGES = "both_ways as (select src, dst from pairs union all select dst, src from pairs)"
@@ -338,7 +429,9 @@ def duplicate_groups(spark, d):
 
 @query(GROUPED + "select group_id, count(*) as size, list_aggregate(list(stem order by stem), 'min') as first_member, sum(stem)::BIGINT as id_sum from members group by group_id")
 def group_lists(spark, d):
-    return graph.groups(_members(spark, d)).select("group_id", "size", F.get("members", 0).alias("first_member"), F.aggregate("members", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("id_sum"))
+    members = _members(spark, d)
+    sums = members.groupBy("group_id").agg(F.sum("stem").alias("id_sum"))
+    return graph.groups(members).join(sums, "group_id").select("group_id", "size", F.col("first").alias("first_member"), "id_sum")
 
 
 EMB_SPLIT = "es as (select distinct vec_id as stem from embeddings),\n" + fx.split_sql("es").replace("'42:' || stem", "'42:' || cast(stem as varchar)")
@@ -358,18 +451,45 @@ def split_sizes(spark, d):
     return fx.split(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("stems"), F.min("stem").alias("first_stem"))
 
 
-@query()
+def _fold_ctes() -> list[str]:
+    """Groups in order, each to the split where fill, class error and overflow are least: one recursive step a group."""
+    ratios, mix = (0.7, 0.15, 0.15), ("obstacle", "water", "sky")
+    error = lambda k, r: " + ".join(f"((s{k}{c} + o.m{c} - t.c{c} * {r}) / (t.c{c} * {r})) * ((s{k}{c} + o.m{c} - t.c{c} * {r}) / (t.c{c} * {r}))" for c in range(3))
+    score = lambda k, r: f"(n{k} + o.size) / greatest({r} * t.total, 1) + 0.02 * (({error(k, r)}) / 3) + 5.0 * greatest(n{k} + o.size - {r} * t.total, 0) / greatest({r} * t.total, 1)"
+    state = [f"n{k}" for k in range(3)] + [f"s{k}{c}" for k in range(3) for c in range(3)]
+    chosen = "case when a0 <= a1 and a0 <= a2 then 0 when a1 <= a2 then 1 else 2 end"
+    return [
+        fx.MIX,
+        f"gs as (select group_id, count(*) as size, {', '.join(f'coalesce(sum({m}), 0)::DOUBLE as m{c}' for c, m in enumerate(mix))}, sha256('42:' || cast(group_id as varchar)) as tie from members left join mix using (stem) group by group_id)",
+        "go as (select *, row_number() over (order by size desc, tie, group_id) as n from gs)",
+        f"gt as (select sum(size)::DOUBLE as total, {', '.join(f'greatest(sum(m{c}), 1)::DOUBLE as c{c}' for c in range(3))} from gs)",
+        f"gf as (select 0::BIGINT as n, null::BIGINT as group_id, -1 as k, {', '.join(f'0::DOUBLE as {x}' for x in state)} union all select n, group_id, k, {', '.join([f'n{j} + case when k = {j} then size else 0 end' for j in range(3)] + [f's{j}{c} + case when k = {j} then m{c} else 0 end' for j in range(3) for c in range(3)])} from ("
+        f"select *, {chosen} as k from (select o.n, o.group_id, o.size, o.m0, o.m1, o.m2, {', '.join('f.' + x for x in state)}, {', '.join(f'{score(k, r)} as a{k}' for k, r in enumerate(ratios))} from gf f join go o on o.n = f.n + 1, gt t)))",
+        "gsplit as (select m.stem, ['train', 'val', 'test'][f.k + 1] as split from members m join gf f using (group_id))",
+    ]
+
+
+GROUPED_SPLIT = GROUPED.rstrip() + ",\n" + ",\n".join(_fold_ctes()) + "\n"
+
+
+@query(GROUPED_SPLIT + "select stem, split from gsplit")
 def grouped_split(spark, d):
     return splits.grouped_split(_members(spark, d), fx.class_mix(spark, d))
 
 
-@query()
+@query(
+    GROUPED_SPLIT + """select b.split, obstacle, water, sky, obstacle / greatest(obstacle + water + sky, 1) as obstacle_ratio, water / greatest(obstacle + water + sky, 1) as water_ratio, sky / greatest(obstacle + water + sky, 1) as sky_ratio,
+    groups, min_size, max_size, mean_size, (select count(*) from (select group_id from members join gsplit using (stem) group by group_id having count(distinct split) > 1)) as impure_groups
+    from (select split, sum(obstacle)::BIGINT as obstacle, sum(water)::BIGINT as water, sum(sky)::BIGINT as sky from mix join gsplit using (stem) group by split) b
+    join (select split, count(*) as groups, min(size) as min_size, max(size) as max_size, avg(size) as mean_size from (select split, group_id, count(*) as size from members join gsplit using (stem) group by all) group by split) g on g.split = b.split""",
+    "obstacle_ratio water_ratio sky_ratio mean_size",
+)
 def grouped_split_report(spark, d):
     members, mix = _members(spark, d), fx.class_mix(spark, d)
     split = cut(splits.grouped_split(members, mix), "split")
     impure = splits.impure_groups(members, split).agg(F.count(F.lit(1)).alias("impure_groups")).withColumn("k", F.lit(1))
     out = audit.class_balance(mix, split).join(audit.group_sizes(members, split), "split").withColumn("k", F.lit(1))
-    return out.join(impure, "k").drop("k")
+    return out.join(F.broadcast(impure), "k").drop("k")  # one row
 
 
 @query(
@@ -397,9 +517,12 @@ def leakage_pairs(spark, d):
     return neardup.across_splits(neardup.cosine_pairs(fx.vectors(spark, d), 0.4), _emb_split(spark, d)).select("src", "dst", "cosine", "left_split", "right_split")
 
 
-@query(SQL["leakage_pairs"] + " order by cosine desc, src desc, dst desc limit 20")
+@query(
+    with_(VEC, EMB_SPLIT) + f"select a.stem as src, b.stem as dst, {COS} as cosine, sa.split as left_split, sb.split as right_split from vec a join vec b on a.stem < b.stem join split sa on sa.stem = a.stem join split sb on sb.stem = b.stem where sa.split <> sb.split order by cosine desc, src desc, dst desc limit 20",
+    "cosine",
+)
 def top_leakage_pairs(spark, d):
-    return neardup.top_pairs(leakage_pairs(spark, d))
+    return neardup.top_across_splits(fx.vectors(spark, d), _emb_split(spark, d))
 
 
 @query(
@@ -476,14 +599,26 @@ def image_size_histogram(spark, d):
     return audit.size_histogram(sized, fx.split(spark, d)).select("split", F.explode("image_sizes").alias("size", "n"))
 
 
-@query()
+def _balance_sql() -> str:
+    ids = fx.split_sql("ids").replace("'42:' || stem", "'42:' || cast(stem as varchar)")
+    ctes = [*_component_ctes("t", "target = 0"), "ids as (select distinct stem from px)", ids,
+        "h as (select split, count(distinct stem) as images, count(*) filter (where target = 0) as obstacle, count(*) filter (where target = 1) as water, count(*) filter (where target = 2) as sky from px join split using (stem) group by split)",
+        "g as (select split, count(*) as groups, min(size) as min_size, max(size) as max_size, avg(size) as mean_size from (select split, stem % 37 as group_id, count(*) as size from split group by all) group by split)",
+        f"c as (select split, {', '.join(f'count(*) filter (where bin = {chr(39)}{b}{chr(39)}) as {b}' for b in BIN_NAMES)} from (select stem, {BIN} as bin from (select stem, component, sum(x1 - x0 + 1) as area from tc group by all)) join split using (stem) group by split)",
+    ]
+    share = ", ".join(f"{c} / greatest(obstacle + water + sky, 1) as {c}_ratio" for c in lab.CLASS_NAMES)
+    return _recursive(fx.PIXELS, *ctes) + f"select split, images, groups, min_size, max_size, mean_size, obstacle, water, sky, {share}, {', '.join(BIN_NAMES)}, images as n_32x24 from h join g using (split) left join c using (split)"
+
+
+@query(_balance_sql(), "mean_size obstacle_ratio water_ratio sky_ratio")
 def balance_report(spark, d):
     px = fx.pixels(spark, d)
     ids = px.select("stem").distinct()
     split = cut(splits.random_split(ids), "split")
-    found = components.component_areas(components.pixel_components(px, F.col("target") == 0))
+    found = components.component_areas(components.mask_components(components.to_masks(px, F.col("target"))))
     sizes = ids.select("stem", F.lit(fx.WIDTH).alias("width"), F.lit(fx.HEIGHT).alias("height"))
-    return audit.balance_report(metrics.histograms(px), ids.select("stem", (F.col("stem") % 37).alias("group_id")), sizes, found, split)
+    report = audit.balance_report(metrics.histograms(px), ids.select("stem", (F.col("stem") % 37).alias("group_id")), sizes, found, split)
+    return report.select("split", "images", "group_sizes.*", "class_pixels.*", "class_ratios.*", "component_count.*", F.col("image_sizes")["32x24"].alias("n_32x24"))
 
 
 # --- provenance ---------------------------------------------------------------------------------------------------
@@ -512,7 +647,10 @@ def manifest_digest(spark, d):
     return provenance.manifest_digest(_paired(spark, d))
 
 
-@query()
+@query(
+    with_(PAIRED) + """select sha256(string_agg(part || ':' || d, chr(10) order by part)) as merkle_sha256 from (select part, sha256(string_agg(line, '' order by stem)) as d from (
+    select stem, ('0x' || sha256(stem)[1:8])::BIGINT % 64 as part, stem || chr(0) || 'image' || chr(0) || image_sha256 || chr(0) || 'mask' || chr(0) || mask_sha256 || chr(10) as line from paired) group by part)"""
+)
 def merkle_digest(spark, d):
     return provenance.merkle_digest(_paired(spark, d), 64)
 
@@ -573,11 +711,8 @@ REGISTRY = "reg as (select run_id as experiment_id, row_number() over (order by
     "safety_score",
 )
 def screening_winner(spark, d):
-    from pyspark.sql import Window
-
     history = fx.history(spark, d)
-    runs = history.select(F.col("run_id").alias("experiment_id")).distinct()
-    registry = runs.withColumn("registry_order", F.row_number().over(Window.orderBy("experiment_id")))
+    registry = experiments.placed(history.select(F.col("run_id").alias("experiment_id")).distinct(), "experiment_id", "registry_order")
     return experiments.screening(registry, experiments.best_checkpoints(history, PATIENCE, DELTA))
 
 
@@ -606,7 +741,16 @@ def variant_seeds(spark, d):
     return experiments.variants(fx.stems(spark, d), 3)
 
 
-@query()
+DRAW = lambda text: f"(('0x' || sha256({text})[1:13])::BIGINT / 4503599627370496.0)"
+OPS = ", ".join(f"('{o}', {v[0]}::DOUBLE, {v[1]}::DOUBLE, {v[2]}::DOUBLE)" for o, v in experiments.PROFILES["domain"].items())
+
+
+@query(
+    with_(fx.STEMS) + f"""select stem, variant, variant_seed, op, {DRAW("'0:apply:' || variant_seed || ':' || op")} < probability as applied,
+    case when op in ('brightness', 'contrast', 'saturation', 'hue') then case when op = 'hue' then 0 else 1 end + (2 * {DRAW("'0:value:' || variant_seed || ':' || op")} - 1) * lo else lo + {DRAW("'0:value:' || variant_seed || ':' || op")} * (hi - lo) end as value
+    from (select stem, v::INT as variant, 42 + 1000 * (n - 1) + v as variant_seed from (select stem, row_number() over (order by stem) as n from stems), range(2) r(v)), (values {OPS}) p(op, probability, lo, hi)""",
+    "value",
+)
 def augmentation_plan(spark, d):
     return experiments.augmentation_plan(experiments.variants(fx.stems(spark, d), 2), "domain")
 
@@ -642,10 +786,7 @@ def shuffled_batches(spark, d):
 
 @query(with_(fx.STEMS) + "select lang, stem, row_number() over (partition by lang order by sha256('42:' || stem)) as place from stems")
 def seeded_order(spark, d):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(splits.seeded(42, F.col("stem"))))
-    return fx.stems(spark, d).select("lang", "stem", place.alias("place"))
+    return splits.ranked_within(fx.stems(spark, d).select("lang", "stem"), "lang", splits.seeded(42, F.col("stem")), "place")
 
 
 SIZED = "sized as (select stem, (n_chars % 700 + 60)::INT as height, (n_chars % 900 + 80)::INT as width from stems)"
@@ -674,10 +815,11 @@ def safety_scores(spark, d):
     return fx.stems(spark, d).select("stem", lab.safety_score(part(11), part(7), part(5), part(3)).alias("score"))
 
 
-@query("select vec_id, sqrt(list_inner_product(v, v)) as length, list_inner_product(v, list_reverse(v)) as mirrored, pow(0.5, 1.2) * (1 - 0.1) + 0.1 as fogged from (select vec_id, embedding::DOUBLE[] as v from embeddings)", "length mirrored fogged")
+@query("select vec_id, sqrt(list_inner_product(v, v)) as length, list_inner_product(v, list_reverse(v)) as mirrored, pow(f, 1.2) * (1 - f) + f as fogged from (select vec_id, embedding::DOUBLE[] as v, least(greatest(abs(v[1]), 0.01), 0.5) as f from embeddings)", "length mirrored fogged")
 def vector_functions(spark, d):
     v = F.col("embedding")
-    fogged = vectors.blend(vectors.gamma(F.lit(0.5), F.lit(1.2)), F.lit(0.1))
+    first = vectors.clamp(F.abs(F.get(v, 0).cast("double")), 0.01, 0.5)
+    fogged = vectors.blend(vectors.gamma(first, F.lit(1.2)), first)
     return fx.table(spark, d, "embeddings").select("vec_id", vectors.norm(v).alias("length"), vectors.dot(v, F.reverse(v)).alias("mirrored"), fogged.alias("fogged"))
 
 
@@ -688,7 +830,10 @@ def json_round_trip(spark, d):
     return read.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("total"))
 
 
-@query()
+@query(
+    with_(fx.STEMS) + f"select avg(u) as mean_u, avg(g) as mean_g, stddev_samp(g) as std_g from (select {DRAW("'7:' || stem")} as u, sqrt(-2 * ln(greatest({DRAW("'7:u:' || stem")}, pow(2.0, -53)))) * cos(2 * pi() * {DRAW("'7:v:' || stem")}) as g from stems)",
+    "mean_u mean_g std_g",
+)
 def seeded_draws(spark, d):
     s = fx.stems(spark, d).select("stem", vectors.uniform(7, F.col("stem")).alias("u"), vectors.gaussian(7, F.col("stem")).alias("g"))
     return s.agg(F.avg("u").alias("mean_u"), F.avg("g").alias("mean_g"), F.stddev_samp("g").alias("std_g"))
@@ -709,7 +854,23 @@ def over_seeds(spark, d):
     return experiments.over_seeds(_results(spark, d), "score")
 
 
-@query()
+def _poisson_sql(u: str) -> str:
+    """A Poisson(1) draw from a uniform one by its distribution function."""
+    total, term, steps = 0.0, 2.718281828459045**-1, []
+    for k in range(12):
+        total += term
+        steps.append(f"({u} >= {total!r})::INT")
+        term /= k + 1
+    return " + ".join(steps)
+
+
+@query(
+    with_(fx.LABELLED) + f""", per as (select stem, count(*) filter (where target = pred and target <> 4)::DOUBLE as n, count(*) filter (where target <> 4)::DOUBLE as d from px group by stem),
+    dr as (select n, d, r, {DRAW("'42:' || stem || ':' || r")} as u from per, range(1, 201) q(r)),
+    rep as (select r, sum(n * w) / greatest(sum(d * w), 1) as v from (select n, d, r, {_poisson_sql('u')} as w from dr) group by r)
+    select (select sum(n) / greatest(sum(d), 1) from per) as estimate, quantile_cont(v, 0.025) as low, quantile_cont(v, 0.975) as high from rep""",
+    "estimate low high",
+)
 def bootstrap_interval(spark, d):
     px = fx.labelled(spark, d).groupBy("stem").agg(F.count_if((F.col("target") == F.col("pred")) & (F.col("target") != 4)).alias("right"), F.count_if(F.col("target") != 4).alias("all"))
     return experiments.bootstrap(px, "right", "all")

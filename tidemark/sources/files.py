@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +13,7 @@ from tidemark.functions.paths import file_name, relative_to, stem, suffix
 
 # Known suffixes in order of precedence, and the names a mask may have.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp")
-MASK_SUFFIXES = (".png", ".bmp", ".jpg", ".jpeg")
+MASK_SUFFIXES = (".png", ".bmp", ".tif", ".tiff")
 
 
 def file_table(spark: SparkSession, root: str, content: bool = False, recursive: bool = True) -> DataFrame:
@@ -20,6 +23,26 @@ def file_table(spark: SparkSession, root: str, content: bool = False, recursive:
     return reader.load(root).select("path", file_name(path).alias("name"), stem(path).alias("stem"), suffix(path).alias("ext"), "length", *(["content"] if content else []))
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """Write ``rows(path, content)`` as files below a folder that all executors reach; tasks write, only their counts return.
+
+    A task that runs again writes the same files again.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for frame in frames:
+            for path, content in zip(frame.path, frame.content, strict=True):
+                system.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    return rows.select("path", "content").mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def image_stems(files: DataFrame) -> DataFrame:
     """Sorted distinct stems of files with an image suffix, whatever its case."""
     return files.filter(F.lower("ext").isin(*IMAGE_SUFFIXES)).select("stem").distinct().orderBy("stem")
