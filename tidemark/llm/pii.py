@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and spans that a character model adds.
 
 The patterns give the base spans. A bidirectional LSTM with CRF transitions, trained in numpy on windows whose
-spans the patterns label (some of them disguised: spaced, worded or punctuated otherwise, with the labels kept), reads
-overlapping windows over every stretch that holds a digit, an @ or a worded at-sign; what it finds in all windows of a
-text is reconciled as one choice of spans without overlap, and what does not touch a base span is added.
+spans the patterns label (most of them disguised: spaced, worded or punctuated otherwise, with the labels kept), decodes
+overlapping windows over every stretch around a digit of any script, an @ or a worded at-sign. Each character takes its tag from the window
+that has most text on both sides of it, over the whole text, so that a span longer than a window is one span; what
+does not touch a base span is added.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm.common import map_texts, text_or_empty
 from tidemark.llm.pii_model import KINDS, BiLstmCrf, codes, padded, reconcile, tags_of, windows
+from tidemark.session import cut, drop_cut, ship
 
-#: Window and step in characters, characters around what anchors a stretch, least posterior of an added span.
-WINDOW, STEP, AROUND, LEAST = 96, 48, 40, 0.9
-#: Bounds of the fit: stretches with base spans and stretches without, and passes over them.
-FIT_SPANS, FIT_OTHERS, EPOCHS = 1200, 600, 12
+#: Window and step in characters, characters around what anchors a stretch, least mean posterior of an added span's tags.
+WINDOW, STEP, AROUND, LEAST = 96, 48, 40, 0.6
+#: Bounds of the fit: stretches with base spans and stretches without, windows made of those with spans, and passes over all.
+FIT_SPANS, FIT_OTHERS, FIT_WINDOWS, EPOCHS = 1200, 600, 2400, 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,7 +32,10 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]")
-_ANCHOR = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_ANCHOR = re.compile(r"[\d@＠]|(?i:[(\[{<]\s*(?:at|dot)\s*[)\]}>])|\s(?:at|AT)\s(?=[^\s]{1,40}(?:\.\w|\s(?:dot|DOT)\s))")
+_AT = re.compile(r"[@＠]|(?i:\bat\b)")
+#: the same for Spark's filter, which may let more texts through
+_ANCHOR_JAVA = r"(?U)[\d@＠]|(?i)[(\[{<]\s*(at|dot)\s*[)\]}>]|\sat\s"
 
 
 def luhn(digits: str) -> bool:
@@ -77,46 +81,99 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def stretches(text: str, around: int = AROUND) -> list[tuple[int, int]]:
-    """Parts of the text within ``around`` characters of an anchor, merged where they meet."""
+    """Parts of the text within ``around`` characters of an anchor and on to the end of the words there (WINDOW characters at most), merged where they meet."""
     out: list[list[int]] = []
     for m in _ANCHOR.finditer(text):
         a, b = max(0, m.start() - around), min(len(text), m.end() + around)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
+    for k, (a, b) in enumerate(out):
+        low, high = out[k - 1][1] if k else 0, out[k + 1][0] if k + 1 < len(out) else len(text)
+        while a > max(low, out[k][0] - WINDOW) and not text[a - 1].isspace():
+            a -= 1
+        while b < min(high, out[k][1] + WINDOW) and not text[b].isspace():
+            b += 1
+        out[k][:] = a, b
     return [(a, b) for a, b in out]
 
 
-def _disguised(text: str, spans: list[tuple[int, int, int]], rng) -> tuple[str, list[tuple[int, int, int]]]:
-    """The window with its spans rewritten in ways that the patterns miss; spans move with the text."""
+def plausible(kind: int, span: str) -> bool:
+    """Whether a span can be one of its kind at all: an address has an at-sign in some form, numbers hold what the patterns ask of theirs."""
+    digits = re.sub("[^0-9]", "", span)
+    if kind == 0:
+        return bool(_AT.search(span))
+    if kind == 1:
+        parts = re.findall("[0-9]+", span)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 10 <= len(digits) <= 15
+
+
+def varied(span: str, kind: int, rng) -> str:
+    """The span with other digits and letters of the same kinds, still one of its kind."""
+    if kind == 1:
+        return re.sub("[0-9]+", lambda m: str(int(rng.integers(256))), span)
+    draw = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    of = lambda c: "0" if c in draw["0"] else "a" if c in draw["a"] else "A" if c in draw["A"] else ""
+    out = "".join(c if not of(c) or rng.random() < 0.5 else draw[of(c)][int(rng.integers(len(draw[of(c)])))] for c in span)
+    if kind == 2:
+        head = out.rstrip("0123456789") + re.search("[0-9]*$", out).group()[:-1]
+        out = next(head + d for d in "0123456789" if luhn(re.sub("[^0-9]", "", head + d)))
+    return out
+
+
+def _one_of(choices, rng):
+    return choices[int(rng.integers(len(choices)))]
+
+
+def disguised(span: str, kind: int, rng) -> str:
+    """The span written so that the patterns miss it."""
+    digits = re.sub("[^0-9]", "", span)
+    if kind == 0:
+        at = _one_of(("(at)", "[at]", " @ ", " (at) ", " [at] ", " at ", " AT ", "(AT)", "{at}", " {at} ", "( at )", "<at>", "＠"), rng)
+        dot = _one_of((".", ".", " dot ", "[dot]", "(dot)", " [dot] ", " (dot) ", " . "), rng)
+        name, _, host = span.partition("@")
+        return name + at + host.replace(".", dot)
+    if kind == 1:
+        return span.replace(".", _one_of((" . ", "[.]", "(.)", " dot ", "[dot]", "(dot)", ". "), rng))
+    if kind == 2:
+        size = _one_of((4, 4, 4, 5), rng)
+        return _one_of((".", " - ", "/", "_", "  ", " . "), rng).join(digits[k : k + size] for k in range(0, len(digits), size))
+    head, a, b, c = digits[:-10], digits[-10:-7], digits[-7:-4], digits[-4:]
+    return _one_of((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"00{head} {a} {b} {c}", f"{a}.{b}.{c}", f"00{head}-{a}-{b}-{c}", f"{a} {b} {c}", f"00 {head} {a} {b}{c}", f"({a}) {b} {c}", f"{a}/{b}-{c}"), rng)
+
+
+def _rewritten(text: str, spans: list[tuple[int, int, int]], rng) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its spans varied and three of four disguised; (kind, start, end) of where they are then."""
     out, moved, last = "", [], 0
     for start, kind, end in spans:
+        if start < last:
+            continue
         out += text[last:start]
-        span = text[start:end]
-        choice = int(rng.integers(3))
-        if kind == 0:
-            span = span.replace("@", ("(at)", "[at]", " @ ")[choice])
-        elif kind == 1:
-            span = span.replace(".", (" . ", "[.]", "(.)")[choice])
-        elif kind == 2:
-            digits = re.sub("[^0-9]", "", span)
-            span = (".", " - ", "/")[choice].join(digits[k : k + 4] for k in range(0, len(digits), 4))
-        else:
-            digits = re.sub("[^0-9]", "", span)
-            span = (f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}", f"00{digits[:-10]} {digits[-10:-7]} {digits[-7:-4]} {digits[-4:]}")[choice]
+        span = varied(text[start:end], kind, rng)
+        span = disguised(span, kind, rng) if rng.random() < 0.75 else span
         moved.append((kind, len(out), len(out) + len(span)))
         out += span
         last = end
     return out + text[last:], moved
 
 
+def _window(text: str, spans: list[tuple[int, int, int]], rng) -> tuple[np.ndarray, np.ndarray]:
+    """A window of the text at a drawn place around its first span, which may be cut, as windows of long texts cut them."""
+    kind, a, b = spans[0]
+    start = int(rng.integers(max(0, a - WINDOW + 12), max(1, a + 1))) if len(text) > WINDOW else 0
+    start = max(0, min(start, len(text) - 8))
+    part = text[start : start + WINDOW]
+    inside = [(k, max(0, x - start), min(len(part), y - start)) for k, x, y in spans if x - start < len(part) and y > start]
+    return codes(part), tags_of(len(part), inside)
+
+
 def fit_pii(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> BiLstmCrf | None:
-    """Train on at most FIT_SPANS stretches with base spans and FIT_OTHERS without, chosen by a hash of the stretch.
+    """Train on at most FIT_SPANS stretches with base spans and FIT_OTHERS without, chosen by a hash of the stretch over all texts.
 
-    The stretches are cut to one window around their first span. None where no text has a base span.
+    The stretches with spans give at least FIT_WINDOWS windows, most of them with the spans in disguise. None where no text has a base span.
     """
-    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("has", T.BooleanType())])
 
     def make():
         def kernel(_, texts):
@@ -125,81 +182,114 @@ def fit_pii(docs: DataFrame, text_col: str = "text", epochs: int = EPOCHS) -> Bi
                 spans = base_spans(text)
                 for a, b in stretches(text):
                     inside = [s for s in spans if a <= s[0] and s[2] <= b]
-                    start = max(a, min(inside[0][0] - WINDOW // 4, b - WINDOW)) if inside else a
-                    pieces.append(text[start : min(b, start + WINDOW)])
+                    start = max(a, min(inside[0][0] - WINDOW // 2, b - 2 * WINDOW)) if inside else a
+                    pieces.append(text[start : min(b, start + 2 * WINDOW)])
                     has.append(bool(inside))
             return {"piece": pieces, "has": has}
 
         return kernel
 
-    anchored = docs.select(text_or_empty(text_col).alias("text")).filter(F.col("text").rlike(_ANCHOR.pattern))
-    pieces = map_texts(anchored.withColumn("id", F.lit(0)), "id", "text", "piece string, has boolean", make).distinct()
-    hashed = F.xxhash64("piece")
-    rows = []
-    for has, limit in ((True, FIT_SPANS), (False, FIT_OTHERS)):
-        rows += pieces.filter(F.col("has") == has).orderBy(hashed, "piece").limit(limit).collect()
-    if not any(r["has"] for r in rows):
+    anchored = docs.select(text_or_empty(text_col).alias("text")).filter(F.col("text").rlike(_ANCHOR_JAVA))
+    pieces = map_texts(anchored.withColumn("id", F.lit(0)), "id", "text", "piece string, has boolean", make)
+    pieces = cut(pieces.withColumn("h", F.xxhash64("piece")).distinct(), "stretches")
+    some = [r for has, limit in ((True, FIT_SPANS), (False, FIT_OTHERS)) for r in pieces.filter(F.col("has") == has).orderBy("h", "piece").limit(limit).collect()]
+    drop_cut(pieces)
+    with_spans, without = [r["piece"] for r in some if r["has"]], [r["piece"] for r in some if not r["has"]]
+    if not with_spans:
         return None
     rng = np.random.default_rng(5)
     xs, ys = [], []
-    for row in rows:
-        spans = base_spans(row["piece"])
-        variants = [(row["piece"], [(k, a, b) for a, k, b in spans])]
-        if spans:
-            variants.append(_disguised(row["piece"], spans, rng))
-        for text, marked in variants:
-            flat, end = [], 0
-            for kind, a, b in sorted(marked, key=lambda s: s[1]):
-                if a >= end:  # tags cannot overlap: the earlier span stays
-                    flat.append((kind, a, b))
-                    end = b
-            if text:
-                xs.append(codes(text))
-                ys.append(tags_of(len(text), flat))
+    for _ in range(max(2, -(-FIT_WINDOWS // len(with_spans)))):
+        for text in with_spans:
+            spans = base_spans(text)
+            if spans:
+                x, y = _window(*_rewritten(text, spans, rng), rng)
+                xs.append(x)
+                ys.append(y)
+    for text in without:
+        if text:
+            xs.append(codes(text[:WINDOW]))
+            ys.append(tags_of(len(xs[-1]), []))
     model = BiLstmCrf.fresh()
     model.train(xs, ys, epochs)
     return model
 
 
+def stitched(parts: list[tuple[int, int]], tags: list[list[int]], sure: list[list[float]]) -> list[tuple[int, int, int, float]]:
+    """(kind, start, end, mean posterior) of a stretch's spans: overlapping windows are cut in the middle of what they share, and their tags joined."""
+    edges = [parts[0][0], *[(b + a) // 2 for (_, b), (a, _) in zip(parts, parts[1:], strict=False)], parts[-1][1]]
+    joined, level = [], []
+    for (a, _), t, m, low, high in zip(parts, tags, sure, edges, edges[1:], strict=False):
+        joined += t[low - a : high - a]
+        level += m[low - a : high - a]
+    out, k = [], 0
+    while k < len(joined):
+        kind, start = (joined[k] - 1) // 2, k
+        k += 1
+        if joined[start]:
+            # a span goes on in the next window as inside, or begins there if that window saw no more of it
+            while k < len(joined) and (joined[k] == 2 + 2 * kind or (joined[k] == 1 + 2 * kind and edges[0] + k in edges)):
+                k += 1
+            out.append((kind, edges[0] + start, edges[0] + k, sum(level[start:k]) / (k - start)))
+    return out
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a].isspace():
+        a += 1
+    while b > a and text[b - 1].isspace():
+        b -= 1
+    return a, b
+
+
 def model_spans(model: BiLstmCrf, texts: list[str], least: float = LEAST) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) that the model finds in each text: windows of all texts are decoded together, then reconciled by text."""
-    where = [(n, a, b) for n, text in enumerate(texts) for s, e in stretches(text) for a, b in windows(s, e, WINDOW, STEP)]
+    """(start, kind, end) that the model finds in each text: windows of all texts are decoded together, then joined and reconciled by text."""
+    runs = [(n, windows(s, e, WINDOW, STEP)) for n, text in enumerate(texts) for s, e in stretches(text)]
+    where = sorted(((b - a, n, k, a, b) for k, (n, parts) in enumerate(runs) for a, b in parts))
+    tags: dict[tuple[int, int], tuple[list, list]] = {}
+    for at in range(0, len(where), 512):  # windows of about one length at a time
+        part = where[at : at + 512]
+        for (_, _, k, a, _), found in zip(part, model.tag(padded([codes(texts[n][a:b]) for _, n, _, a, b in part])), strict=True):
+            tags[k, a] = found
     found: list[list] = [[] for _ in texts]
-    for at in range(0, len(where), 1024):
-        part = where[at : at + 1024]
-        x = padded([codes(texts[n][a:b]) for n, a, b in part])
-        for (n, a, b), spans in zip(part, model.decode(x), strict=True):
-            for kind, s, e, m in spans:
-                # a span at a cut edge may be incomplete; a neighbouring window has it whole
-                if m >= least and (s > 0 or a == 0) and (a + e < b or b == len(texts[n])):
-                    found[n].append((kind, a + s, a + e, m))
+    for k, (n, parts) in enumerate(runs):
+        spans = stitched(parts, [tags[k, a][0] for a, _ in parts], [tags[k, a][1] for a, _ in parts])
+        for kind, a, b, m in spans:
+            a, b = _trimmed(texts[n], a, b)
+            if m >= least and a < b and plausible(kind, texts[n][a:b]):
+                found[n].append((kind, a, b, m))
     return [[(a, kind, b) for kind, a, b, _ in reconcile(spans)] for spans in found]
 
 
+def all_spans(texts: list[str], model: BiLstmCrf | None) -> list[tuple[list, list]]:
+    """Base spans of each text, and those that the model adds to them, as (start, kind, end)."""
+    base = [base_spans(t) for t in texts]
+    more: list[list] = [[] for _ in texts]
+    if model is not None:
+        anchored = [n for n, t in enumerate(texts) if _ANCHOR.search(t)]
+        for n, spans in zip(anchored, model_spans(model, [texts[n] for n in anchored]), strict=True):
+            more[n] = [s for s in spans if not any(s[0] < b[2] and b[0] < s[2] for b in base[n])]
+    return list(zip(base, more, strict=True))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: BiLstmCrf | None = None) -> DataFrame:
     """One row per input row: ``id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
 
     The counts and ``base_sha256`` are of the base spans (``kind:start:end`` by start, then kind, joined by commas; characters,
-    end exclusive). ``spans`` has all spans; those that ``model`` adds are named ``learned_`` and their kind, stand at
-    their start, and never overlap a base span. Null or empty texts have none. Repeated rows are read each, other
+    end exclusive). ``spans`` has all spans in the same form: those of the patterns and those that ``model`` adds, which never overlap a base
+    one. Null or empty texts have none. Rows that repeat an id are read each, null ids too, other
     columns are ignored, an empty table gives an empty result; without a model only base spans are found.
     """
 
     def make():
         def kernel(keys, texts):
-            base = [base_spans(t) for t in texts]
             out = {id_col: keys, **{f"n_{k}": [] for k in KINDS}, "base_sha256": [], "spans": []}
-            more: list[list] = [[] for _ in texts]
-            if model is not None:
-                anchored = [n for n, t in enumerate(texts) if _ANCHOR.search(t)]
-                for n, spans in zip(anchored, model_spans(model, [texts[n] for n in anchored]), strict=True):
-                    more[n] = [s for s in spans if not any(s[0] < b[2] and b[0] < s[2] for b in base[n])]
-            for spans, extra in zip(base, more, strict=True):
-                for k, name in enumerate(KINDS):
-                    out[f"n_{name}"].append(sum(s[1] == k for s in spans))
-                out["base_sha256"].append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest())
-                both = [(a, k, f"{KINDS[k]}:{a}:{b}") for a, k, b in spans] + [(a, 9 + k, f"learned_{KINDS[k]}:{a}:{b}") for a, k, b in extra]
-                out["spans"].append(",".join(x[2] for x in sorted(both)))
+            name = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+            for spans, extra in all_spans(texts, model):
+                for k, kind in enumerate(KINDS):
+                    out[f"n_{kind}"].append(sum(s[1] == k for s in spans))
+                out["base_sha256"].append(hashlib.sha256(name(spans).encode()).hexdigest())
+                out["spans"].append(name(spans + extra))
             return out
 
         return kernel
@@ -209,28 +299,33 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     return map_texts(docs, id_col, text_col, f"{id_col} {kind}, {counts}, base_sha256 string, spans string", make)
 
 
-def redact_text(text: str, model: BiLstmCrf | None) -> str:
-    """The text with each span replaced by its kind in angle brackets; overlapping spans become one."""
-    base = base_spans(text)
-    extra = model_spans(model, [text])[0] if model is not None and _ANCHOR.search(text) else []
-    spans = sorted(base + [s for s in extra if not any(s[0] < b[2] and b[0] < s[2] for b in base)])
-    out, last = [], 0
-    for a, kind, b in spans:
-        if a >= last:
-            out += [text[last:a], f"<{KINDS[kind]}>"]
-        last = max(last, b)
-    return "".join(out) + text[last:] if spans else text
+def redact_texts(texts: list[str], model: BiLstmCrf | None) -> list[str]:
+    """The texts with each span replaced by its kind in angle brackets; overlapping spans become one."""
+    done = []
+    for text, (base, extra) in zip(texts, all_spans(texts, model), strict=True):
+        out, last = [], 0
+        for a, kind, b in sorted(base + extra):
+            if a >= last:
+                out += [text[last:a], f"<{KINDS[kind]}>"]
+            last = max(last, b)
+        done.append("".join(out) + text[last:] if out else text)
+    return done
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text", model: BiLstmCrf | None = None) -> DataFrame:
-    """All columns with personal data in the text replaced; null texts stay null."""
-    from tidemark.session import ship
+    """All columns with personal data in the text replaced.
 
+    Null texts stay null, empty ones empty; repeated rows are redacted each; an empty table gives an empty result; columns of any name pass.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("string")
     def redact(texts):
-        return texts.map(lambda t: t if t is None else redact_text(t, model))
+        some = texts[texts.notna()]
+        done = [x for at in range(0, len(some), 512) for x in redact_texts(some.iloc[at : at + 512].tolist(), model)]
+        out = texts.astype(object)
+        out[texts.notna()] = done
+        return out
 
-    touched = F.coalesce(F.col(text_col).rlike(_ANCHOR.pattern), F.lit(False))
+    touched = F.coalesce(F.col(text_col).rlike(_ANCHOR_JAVA), F.lit(False))
     return docs.withColumn(text_col, F.when(touched, redact(F.when(touched, F.col(text_col)))).otherwise(F.col(text_col)))

@@ -33,20 +33,6 @@ def tags_of(size: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def spans_of(tags: list[int]) -> list[tuple[int, int, int]]:
-    out, k = [], 0
-    while k < len(tags):
-        if tags[k] % 2 == 1:
-            kind, start = (tags[k] - 1) // 2, k
-            k += 1
-            while k < len(tags) and tags[k] == 2 + 2 * kind:
-                k += 1
-            out.append((kind, start, k))
-        else:
-            k += 1
-    return out
-
-
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
@@ -187,8 +173,11 @@ class BiLstmCrf:
             history.append(float(np.mean(losses)) if losses else 0.0)
         return history
 
-    def decode(self, x: np.ndarray) -> list[list[tuple[int, int, int, float]]]:
-        """Best tags of each window (Viterbi) as spans (kind, start, end, least posterior of the span's tags)."""
+    def tag(self, x: np.ndarray) -> list[tuple[list[int], list[float]]]:
+        """Best tags of each window (Viterbi), and the posterior of each.
+
+        The first character may be inside a span that began before the window: it counts as its beginning.
+        """
         em, mask = self.emissions(x), x > 0
         em[:, 0, 2::2] = -30.0  # nothing begins inside
         batch, time, _ = em.shape
@@ -210,11 +199,8 @@ class BiLstmCrf:
                 step = _logsum(move + (em[:, t + 1] + beta)[:, None, :], 2)
                 beta = np.where(mask[:, t + 1, None], step, 0)
             sure[:, t] = np.exp(np.take_along_axis(alpha[t] + beta, tags[:, t, None], 1)[:, 0] - total)
-        out = []
-        for n in range(batch):
-            found = spans_of(tags[n, : int(mask[n].sum())].tolist())
-            out.append([(kind, a, b, float(sure[n, a:b].min())) for kind, a, b in found])
-        return out
+        size = mask.sum(1).tolist()
+        return [(tags[n, : size[n]].tolist(), sure[n, : size[n]].tolist()) for n in range(batch)]
 
 
 def padded(rows: list[np.ndarray]) -> np.ndarray:
