@@ -1,27 +1,31 @@
 """SimHash near-duplicates through pivot distance tables.
 
-Two fingerprints that differ in at most r of 64 bits agree on three of r + 3 bit blocks, so that they meet under one of
-the keys made of three blocks. Under a key, a table holds each fingerprint's Hamming distances to many
-reference fingerprints. By the triangle inequality a pair whose distances to any reference differ by more than r
-is out; survivors are verified. Links kept under a key form a forest, never all pairs of a group, and distributed
-components close them.
+A table holds each distinct fingerprint's Hamming distances to many reference fingerprints, block by block (r + 3 blocks of bits for a radius
+of r). By the triangle inequality a block's coordinates differ by no more than its bits do. Fingerprints that differ in at most r bits
+have three blocks without a difference at least, whose coordinates are the same: they meet in the cell of those coordinates, one for each choice of
+three blocks. There a pair is out whose largest coordinate differences, summed over the other blocks, exceed r; survivors
+are verified. Links kept in a cell form a forest, never all pairs of a group, and distributed components close them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.common import map_texts
 from tidemark.llm.tiles import Forest, map_groups, tiled
 from tidemark.operators.graph import connected_components
-from tidemark.session import cut
+from tidemark.session import cut, drop_cut, ship
 
-#: Reference fingerprints, rows of a key before it is split into tiles.
-PIVOTS, TILE = 12, 4096
+#: Reference fingerprints, bits of a distance within a block, rows of a cell before it is split into tiles.
+PIVOTS, BITS, TILE = 12, 5, 4096
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -61,19 +65,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, id_col, text_col, f"{id_col} {kind}, fp bigint", make)
 
 
-def pivot_table(prints: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
-    """Hamming distances of each fingerprint to the reference fingerprints."""
+def _block_masks(blocks: int) -> list[int]:
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def pivot_table(prints: np.ndarray, blocks: int, pivots: int = PIVOTS) -> np.ndarray:
+    """For each fingerprint and block the distances to the reference fingerprints within the block, BITS bits each in one number."""
     from xxhash import xxh64_intdigest
 
     reference = np.array([xxh64_intdigest(b"pivot", n) for n in range(pivots)], np.uint64)
-    return np.bitwise_count(prints.view(np.uint64)[:, None] ^ reference[None, :]).astype(np.int16)
+    apart = prints.view(np.uint64)[:, None] ^ reference[None, :]
+    place = np.uint64(1) << (np.arange(pivots, dtype=np.uint64) * np.uint64(BITS))
+    return np.stack([(np.bitwise_count(apart & np.uint64(m)).astype(np.uint64) * place).sum(1, dtype=np.uint64) for m in _block_masks(blocks)], 1).view(np.int64)
+
+
+def pivot_tables(prints: DataFrame, blocks: int) -> DataFrame:
+    """``fp, t0, t1, ...``: the table's row of each fingerprint."""
+    ship(prints.sparkSession)
+    schema = T.StructType([T.StructField("fp", T.LongType()), *[T.StructField(f"t{k}", T.LongType()) for k in range(blocks)]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pivot_table(batch.column(0).to_numpy(), blocks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(table[:, k]) for k in range(blocks)]], schema=arrow)
+
+    return prints.select("fp").mapInArrow(run, schema)
+
+
+def _farthest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Largest coordinate difference of a block."""
+    out, mask = np.zeros(len(a), np.int64), (1 << BITS) - 1
+    for n in range(PIVOTS):
+        np.maximum(out, np.abs((a >> (n * BITS) & mask) - (b >> (n * BITS) & mask)), out=out)
+    return out
 
 
 def _links(columns: dict[str, np.ndarray], radius: int) -> dict:
     prints, group = np.ascontiguousarray(columns["fp"]), columns["__group"]
-    table = pivot_table(prints)
-    order = np.lexsort((table[:, 0], group))
-    prints, group, table = prints[order], group[order], table[order]
+    rest = [columns[f"r{k}"] for k in range(radius)]
+    # distance to the first reference over the blocks that may differ
+    first = sum((r & ((1 << BITS) - 1) for r in rest), np.zeros(len(prints), np.int64))
+    order = np.lexsort((first, group))
+    prints, group, first, rest = prints[order], group[order], first[order], [r[order] for r in rest]
     tile, mixed = columns["tile"][order], (columns["ta"] != columns["tb"])[order]
     forest, found = Forest(len(prints)), []
     row = np.arange(len(prints))
@@ -82,13 +117,15 @@ def _links(columns: dict[str, np.ndarray], radius: int) -> dict:
         step += 1
         row = row[row + step < len(prints)]
         # sorted by the first reference: past its bound no later pair of the row can link
-        row = row[(group[row + step] == group[row]) & (table[row + step, 0] - table[row, 0] <= radius)]
+        row = row[(group[row + step] == group[row]) & (first[row + step] - first[row] <= radius)]
         a, b = row, row + step
         apart = ~mixed[a] | (tile[a] != tile[b])
         a, b = a[apart], b[apart]
-        for p in range(1, table.shape[1]):
-            near = np.abs(table[a, p] - table[b, p]) <= radius
-            a, b = a[near], b[near]
+        most = np.zeros(len(a), np.int64)
+        for r in rest:
+            most = most + _farthest(r[a], r[b])
+            near = most <= radius
+            a, b, most = a[near], b[near], most[near]
         near = np.bitwise_count((prints[a] ^ prints[b]).view(np.uint64)) <= radius
         a, b = forest.add(a[near], b[near])
         if len(a):
@@ -99,15 +136,17 @@ def _links(columns: dict[str, np.ndarray], radius: int) -> dict:
 
 
 def hamming_links(prints: DataFrame, radius: int = 3, most: int = TILE) -> DataFrame:
-    """``src, dst``: links between distinct fingerprints (column ``fp``) of at most ``radius`` bits, enough of them to connect all that link."""
+    """``src, dst``: links between distinct fingerprints (column ``fp``) of at most ``radius`` bits, enough of them to connect all that link.
+
+    The table is computed once for each fingerprint; a row of a cell carries the coordinates of the blocks that may differ there. Cells of over
+    ``most`` rows are dealt to tiles.
+    """
     blocks = radius + 3
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), 3):
-        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keys = F.array(*[F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m))) for n, m in enumerate(masks)])
-    rows = prints.select("fp", F.explode(keys).alias("key"))
+    cells = []
+    for n, chosen in enumerate(combinations(range(blocks), 3)):
+        rest = [F.col(f"t{k}").alias(f"r{i}") for i, k in enumerate(k for k in range(blocks) if k not in chosen)]
+        cells.append(F.struct(F.xxhash64(F.lit(n), *[F.col(f"t{k}") for k in chosen]).alias("key"), *rest))
+    rows = pivot_tables(prints, blocks).select("fp", F.inline(F.array(*cells)))
     dealt = tiled(rows, "key", F.col("fp"), most)
     return map_groups(dealt, ["key", "ta", "tb"], "src bigint, dst bigint", lambda c: _links(c, radius))
 
@@ -125,6 +164,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = connected_components(hamming_links(distinct, radius))
     named = distinct.join(parts.select(F.col("id").alias("fp"), "component"), "fp", "left")
     named = cut(named.select("fp", "low", F.coalesce("component", "fp").alias("component")), "named")
+    drop_cut(distinct)
     # most fingerprints link with none: only linked ones need a minimum over their component
     best = named.groupBy("component").agg(F.min("low").alias("component_id"))
     label = named.join(best, "component").select("fp", "component_id")
