@@ -29,16 +29,13 @@ class QualityModel:
     bad: bytes
     slope: float
     offset: float
-    #: medians of the differences of bad and good calibration texts; what lies beyond counts as they do
-    low: float
-    high: float
     #: share of label 1, the score of a text without content
     prior: float
 
     def curve(self, difference: float, size: int) -> float:
         """Score of a text of ``size`` bytes; the fewer they are, the nearer it stays to the prior."""
         prior = math.log(self.prior / (1 - self.prior)) if 0 < self.prior < 1 else 0.0
-        x = self.slope * min(max(difference, self.low), self.high) + self.offset
+        x = self.slope * difference + self.offset
         x = prior + (x - prior) * size / (size + SHORT)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
@@ -139,9 +136,8 @@ def fit_quality(
     x = np.array([sizes.difference(t.encode()) for y in (0, 1) for t in held[y]])
     y = np.array([y for y in (0, 1) for _ in held[y]], float)
     weight = np.array([total[k] / len(held[k]) for k in (0, 1) for _ in held[k]])
-    low, high = sorted((float(np.median(x[y == 0])), float(np.median(x[y == 1]))))
-    slope, offset = _logistic(np.clip(x, low, high), y, weight * len(x) / weight.sum())
-    return QualityModel(good, bad, slope, offset, low, high, total[1] / sum(total.values()))
+    slope, offset = _logistic(x, y, weight * len(x) / weight.sum())
+    return QualityModel(good, bad, slope, offset, total[1] / sum(total.values()))
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
