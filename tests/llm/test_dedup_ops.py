@@ -126,6 +126,36 @@ def test_simhash_components_equal_brute_force(spark):
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
+def test_pivot_coordinates_bound_the_distance():
+    rng = np.random.default_rng(6)
+    a = rng.integers(-(2**63), 2**63 - 1, 4000)
+    b = a ^ np.array([sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 6), replace=False)) for _ in a])
+    apart = np.bitwise_count((a ^ b).view(np.uint64)).astype(int)
+    for blocks in (3, 6, 8):
+        ta, tb = simhash.pivot_table(a, blocks), simhash.pivot_table(b, blocks)
+        far = sum(simhash._farthest(ta[:, k], tb[:, k]) for k in range(blocks))
+        assert (far <= apart).all() and (far[apart > 0] > 0).any()
+        same = [((a ^ b).view(np.uint64) & np.uint64(m)) == 0 for m in simhash._block_masks(blocks)]
+        assert all((ta[s, k] == tb[s, k]).all() for k, s in enumerate(same))
+
+
+@pytest.mark.parametrize("radius", [0, 1, 3, 5])
+def test_links_of_any_radius_equal_brute_force(spark, radius):
+    rng = np.random.default_rng(radius)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 25)]
+    prints = sorted({p ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 7), replace=False)) for p in base for _ in range(12)})
+    links = simhash.hamming_links(spark.createDataFrame([(p,) for p in prints], "fp long"), radius, 64).collect()
+    at = {p: n for n, p in enumerate(prints)}
+    near = [(i, j) for i in range(len(prints)) for j in range(i) if ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count() <= radius]
+    assert union_find(len(prints), [(at[r.src], at[r.dst]) for r in links]) == union_find(len(prints), near)
+
+
+def test_simhash_of_very_long_repeated_and_unnamed_rows(spark):
+    rows = [(3, "word " * 60_000), (1, "word " * 60_000), (1, "word " * 60_000), (None, "word " * 60_000), (None, "lone text here"), (7, None), (5, "")]
+    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(3, 1), (1, 1), (1, 1), (None, 1), (None, None), (7, 5), (5, 5)], key=str)
+
+
 def test_hot_keys_in_tiles_lose_no_link(spark):
     rng = np.random.default_rng(0)
     base = int(rng.integers(0, 2**62))
@@ -300,6 +330,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert out.count() > 0 and "sequence_id" in out.columns
 
 
+def test_pipeline_takes_nulls_repeated_rows_clashing_names_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["doc", "sig", "line", "key", "removed_doc", "__text", "fp", "score"]
+    rows = [(n, t, "en", "s", len(t or ""), *range(8)) for n, t in line_docs() if n < 40 or n > 298]
+    rows += [(5, rows[5][1], "en", "s", 9, *range(8)), (None, "no id at all", "en", "s", 9, *range(8)), (None, None, None, None, None, *range(8)), (700, "x" * 150_000 + " mail a@b.cd", "en", "s", 9, *range(8))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    labels = spark.createDataFrame([(n, n % 2) for n in range(20)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    for name, part in (("full", rows), ("none", [])):
+        frame = spark.createDataFrame(part, schema)
+        (tmp_path / name).mkdir()
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path / name))
+            assert out.columns == frame.columns and out.count() <= len(part)
+        ids = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()]
+        assert bool(ids) == bool(part) and (not part or {None, 700} <= set(ids))
+
+
 def test_line_dedup_takes_short_lines(spark, tmp_path):
     import corpus_pipeline
     from tidemark.llm import queries

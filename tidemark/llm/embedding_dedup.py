@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tiles import Forest, tiled
 from tidemark.operators.graph import connected_components
-from tidemark.session import cut, ship
+from tidemark.session import cut, drop_cut, ship
 
 #: Vectors of a tile.
 TILE = 2048
@@ -108,6 +108,8 @@ def embedding_components(
     named = cut(named.join(counts, "same", "left").select(
         "same", "low", F.coalesce("component", "same").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     ), "named")
+    drop_cut(found)
+    drop_cut(classes)
     best = named.groupBy("component").agg(F.min("low").alias("component_id"))
     label = named.join(best, "component").select("same", "n_links", "component_id")
     return rows.select("id", "same").join(label, "same", "left").select(
