@@ -6,7 +6,7 @@ line under those words, packed by bucket: its place, size, the word's position,
 differ are at most the words that differ). Where a word's lines meet, the length filter, the positional filter and the bitmaps
 discard pairs, and a line names the nearest earlier lines that are left; the word sets of those alone are read again and compared in full.
 A line goes where an earlier one (by document id, then line number) matches it, so that it needs one verified match, not
-all its pairs; only lines with none verified and more to name go on to a next round.
+all its pairs; only lines with none verified and more to name go on to a next round, in which the words of those lines alone are sent.
 """
 
 from __future__ import annotations
@@ -32,14 +32,16 @@ LINES_AT_ONCE = 1 << (64 - WORD_BITS)
 CELLS, PARTS = 1 << 24, 64
 #: Steps of the rarity code for a doubling of the count.
 STEPS = 6
-#: Lines of a hot word's tile, first number of candidates under a word, characters handled at once, pairs compared at once.
-TILE, CANDIDATES, CHARS, PAIRS = 4096, 4, 8_000_000, 2_000_000
+#: Share of the allowed difference that makes a candidate sure. Lines of a hot word's tile, first number of candidates under a word, characters handled at once, pairs compared at once.
+SURE, TILE, CANDIDATES, CHARS, PAIRS = 0.25, 4096, 8, 8_000_000, 2_000_000
 #: Words of a line for each 64 bits of its parity bitmap, and the widest bitmap in words of 64 bits (as a power of two).
-PER_WORD, WIDEST = 80, 4
+PER_WORD, WIDEST = 56, 5
 #: Bytes of prefix rows that a task packs at once, and prefix rows of a bucket.
 PACK, BUCKET = 32_000_000, 200_000
 #: Bits of the filters that tell which lines' word sets are asked for, and in which documents they stand.
 LINE_BITS, DOC_BITS, LINE_STEP = 1 << 26, 1 << 23, 40503
+#: Bits of the filter of words in a later round.
+WORD_SPOTS = 1 << 23
 
 _MASK = np.uint64((1 << WORD_BITS) - 1)
 _OWNER = np.uint64(WORD_BITS)
@@ -59,7 +61,6 @@ def word_digests(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         h *= np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xC4CEB9FE1A85EC53)
-        h ^= h >> np.uint64(29)
         if todo is None:
             out = h
         else:
@@ -82,12 +83,10 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    """Digests spread over all 64 bits."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
     return x
 
 
@@ -251,7 +250,10 @@ def _rarity(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tu
 
 def _widths(size: np.ndarray) -> np.ndarray:
     """Words of 64 bits of a line's parity bitmap, as powers of two."""
-    return np.minimum(WIDEST, np.ceil(np.log2(np.maximum(1, size / PER_WORD)))).astype(np.int64)
+    out = np.zeros(len(size), np.int64)
+    for k in range(WIDEST):
+        out += size > PER_WORD << k
+    return out
 
 
 def _bitmaps(lines: Lines, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,13 +322,15 @@ class Packer:
         return {name: np.concatenate([p[name] for p in found]) for name in found[0]}
 
 
-def _packed(docs, id_col, text_col, least, threshold, sketch, most, buckets, kind: str) -> DataFrame:
-    """``bucket, rows``: each line under its rarest words (buckets from 0), and in the first round (kind "prefix") under the digest of its set (below -1).
+def _packed(docs, id_col, text_col, least, threshold, sketch, most, buckets, words=None) -> DataFrame:
+    """``bucket, rows``: each line under its rarest words (buckets from 0), and in the first round under the digest of its set (below -1).
+
+    In later rounds ``words`` is a filter of the words that count.
 
     A line of a set that stands earlier in the same slice of texts goes to bucket -1 at once. A hot word's lines are dealt to tiles; those that
     larger lines may look for under it, few as the word is frequent, go to all of its tiles.
     """
-    joined = _joinable(least, threshold)
+    joined, kind = _joinable(least, threshold), "prefix" if words is None else "again"
 
     def make():
         import zstandard
@@ -347,6 +351,8 @@ def _packed(docs, id_col, text_col, least, threshold, sketch, most, buckets, kin
             pos = np.arange(len(key)) - np.repeat(np.cumsum(lead) - lead, lead)
             often = (key >> np.uint64(40)) & np.uint64(255)
             keep = np.flatnonzero(often)  # a word that occurs once matches nothing
+            if words is not None:
+                keep = keep[_in_filter(words.value, (key[keep] & np.uint64(WORD_SPOTS - 1)).astype(np.int64))]
             key, often, pos = key[keep], often[keep].astype(np.int64), pos[keep]
             line, word = (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 40) - 1)
             copy = np.zeros(len(key), bool)
@@ -455,45 +461,40 @@ def _in_filter(bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
     return (bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1) > 0
 
 
-def _apart(bits, begin, width, y, x) -> np.ndarray:
-    """Bits that the bitmaps of the rows differ by, at the narrower one's width (a wider one is folded by its slots' order)."""
-    k = np.minimum(width[x], width[y])
-    out = np.zeros(len(x), np.int64)
-    for low in np.unique(k).tolist():
-        for wx in range(low, WIDEST + 1):
-            for wy in range(low, WIDEST + 1):
-                at = np.flatnonzero((k == low) & (width[x] == wx) & (width[y] == wy))
-                if not len(at):
-                    continue
-                total = np.zeros(len(at), np.int64)
-                for slot in range(1 << low):
-                    a = _folded(bits, begin[x[at]], slot, wx - low)
-                    total += np.bitwise_count(a ^ _folded(bits, begin[y[at]], slot, wy - low))
-                out[at] = total
+def _apart(bits, begin, width, fold, y, x) -> np.ndarray:
+    """Bits that the bitmaps of the rows differ by, at the narrower one's width (the slots of a wider one fold together)."""
+    out = np.bitwise_count(fold[x] ^ fold[y]).astype(np.int64)
+    wide = np.flatnonzero((width[x] > 0) & (width[y] > 0))
+    kind = width[x[wide]] * 8 + width[y[wide]]
+    for code in np.unique(kind).tolist():
+        at, low = wide[kind == code], min(divmod(code, 8))
+        mine = _folded(bits, begin[x[at]], code // 8, low)
+        mine ^= _folded(bits, begin[y[at]], code % 8, low)
+        out[at] = np.bitwise_count(mine).sum(1, dtype=np.int64)
     return out
 
 
-def _folded(bits, begin, slot, fold) -> np.ndarray:
-    out = bits[begin + (slot << fold)]
-    for k in range(1, 1 << fold):
-        out = out ^ bits[begin + (slot << fold) + k]
-    return out
+def _folded(bits, begin, width, low) -> np.ndarray:
+    """Bitmaps of 2 ** width words brought to 2 ** low: neighbouring slots are joined."""
+    out = bits[begin[:, None] + np.arange(1 << width)]
+    return out if width == low else np.bitwise_xor.reduce(out.reshape(len(begin), 1 << low, -1), axis=2)
 
 
 def _candidates(columns: dict, threshold: float, limit: int, probes: np.ndarray | None = None) -> dict:
-    """Under each word, for each line the nearest earlier lines that pass all filters: ``limit`` of them, or one whose bitmap differs by half of what is allowed at most.
+    """Under each word, for each line the nearest earlier lines that pass all filters: ``limit`` of them, or in the first round the nearest alone where it differs by SURE of what is allowed at most.
 
     ``full`` tells that there are more.
     """
     n = len(columns["size"])
     width = _widths(columns["size"])
     begin = np.cumsum(1 << width) - (1 << width)
-    order = np.lexsort((columns["size"], columns["group"]))
+    fold = np.bitwise_xor.reduceat(columns["bits"], begin) if n else columns["bits"]
+    order = np.argsort(columns["group"].astype(np.int64) << 31 | columns["size"])
+    fold = fold[order]
     size, pos, group = (columns[c][order].astype(np.int64) for c in ("size", "pos", "group"))
     doc, line = columns["doc"][order], columns["line"][order]
     width, begin, bits = width[order], begin[order], columns["bits"]
     rank = doc if doc.dtype.kind in "iu" else np.unique(doc, return_inverse=True)[1]
-    fold = np.bitwise_xor.reduceat(bits, np.cumsum(1 << _widths(columns["size"])) - (1 << _widths(columns["size"])))[order] if n else bits
     part = (1 - threshold) / (1 + threshold)
     allowed_of, rest_of, need_of = part * size, size - pos, threshold / (1 + threshold) * size
     # each line looks among the smaller lines of its word, in order of size, from the length filter's bound to the positional filter's
@@ -518,7 +519,7 @@ def _candidates(columns: dict, threshold: float, limit: int, probes: np.ndarray
             near = (np.minimum(rest_of[x], rest_of[y]) >= need_of[x] + need_of[y] - 1e-9)
             y, x = y[near], x[near]
             allowed = part * (size[x] + size[y]) + 1e-9
-            apart = _apart(bits, begin, width, y, x)
+            apart = _apart(bits, begin, width, fold, y, x)
             near = apart <= allowed
             y, x, ratio = y[near], x[near], (apart[near] / allowed[near]).astype(np.float32)
             later = (rank[x] > rank[y]) | ((rank[x] == rank[y]) & (line[x] > line[y]))
@@ -541,14 +542,14 @@ def _joined(parts):
 
 
 def _nearest(y, x, ratio, more, limit, sure):
-    """Of each row's candidates the ``limit`` nearest (with ``sure`` one is enough that differs by half of what is allowed at most); ``more`` tells that others were left."""
+    """Of each row's candidates the ``limit`` nearest (with ``sure`` the first is enough where it differs by SURE of what is allowed at most); ``more`` tells that others were left."""
     order = np.lexsort((x, ratio, y))
     y, x, ratio, more = y[order], x[order], ratio[order], more[order]
     head = np.flatnonzero(np.diff(y, prepend=-1))
     if not len(head):
         return y, x, ratio, more
     count = np.diff(np.append(head, len(y)))
-    keep = np.where(sure & (ratio[head] <= 0.5), 1, limit)
+    keep = np.where(sure & (ratio[head] <= SURE), 1, limit)
     more = np.repeat(np.logical_or.reduceat(more, head) | (count > keep), count)
     chosen = np.arange(len(y)) - np.repeat(head, count) < np.repeat(keep, count)
     return y[chosen], x[chosen], ratio[chosen], more[chosen]
@@ -597,8 +598,8 @@ def _word_sets(docs, id_col, text_col, lines, among) -> DataFrame:
     return _map_lines(docs, id_col, text_col, f"doc {kind}, line int, words array<bigint>", make)
 
 
-def _verified(docs, id_col, text_col, pairs: DataFrame, threshold: float) -> DataFrame:
-    """``doc, line, ok, full`` of the lines that have pairs: whether one is of the similarity, whole word sets compared."""
+def _verified(docs, id_col, text_col, pairs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``doc, line, ok, full`` of the lines that have pairs: whether one is of the similarity, whole word sets compared; and those sets."""
     broadcast = docs.sparkSession.sparkContext.broadcast
     asked = pairs.select("doc", "line").unionByName(pairs.select(F.col("other").alias("doc"), F.col("other_line").alias("line")))
     lines = broadcast(_filter_of(asked.select(_spot(F.col("doc"), F.col("line")).alias("s")), LINE_BITS))
@@ -609,10 +610,9 @@ def _verified(docs, id_col, text_col, pairs: DataFrame, threshold: float) -> Dat
     shared = F.size(F.array_intersect("words", "theirs"))
     ok = shared >= (threshold / (1 + threshold)) * (F.size("words") + F.size("theirs")) - 1e-9
     out = cut(both.groupBy("doc", "line").agg(F.max(ok).alias("ok"), F.max("full").alias("full")), "verified")
-    drop_cut(sets)
     lines.unpersist()
     among.unpersist()
-    return out
+    return out, sets
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, least: int = 1, most: int = TILE) -> DataFrame:
@@ -621,23 +621,27 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = docs.schema[id_col].dataType
     codes, rows = _rarity(docs, id_col, text_col, threshold)
     sketch, buckets = broadcast(codes), max(64, -(-rows // BUCKET))
-    gone, matched, probes, limit = None, [], None, CANDIDATES
+    gone, matched, probes, words, limit = None, [], None, None, CANDIDATES
     while True:
-        packed = _packed(docs, id_col, text_col, max(1, least), threshold, sketch, most, buckets, "prefix" if gone is None else "again")
+        packed = _packed(docs, id_col, text_col, max(1, least), threshold, sketch, most, buckets, words)
         found = cut(_found(packed, kind, threshold, limit, probes), "found")
         if gone is None:
             gone = found.filter("other is null").select("doc", "line")
         # a line that goes by its set needs no other match
         pairs = found.filter("other is not null").groupBy("doc", "line", "other", "other_line").agg(F.max("full").alias("full"))
         pairs = cut(pairs.join(gone, ["doc", "line"], "left_anti"), "pairs")
-        state = _verified(docs, id_col, text_col, pairs, threshold)
+        state, sets = _verified(docs, id_col, text_col, pairs, threshold)
         drop_cut(pairs)
         matched.append(state.filter("ok").select("doc", "line"))
         open_lines = state.filter("full and not ok")
         if open_lines.isEmpty():
+            drop_cut(sets)
             break
+        asked = open_lines.join(sets, ["doc", "line"]).select(F.explode("words").alias("word")).select(F.pmod("word", F.lit(WORD_SPOTS)).alias("s"))
+        words = broadcast(_filter_of(asked, WORD_SPOTS))
+        drop_cut(sets)
         probes = broadcast(_filter_of(open_lines.select(_spot(F.col("doc"), F.col("line")).alias("s")), LINE_BITS))
-        limit *= 16
+        limit *= 256
     for more in matched:
         gone = gone.unionByName(more)
     return gone
@@ -667,11 +671,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts = part.column(text_col).to_pylist()
-                gone = [set(k) if k else () for k in part.column(gone_col).to_pylist()]
-                new = [t if not g else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in g) for t, g in zip(texts, gone, strict=True)]
-                columns = {**{n: part.column(n) for n in order}, text_col: pa.array(new, pa.string())}
-                columns |= {"n_lines": pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int32()), "n_removed": pa.array([len(g) for g in gone], pa.int32())}
+                texts, gone = part.column(text_col), part.column(gone_col)
+                lines = pa.compute.add(pa.compute.count_substring(texts, "\n"), 1)
+                lines = pa.compute.if_else(pa.compute.equal(pa.compute.coalesce(pa.compute.binary_length(texts), 0), 0), 0, lines)
+                touched = gone.is_valid()
+                new = []
+                for text, numbers in zip(texts.filter(touched).to_pylist(), gone.filter(touched).to_pylist(), strict=True):
+                    numbers = set(numbers)
+                    new.append("\n".join(x for n, x in enumerate(text.split("\n")) if n not in numbers))
+                if new:
+                    texts = pa.compute.replace_with_mask(texts, touched, pa.array(new, texts.type))
+                columns = {**{n: part.column(n) for n in order}, text_col: texts}
+                columns |= {"n_lines": lines, "n_removed": pa.compute.coalesce(pa.compute.list_value_length(gone), 0)}
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
 
     return joined.mapInArrow(run, schema)
