@@ -91,3 +91,18 @@ def test_components_of_no_edges(spark):
 def test_top_pairs_break_ties_downwards(spark):
     p = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5), (0, 9, 0.7)], "src long, dst long, cosine double")
     assert [tuple(r)[:2] for r in neardup.top_pairs(p, 2).collect()] == [(0, 9), (1, 3)]
+
+
+@pytest.mark.parametrize("threshold", [0, 3, 8, 10, 14])
+def test_hash_pairs_and_edges_connect_what_pairs_do(spark, threshold):
+    rng = np.random.default_rng(threshold)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 12)]
+    hashes = [base[int(rng.integers(12))] ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, threshold + 3), replace=False)) for _ in range(60)]
+    hashes += [hashes[0]] * 5
+    frame = spark.createDataFrame(list(enumerate(hashes)) + [(None, 1), (99, None)], "stem long, h long")
+    distinct = sorted(set(hashes) | {1})
+    far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = {(a, b, far(a, b)) for a in distinct for b in distinct if a < b and far(a, b) <= threshold}
+    assert {tuple(r) for r in neardup.hash_pairs(frame, threshold).collect()} == want
+    groups = lambda edges: {(r.stem, r.group_id) for r in graph.group_members(edges, frame.filter("stem is not null")).collect()}
+    assert groups(neardup.hamming_edges(frame, threshold)) == groups(neardup.hamming_pairs(frame, threshold))

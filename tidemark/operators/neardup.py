@@ -20,29 +20,57 @@ def _probes(radius: int, width: int) -> list[int]:
     return [sum(1 << b for b in chosen) for k in range(radius + 1) for chosen in combinations(range(width), k)]
 
 
+def hash_pairs(hashes: DataFrame, threshold: int, hash_col: str = "h") -> DataFrame:
+    """``a, b, distance`` for distinct hashes a < b with distance <= threshold: classes of equal hashes are one row each.
+
+    Up to 8 bits: of threshold + 3 blocks of bits three agree at least, so that an equi-join on three blocks (17 to 63 bits wide) finds every pair.
+    Up to 11 bits: four 16-bit bands, of which one differs in at most threshold // 4 bits; one side probes that radius. Beyond,
+    keys would be too narrow or probes outnumber the rows: blocks of rows are compared pair by pair of blocks instead.
+    """
+    distinct = hashes.select(F.col(hash_col).alias("h")).filter("h is not null").distinct()
+    if threshold > 11:
+        found = _blocked_hamming(distinct.select(F.col("h").alias("id"), "h"), threshold)
+        return found.select(F.col("src").alias("a"), F.col("dst").alias("b"), "distance")
+    if threshold <= 8:
+        edges = [64 * k // (threshold + 3) for k in range(threshold + 4)]
+        masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(threshold + 3), 3)]
+        keys = F.array(*[F.struct(F.lit(n).alias("band"), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for n, m in enumerate(masks)])
+        rows = distinct.select("h", F.inline(keys))
+        left, right = rows.withColumnRenamed("h", "a"), rows.withColumnRenamed("h", "b")
+    else:
+        part = lambda h, b: F.shiftrightunsigned(h, 16 * b).bitwiseAND(F.lit(0xFFFF))
+        bands = lambda probe: F.array(*[F.struct(F.lit(b).alias("band"), part(F.col("h"), b).bitwiseXOR(F.lit(p)).alias("bits")) for b in range(BANDS) for p in probe])
+        left = distinct.select(F.col("h").alias("a"), F.inline(bands([0])))
+        right = distinct.select(F.col("h").alias("b"), F.inline(bands(_probes(threshold // BANDS, 16))))
+    near = left.join(right, ["band", "bits"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold))
+    return near.select("a", "b").distinct().withColumn("distance", hamming(F.col("a"), F.col("b")))
+
+
+def hamming_edges(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_col: str = "h") -> DataFrame:
+    """``src, dst``: links enough to connect all ids within ``threshold`` bits: each id with the smallest of its hash, and those of near hashes.
+
+    What grouping needs; copies of a hash add one link each, not all their pairs.
+    """
+    rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("id is not null and h is not null")
+    low = rows.groupBy("h").agg(F.min("id").alias("low"))
+    copies = rows.join(low, "h").filter("id <> low").select(F.col("low").alias("src"), F.col("id").alias("dst"))
+    near = hash_pairs(rows, threshold).join(low.select(F.col("h").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("h").alias("b"), F.col("low").alias("y")), "b")
+    return near.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).unionByName(copies)
+
+
 def hamming_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_col: str = "h") -> DataFrame:
-    """``src, dst, distance`` for src < dst with distance <= threshold.
+    """``src, dst, distance`` for src < dst with distance <= threshold: ``hash_pairs`` expanded to all pairs of ids.
 
-    Up to 11 bits: four 16-bit bands, of which one differs in at most threshold // 4 bits, so that one side probes that radius
-    and an equi-join on (band, bits) finds every pair. Copies of a hash are one class in that join and expand at the end. Beyond
-    11 bits the probes would outnumber the rows: blocks of rows are compared pair by pair of blocks instead.
+    A hash of many copies has as many pairs as their square; where links are enough, take ``hamming_edges``.
     """
     if not 0 <= threshold <= 64:
         raise ValueError("a threshold of 0 to 64 bits is needed")
     rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("id is not null and h is not null")
-    if threshold > 11:
-        return _blocked_hamming(rows, threshold)
-    distinct = rows.select("h").distinct()
-    part = lambda h, b: F.shiftrightunsigned(h, 16 * b).bitwiseAND(F.lit(0xFFFF))
-    bands = lambda probe: F.array(*[F.struct(F.lit(b).alias("band"), part(F.col("h"), b).bitwiseXOR(F.lit(p)).alias("bits")) for b in range(BANDS) for p in probe])
-    left = distinct.select(F.col("h").alias("a"), F.explode(bands([0])).alias("k")).select("a", "k.*")
-    right = distinct.select(F.col("h").alias("b"), F.explode(bands(_probes(threshold // BANDS, 16))).alias("k")).select("b", "k.*")
-    near = left.join(right, ["band", "bits"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold))
-    near = near.select("a", "b").distinct()
+    near = hash_pairs(rows, threshold)
     both = near.join(rows.select(F.col("h").alias("a"), F.col("id").alias("x")), "a").join(rows.select(F.col("h").alias("b"), F.col("id").alias("y")), "b")
     same = rows.alias("l").join(rows.alias("r"), F.col("l.h") == F.col("r.h")).filter("l.id < r.id")
     same = same.select(F.col("l.id").alias("src"), F.col("r.id").alias("dst"), F.lit(0).alias("distance"))
-    both = both.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), hamming(F.col("a"), F.col("b")).alias("distance"))
+    both = both.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "distance")
     return both.filter("src <> dst").unionByName(same)
 
 

@@ -389,6 +389,17 @@ def hamming_join(spark, d):
     return neardup.hamming_pairs(fx.near_hashes(spark, d), 6)
 
 
+@query(
+    "with recursive " + fx.NEAR + f""", ed as (select a.stem as src, b.stem as dst from near a join near b on a.stem <> b.stem and {DIST} <= 6),
+    rc as (select stem, stem as node from near union select r.stem, e.dst from rc r join ed e on e.src = r.node)
+    select node as stem, min(stem) as group_id from rc group by node"""
+)
+def hash_groups(spark, d):
+    """Groups of near hashes, copies linked to one of them."""
+    near = fx.near_hashes(spark, d)
+    return graph.group_members(neardup.hamming_edges(near, 6), near)
+
+
 @query(with_(fx.HASHES) + f"select a.stem as src, b.stem as dst, {DIST}::INT as distance from hashes a join hashes b on a.stem < b.stem and {DIST} <= 17")
 def hamming_join_far(spark, d):
     return neardup.hamming_pairs(fx.hashes(spark, d), 17)
