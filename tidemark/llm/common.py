@@ -59,5 +59,6 @@ def map_texts(
                 part = batch.slice(start, rows)
                 out = kernel(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col), text_or_empty(text_col).alias("__text")).mapInArrow(run, spark_schema)

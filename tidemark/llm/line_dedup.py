@@ -33,11 +33,11 @@ CELLS, PARTS = 1 << 24, 64
 #: Steps of the rarity code for a doubling of the count.
 STEPS = 6
 #: Share of the allowed difference that makes a candidate sure. Lines of a hot word's tile, first number of candidates under a word, characters handled at once, pairs compared at once.
-SURE, TILE, CANDIDATES, CHARS, PAIRS = 0.25, 4096, 8, 8_000_000, 2_000_000
+SURE, TILE, CANDIDATES, CHARS, PAIRS = 0.25, 4096, 8, 5_000_000, 1_000_000
 #: Words of a line for each 64 bits of its parity bitmap, and the widest bitmap in words of 64 bits (as a power of two).
 PER_WORD, WIDEST = 56, 5
 #: Bytes of prefix rows that a task packs at once, and prefix rows of a bucket.
-PACK, BUCKET = 32_000_000, 200_000
+PACK, BUCKET = 24_000_000, 200_000
 #: Bits of the filters that tell which lines' word sets are asked for, and in which documents they stand.
 LINE_BITS, DOC_BITS, LINE_STEP = 1 << 26, 1 << 23, 40503
 #: Bits of the filter of words in a later round.
@@ -170,6 +170,7 @@ def _map_lines(docs: DataFrame, id_col: str, text_col: str, schema: str, make: C
                 at = until
                 yield from map(pack, kernel(part.column(0), part.column(2), part.column(1).to_pylist()))
         yield from map(pack, kernel(None, None, None))
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"), F.xxhash64(id_col).alias("digest"))
     return rows.mapInArrow(run, spark_schema)
@@ -440,6 +441,8 @@ def _found(packed: DataFrame, id_type: T.DataType, threshold: float, limit: int,
                 held.append(value)
         if held:
             yield work()
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     # lines of bucket -1 need not meet
     salt = F.when(F.col("bucket") == -1, F.xxhash64("rows")).otherwise(F.lit(0))
@@ -684,5 +687,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = {**{n: part.column(n) for n in order}, text_col: texts}
                 columns |= {"n_lines": lines, "n_removed": pa.compute.coalesce(pa.compute.list_value_length(gone), 0)}
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return joined.mapInArrow(run, schema)

@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.common import map_texts, text_or_empty
 from tidemark.llm.pii_model import KINDS, BiLstmCrf, codes, padded, reconcile, tags_of, windows
@@ -318,14 +322,19 @@ def redact_pii(docs: DataFrame, text_col: str = "text", model: BiLstmCrf | None
     Null texts stay null, empty ones empty; repeated rows are redacted each; an empty table gives an empty result; columns of any name pass.
     """
     ship(docs.sparkSession)
-
-    @F.pandas_udf("string")
-    def redact(texts):
-        some = texts[texts.notna()]
-        done = [x for at in range(0, len(some), 512) for x in redact_texts(some.iloc[at : at + 512].tolist(), model)]
-        out = texts.astype(object)
-        out[texts.notna()] = done
-        return out
-
-    touched = F.coalesce(F.col(text_col).rlike(_ANCHOR_JAVA), F.lit(False))
-    return docs.withColumn(text_col, F.when(touched, redact(F.when(touched, F.col(text_col)))).otherwise(F.col(text_col)))
+    arrow = to_arrow_schema(docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(text_col)
+                some = texts.is_valid()
+                done = redact_texts(texts.filter(some).to_pylist(), model)
+                if done:
+                    texts = pa.compute.replace_with_mask(texts, some, pa.array(done, texts.type))
+                columns = [(texts if f.name == text_col else part.column(f.name)).cast(f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(run, docs.schema)
