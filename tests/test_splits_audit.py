@@ -75,6 +75,37 @@ def test_manifest_digest(spark):
     assert provenance.merkle_digest(pairs, 4).first()[0] == provenance.merkle_digest(pairs.repartition(3), 4).first()[0]
 
 
+def test_digests_stream_over_blocks(spark):
+    """A key of nine tenths of all rows, many blocks to a key, nulls left out; each equals the digest of the whole."""
+    lines = [(k, n, None if n % 50 == 3 else f"{k}-{n} é\n") for k, m in (("big", 4500), ("a", 480), (None, 20)) for n in range(m)]
+    df = spark.createDataFrame(lines, "k string, n int, line string").repartition(7)
+    got = dict(map(tuple, provenance.hash_blocks(provenance.ordered_blocks(df, "k", ["n"], "line", size=200), "k", ["part", "seq"], "block").collect()))
+    assert got == {k: hashlib.sha256("".join(t for o, _, t in lines if o == k and t).encode()).hexdigest() for k in ("big", "a", None)}
+    blocks = provenance.ordered_blocks(df, "k", ["n"], "line", size=200)
+    assert blocks.count() > 100 and blocks.selectExpr("max(length(block))").first()[0] < 230
+    parted = spark.createDataFrame([("x", n, str(n)) for n in range(30)], "k string, n int, t string")
+    assert provenance.hash_blocks(parted, "k", ["n"], "t", b",").first().sha256 == hashlib.sha256(",".join(map(str, range(30))).encode()).hexdigest()
+
+
+def test_digests_of_empty_tables(spark):
+    none = spark.createDataFrame([], "stem string, image_sha256 string, mask_sha256 string")
+    assert provenance.manifest_digest(none).first()[0] == hashlib.sha256(b"").hexdigest()
+    assert provenance.split_digests(spark.createDataFrame([], "split string, line string")).count() == 0
+
+
+def test_manifest_tasks_hold_blocks_only(spark):
+    """Ten times the lines are ten times the blocks of equal size: what the hashing task holds does not grow."""
+    most = []
+    for n in (3000, 30_000):
+        pairs = spark.range(n).selectExpr("lpad(id, 9, '0') as stem", "sha2(cast(id as string), 256) as image_sha256", "sha2(cast(-id as string), 256) as mask_sha256")
+        lines = pairs.select(F.lit(0).alias("all"), "stem", provenance._manifest_line().alias("line"))
+        blocks = provenance.ordered_blocks(lines, "all", ["stem", "line"], "line", size=20_000)
+        most.append(blocks.selectExpr("max(length(block))").first()[0])
+        want = hashlib.sha256("".join(r.line for r in lines.orderBy("stem").collect()).encode()).hexdigest()
+        assert provenance.manifest_digest(pairs).first()[0] == want
+    assert most[0] == most[1] < 20_200
+
+
 def history(spark, scores, run="r"):
     return spark.createDataFrame([(run, n + 1, s) for n, s in enumerate(scores)], "run_id string, epoch int, safety_score double")
 
