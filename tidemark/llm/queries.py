@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.conversation_trie import conversation_trie
 from tidemark.llm.embedding_dedup import embedding_components
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.line_dedup import dedup_lines
@@ -75,6 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations")).drop("turn")
+
+
 OP2_SQL = """
 with rules(action, host, path) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
   ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
@@ -97,6 +102,41 @@ select doc_id, max(doc_id) over (partition by text_sha256) as keep_id,
 """
 
 
+#: Bytes of a text, and their CRC-32 by a table of 256 steps (``crc.t``).
+CRC = """tab(n, v, k) as (select range::UBIGINT, range::UBIGINT, 0 from range(256) union all
+  select n, xor(v >> 1, (v & 1) * 3988292384::UBIGINT), k + 1 from tab where k < 8),
+crc as (select list(v order by n) as t from tab where k = 8)"""
+
+
+def crc_of(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL, where ``crc`` is joined."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT"
+
+
+OP11_SQL = f"""
+with recursive {CRC},
+own as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id
+  order by turn nulls first, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) as place
+  from conversations where conv_id is not null),
+conv as (select conv_id, conv_id - conv_id % 100 as base, {crc_of("conv_id::VARCHAR")} % 6 as h from (select distinct conv_id from own), crc),
+rebuilt as (select c.conv_id, o.place, o.role, o.text from conv c join own o on o.conv_id = c.base and o.place <= c.h
+  union all select c.conv_id, o.place + least(c.h, (select count(*) from own b where b.conv_id = c.base)) - c.h, o.role, o.text from conv c join own o on o.conv_id = c.conv_id and o.place > c.h),
+step as (select conv_id, place, length(text) as points, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text) as s from rebuilt),
+path as (select conv_id, place as depth, points, sha256(string_agg(s, '') over (partition by conv_id order by place)) as key from step
+  union all select conv_id, 0, 0, '' from conv),
+placed as (select *, min(conv_id) over (partition by key) as first, depth = max(depth) over (partition by conv_id) as final,
+  lag(key) over (partition by conv_id order by depth) as parent from path),
+summed as (select *, bool_and(final) over (partition by key) as leaf, points * (first = conv_id)::INT as own_points from placed),
+below as (select *, sum(points - own_points) over w as saved, sum((leaf and first = conv_id)::INT) over w as leaves from summed
+  window w as (partition by conv_id order by depth desc)),
+node as (select key, any_value(depth) as depth, any_value(parent) as parent, min(conv_id) as conv_id, count(*) as n_convs, sum(saved)::BIGINT as saved_tokens, sum(leaves)::BIGINT as n_leaves,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' order by conv_id) filter (where final), '')) as ends_sha256 from below group by key)
+select n.conv_id, n.depth::BIGINT as depth, p.conv_id as parent_conv_id, n.n_convs, (select count(*) from node c where c.parent = n.key) as n_children, n.n_leaves, n.saved_tokens, n.ends_sha256
+from node n left join node p on n.parent = p.key
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_piece_codec": op1_piece_codec,
@@ -109,8 +149,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
+        "op11_conversation_trie": op11_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op3_exact_dedup": OP3_SQL}
+    return {
+        "op2_url_filter": OP2_SQL,
+        "op3_exact_dedup": OP3_SQL,
+        "op11_conversation_trie": OP11_SQL,
+    }
