@@ -15,6 +15,8 @@ from tidemark.llm.packing import pack
 from tidemark.llm.piece_codec import round_trip
 from tidemark.llm.pii import find_pii, fit_pii
 from tidemark.llm.quality import quality_scores
+from tidemark.llm.resampling import resample
+from tidemark.llm.sharding import even_tree, shard_rows
 from tidemark.llm.simhash import simhash_components
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.url_filter import judge_urls
@@ -80,6 +82,14 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations")).drop("turn")
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(table(spark, sf_dir, "documents"), even_tree(16))
+
+
 OP2_SQL = """
 with rules(action, host, path) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
   ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
@@ -136,6 +146,39 @@ select n.conv_id, n.depth::BIGINT as depth, p.conv_id as parent_conv_id, n.n_con
 from node n left join node p on n.parent = p.key
 """
 
+WORDS = lambda text: rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""
+with recursive {CRC},
+doc as (select row_number() over () as n, doc_id, {WORDS("text")} as words from documents),
+raw as (select n, unnest(words) as w from doc), target as (select unnest({WORDS("text")}) as w from benchmark),
+word as (select w, {crc_of("w")} % 10000 as bucket from (select w from raw union select w from target), crc),
+s as (select bucket, count(*) as s from raw join word using (w) group by bucket), t as (select bucket, count(*) as t from target join word using (w) group by bucket),
+total as (select (select count(*) from raw) as ss, (select count(*) from target) as tt),
+gain as (select w, floor(1000 * ln(((coalesce(t, 0) + 1.0::DOUBLE) * (ss + 10000)) / ((coalesce(s, 0) + 1.0::DOUBLE) * (tt + 10000))))::BIGINT as g
+  from word left join s using (bucket) left join t using (bucket), total),
+weight as (select n, floor(sum(g)::DOUBLE / count(*))::BIGINT as weight from raw join gain using (w) group by n),
+scored as (select doc_id, len(words) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT as score
+  from doc left join weight using (n)),
+ranked as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls first) end as r, count(*) filter (where n_features >= 20) over () as c from scored)
+select doc_id, n_features, weight, score, case when r <= 10 * c // 100 then r end as rank from ranked
+"""
+
+OP13_SQL = f"""
+with recursive {CRC},
+leaf(tree, region, rack, shard) as (select t, n // 8, n // 4, n from range(17) r(n), range(16, 18) s(t) where n < t),
+doc as (select row_number() over () as n, doc_id, coalesce(doc_id::VARCHAR, '') as k, coalesce(text, '') as text from documents),
+region as (select n, k, tree, arg_min(region, -ln((('0x' || sha256(k || ':region:' || region)[1:13])::BIGINT + 0.5::DOUBLE) / pow(16, 13)) / w) as region
+  from doc, (select tree, region, count(*) as w from leaf group by all) group by all),
+rack as (select n, k, tree, arg_min(rack, -ln((('0x' || sha256(k || ':rack:' || rack)[1:13])::BIGINT + 0.5::DOUBLE) / pow(16, 13)) / w) as rack
+  from region join (select tree, region, rack, count(*) as w from leaf group by all) using (tree, region) group by all),
+shard as (select n, tree, arg_min(shard, -ln((('0x' || sha256(k || ':shard:' || shard)[1:13])::BIGINT + 0.5::DOUBLE) / pow(16, 13))) as shard
+  from rack join leaf using (tree, rack) group by all)
+select doc_id, octet_length(encode(text)) + 1 as size, {crc_of("text")} as text_crc32, 'key' as law, s.shard::INT as shard,
+  row_number() over (partition by s.shard order by doc_id nulls first) - 1 as slot, g.shard::INT as grown_shard
+from doc join shard s on s.n = doc.n and s.tree = 16 join shard g on g.n = doc.n and g.tree = 17, crc
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -150,6 +193,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
         "op11_conversation_trie": op11_conversation_trie,
+        "op12_resampling": op12_resampling,
+        "op13_sharding": op13_sharding,
     }
 
 
@@ -158,4 +203,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": OP2_SQL,
         "op3_exact_dedup": OP3_SQL,
         "op11_conversation_trie": OP11_SQL,
+        "op12_resampling": OP12_SQL,
+        "op13_sharding": OP13_SQL,
     }
