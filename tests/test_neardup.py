@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
-from tidemark.operators import graph, neardup
+from tidemark.operators import cosine, graph, neardup
 
 
 def hashes(spark, *values):
@@ -106,3 +106,75 @@ def test_hash_pairs_and_edges_connect_what_pairs_do(spark, threshold):
     assert {tuple(r) for r in neardup.hash_pairs(frame, threshold).collect()} == want
     groups = lambda edges: {(r.stem, r.group_id) for r in graph.group_members(edges, frame.filter("stem is not null")).collect()}
     assert groups(neardup.hamming_edges(frame, threshold)) == groups(neardup.hamming_pairs(frame, threshold))
+
+
+def clustered(spark, groups=24, each=60, d=16, noise=0.02, seed=7):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(groups, d))
+    middle /= np.linalg.norm(middle, axis=1, keepdims=True)
+    v = np.repeat(middle, each, axis=0) + noise * rng.normal(size=(groups * each, d))
+    order = rng.permutation(len(v))
+    frame = spark.createDataFrame([(int(k), [float(x) for x in v[k]], "abc"[k % 3]) for k in order], "stem long, embedding array<double>, split string")
+    return v, frame.repartition(5).persist()
+
+
+def written_bytes(spark):
+    """Shuffle bytes that tasks have written so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+def test_pruned_tiles_ship_less_than_a_tenth(spark):
+    v, frame = clustered(spark)
+    frame.count()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 9)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(c, 1) >= 0.99), strict=True)}
+    table = cosine.tiles(frame, "stem", "embedding", block=60, most=24)
+    before = written_bytes(spark)
+    pruned = cosine.tile_pairs(table, 0.99)
+    kernel = lambda left, right, same: {"n": [len(left.ids) * len(right.ids)]}
+    some = cosine.tile_products(table, pruned, kernel, "n long").agg(F.sum("n")).first()[0]
+    middle = written_bytes(spark)
+    every = cosine.tile_products(table, cosine.tile_pairs(table), kernel, "n long").agg(F.sum("n")).first()[0]
+    after = written_bytes(spark)
+    assert some < every / 8 and middle - before < (after - middle) / 4  # of which one part is the tiles themselves, read once
+    shipped = lambda pairs: cosine.tile_products(table, pairs, lambda a, b, same: {"n": [b.vectors.nbytes]}, "n long").agg(F.sum("n")).first()[0]
+    assert shipped(pruned) < shipped(cosine.tile_pairs(table)) / 10
+    got = {(r.src, r.dst) for r in neardup.cosine_pairs(frame, 0.99, block=60).collect()}
+    assert {p for p in got ^ want if abs(c[p] - 0.99) > 1e-8} == set()
+
+
+def test_best_first_leaves_most_tile_pairs_unread(spark):
+    v, frame = clustered(spark, groups=60, each=20)
+    table = cosine.tiles(frame, "stem", "embedding", "split", block=20, most=60)
+    best, read, total = cosine.best_across(table, 10)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = u @ u.T
+    want = sorted(((c[i, j], i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if i % 3 != j % 3), reverse=True)[:10]
+    assert [(r.src, r.dst) for r in best] == [(i, j) for _, i, j in want]
+    assert read < total / 4
+
+
+def test_tiles_of_odd_vectors(spark, rows):
+    """Zero, null, huge and not finite vectors, copies, and a label that is null; a threshold below zero takes zero vectors in."""
+    big = [1e200, 2e200]
+    data = [(1, [1.0, 2.0], "x"), (2, [0.0, 0.0], "x"), (3, None, "x"), (4, big, "y"), (5, [float("nan"), 1.0], "y"), (6, [-1.0, -2.0], None), (None, [1.0, 2.0], "x"), (7, [1e-300, 2e-300], "y"), (8, [1.0, 2.0], "x")]
+    frame = spark.createDataFrame(data, "stem long, embedding array<double>, split string")
+    found = lambda t: sorted((r.src, r.dst) for r in neardup.cosine_pairs(frame, t, block=3).collect())
+    assert found(0.999) == [(1, 4), (1, 7), (1, 8), (4, 7), (4, 8), (7, 8)]
+    assert len(found(-1.1)) == 7 * 6 // 2
+    top = neardup.top_across_splits(frame.select("stem", "embedding"), frame.select("stem", "split").filter("stem is not null"), 3).collect()
+    assert {(r.src, r.dst, r.left_split, r.right_split) for r in top} <= {(1, 4, "x", "y"), (1, 7, "x", "y"), (4, 8, "y", "x"), (7, 8, "y", "x")} and len(top) == 3
+    none = spark.createDataFrame([], "stem long, embedding array<double>, split string")
+    assert neardup.cosine_pairs(none, 0.5).count() == 0 and cosine.top_across(none, "split", 5).count() == 0
+    text = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0])], "stem string, embedding array<float>")
+    assert rows(neardup.cosine_pairs(text, 0.9)) == [("a", "b", 1.0)]
+
+
+def test_smallest_distance_beyond_the_threshold_is_searched(spark):
+    h = hashes(spark, 0, (1 << 30) - 1, 0)
+    v = spark.createDataFrame([(n, [1.0, float(n)]) for n in range(3)], "stem long, embedding array<double>")
+    for splits, want in ((("a", "b", "a"), (0, 30)), (("a", "a", "b"), (1, 0)), (("a", None, "a"), (0, 64))):
+        members = spark.createDataFrame(list(enumerate(splits)), "stem long, split string")
+        assert tuple(neardup.cross_split_extremes(h, v, members, 3, 0.99).first())[:2] == want

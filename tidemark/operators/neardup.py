@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import hamming
+from tidemark.operators.cosine import BLOCK, block_pairs, cosine_pairs, extremes_across, sides, tiles, top_across
 from tidemark.session import cut, ship
 
-BANDS, BLOCK = 4, 1024
+BANDS = 4
 
 
 def _probes(radius: int, width: int) -> list[int]:
@@ -74,25 +75,12 @@ def hamming_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_
     return both.filter("src <> dst").unionByName(same)
 
 
-def block_pairs(rows: DataFrame, block: int, total: int | None = None) -> DataFrame:
-    """Adds ``own, ba, bb``: rows dealt to blocks of about ``block`` by a hash of ``id``, each sent to every pair of blocks with its own."""
-    n = max(1, -(-(rows.count() if total is None else total) // block))
-    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    dealt = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return dealt.withColumns({"ba": F.least("own", "o"), "bb": F.greatest("own", "o")}).drop("o")
-
-
-def _sides(frame: pd.DataFrame, ba: int, bb: int):
-    left = frame[frame.own == ba]
-    return left, left if ba == bb else frame[frame.own == bb]
-
-
 def _blocked_hamming(rows: DataFrame, threshold: int) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     ship(rows.sparkSession)
 
     def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(frame, *key)
+        left, right = sides(frame, *key)
         d = np.bitwise_count((left.h.to_numpy()[:, None] ^ right.h.to_numpy()[None, :]).view(np.uint64))
         i, j = np.nonzero(d <= threshold)
         a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
@@ -103,28 +91,6 @@ def _blocked_hamming(rows: DataFrame, threshold: int) -> DataFrame:
     return block_pairs(rows, BLOCK).groupBy("ba", "bb").applyInPandas(compare, f"src {kind}, dst {kind}, distance int")
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "stem", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """``src, dst, cosine`` for src < dst with cosine >= threshold, exact in double precision: one matrix product for each pair of blocks."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-    kind = rows.schema["id"].dataType.simpleString()
-    ship(rows.sparkSession)
-
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(frame, *key)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "dst": [], "cosine": []})
-        a, b = np.stack(left.v.to_numpy()), np.stack(right.v.to_numpy())
-        a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-        b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
-        c = a @ b.T
-        i, j = np.nonzero(c >= threshold)
-        x, y = left.id.to_numpy()[i], right.id.to_numpy()[j]
-        keep = x < y if key[0] == key[1] else x != y
-        return pd.DataFrame({"src": np.minimum(x, y)[keep], "dst": np.maximum(x, y)[keep], "cosine": c[i, j][keep]})
-
-    return block_pairs(rows, block).groupBy("ba", "bb").applyInPandas(compare, f"src {kind}, dst {kind}, cosine double")
-
-
 def cosine_pairs_lsh(vectors: DataFrame, threshold: float, id_col: str = "stem", vector_col: str = "embedding", tables: int = 12, bucket: float = 1.0) -> DataFrame:
     """The same pairs by random projections, then exactly verified; may miss some (see ``recall_of``)."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -163,35 +129,10 @@ def across_splits(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def top_across_splits(vectors: DataFrame, members: DataFrame, limit: int = 20, block: int = BLOCK) -> DataFrame:
     """``src, dst, cosine, left_split, right_split``: the ``limit`` most similar pairs of different splits, whatever their cosine.
 
-    Each pair of blocks returns its own ``limit`` best only. Order as ``top_pairs``.
+    Best first over tiles (``cosine.best_across``). Order as ``top_pairs``.
     """
-    rows = members.join(vectors, "stem").select(F.col("stem").alias("id"), "split", F.col("embedding").cast("array<double>").alias("v")).filter("id is not null and v is not null")
-    kind = rows.schema["id"].dataType.simpleString()
-    ship(rows.sparkSession)
-
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(frame, *key)
-        none = pd.DataFrame({"src": [], "dst": [], "cosine": [], "left_split": [], "right_split": []})
-        if not len(left) or not len(right):
-            return none
-        a, b = (np.stack(s.v.to_numpy()) for s in (left, right))
-        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, b))
-        x, y, p, q = left.id.to_numpy(), right.id.to_numpy(), left.split.to_numpy(), right.split.to_numpy()
-        apart = p[:, None] != q[None, :]
-        if key[0] == key[1]:
-            apart &= x[:, None] < y[None, :]
-        c = np.where(apart, a @ b.T, -np.inf)
-        least = np.partition(c, -limit, axis=None)[-limit] if c.size > limit else -np.inf
-        i, j = np.nonzero((c >= least) & apart)
-        flip = x[i] > y[j]
-        out = pd.DataFrame({
-            "src": np.where(flip, y[j], x[i]), "dst": np.where(flip, x[i], y[j]), "cosine": c[i, j],
-            "left_split": np.where(flip, q[j], p[i]), "right_split": np.where(flip, p[i], q[j]),
-        })
-        return out.sort_values(["cosine", "src", "dst"], ascending=False).head(limit) if len(out) else none
-
-    found = block_pairs(rows, block).groupBy("ba", "bb").applyInPandas(compare, f"src {kind}, dst {kind}, cosine double, left_split string, right_split string")
-    return top_pairs(found, limit)
+    rows = members.join(vectors, "stem").select("stem", "split", "embedding")
+    return top_pairs(top_across(rows, "split", limit, block=block), limit)
 
 
 def top_pairs(pairs: DataFrame, limit: int = 20) -> DataFrame:
@@ -202,32 +143,30 @@ def top_pairs(pairs: DataFrame, limit: int = 20) -> DataFrame:
 def cross_split_extremes(hashes: DataFrame, vectors: DataFrame, members: DataFrame, phash_threshold: int, cosine_threshold: float, block: int = BLOCK) -> DataFrame:
     """One row: violations of both kinds, smallest distance and largest cosine between splits, over all pairs.
 
-    ``hashes(stem, h)``, ``vectors(stem, embedding)``, ``members(stem, split)``. Each pair of blocks returns its own extremes and counts, so that nothing but one row a block pair
-    leaves the tasks. Without any pair the distance is 64 and the cosine -1.
+    ``hashes(stem, h)``, ``vectors(stem, embedding)``, ``members(stem, split)``. Cosines come from pruned tiles, distances from classes of equal hashes and their
+    counts in each split; where no pair lies within the threshold, the radius grows until one is found. Without any pair the distance is 64 and the cosine -1.
     """
-    rows = members.join(hashes, "stem").join(vectors, "stem").select(F.col("stem").alias("id"), "split", "h", F.col("embedding").cast("array<double>").alias("v"))
-    ship(rows.sparkSession)
-
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(frame, *key)
-        empty = pd.DataFrame({"p": [0], "d": [64], "e": [0], "c": [-1.0]})
-        if not len(left) or not len(right):
-            return empty
-        apart = left.split.to_numpy()[:, None] != right.split.to_numpy()[None, :]
-        if key[0] == key[1]:
-            apart &= left.id.to_numpy()[:, None] < right.id.to_numpy()[None, :]
-        if not apart.any():
-            return empty
-        d = np.bitwise_count((left.h.to_numpy()[:, None] ^ right.h.to_numpy()[None, :]).view(np.uint64))[apart]
-        a, b = (np.stack(s.v.to_numpy()) for s in (left, right))
-        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) for x in (a, b))
-        c = (a @ b.T)[apart]
-        return pd.DataFrame({"p": [int((d <= phash_threshold).sum())], "d": [int(d.min())], "e": [int((c >= cosine_threshold).sum())], "c": [float(c.max())]})
-
-    found = block_pairs(rows, block).groupBy("ba", "bb").applyInPandas(compare, "p bigint, d int, e bigint, c double")
-    return found.agg(
-        F.coalesce(F.sum("p"), F.lit(0)).alias("cross_split_phash_violations"),
-        F.coalesce(F.min("d"), F.lit(64)).alias("minimum_cross_split_phash_distance"),
-        F.coalesce(F.sum("e"), F.lit(0)).alias("cross_split_embedding_violations"),
-        F.coalesce(F.max("c"), F.lit(-1.0)).alias("maximum_cross_split_cosine"),
-    )
+    own = members.select("stem", "split").filter("split is not null")
+    table = tiles(own.join(vectors, "stem"), "stem", "embedding", "split", block)
+    embedding, most = extremes_across(table, cosine_threshold)
+    phash, least = _hash_extremes(own.join(hashes, "stem").filter("h is not null"), phash_threshold)
+    schema = "cross_split_phash_violations long, minimum_cross_split_phash_distance int, cross_split_embedding_violations long, maximum_cross_split_cosine double"
+    return members.sparkSession.createDataFrame([(phash, least, embedding, most)], schema)
+
+
+def _hash_extremes(rows: DataFrame, threshold: int) -> tuple[int, int]:
+    """Pairs of rows of different splits within ``threshold`` bits, and the smallest distance of all such pairs (64 without any)."""
+    counts = cut(rows.groupBy("h", "split").agg(F.count(F.lit(1)).alias("n")), "hash-splits")
+    whole = counts.groupBy("h").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("splits"))
+    equal = whole.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0)).cast("long")).first()[0]
+    if counts.select("split").distinct().limit(2).count() < 2:
+        return 0, 64
+    radius = threshold
+    while True:
+        near = hash_pairs(counts.select("h"), radius)
+        left, right = (counts.select(F.col("h").alias(x), F.col("split").alias(f"{x}_split"), F.col("n").alias(f"{x}_n")) for x in "ab")
+        across = near.join(left, "a").join(right, "b").filter("a_split <> b_split")
+        row = across.agg(F.coalesce(F.sum(F.when(F.col("distance") <= threshold, F.col("a_n") * F.col("b_n"))), F.lit(0)).alias("n"), F.min("distance").alias("d")).first()
+        if equal or row.d is not None or radius == 64:
+            return equal + row.n, 0 if equal else 64 if row.d is None else row.d
+        radius = min(64, radius + 4)
