@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.vectors import uniform
+from tidemark.operators.ranges import places
+from tidemark.session import cut
 
 NAMES = ("train", "val", "test")
-#: Most group summaries that the exact sequential rule takes; beyond, only the largest groups go through it.
-HEAD = 200_000
+# Weights of class error and of overflow beside the fill of a split.
+CLASS_ERROR_WEIGHT, OVERFLOW_WEIGHT = 0.02, 5.0
+#: Scores that agree to so many digits are equal, and the first split wins.
+SCORE_DIGITS = 9
+#: Class shares are told apart in so many steps.
+MIX_STEPS = 10
 
 
 def check_ratios(ratios: tuple[float, float, float]) -> None:
@@ -68,60 +73,95 @@ def group_summaries(members: DataFrame, histograms: DataFrame, seed: int = 42) -
     return out.withColumn("tie", seeded(seed, F.col("group_id")))
 
 
-def _fold(rows: list, total: int, classes: list[float], ratios: tuple, counts: list[int], sums: list[list[float]]) -> list[str]:
-    """Each group in turn to the split where fill, class error and overflow are least; the first wins ties."""
-    out = []
-    for row in rows:
-        size, mix = row["size"], (row["obstacle"], row["water"], row["sky"])
-        best = None
-        for k, ratio in enumerate(ratios):
-            target = max(ratio * total, 1.0)
-            error = sum(((sums[k][c] + mix[c] - classes[c] * ratio) / (classes[c] * ratio)) ** 2 for c in range(3)) / 3
-            score = (counts[k] + size) / target + 0.02 * error + 5.0 * max(counts[k] + size - ratio * total, 0.0) / target
-            if best is None or score < best[0]:
-                best = score, k
-        k = best[1]
-        counts[k] += size
-        sums[k] = [sums[k][c] + mix[c] for c in range(3)]
-        out.append(NAMES[k])
-    return out
-
-
-def grouped_split(members: DataFrame, histograms: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42, head: int = HEAD) -> DataFrame:
+class SplitFill:
+    """Images and class pixels that each split holds so far, and the score of giving it more."""
+
+    def __init__(self, total: int, classes: list[float], ratios: tuple[float, float, float]):
+        self.total, self.ratios = total, ratios
+        self.wanted = [[c * r for c in classes] for r in ratios]
+        self.images, self.pixels = [0, 0, 0], [[0.0] * 3 for _ in range(3)]
+
+    def score(self, k: int, x: int, size: int, mix: list[float]) -> float:
+        """Score of split ``k`` once it has ``x`` more groups of one size and mix: fill, class error, overflow."""
+        target, images = self.ratios[k] * self.total, self.images[k] + x * size
+        error = sum(((p + x * m - w) / w) ** 2 for p, m, w in zip(self.pixels[k], mix, self.wanted[k], strict=True)) / 3
+        return round((images + OVERFLOW_WEIGHT * max(images - target, 0.0)) / max(target, 1.0) + CLASS_ERROR_WEIGHT * error, SCORE_DIGITS)
+
+    def place(self, n: int, size: int, mix: list[float]) -> list[int]:
+        """How many of ``n`` groups of one size and mix each split gets, as if they came one by one, each to the split of the least score.
+
+        A split's scores are convex in what it has got, so that it is served until its score passes the others': one by one is the same as taking
+        the n smallest of all splits' scores (each as high as the first at least), and that level is found by bisection, whatever n.
+        """
+
+        def reach(k: int, level: float, equal: bool) -> int:
+            """Groups that split ``k`` takes while its scores are below the level (or equal to it)."""
+            inside = lambda x: (v := self.score(k, x, size, mix)) < level or (equal and v == level)
+            if not n or not inside(1):
+                return 0
+            low, high = 1, n
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if inside(middle) else (low, middle - 1)
+            return low
+
+        def before(k: int, x: int) -> int:
+            """Groups placed up to and with the x-th of split ``k``."""
+            level = max(self.score(k, 1, size, mix), self.score(k, x, size, mix))
+            return x + sum(reach(j, level, j < k) for j in range(3) if j != k)
+
+        out = []
+        for k in range(3):
+            low, high = 0, n
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if before(k, middle) <= n else (low, middle - 1)
+            out.append(low)
+        for k, x in enumerate(out):
+            self.images[k] += x * size
+            self.pixels[k] = [p + x * m for p, m in zip(self.pixels[k], mix, strict=True)]
+        return out
+
+
+def mix_cell(*classes: Column) -> Column:
+    """Number of a group's class mix: the shares of the first two classes in tenths (0 without pixels)."""
+    total = sum(classes[1:], classes[0])
+    tenth = lambda c: F.floor(c * MIX_STEPS / total)
+    return F.when(total > 0, tenth(classes[0]) * (MIX_STEPS + 1) + tenth(classes[1])).otherwise(0).cast("long")
+
+
+def _dealt(place: Column, n: Column, first: Column, second: Column) -> Column:
+    """Split of the ``place``-th (from 0) of ``n`` rows of which ``first`` and ``second`` go to the first two splits, each evenly spread over the order."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    exact = lambda p, x, m: F.call_function("div", wide(p) * wide(x), wide(F.greatest(m, F.lit(1)))).cast("long")
+    train = exact(place + 1, first, n) > exact(place, first, n)
+    later = place - exact(place, first, n)
+    val = exact(later + 1, second, n - first) > exact(later, second, n - first)
+    return F.when(train, NAMES[0]).when(val, NAMES[1]).otherwise(NAMES[2])
+
+
+def grouped_split(members: DataFrame, histograms: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """``stem, split`` that never parts a group: ``members(stem, group_id)``, ``histograms(stem, obstacle, water, sky)``.
 
-    The sequential rule (largest first, seeded ties) runs over summaries of the largest ``head`` groups; their number is
-    bounded, whatever the corpus. Smaller groups fill what is left of the quotas: in each class of size and leading
-    label, a seeded order is cut at the remaining shares.
+    Groups of one size are placed together, largest size first, in one step (``SplitFill.place``) that counts what placing them one by one, at their mean
+    mix, would give each split; a group of a size of its own is placed by its own mix. The counts of a size are then dealt evenly over its groups in an order of class mix and
+    seeded digests, so that each split gets each mix in proportion. Only counts of sizes reach the driver: as sizes add up to the number of images N, there are
+    at most as many as the root of 2 N.
     """
     check_ratios(ratios)
     spark = members.sparkSession
-    summary = group_summaries(members, histograms, seed)
-    totals = summary.agg(F.count(F.lit(1)), F.sum("size"), *[F.sum(c) for c in ("obstacle", "water", "sky")]).first()
-    if not totals[0]:
+    names = ("obstacle", "water", "sky")
+    summary = cut(group_summaries(members, histograms, seed).withColumn("mix", mix_cell(*map(F.col, names))), "groups")
+    sizes = summary.groupBy("size").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).collect()
+    if not sizes:
         return members.select("stem", F.lit(None).cast("string").alias("split"))
-    classes = [float(max(v or 0, 1)) for v in totals[2:]]
-    order = summary.orderBy(F.desc("size"), "tie", "group_id")
-    rows = order.limit(head).collect()
-    counts, sums = [0, 0, 0], [[0.0] * 3 for _ in range(3)]
-    splits = _fold(rows, totals[1], classes, ratios, counts, sums)
-    kind = summary.schema["group_id"].dataType.simpleString()
-    placed = spark.createDataFrame(list(zip((r["group_id"] for r in rows), splits, strict=True)), f"group_id {kind}, split string")
-    if totals[0] > head:
-        left = [max(0.0, r * totals[1] - c) for r, c in zip(ratios, counts, strict=True)]
-        share = sum(left) or 1.0
-        first, second = left[0] / share, (left[0] + left[1]) / share
-        tail = summary.join(placed.select("group_id"), "group_id", "left_anti")
-        top = F.greatest("obstacle", "water", "sky")
-        lead = F.when(F.col("obstacle") == top, 0).when(F.col("water") == top, 1).otherwise(2)
-        # cells are cut by the digest's first digits as well, so that a common size is no single partition; each starts
-        # at a drawn place, so that small ones do not all begin with the first split
-        parts = ["size", lead, F.substring("tie", 1, 2)]
-        cell = Window.partitionBy(*parts)
-        place = F.row_number().over(cell.orderBy("tie", "group_id")) - 1 + uniform(seed, *parts)
-        at = place / F.count(F.lit(1)).over(cell)
-        tail = tail.select("group_id", F.when(at < first, NAMES[0]).when(at < second, NAMES[1]).otherwise(NAMES[2]).alias("split"))
-        placed = placed.unionByName(tail)
+    sizes.sort(key=lambda r: -r["size"])
+    classes = [float(max(sum(r[c] for r in sizes), 1)) for c in names]
+    fill = SplitFill(sum(r["size"] * r["n"] for r in sizes), classes, ratios)
+    quotas = [(r["size"], r["n"], *fill.place(r["n"], r["size"], [r[c] / r["n"] for c in names])[:2]) for r in sizes]
+    table = spark.createDataFrame(quotas, "size long, n long, first long, second long")
+    ranked_ = places(summary.select("group_id", "size", "mix", "tie"), ["size", "mix", "tie", "group_id"], "place", within=["size"], start=0)
+    placed = ranked_.join(table, "size").select("group_id", _dealt(F.col("place"), F.col("n"), F.col("first"), F.col("second")).alias("split"))
     return members.join(placed, "group_id").select("stem", "split")
 
 

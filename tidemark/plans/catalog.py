@@ -463,7 +463,7 @@ def split_sizes(spark, d):
 
 
 def _fold_ctes() -> list[str]:
-    """Groups in order, each to the split where fill, class error and overflow are least: one recursive step a group."""
+    """Groups in order of size, one recursive step each, to the split where fill, class error and overflow are least; the counts of a size are dealt evenly over its groups by mix and digest."""
     ratios, mix = (0.7, 0.15, 0.15), ("obstacle", "water", "sky")
     error = lambda k, r: " + ".join(f"((s{k}{c} + o.m{c} - t.c{c} * {r}) / (t.c{c} * {r})) * ((s{k}{c} + o.m{c} - t.c{c} * {r}) / (t.c{c} * {r}))" for c in range(3))
     score = lambda k, r: f"(n{k} + o.size) / greatest({r} * t.total, 1) + 0.02 * (({error(k, r)}) / 3) + 5.0 * greatest(n{k} + o.size - {r} * t.total, 0) / greatest({r} * t.total, 1)"
@@ -472,11 +472,14 @@ def _fold_ctes() -> list[str]:
     return [
         fx.MIX,
         f"gs as (select group_id, count(*) as size, {', '.join(f'coalesce(sum({m}), 0)::DOUBLE as m{c}' for c, m in enumerate(mix))}, sha256('42:' || cast(group_id as varchar)) as tie from members left join mix using (stem) group by group_id)",
-        "go as (select *, row_number() over (order by size desc, tie, group_id) as n from gs)",
+        "gc as (select *, case when m0 + m1 + m2 > 0 then floor(m0 * 10 / (m0 + m1 + m2)) * 11 + floor(m1 * 10 / (m0 + m1 + m2)) else 0 end as cell from gs)",
+        f"go as (select group_id, size, row_number() over (order by size desc, group_id) as n, row_number() over (partition by size order by cell, tie, group_id) - 1 as p, count(*) over (partition by size) as c, {', '.join(f'avg(m{c}) over (partition by size) as m{c}' for c in range(3))} from gc)",
         f"gt as (select sum(size)::DOUBLE as total, {', '.join(f'greatest(sum(m{c}), 1)::DOUBLE as c{c}' for c in range(3))} from gs)",
-        f"gf as (select 0::BIGINT as n, null::BIGINT as group_id, -1 as k, {', '.join(f'0::DOUBLE as {x}' for x in state)} union all select n, group_id, k, {', '.join([f'n{j} + case when k = {j} then size else 0 end' for j in range(3)] + [f's{j}{c} + case when k = {j} then m{c} else 0 end' for j in range(3) for c in range(3)])} from ("
-        f"select *, {chosen} as k from (select o.n, o.group_id, o.size, o.m0, o.m1, o.m2, {', '.join('f.' + x for x in state)}, {', '.join(f'{score(k, r)} as a{k}' for k, r in enumerate(ratios))} from gf f join go o on o.n = f.n + 1, gt t)))",
-        "gsplit as (select m.stem, ['train', 'val', 'test'][f.k + 1] as split from members m join gf f using (group_id))",
+        f"gf as (select 0::BIGINT as n, null::BIGINT as size, -1 as k, {', '.join(f'0::DOUBLE as {x}' for x in state)} union all select n, size, k, {', '.join([f'n{j} + case when k = {j} then size else 0 end' for j in range(3)] + [f's{j}{c} + case when k = {j} then m{c} else 0 end' for j in range(3) for c in range(3)])} from ("
+        f"select *, {chosen} as k from (select o.n, o.size, o.m0, o.m1, o.m2, {', '.join('f.' + x for x in state)}, {', '.join(f'round({score(k, r)}, 9) as a{k}' for k, r in enumerate(ratios))} from gf f join go o on o.n = f.n + 1, gt t)))",
+        "gq as (select size, count(*) filter (where k = 0) as q0, count(*) filter (where k = 1) as q1 from gf where k >= 0 group by size)",
+        "gd as (select group_id, (p + 1) * q0 // c > p * q0 // c as t, p - p * q0 // c as r, greatest(c - q0, 1) as d, q1 from go join gq using (size))",
+        "gsplit as (select m.stem, case when t then 'train' when (r + 1) * q1 // d > r * q1 // d then 'val' else 'test' end as split from members m join gd using (group_id))",
     ]
 
 
