@@ -25,7 +25,7 @@ def test_block_hash_uses_the_median_without_the_first(spark):
     assert bits == "1" + "0" * 32 + "1" * 31
 
 
-@pytest.mark.parametrize("threshold", [0, 1, 3, 6, 9, 13, 20])
+@pytest.mark.parametrize("threshold", [0, 1, 3, 6, 9, 12, 17, 20, 25])
 def test_hamming_pairs_equal_brute_force(spark, rows, threshold):
     rng = np.random.default_rng(threshold)
     base = rng.integers(-(2**63), 2**63, 12)
@@ -178,3 +178,26 @@ def test_smallest_distance_beyond_the_threshold_is_searched(spark):
     for splits, want in ((("a", "b", "a"), (0, 30)), (("a", "a", "b"), (1, 0)), (("a", None, "a"), (0, 64))):
         members = spark.createDataFrame(list(enumerate(splits)), "stem long, split string")
         assert tuple(neardup.cross_split_extremes(h, v, members, 3, 0.99).first())[:2] == want
+
+
+def test_probe_plans_miss_no_pair():
+    for threshold in range(9, 21):
+        for rows in (10, 10_000, 10**7, 10**9):
+            plan = neardup.probe_plan(threshold, rows)
+            assert sum(r + 1 for _, _, r in plan) == threshold + 1 and sum(w for _, w, _ in plan) == 64
+            assert [s for s, _, _ in plan] == np.cumsum([0] + [w for _, w, _ in plan])[:-1].tolist()
+    wide = {rows: max(w for _, w, _ in neardup.probe_plan(14, rows)) for rows in (100, 10**7)}
+    assert wide[100] < wide[10**7]  # keys get wider as rows grow, so that candidates a probe stay few
+
+
+def test_a_hot_hash_is_expanded_in_blocks(spark, monkeypatch):
+    """A hash of a third of all rows: all its pairs are there, and those with a near hash, whose copies fill several blocks too."""
+    monkeypatch.setattr(neardup, "COPIES", 16)
+    values = [5] * 60 + [4] * 40 + [1 << n for n in range(20, 50)]
+    got = [tuple(r) for r in neardup.hamming_pairs(hashes(spark, *values), 1).collect()]
+    want = [(i, j, (values[i] ^ values[j]).bit_count()) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 1]
+    assert sorted(got) == want
+    frame = hashes(spark, *values)
+    classes = neardup.hash_classes(frame)
+    assert {r.class_id for r in classes.collect()} == {0, 60, *range(100, 130)} and classes.count() == len(values)
+    assert [tuple(r) for r in neardup.class_pairs(frame, 1).collect()] == [(0, 60, 1)]

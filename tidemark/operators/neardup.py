@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
+from math import comb
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import hamming
-from tidemark.operators.cosine import BLOCK, block_pairs, cosine_pairs, extremes_across, sides, tiles, top_across
-from tidemark.session import cut, ship
+from tidemark.operators.cosine import BLOCK, cosine_pairs, extremes_across, tiles, top_across
+from tidemark.session import cut
 
-BANDS = 4
+#: Copies of a hash that stand under one key of an expansion.
+COPIES = 1024
+#: Most bits that are probed for, and most probes of a block.
+PROBED, MOST_PROBES = 20, 50_000
 
 
 def _probes(radius: int, width: int) -> list[int]:
@@ -21,28 +25,82 @@ def _probes(radius: int, width: int) -> list[int]:
     return [sum(1 << b for b in chosen) for k in range(radius + 1) for chosen in combinations(range(width), k)]
 
 
+def probe_plan(threshold: int, rows: int) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of each block: the number of blocks that leaves the fewest probes and candidates for so many distinct hashes.
+
+    Radii, each plus one, add up to the threshold plus one, so that not all blocks can differ by more than theirs.
+    """
+    best = None
+    for m in range(2, threshold + 2):
+        edges = [64 * k // m for k in range(m + 1)]
+        spare = threshold + 1 - m
+        plan = [(edges[k], edges[k + 1] - edges[k], spare // m + (k < spare % m)) for k in range(m)]
+        probes = [sum(comb(w, r) for r in range(radius + 1)) for _, w, radius in plan]
+        cost = sum(n * (1 + rows / 2**w) for n, (_, w, _) in zip(probes, plan, strict=True))
+        if max(probes) <= MOST_PROBES and (best is None or cost < best[0]):
+            best = cost, plan
+    return best[1]
+
+
+def _probed_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
+    plan = probe_plan(threshold, distinct.count())
+    bits = lambda h, shift, width: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1))
+    left = distinct.select(F.col("h").alias("a"), F.inline(F.array(*[F.struct(F.lit(n).alias("band"), bits(F.col("h"), s, w).alias("bits")) for n, (s, w, _) in enumerate(plan)])))
+    parts = []
+    for n, (shift, width, radius) in enumerate(plan):
+        patterns = F.from_json(F.lit(json.dumps(_probes(radius, width))), "array<bigint>")  # folded to one literal
+        parts.append(distinct.select(F.col("h").alias("b"), F.lit(n).alias("band"), F.explode(patterns).alias("p")).withColumn("bits", bits(F.col("b"), shift, width).bitwiseXOR(F.col("p"))).drop("p"))
+    right = parts[0]
+    for part in parts[1:]:
+        right = right.unionByName(part)
+    # a pair meets once in each block within its radius: the first of them keeps it
+    far = [F.bit_count(bits(F.col("a").bitwiseXOR(F.col("b")), s, w)) > r for s, w, r in plan]
+    first = F.lit(True)
+    for n in range(1, len(plan)):
+        first &= (F.col("band") < n) | far[n - 1]
+    near = left.join(right, ["band", "bits"]).filter((F.col("a") < F.col("b")) & first & (hamming(F.col("a"), F.col("b")) <= threshold))
+    return near.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
+
+
+def _sign_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
+    """Bits as components -1 and 1: of 64, d differ where the cosine is 1 - d / 32."""
+    sign = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("h", k).cast("double") * 2 - 1)
+    near = cosine_pairs(distinct.select("h", sign.alias("v")), 1 - threshold / 32 - 1e-9, "h", "v").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return near.withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= threshold)
+
+
+def hash_classes(hashes: DataFrame, id_col: str = "stem", hash_col: str = "h") -> DataFrame:
+    """``id, h, class_id``: membership in classes of equal hashes, named by their smallest id; ids and hashes that are null are left out."""
+    rows = hashes.select(F.col(id_col), F.col(hash_col).alias("h")).filter(F.col(id_col).isNotNull() & F.col("h").isNotNull())
+    return rows.join(rows.groupBy("h").agg(F.min(id_col).alias("class_id")), "h").select(id_col, "h", "class_id")
+
+
+def class_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_col: str = "h") -> DataFrame:
+    """``a_class, b_class, distance`` for classes a < b of different hashes within the threshold: with ``hash_classes`` all pairs there are, and none written out."""
+    names = hashes.filter(F.col(id_col).isNotNull() & F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("class"))
+    names = cut(names, "classes")
+    a, b = (names.select(F.col("h").alias(x), F.col("class").alias(f"{x}_name")) for x in "ab")
+    near = hash_pairs(names, threshold).join(a, "a").join(b, "b")
+    return near.select(F.least("a_name", "b_name").alias("a_class"), F.greatest("a_name", "b_name").alias("b_class"), "distance")
+
+
 def hash_pairs(hashes: DataFrame, threshold: int, hash_col: str = "h") -> DataFrame:
     """``a, b, distance`` for distinct hashes a < b with distance <= threshold: classes of equal hashes are one row each.
 
     Up to 8 bits: of threshold + 3 blocks of bits three agree at least, so that an equi-join on three blocks (17 to 63 bits wide) finds every pair.
-    Up to 11 bits: four 16-bit bands, of which one differs in at most threshold // 4 bits; one side probes that radius. Beyond,
-    keys would be too narrow or probes outnumber the rows: blocks of rows are compared pair by pair of blocks instead.
+    Up to 20 bits: blocks of bits with a radius each that add up, with one more for each but one, to the threshold: one block differs in no more bits than its radius,
+    and one side probes that radius (``probe_plan``). Beyond, where most hashes of a corpus are near each other, pruned tiles of the bits as vectors.
     """
     distinct = hashes.select(F.col(hash_col).alias("h")).filter("h is not null").distinct()
-    if threshold > 11:
-        found = _blocked_hamming(distinct.select(F.col("h").alias("id"), "h"), threshold)
-        return found.select(F.col("src").alias("a"), F.col("dst").alias("b"), "distance")
-    if threshold <= 8:
-        edges = [64 * k // (threshold + 3) for k in range(threshold + 4)]
-        masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(threshold + 3), 3)]
-        keys = F.array(*[F.struct(F.lit(n).alias("band"), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for n, m in enumerate(masks)])
-        rows = distinct.select("h", F.inline(keys))
-        left, right = rows.withColumnRenamed("h", "a"), rows.withColumnRenamed("h", "b")
-    else:
-        part = lambda h, b: F.shiftrightunsigned(h, 16 * b).bitwiseAND(F.lit(0xFFFF))
-        bands = lambda probe: F.array(*[F.struct(F.lit(b).alias("band"), part(F.col("h"), b).bitwiseXOR(F.lit(p)).alias("bits")) for b in range(BANDS) for p in probe])
-        left = distinct.select(F.col("h").alias("a"), F.inline(bands([0])))
-        right = distinct.select(F.col("h").alias("b"), F.inline(bands(_probes(threshold // BANDS, 16))))
+    if threshold > PROBED:
+        return _sign_pairs(distinct, threshold)
+    if threshold > 8:
+        return _probed_pairs(cut(distinct, "hashes"), threshold)
+    edges = [64 * k // (threshold + 3) for k in range(threshold + 4)]
+    masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(threshold + 3), 3)]
+    keys = F.array(*[F.struct(F.lit(n).alias("band"), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for n, m in enumerate(masks)])
+    rows = distinct.select("h", F.inline(keys))
+    left, right = rows.withColumnRenamed("h", "a"), rows.withColumnRenamed("h", "b")
     near = left.join(right, ["band", "bits"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold))
     return near.select("a", "b").distinct().withColumn("distance", hamming(F.col("a"), F.col("b")))
 
@@ -62,33 +120,23 @@ def hamming_edges(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_
 def hamming_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_col: str = "h") -> DataFrame:
     """``src, dst, distance`` for src < dst with distance <= threshold: ``hash_pairs`` expanded to all pairs of ids.
 
-    A hash of many copies has as many pairs as their square; where links are enough, take ``hamming_edges``.
+    A hash of many copies has as many pairs as their square, which are written out in blocks of COPIES by COPIES rows, so that no key is hot; where
+    classes or links are enough, take ``class_pairs`` or ``hamming_edges``.
     """
     if not 0 <= threshold <= 64:
         raise ValueError("a threshold of 0 to 64 bits is needed")
-    rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("id is not null and h is not null")
-    near = hash_pairs(rows, threshold)
-    both = near.join(rows.select(F.col("h").alias("a"), F.col("id").alias("x")), "a").join(rows.select(F.col("h").alias("b"), F.col("id").alias("y")), "b")
-    same = rows.alias("l").join(rows.alias("r"), F.col("l.h") == F.col("r.h")).filter("l.id < r.id")
-    same = same.select(F.col("l.id").alias("src"), F.col("r.id").alias("dst"), F.lit(0).alias("distance"))
-    both = both.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "distance")
-    return both.filter("src <> dst").unionByName(same)
-
-
-def _blocked_hamming(rows: DataFrame, threshold: int) -> DataFrame:
-    kind = rows.schema["id"].dataType.simpleString()
-    ship(rows.sparkSession)
-
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = sides(frame, *key)
-        d = np.bitwise_count((left.h.to_numpy()[:, None] ^ right.h.to_numpy()[None, :]).view(np.uint64))
-        i, j = np.nonzero(d <= threshold)
-        a, b = left.id.to_numpy()[i], right.id.to_numpy()[j]
-        keep = a < b if key[0] == key[1] else a != b
-        a, b = a[keep], b[keep]
-        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "distance": d[i, j][keep].astype(np.int32)})
-
-    return block_pairs(rows, BLOCK).groupBy("ba", "bb").applyInPandas(compare, f"src {kind}, dst {kind}, distance int")
+    rows = cut(hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("id is not null and h is not null"), "hash-rows")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / COPIES), F.lit(1)).cast("int")
+    classes = cut(rows.groupBy("h").agg(blocks.alias("blocks")), "hash-blocks")
+    dealt = rows.join(classes, "h").select("id", "h", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda x: classes.select(F.col("h").alias(x), F.col("blocks").alias(f"{x}_blocks"))
+    near = hash_pairs(classes, threshold).unionByName(classes.select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("distance")))
+    met = near.join(side("a"), "a").join(side("b"), "b").withColumn("i", upto("a_blocks")).withColumn("j", upto("b_blocks")).filter("a <> b or i <= j")
+    met = met.join(dealt.select(F.col("h").alias("a"), F.col("block").alias("i"), F.col("id").alias("x")), ["a", "i"])
+    met = met.join(dealt.select(F.col("h").alias("b"), F.col("block").alias("j"), F.col("id").alias("y")), ["b", "j"])
+    met = met.filter("x <> y and (a <> b or i <> j or x < y)")
+    return met.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "distance")
 
 
 def cosine_pairs_lsh(vectors: DataFrame, threshold: float, id_col: str = "stem", vector_col: str = "embedding", tables: int = 12, bucket: float = 1.0) -> DataFrame:
@@ -169,4 +217,4 @@ def _hash_extremes(rows: DataFrame, threshold: int) -> tuple[int, int]:
         row = across.agg(F.coalesce(F.sum(F.when(F.col("distance") <= threshold, F.col("a_n") * F.col("b_n"))), F.lit(0)).alias("n"), F.min("distance").alias("d")).first()
         if equal or row.d is not None or radius == 64:
             return equal + row.n, 0 if equal else 64 if row.d is None else row.d
-        radius = min(64, radius + 4)
+        radius = radius + 4 if radius < PROBED else 64

@@ -405,6 +405,20 @@ def hamming_join_far(spark, d):
     return neardup.hamming_pairs(fx.hashes(spark, d), 17)
 
 
+CLASSES = "cls as (select hi, lo, min(stem) as class_id from near group by hi, lo)"
+
+
+@query(with_(fx.NEAR, CLASSES) + "select stem, class_id from near join cls using (hi, lo)")
+def hash_classes(spark, d):
+    return neardup.hash_classes(fx.near_hashes(spark, d)).select("stem", "class_id")
+
+
+@query(with_(fx.NEAR, CLASSES) + f"select least(a.class_id, b.class_id) as a_class, greatest(a.class_id, b.class_id) as b_class, {DIST}::INT as distance from cls a join cls b on a.class_id < b.class_id and {DIST} <= 10")
+def hash_class_pairs(spark, d):
+    """Near classes of equal hashes within ten bits, which are probed for."""
+    return neardup.class_pairs(fx.near_hashes(spark, d), 10)
+
+
 COS = "list_cosine_similarity(a.v, b.v)"
 VEC = "vec as (select vec_id as stem, embedding::DOUBLE[] as v from embeddings)"
 PAIRS = f"pairs as (select a.stem as src, b.stem as dst, {COS} as cosine from vec a join vec b on a.stem < b.stem where {COS} >= 0.4)"
