@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import jpeg
 from tidemark.functions.geometry import geometry
 from tidemark.operators import imagejobs, scoring
 from tidemark.sources import files
@@ -143,3 +144,94 @@ def test_split_lists_and_sinks(spark, rows, tmp_path):
     for _ in range(2):
         files.append_history(h, str(tmp_path / "history"))
     assert spark.read.parquet(str(tmp_path / "history")).count() == 2
+
+
+def test_jpeg_golden_block():
+    """The block that textbooks on JPEG work through, at quality 50."""
+    block = np.array([
+        [52, 55, 61, 66, 70, 61, 64, 73], [63, 59, 55, 90, 109, 85, 69, 72], [62, 59, 68, 113, 144, 104, 66, 73], [63, 58, 71, 122, 154, 106, 70, 69],
+        [67, 61, 68, 104, 126, 88, 68, 70], [79, 65, 60, 70, 77, 68, 58, 75], [85, 71, 64, 59, 55, 61, 65, 83], [87, 79, 69, 68, 65, 76, 78, 94],
+    ])
+    table = jpeg.scaled(jpeg.LUMINANCE, 50)
+    assert (table == np.array(jpeg.LUMINANCE)).all()
+    got = jpeg.quantised(block, table).astype(int)
+    assert got[:5].tolist() == [
+        [-26, -3, -6, 2, 2, -1, 0, 0], [0, -2, -4, 1, 1, 0, 0, 0], [-3, 1, 5, -1, -1, 0, 0, 0], [-3, 1, 2, -1, 0, 0, 0, 0], [1, 0, 0, 0, 0, 0, 0, 0],
+    ] and not got[5:].any()
+    back = jpeg.restored(got, table)
+    assert np.abs(back - block).mean() == 4.875 and back[0, :4].tolist() == [62, 65, 57, 60]
+
+
+def test_jpeg_of_images():
+    rng = np.random.default_rng(3)
+    smooth = np.clip(np.add.outer(np.arange(37), np.arange(51))[:, :, None] * np.array([1.0, 2.0, 0.5]) + rng.normal(0, 6, (37, 51, 3)), 0, 255).astype(np.uint8)
+    errors = [np.abs(jpeg.compressed(smooth, q).astype(int) - smooth).mean() for q in (5, 25, 55, 75, 95)]
+    assert errors == sorted(errors, reverse=True) and errors[-1] < 6 < errors[0]
+    for flat in ([0, 0, 0], [255, 255, 255], [128, 128, 128]):
+        x = np.full((9, 10, 3), flat, np.uint8)
+        assert (jpeg.compressed(x, 75) == x).all()
+    gray = np.repeat(rng.integers(0, 256, (16, 24, 1)), 3, 2).astype(np.uint8)
+    out = jpeg.compressed(gray, 60)
+    assert (out[:, :, 0] == out[:, :, 1]).all() and (out[:, :, 0] == out[:, :, 2]).all() and (out != gray).any()
+    assert (jpeg.scaled(jpeg.LUMINANCE, 100) == 1).all() and jpeg.scaled(jpeg.CHROMINANCE, 25)[0, 0] == 34
+
+
+def test_colours_are_halved_and_doubled():
+    """By loops: means of four, and three parts of the nearer with one of the further neighbour each way."""
+    x = np.random.default_rng(1).integers(0, 256, (5, 7)).astype(float)
+    full = np.pad(x, ((0, 1), (0, 1)), mode="edge")
+    want = [[(int(full[2 * i : 2 * i + 2, 2 * j : 2 * j + 2].sum()) + 1 + j % 2) // 4 for j in range(4)] for i in range(3)]
+    assert jpeg.halved(x).tolist() == want
+    small = np.array(want)
+    near = lambda n, k: (k // 2, min(max(k // 2 + (1 if k % 2 else -1), 0), n - 1))
+    for y in range(6):
+        for c in range(8):
+            (a, b), (p, q) = near(3, y), near(4, c)
+            column = lambda at: 3 * small[a, at] + small[b, at]  # noqa: E731, B023
+            assert jpeg.doubled(small, (6, 8))[y, c] == (3 * column(p) + column(q) + 8 - c % 2) // 16
+
+
+def lanczos_by_loops(image, size):
+    """Columns, then rows, in whole numbers."""
+    import math
+
+    def axis(line, n):
+        m, out = len(line), []
+        scale = m / n
+        stretch = max(scale, 1.0)
+        for k in range(n):
+            centre = (k + 0.5) * scale
+            low, high = max(int(centre - 3 * stretch + 0.5), 0), min(int(centre + 3 * stretch + 0.5), m)
+            ts = [(j - centre + 0.5) / stretch for j in range(low, high)]
+            sinc = lambda v: 1.0 if v == 0 else math.sin(math.pi * v) / (math.pi * v)
+            ws = [sinc(t) * sinc(t / 3) if -3 <= t < 3 else 0.0 for t in ts]
+            fixed = [int(w / sum(ws) * (1 << 22) + (0.5 if w >= 0 else -0.5)) for w in ws]
+            out.append(min(max((sum(f * int(line[low + j]) for j, f in enumerate(fixed)) + (1 << 21)) >> 22, 0), 255))
+        return out
+
+    rows = [axis(r, size[1]) if len(r) != size[1] else list(r) for r in image.tolist()]
+    columns = list(zip(*rows, strict=True))
+    columns = [axis(c, size[0]) if len(c) != size[0] else list(c) for c in columns]
+    return np.array(columns).T
+
+
+@pytest.mark.parametrize("shape", [(24, 32), (50, 41), (32, 32), (7, 100)])
+def test_fixed_point_resampling_equals_loops(shape):
+    image = np.random.default_rng(2).integers(0, 256, shape)
+    assert (imagejobs.resize_bytes(image.astype(float), (32, 32)) == lanczos_by_loops(image, (32, 32))).all()
+
+
+def test_golden_hashes():
+    """Images whose hashes follow from the transform by hand."""
+    flat = np.full((40, 60, 3), 77, np.uint8)
+    assert imagejobs.phash(flat) == -(1 << 63)  # only the mean is above the others, which vanish
+    assert imagejobs.phash(np.zeros((32, 32, 1), np.uint8)) == 0
+    k, n = np.arange(32)[:, None], np.arange(32)[None, :]
+    wave = np.clip(np.rint(128 + 100 * np.cos(np.pi * (n + 0.5) * 3 / 32) + 0 * k), 0, 255).astype(np.uint8)[:, :, None]
+    bits = f"{imagejobs.phash(wave) & (1 << 64) - 1:064b}"
+    assert bits[0] == "1" and bits[3] == "1" and "1" not in bits[8:]  # one horizontal frequency, in the first row
+    turned = f"{imagejobs.phash(np.swapaxes(wave, 0, 1)) & (1 << 64) - 1:064b}"
+    assert turned[24] == "1" and all(turned[i] == "0" for i in range(64) if i % 8)
+    other = np.random.default_rng(0).integers(0, 256, (90, 70, 3)).astype(np.uint8)
+    assert abs(imagejobs.phash(other).bit_count() - 32) <= 31 and imagejobs.phash(other) != imagejobs.phash(255 - other)
+    assert bin((imagejobs.phash(other) ^ imagejobs.phash(jpeg.compressed(other, 90))) & (1 << 64) - 1).count("1") <= 10

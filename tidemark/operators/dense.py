@@ -38,6 +38,12 @@ def mask_pairs(pixels: DataFrame, *keys: str) -> DataFrame:
     return out.select("stem", *keys, "height", "width", data("t").alias("target"), data("p").alias("pred"))
 
 
+def gray_images(pixels: DataFrame, value: str) -> DataFrame:
+    """Gray images ``stem, height, width, channels, data`` from a pixel table."""
+    images = mask_pairs(pixels.select("stem", "y", "x", F.col(value).alias("target"), F.lit(0).alias("pred")))
+    return images.select("stem", "height", "width", F.lit(1).alias("channels"), F.col("target").alias("data"))
+
+
 def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each pixel's component (0: none, else from 1 in raster order of first pixels), their areas, and their first pixels as (y << 32) + x."""
     y, x0, x1, root = image_runs(mask)

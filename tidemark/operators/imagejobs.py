@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.jpeg import compressed
 from tidemark.functions.labels import IGNORE, OBSTACLE, UNKNOWN
 from tidemark.session import ship
 
@@ -102,34 +103,35 @@ def label_rows(masks: DataFrame) -> DataFrame:
     return masks.select("stem", F.explode(found("labels")).alias("label"))
 
 
+#: Bits of fraction of a resampling weight.
+FRACTION = 22
+
+
 @cache
 def dct(size: int) -> np.ndarray:
     """The orthonormal cosine transform's matrix."""
     k, n = np.arange(size)[:, None], np.arange(size)[None, :]
     scale = np.where(k == 0, np.sqrt(1 / size), np.sqrt(2 / size))
-    return (scale * np.cos(np.pi * (n + 0.5) * k / size)).astype(np.float32)
+    return scale * np.cos(np.pi * (n + 0.5) * k / size)
 
 
-def _weights(source: int, target: int, radius: float, kernel: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Resampling matrix: a kernel stretched by the scale where the image shrinks, normalised at each output."""
+def _weights(source: int, target: int) -> np.ndarray:
+    """Bilinear resampling matrix: a tent stretched by the scale where the image shrinks, normalised at each output."""
     scale = source / target
-    stretch = max(scale, 1.0)
     centre = (np.arange(target) + 0.5) * scale
     at = np.arange(source) + 0.5
-    w = kernel((at[None, :] - centre[:, None]) / stretch)
-    w[np.abs(at[None, :] - centre[:, None]) > radius * stretch] = 0
+    w = np.maximum(1 - np.abs(at[None, :] - centre[:, None]) / max(scale, 1.0), 0)
     return w / np.maximum(w.sum(1, keepdims=True), 1e-12)
 
 
 def resize(image: np.ndarray, size: tuple[int, int], way: str = "bilinear") -> np.ndarray:
-    """Resized float image of shape (h, w, ...): ``nearest`` or ``bilinear`` and ``lanczos`` with smoothing on shrinking."""
+    """Resized float image of shape (h, w, ...): ``nearest``, or ``bilinear`` with smoothing on shrinking."""
     h, w = image.shape[:2]
     if way == "nearest":
         y = np.minimum((np.arange(size[0]) + 0.5) * h / size[0], h - 1).astype(int)
         x = np.minimum((np.arange(size[1]) + 0.5) * w / size[1], w - 1).astype(int)
         return image[np.ix_(y, x)]
-    radius, kernel = (1.0, lambda t: np.maximum(1 - np.abs(t), 0)) if way == "bilinear" else (3.0, lambda t: np.sinc(t) * np.sinc(t / 3))
-    rows, cols = _weights(h, size[0], radius, kernel), _weights(w, size[1], radius, kernel)
+    rows, cols = _weights(h, size[0]), _weights(w, size[1])
     return np.moveaxis(np.tensordot(rows, np.tensordot(image.astype(np.float64), cols, ([1], [1])), ([1], [0])), -1, 1) if image.ndim > 2 else rows @ image @ cols.T
 
 
@@ -146,12 +148,44 @@ def interpolate(values: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     return out
 
 
+@cache
+def fixed_weights(source: int, target: int) -> np.ndarray:
+    """Lanczos resampling matrix (target, source) in whole numbers of 22 bits' fraction, as imaging libraries resample bytes.
+
+    An output pixel takes the source pixels whose centres lie within three (stretched where the image shrinks) of its own.
+    """
+    scale = source / target
+    stretch = max(scale, 1.0)
+    out = np.zeros((target, source), np.int64)
+    for k in range(target):
+        centre = (k + 0.5) * scale
+        low, high = max(int(centre - 3 * stretch + 0.5), 0), min(int(centre + 3 * stretch + 0.5), source)
+        t = (np.arange(low, high) - centre + 0.5) / stretch
+        w = np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0.0)
+        w = w / w.sum() * (1 << FRACTION)
+        out[k, low:high] = np.where(w < 0, np.ceil(w - 0.5), np.floor(w + 0.5))
+    return out
+
+
+def resize_bytes(image: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Gray bytes (h, w) resampled by ``fixed_weights``: columns first, then rows, rounded to bytes after each; exact in double precision."""
+    for axis in (1, 0):
+        if image.shape[axis] != size[axis]:
+            weights = fixed_weights(image.shape[axis], size[axis]).astype(float)
+            sums = image @ weights.T if axis else weights @ image
+            image = np.clip(np.floor((sums + (1 << FRACTION - 1)) / (1 << FRACTION)), 0, 255)
+    return image
+
+
 def phash(pixels: np.ndarray) -> int:
-    """Signed 64-bit perceptual hash: gray, 32 x 32, cosine transform, low 8 x 8 block against its median without the first."""
-    rgb = pixels[:, :, :3].astype(np.float64)
-    gray = rgb[:, :, 0] if rgb.shape[2] == 1 else np.floor((rgb * [19595, 38470, 7471]).sum(2) / 65536 + 0.5)
-    small = np.clip(np.rint(resize(gray, (32, 32), "lanczos")), 0, 255).astype(np.float32)
-    low = (dct(32) @ small @ dct(32).T)[:8, :8].reshape(-1)
+    """Signed 64-bit perceptual hash: gray, 32 x 32, cosine transform, low 8 x 8 block against its median without the first.
+
+    Coefficients are rounded to six places, so that those that vanish are equal on every machine.
+    """
+    rgb = pixels[:, :, :3].astype(np.int64)
+    gray = rgb[:, :, 0] if rgb.shape[2] == 1 else (rgb @ np.array([19595, 38470, 7471]) + 32768) >> 16
+    small = resize_bytes(gray.astype(float), (32, 32))
+    low = np.round((dct(32) @ small @ dct(32).T)[:8, :8].reshape(-1), 6)
     bits = np.packbits(low > np.median(low[1:]))
     return int(np.frombuffer(bits.tobytes(), ">i8")[0])
 
@@ -247,8 +281,9 @@ def _shift_hue(x: np.ndarray, turn: float) -> np.ndarray:
 
 
 def augment(pixels: np.ndarray, labels: np.ndarray, ops: dict[str, tuple[bool, float]], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Image in [0, 1] and labels after the planned ops, in their fixed order; the flip moves both. There is no JPEG coder here: that op is left out."""
-    x = pixels[:, :, :3].astype(np.float64) / 255.0
+    """Image in [0, 1] and labels after the planned ops, in their fixed order; the flip moves both."""
+    x = np.repeat(pixels, 3, 2) if pixels.shape[2] == 1 else pixels[:, :, :3]
+    x = x.astype(np.float64) / 255.0
     on = lambda name: name in ops and ops[name][0]
     if on("horizontal_flip"):
         x, labels = x[:, ::-1], labels[:, ::-1]
@@ -271,6 +306,8 @@ def augment(pixels: np.ndarray, labels: np.ndarray, ops: dict[str, tuple[bool, f
         for axis in (0, 1):
             pad = [(len(t) // 2, len(t) // 2) if k == axis else (0, 0) for k in range(3)]
             x = np.apply_along_axis(lambda v: np.convolve(v, w, "valid"), axis, np.pad(x, pad, mode="edge"))
+    if on("jpeg"):
+        x = compressed(np.rint(np.clip(x, 0, 1) * 255).astype(np.uint8), round(ops["jpeg"][1])) / 255.0
     if on("fog"):
         x = x * (1 - ops["fog"][1]) + ops["fog"][1]
     if on("gaussian_noise"):
@@ -290,3 +327,15 @@ def apply_augmentation(samples: DataFrame, planned: DataFrame) -> DataFrame:
         return {"stem": r.stem, "variant": r.variant, "height": r.height, "width": r.width, "image": np.rint(x * 255).astype(np.uint8).tobytes(), "labels": np.ascontiguousarray(labels).tobytes()}
 
     return _each(rows, "stem string, variant int, height int, width int, image binary, labels binary", kernel)
+
+
+def rgb_rows(images: DataFrame) -> DataFrame:
+    """``stem, variant, y, x, red, green, blue`` of augmented images."""
+
+    @F.pandas_udf("array<array<int>>")
+    def values(data):
+        return data.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int32).reshape(-1, 3).tolist())
+
+    flat = images.select("stem", "variant", "width", F.posexplode(values("image")).alias("at", "v"))
+    place = (F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"))
+    return flat.select("stem", "variant", *place, *[F.get("v", k).alias(n) for k, n in enumerate(("red", "green", "blue"))])

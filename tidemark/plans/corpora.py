@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import jpeg
 from tidemark.operators import dense, experiments, imagejobs, losses, scoring, splits
 from tidemark.plans import fixtures as fx
 from tidemark.plans.catalog import PIXEL_SCORES, query, report_sql, with_
@@ -225,6 +226,25 @@ def image_hashes(spark, d):
     return a.unionByName(b).groupBy("stem").agg(F.count(F.lit(1)).cast("int").alias("files"), F.count_distinct("h").cast("int").alias("hashes"))
 
 
+LANCZOS = "case when abs(t) < 3 then (case when t = 0 then 1.0 else sin(pi() * t) / (pi() * t) * sin(pi() * t / 3) / (pi() * t / 3) end)::DOUBLE else 0.0 end"
+HASH_SQL = f"""
+tap as (select k, i, (i - (k + 0.5) * 0.75 + 0.5)::DOUBLE as t from range(32) a(k), range(24) b(i) where i >= greatest(floor((k + 0.5) * 0.75 - 2.5), 0) and i < least(floor((k + 0.5) * 0.75 + 3.5), 24)),
+wt as (select k, i, {LANCZOS} as w from tap), fixed as (select k, i, w / sum(w) over (partition by k) * 4194304 as f from wt),
+gray as (select stem, y, x, (pred * 60 * 19595 + target * 60 * 38470 + (target + pred) * 10 * 7471 + 32768) >> 16 as g from pn),
+small as (select stem, k as y, x, least(greatest(floor((sum((case when f < 0 then ceil(f - 0.5) else floor(f + 0.5) end) * g) + 2097152) / 4194304), 0), 255) as v from gray join fixed on i = y group by stem, k, x),
+c as (select u, n, (case when u = 0 then sqrt(1 / 32.0::DOUBLE) else sqrt(2 / 32.0::DOUBLE) end) * cos(pi() * (n + 0.5::DOUBLE) * u / 32) as c from range(8) a(u), range(32) b(n)),
+half as (select stem, y, u, sum(v * c) as h from small join c on n = x group by stem, y, u),
+low as (select stem, r.u * 8 + half.u as spot, round(sum(h * c), 6) + 0.0 as d from half join c r on r.n = y group by stem, r.u, half.u),
+cut as (select *, (select median(m.d) from low m where m.stem = low.stem and m.spot > 0) as middle from low)"""
+
+
+@query(with_(PX, HASH_SQL) + "select stem, sum(case when d > middle and spot < 32 then 1::BIGINT << (31 - spot)::INT else 0 end)::BIGINT as hi, sum(case when d > middle and spot >= 32 then 1::BIGINT << (63 - spot)::INT else 0 end)::BIGINT as lo from cut group by stem")
+def image_hash_values(spark, d):
+    """The perceptual hash of each picture in two halves: gray, resampled in whole numbers, transformed, cut at the median."""
+    h = imagejobs.image_hashes(files.images(spark, pictures(spark, d) + "/images"))
+    return h.select("stem", F.shiftrightunsigned("h", 32).alias("hi"), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"))
+
+
 def _mean_model():
     return lambda x: x.mean((2, 3))
 
@@ -306,6 +326,77 @@ def flipped_masks(spark, d):
     return scoring.pixel_rows(done, "label").select("stem.stem", "y", "x", F.col("label").cast("int").alias("label"))
 
 
+#: Ops with their values, one variant after another: jitter; flip, gamma and fog; hue; blur; nothing.
+VARIANTS = (
+    {"brightness": 1.1873, "contrast": 0.8311, "saturation": 0.9137},
+    {"horizontal_flip": 0.0, "gamma": 1.2371, "fog": 0.1039},
+    {"hue": 0.0371},
+    {"gaussian_blur": 0.9173},
+    {},
+)
+GRAY = "(0.2989 * {0}r + 0.587 * {0}g + 0.114 * {0}b)"
+_clip = "least(greatest({}, 0.0), 1.0)".format
+_each_channel = lambda f: ", ".join(f"{f(c)} as {c}" for c in "rgb")
+BLUR = "(select w / sum(w) over () as w, o from (select o, exp(-o * o / (2 * 0.9173::DOUBLE * 0.9173)) as w from range(-3, 4) a(o)))"
+AUGMENTED_SQL = f"""
+src as (select stem, y, x, (pred * 60) / 255.0::DOUBLE as r, (target * 60) / 255.0::DOUBLE as g, ((target + pred) * 10) / 255.0::DOUBLE as b from pn),
+bright as (select stem, y, x, {_each_channel(lambda c: _clip(f"{c} * 1.1873"))} from src),
+mean as (select stem, avg({GRAY.format("")}) as m from bright group by stem),
+contrast as (select stem, y, x, {_each_channel(lambda c: _clip(f"m + ({c} - m) * 0.8311"))} from bright join mean using (stem)),
+v0 as (select stem, y, x, {_each_channel(lambda c: _clip(f"{GRAY.format('')} + ({c} - {GRAY.format('')}) * 0.9137"))} from contrast),
+v1 as (select stem, y, 31 - x as x, {_each_channel(lambda c: f"pow({c}, 1.2371) * (1 - 0.1039) + 0.1039")} from src),
+hsv as (select *, greatest(r, g, b) as top, least(r, g, b) as low, greatest(greatest(r, g, b) - least(r, g, b), 1e-12) as span from src),
+hue as (select *, ((case when top <= low then 0.0 when top = r then (((g - b) / span % 6) + 6) % 6 when top = g then (b - r) / span + 2 else (r - g) / span + 4 end) / 6 + 0.0371) % 1.0 * 6 as h from hsv),
+v2 as (select stem, y, x, {", ".join(f"top - (top - low) * least(greatest(least((h + {k}) % 6, 4 - (h + {k}) % 6), 0), 1) as {c}" for k, c in ((5, "r"), (3, "g"), (1, "b")))} from hue),
+down as (select s.stem, p.y, s.x, {_each_channel(lambda c: f"sum(w * s.{c})")} from range(24) p(y), {BLUR} k, src s where s.y = least(greatest(p.y + k.o, 0), 23) group by s.stem, p.y, s.x),
+v3 as (select s.stem, s.y, p.x, {_each_channel(lambda c: f"sum(w * s.{c})")} from range(32) p(x), {BLUR} k, down s where s.x = least(greatest(p.x + k.o, 0), 31) group by s.stem, s.y, p.x),
+done as ({" union all ".join(f"select stem, {k} as variant, y, x, r, g, b from {n}" for k, n in enumerate(("v0", "v1", "v2", "v3", "src")))})"""
+
+
+def _augmented(spark, samples: DataFrame, variants: tuple[dict, ...]) -> DataFrame:
+    plan = [(n, name, True, value) for n, ops in enumerate(variants) for name, value in ops.items()]
+    plan += [(n, "horizontal_flip", False, 0.0) for n, ops in enumerate(variants) if not ops]
+    ops = spark.createDataFrame(plan, "variant int, op string, applied boolean, value double")
+    planned = samples.select("stem").crossJoin(F.broadcast(ops)).withColumn("variant_seed", F.col("variant"))  # a few ops
+    return imagejobs.apply_augmentation(samples, planned)
+
+
+@query(with_(PX, AUGMENTED_SQL) + f"select stem, variant, y::INT as y, x::INT as x, {', '.join(f'round_even({c} * 255, 0)::INT as {n}' for c, n in zip('rgb', ('red', 'green', 'blue'), strict=True))} from done")
+def augmented_pixels(spark, d):
+    """Every pixel of the pictures after each augmentation that is a formula."""
+    root = pictures(spark, d)
+    done = _augmented(spark, imagejobs.samples(files.images(spark, root + "/images"), _masks(spark, root)), VARIANTS)
+    return imagejobs.rgb_rows(done)
+
+
+def _base_table(quality: int) -> str:
+    table = jpeg.scaled(jpeg.LUMINANCE, quality).reshape(-1).tolist()
+    return f"(select spot // 8 as u, spot % 8 as w, {table}[spot + 1] as t from range(64) r(spot))"
+
+
+def _jpeg_sql(quality: int, n: int) -> str:
+    return f"""
+src{n} as (select stem, y, x, y // 8 as br, x // 8 as bc, y % 8 as i, x % 8 as j, target * 45 + pred * 9 + (x * 7 + y * 5 + x * y + stem::INT) % 40 - 128 as v from pn),
+across{n} as (select stem, br, bc, i, k as w, sum(v * c) as h from src{n} join c8 on c8.n = j group by all),
+coef{n} as (select stem, br, bc, k as u, w, sum(h * c) as d from across{n} join c8 on c8.n = i group by all),
+quant{n} as (select stem, br, bc, u, w, sign(d) * floor(abs(d) / t + 0.500001) * t as q from coef{n} join {_base_table(quality)} using (u, w)),
+back{n} as (select stem, br, bc, u, n as j, sum(q * c) as h from quant{n} join c8 on k = w group by all),
+out{n} as (select stem, {quality} as quality, (br * 8 + n)::INT as y, (bc * 8 + j)::INT as x, least(greatest(floor(sum(h * c) + 128.500001), 0), 255)::INT as value from back{n} join c8 on k = u group by stem, br, bc, n, j)"""
+
+
+@query(
+    with_(PX, "c8 as (select k, n, (case when k = 0 then sqrt(1 / 8.0::DOUBLE) else 0.5 end) * cos(pi() * (2 * n + 1) * k / 16.0::DOUBLE) as c from range(8) a(k), range(8) b(n))", _jpeg_sql(55, 1), _jpeg_sql(95, 2))
+    + "select * from out1 union all select * from out2"
+)
+def jpeg_pixels(spark, d):
+    """Every pixel of a gray picture for each supplier after compression at two qualities: the augmentation's step on decoded images."""
+    gray = fx.pixels(spark, d).withColumn("v", (F.col("target") * 45 + F.col("pred") * 9 + (F.col("x") * 7 + F.col("y") * 5 + F.col("x") * F.col("y") + F.col("stem")) % 40).cast("int"))
+    samples = dense.gray_images(gray.select(F.lpad(F.col("stem").cast("string"), 6, "0").alias("stem"), "y", "x", "v"), "v").withColumn("labels", F.col("data"))
+    done = _augmented(spark, samples, ({"jpeg": 55.0}, {"jpeg": 95.0}))
+    rows = imagejobs.rgb_rows(done).select("stem", F.when(F.col("variant") == 0, 55).otherwise(95).alias("quality"), "y", "x", F.col("red").alias("value"), "green", "blue")
+    return rows.filter("value = green and value = blue").drop("green", "blue")
+
+
 def _picture_split(spark, d) -> DataFrame:
     return _suppliers(spark, d).select("stem", F.when(F.col("s") % 3 == 0, "val").otherwise("train").alias("split"))
 
