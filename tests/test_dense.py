@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,39 @@ def test_top_across_splits_needs_no_threshold(spark, block):
     want = sorted(((float(u[i] @ u[j]), i, j) for i in range(40) for j in range(i + 1, 40) if i % 2 != j % 2), reverse=True)[:25]
     got = neardup.top_across_splits(frame, members, 25, block).collect()
     assert [(r.src, r.dst) for r in got] == [(i, j) for _, i, j in want] and all(r.left_split == "ab"[r.src % 2] and r.right_split == "ab"[r.dst % 2] for r in got)
+
+
+def test_assignment_is_not_greedy(spark):
+    """Target 2 fits prediction 1 best, but then target 1 and prediction 2 stay alone: the pairs of highest sum leave the best one out. Both forms agree on random blocks."""
+    target, pred = np.ones((3, 60), np.uint8), np.ones((3, 60), np.uint8)
+    target[:, 0:10] = target[:, 12:22] = 0
+    pred[:, 6:18] = pred[:, 20:24] = 0  # 1-1: 4 of 18 columns, 2-1: 6 of 16, 2-2: 2 of 12
+    rows = [("a", 3, 60, bytearray(target.tobytes()), bytearray(pred.tobytes()))]
+    rng = np.random.default_rng(8)
+    for n in range(6):
+        t, p = np.ones((24, 30), np.uint8), np.ones((24, 30), np.uint8)
+        for k in range(3):
+            t[8 * k : 8 * k + int(rng.integers(2, 7)), int(rng.integers(0, 4)) : 30 - int(rng.integers(0, 4))] = 0
+            p[int(rng.integers(0, 3)) : 24 - int(rng.integers(0, 3)), 10 * k : 10 * k + int(rng.integers(3, 9))] = 0
+        rows.append((f"r{n}", 24, 30, bytearray(t.tobytes()), bytearray(p.tobytes())))
+    pairs = spark.createDataFrame(rows, "stem string, height int, width int, target binary, pred binary")
+    found = {(r.stem, r.gt, r.pred): (r.inter, r.gt_area, r.pred_area) for r in dense.mask_matches(pairs).collect()}
+    assert {k[1:] for k in found if k[0] == "a"} == {(0, 6), (12, 20)}
+    shared = dense.mask_overlaps(pairs).collect()
+    flat = []
+    for stem, h, w, t, p in rows:
+        t, p = np.frombuffer(t, np.uint8).reshape(h, w), np.frombuffer(p, np.uint8).reshape(h, w)
+        flat += [(stem, y, x, int(t[y, x]), int(p[y, x])) for y in range(h) for x in range(w)]
+        by = {}
+        for r in shared:
+            if r.stem == stem:
+                area = lambda m, c: dense.components(m == 0)[1][list(dense.components(m == 0)[2]).index(c)]
+                by[r.gt, r.pred] = r.inter / (area(t, r.gt) + area(p, r.pred) - r.inter)
+        gts, preds = sorted({g for g, _ in by}), sorted({q for _, q in by})
+        best = max(sum(by.get((g, q), 0) for g, q in zip(gts, order, strict=False)) for order in itertools.permutations(preds, min(len(gts), len(preds))))
+        mine = sum(by[g, q] for s, g, q in found if s == stem)
+        assert abs(mine - best) < 1e-12
+    px = spark.createDataFrame(flat, "stem string, y int, x int, target int, pred int")
+    gt, pr = components.component_tables(px)
+    other = components.match_components(components.overlaps(gt, pr), components.component_areas(gt), components.component_areas(pr)).collect()
+    assert {(r.stem, r.gt, r.pred): (r.inter, r.gt_area, r.pred_area) for r in other} == found

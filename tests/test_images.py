@@ -141,8 +141,8 @@ def test_split_lists_and_sinks(spark, rows, tmp_path):
     files.write_report(split.groupBy("split").count(), str(tmp_path / "report"))
     assert files.read_report(spark, str(tmp_path / "report"), "split string, count long", lines=True).count() == 2
     h = spark.createDataFrame([("r", 1, 0.5)], "run_id string, epoch int, safety_score double")
-    for _ in range(2):
-        files.append_history(h, str(tmp_path / "history"))
+    for batch in range(2):
+        files.append_history(h.withColumn("epoch", F.col("epoch") + batch), str(tmp_path / "history"), batch)
     assert spark.read.parquet(str(tmp_path / "history")).count() == 2
 
 

@@ -3,8 +3,12 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.operators.experiments import stopping
-from tidemark.streaming.metrics import running_scores
+from tidemark.sources.files import append_history, numbered_splits, read_history, refuse_existing, split_parts, write_splits
+from tidemark.streaming.metrics import once_per_image, running_scores, windowed_confusion
 from tidemark.streaming.runs import drained
 from tidemark.streaming.stopping import stopping_stream
 
@@ -23,6 +27,75 @@ def test_early_stopping_stream_takes_epochs_in_any_order(spark, tmp_path):
     assert got == want == {"a": (1, True), "b": (4, False)}
 
 
+def test_a_missing_epoch_is_waited_for_and_then_passed_over(spark, tmp_path):
+    """Epoch 2 of run a never comes; that of b comes in time; c waits still at the end, as its gap is younger than the wait."""
+    batches = [
+        [("a", 1, 0.5, 0), ("a", 3, 0.4, 0), ("a", 4, 0.9, 0), ("b", 1, 0.1, 0), ("b", 3, 0.3, 0)],
+        [("b", 2, 0.7, 50), ("c", 1, 0.2, 50)],
+        [("clock", 1, 0.0, 500), ("c", 3, 0.8, 480)],
+        [("clock", 2, 0.0, 510)],
+    ]
+    for rows in batches:
+        frame = spark.createDataFrame(rows, "run_id string, epoch int, safety_score double, s int")
+        frame.select("run_id", "epoch", "safety_score", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("seen")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("run_id string, epoch int, safety_score double, seen timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    states = drained(stopping_stream(stream, 5, 0.0, "seen", "1 second", wait=100), "update", ["run_id"], "epoch")
+    got = {r.run_id: (r.epoch, r.best_epoch, r.best_score) for r in states.collect()}
+    assert got == {"a": (4, 4, 0.9), "b": (3, 2, 0.7), "c": (1, 1, 0.2), "clock": (2, 1, 0.0)}
+    with pytest.raises(ValueError, match="event time"):
+        stopping_stream(stream, 5, wait=3)
+
+
+def test_history_takes_a_batch_once(spark, tmp_path, rows):
+    path, schema = f"file://{tmp_path}/history", "run_id string, epoch int, score double"
+    make = lambda *r: spark.createDataFrame(list(r), schema)
+    assert read_history(spark, path, schema).count() == 0
+    assert append_history(make(("a", 1, 0.1), ("a", 2, 0.2)), path, 0) and append_history(make(("a", 2, 0.5), ("b", 1, None)), path, 1)
+    want = [("a", 1, 0.1), ("a", 2, 0.5), ("b", 1, None)]
+    assert rows(read_history(spark, path, schema)) == want
+    assert not append_history(make(("a", 1, 9.0)), path, 0)
+    assert rows(read_history(spark, path, schema)) == want
+    make(("a", 1, 7.0)).write.parquet(f"{path}/batch=2")  # a job that failed before its marker
+    assert rows(read_history(spark, path, schema)) == want
+    assert append_history(make(("a", 1, 8.0)), path, 2)
+    assert rows(read_history(spark, path, schema)) == [("a", 1, 8.0), *want[1:]]
+
+
+def test_late_and_repeated_images(spark, tmp_path):
+    """Repeats inside the watermark are dropped, rows later than it too; windows close with their sums."""
+    for n, part in enumerate(([("x", 0, 10), ("y", 1, 20)], [("x", 0, 15), ("z", 0, 4000)], [("v", 1, 4050)], [("old", 1, 30), ("w", 1, 4100)])):
+        frame = spark.createDataFrame(part, "image string, pred int, s int").withColumn("target", F.lit(0))
+        frame.withColumn("seen", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    once = drained(once_per_image(stream, ["image"], "seen", "60 seconds"), "append", ["image"])
+    assert sorted(r.image for r in once.collect()) == ["v", "w", "x", "y", "z"]
+    sums = windowed_confusion(stream, "seen", "1 hour", "60 seconds")
+    got = drained(sums.select(F.unix_timestamp("window.start").alias("start"), "c_00", "c_01"), "update", ["start"]).collect()
+    assert {(r.start, r.c_00, r.c_01) for r in got} == {(0, 2, 1), (3600, 1, 2)}
+
+
+def test_results_are_not_overwritten(spark, tmp_path):
+    refuse_existing(spark, f"file://{tmp_path}", ("config.json", "best"))
+    (tmp_path / "best").mkdir()
+    with pytest.raises(FileExistsError, match="best"):
+        refuse_existing(spark, f"file://{tmp_path}", ("config.json", "best"))
+    refuse_existing(spark, f"file://{tmp_path}", ("config.json", "best"), overwrite=True)
+
+
+def test_split_lists_in_parts(spark, tmp_path):
+    split = spark.range(3000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("stem"), F.when(F.col("id") % 10 == 0, "val").otherwise("train").alias("split"))
+    path = f"file://{tmp_path}/lists"
+    write_splits(split.repartition(7), path, parts=5)
+    parts = split_parts(spark, path).orderBy("split", "part").collect()
+    assert sum(r.split == "train" for r in parts) > 1 and sum(r.lines for r in parts) == 3000
+    for name in ("train", "val"):
+        own = [r for r in parts if r.split == name]
+        lines = [x for r in own for x in next((tmp_path / "lists" / f"split={name}").glob(r.part)).read_text().splitlines()]
+        assert lines == sorted(lines) and [r.first_line for r in own] == [1 + sum(q.lines for q in own[:k]) for k in range(len(own))]
+        numbered = {r.stem: r.line_no for r in numbered_splits(spark, path).filter(F.col("split") == name).collect()}
+        assert numbered == {x: n + 1 for n, x in enumerate(lines)}
+
+
 def test_running_scores_equal_batch_scores(spark, tmp_path, rows):
     px = spark.createDataFrame([("r", t, p) for t, p in [(0, 0), (0, 1), (1, 1), (2, 0), (4, 0), (2, 2)]], "run string, target int, pred int")
     px.repartition(3).write.parquet(str(tmp_path / "px"))

@@ -156,10 +156,10 @@ def match_components(shared: DataFrame, gt_areas: DataFrame, pred_areas: DataFra
     ship(shared.sparkSession)
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.unique(frame.gt), np.unique(frame.pred)
+        rows, cols = np.unique(frame["gt"]), np.unique(frame["pred"])  # a frame's gt is a method
         iou = np.zeros((len(rows), len(cols)))
-        i, j = np.searchsorted(rows, frame.gt), np.searchsorted(cols, frame.pred)
-        iou[i, j] = frame.iou
+        i, j = np.searchsorted(rows, frame["gt"]), np.searchsorted(cols, frame["pred"])
+        iou[i, j] = frame["iou"]
         chosen = {(r, c) for r, c in best_assignment(iou) if iou[r, c] > 0}
         return frame[[(r, c) in chosen for r, c in zip(i, j, strict=True)]][names]
 

@@ -160,6 +160,40 @@ def mask_outcomes(pairs: DataFrame) -> DataFrame:
     return pairs.select("stem", "height", "width", "target", "pred").mapInPandas(run, f"stem {kind}, side string, component bigint, area bigint, accepted boolean, false_positive boolean")
 
 
+def _component_pairs(pairs: DataFrame, chosen) -> DataFrame:
+    """``stem, gt, pred, inter, gt_area, pred_area`` of the pairs of components that ``chosen(target, pred, areas, areas)`` names by number."""
+    ship(pairs.sparkSession)
+    columns = ["stem", "gt", "pred", "inter", "gt_area", "pred_area"]
+
+    def run(frames):
+        for row, target, pred in _images(frames):
+            ok = (target != IGNORE) & (pred != UNKNOWN)
+            (t, t_area, t_first), (p, p_area, p_first) = components((target == OBSTACLE) & ok), components((pred == OBSTACLE) & ok)
+            found = [(row.stem, t_first[i], p_first[j], n, t_area[i], p_area[j]) for i, j, n in chosen(t, p, t_area, p_area)]
+            yield pd.DataFrame(found, columns=columns)
+
+    kind = pairs.schema["stem"].dataType.simpleString()
+    schema = f"stem {kind}, " + ", ".join(f"{c} bigint" for c in columns[1:])
+    return pairs.select("stem", "height", "width", "target", "pred").mapInPandas(run, schema)
+
+
+def _shared(target: np.ndarray, pred: np.ndarray, areas: np.ndarray, pred_areas: np.ndarray) -> list[tuple[int, int, int]]:
+    both = (target > 0) & (pred > 0)
+    code, inter = np.unique((target[both] - 1) * max(1, len(pred_areas)) + pred[both] - 1, return_counts=True)
+    return list(zip(*(x.tolist() for x in np.divmod(code, max(1, len(pred_areas)))), inter.tolist(), strict=True))
+
+
+def mask_overlaps(pairs: DataFrame) -> DataFrame:
+    """``stem, gt, pred, inter``: pixels that a target and a predicted component share, as ``components.overlaps`` gives them."""
+    return _component_pairs(pairs, _shared).select("stem", "gt", "pred", "inter")
+
+
+def mask_matches(pairs: DataFrame) -> DataFrame:
+    """``stem, gt, pred, inter, gt_area, pred_area, iou`` of the one-to-one pairs whose IoU sums highest, as ``components.match_components`` gives them."""
+    found = _component_pairs(pairs, matched)
+    return found.withColumn("iou", F.col("inter") / F.greatest(F.col("gt_area") + F.col("pred_area") - F.col("inter"), F.lit(1)))
+
+
 def boundary_counts(pairs: DataFrame) -> DataFrame:
     """``stem, tolerance, predicted, tp_precision, target, tp_recall``."""
     sums = [F.struct(F.lit(d).alias("tolerance"), *[F.col(f"{c}{d}").alias(c) for c in BOUNDARY]) for d in TOLERANCES]

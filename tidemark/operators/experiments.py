@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,17 +181,26 @@ def over_seeds(results: DataFrame, *metrics: str) -> DataFrame:
 def bootstrap(per_unit: DataFrame, num: str, den: str, unit: str = "stem", replicates: int = 200, seed: int = 42) -> DataFrame:
     """``estimate, low, high``: a ratio of sums with its 95 % interval; units (images or clips) weigh in by a Poisson draw a replicate.
 
-    Draws depend on the seed, the unit and the replicate alone, so that no resampled table is made.
+    Draws depend on the seed, the unit and the replicate alone, so that no resampled table is made; a task adds up one vector of ``replicates`` weighted
+    sums over its units, and those vectors are all that is shuffled.
     """
-    per = per_unit.groupBy(unit).agg(F.sum(num).cast("double").alias("n"), F.sum(den).cast("double").alias("d"))
-    rows = per.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = uniform(seed, F.col(unit), F.col("r"))
-    weight, total, term = F.lit(0), 0.0, 2.718281828459045**-1
+    per = cut(per_unit.groupBy(unit).agg(F.sum(num).cast("double").alias("n"), F.sum(den).cast("double").alias("d")), "units")
+    total, steps = 0.0, []
     for k in range(12):  # Poisson(1) by its distribution function
-        total += term
-        weight = weight + (u >= total).cast("int")
-        term /= k + 1
-    sums = rows.withColumn("w", weight).groupBy("r").agg((F.sum(F.col("n") * F.col("w")) / F.greatest(F.sum(F.col("d") * F.col("w")), F.lit(1.0))).alias("v"))
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(total)
+    draws = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: uniform(seed, F.col(unit), r))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((replicates, 2))
+        for batch in batches:
+            u = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, replicates)
+            weights = np.searchsorted(steps, u, side="right").astype(float)
+            sums += weights.T @ np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(replicates)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["r", "n", "d"])
+
+    whole = per.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("n", "d")], draws.alias("u")).mapInArrow(summed, "r bigint, n double, d double")
+    sums = whole.groupBy("r").agg((F.sum("n") / F.greatest(F.sum("d"), F.lit(1.0))).alias("v"))
     point = per.agg((F.sum("n") / F.greatest(F.sum("d"), F.lit(1.0))).alias("estimate")).withColumn("k", F.lit(1))
     return point.join(sums.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high")).withColumn("k", F.lit(1)), "k").drop("k")
 

@@ -82,9 +82,19 @@ def pixel_rows(masks: DataFrame, name: str) -> DataFrame:
 
 
 def aligned(masks: DataFrame, scored: DataFrame) -> DataFrame:
-    """``stem, y, x, target, pred`` of every target pixel; one without a prediction is unknown, which no metric counts."""
-    both = pixel_rows(masks, "target").join(pixel_rows(scored, "pred"), ["stem", "y", "x"], "left")
-    return both.withColumn("pred", F.coalesce("pred", F.lit(UNKNOWN)))
+    """``stem, y, x, target, pred`` of every target pixel; one without a prediction is unknown, which no metric counts.
+
+    Images meet whole, one row each, and their pixels come out together: no pixel is shuffled.
+    """
+
+    @F.pandas_udf("array<smallint>")
+    def values(data):
+        return data.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int16))
+
+    zipped = F.arrays_zip(values("target").alias("target"), values("pred").alias("pred"))
+    flat = mask_pairs(masks, scored).select("stem", "width", F.posexplode(zipped).alias("at", "v")).filter("v.target is not null")
+    y, x = F.floor(F.col("at") / F.col("width")).cast("int"), (F.col("at") % F.col("width")).cast("int")
+    return flat.select("stem", y.alias("y"), x.alias("x"), F.col("v.target").alias("target"), F.coalesce("v.pred", F.lit(UNKNOWN).cast("smallint")).alias("pred"))
 
 
 def mask_pairs(masks: DataFrame, scored: DataFrame) -> DataFrame:

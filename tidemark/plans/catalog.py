@@ -174,13 +174,19 @@ def _recursive(*parts: str) -> str:
 
 @query(_recursive(fx.PIXELS, *_component_ctes("t", "target = 0")) + "select stem, component, sum(x1 - x0 + 1)::BIGINT as area from tc group by stem, component")
 def component_areas(spark, d):
+    masks = components.to_masks(fx.pixels(spark, d), F.col("target"))
+    return components.component_areas(components.mask_components(masks))
+
+
+@query(SQL["component_areas"])
+def component_areas_runs(spark, d):
+    """The same by joins of runs, for pixels that are no whole images."""
     return components.component_areas(components.pixel_components(fx.pixels(spark, d), F.col("target") == 0))
 
 
 @query(SQL["component_areas"])
 def component_areas_dense(spark, d):
-    masks = components.to_masks(fx.pixels(spark, d), F.col("target"))
-    return components.component_areas(components.mask_components(masks))
+    return component_areas(spark, d)
 
 
 @query(
@@ -197,9 +203,51 @@ def component_bins(spark, d):
     + "select a.stem, a.component as gt, b.component as pred, sum(least(a.x1, b.x1) - greatest(a.x0, b.x0) + 1)::BIGINT as inter from tc a join pc b on a.stem = b.stem and a.y = b.y and a.x0 <= b.x1 and b.x0 <= a.x1 group by all"
 )
 def component_overlaps(spark, d):
+    return dense.mask_overlaps(dense.mask_pairs(fx.pixels(spark, d)))
+
+
+@query(SQL["component_overlaps"])
+def component_overlaps_runs(spark, d):
+    """The same by joins of runs."""
     return components.overlaps(*components.component_tables(fx.pixels(spark, d)))
 
 
+#: Three horizontal bars as targets and three upright ones as predictions: every target overlaps every prediction, in other shares in each picture.
+BARS = """bar as (select s_suppkey::INT as stem, y::INT as y, x::INT as x, case when y % 8 < 2 + (s_suppkey * (y // 8 + 3) + y // 8) % 5 and x >= (s_suppkey * (y // 8)) % 4 and x < 32 - (s_suppkey + y // 8) % 6 then y // 8 end as t,
+  case when x < 30 and x % 10 < 4 + (s_suppkey * (x // 10 + 2)) % 5 and y >= (s_suppkey * (x // 10)) % 3 and y < 24 - (s_suppkey + 2 * (x // 10)) % 5 then x // 10 end as p from supplier, range(24) a(y), range(32) b(x) where s_suppkey is not null),
+ta as (select stem, t, count(*) as a from bar where t is not null group by all), pa as (select stem, p, count(*) as a from bar where p is not null group by all),
+iou as (select i.stem, i.t, i.p, n / (ta.a + pa.a - n) as v from (select stem, t, p, count(*) as n from bar where t is not null and p is not null group by all) i join ta using (stem, t) join pa using (stem, p)),
+total as (select a.stem, a.v + b.v + c.v as total from iou a join iou b on b.stem = a.stem and b.t = 1 and b.p <> a.p join iou c on c.stem = a.stem and c.t = 2 and c.p not in (a.p, b.p) where a.t = 0)"""
+
+
+def _bars(spark, d) -> DataFrame:
+    grid = fx.pixels(spark, d).select("stem", "y", "x", F.expr("y div 8").alias("i"), F.expr("x div 10").alias("j"))
+    target = "y % 8 < 2 + (stem * (i + 3) + i) % 5 and x >= (stem * i) % 4 and x < 32 - (stem + i) % 6"
+    pred = "x < 30 and x % 10 < 4 + (stem * (j + 2)) % 5 and y >= (stem * j) % 3 and y < 24 - (stem + 2 * j) % 5"
+    return grid.selectExpr("stem", "y", "x", f"case when {target} then 0 else 1 end as target", f"case when {pred} then 0 else 1 end as pred")
+
+
+ASSIGNED = with_(BARS) + "select stem, 3::BIGINT as pairs, max(total) as total from total group by stem"
+
+
+def _assigned(found: DataFrame) -> DataFrame:
+    """Pairs and their summed IoU; each component stands in one pair."""
+    sums = found.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("gt").alias("g"), F.count_distinct("pred").alias("p"), F.sum("iou").alias("total"))
+    return sums.select("stem", F.when((F.col("g") == F.col("n")) & (F.col("p") == F.col("n")), F.col("n")).alias("pairs"), "total")
+
+
+@query(ASSIGNED, "total")
+def component_assignment(spark, d):
+    """The assignment of highest summed IoU where every component overlaps every other side's; SQL tries all six."""
+    gt, pred = components.component_tables(_bars(spark, d))
+    return _assigned(components.match_components(components.overlaps(gt, pred), components.component_areas(gt), components.component_areas(pred)))
+
+
+@query(ASSIGNED, "total")
+def component_assignment_dense(spark, d):
+    return _assigned(dense.mask_matches(dense.mask_pairs(_bars(spark, d))))
+
+
 BIN = "case when area <= 64 then 'tiny' when area <= 256 then 'very_small' when area <= 1024 then 'small' else 'medium_plus' end"
 
 
@@ -284,10 +332,10 @@ def metric_report(spark, d):
     return dense.report_masks(dense.mask_pairs(fx.pixels(spark, d)))
 
 
-@query(*report_sql("select *, 0 as k from px0 where stem % 20 = 0"))
+@query(*report_sql("select *, 0 as k from px0"))
 def metric_report_windows(spark, d):
-    """The report by windows and joins over pixel rows, for pixels that are no whole images; here of every twentieth picture, a split as any."""
-    return metrics.report(fx.pixels(spark, d).filter("stem % 20 = 0"))
+    """The report by windows and joins over pixel rows, for pixels that are no whole images."""
+    return metrics.report(fx.pixels(spark, d))
 
 
 @query(*report_sql("select px0.*, s_nationkey as k from px0 join supplier on s_suppkey = stem", "nation"))
@@ -982,6 +1030,62 @@ def streamed_stopping(spark, d):
     return drained(states, "update", ["run_id"], "epoch").select("run_id", "best_score", "best_epoch", "stopped")
 
 
+GAPS = "hist as (select run_id, (row_number() over (partition by run_id order by epoch))::INT as epoch, epoch as real, safety_score from (" + fx.HISTORY.split("(", 1)[1].rsplit(")", 1)[0] + ") where (epoch + run_id::BIGINT) % 5 <> 3)"
+
+
+@query(_recursive(GAPS, FOLD) + "select l.run_id, l.best as best_score, h.real as best_epoch, l.stop_epoch is not null as stopped from last l left join hist h on h.run_id = l.run_id and h.epoch = l.best_epoch where l.n = 1", "best_score")
+def streamed_stopping_gaps(spark, d):
+    """Every fifth epoch of a run never arrives: timers release what waits for it, and the fold passes over it."""
+    from tidemark.streaming.runs import drained
+    from tidemark.streaming.stopping import stopping_stream
+
+    history = fx.history(spark, d).filter((F.col("epoch") + F.col("run_id").cast("long")) % 5 != 3).withColumn("part", F.pmod(F.xxhash64("run_id", "epoch"), F.lit(3)))
+    seen = F.timestamp_seconds(F.lit(1_700_000_000) + 3600 * F.col("part"))  # parts arrive an hour after each other
+    rows = cut(history.select("run_id", "epoch", "safety_score", seen.alias("seen"), "part"), "history")
+    clock = spark.range(1).select(F.lit("clock").alias("run_id"), F.lit(1).alias("epoch"), F.lit(0.0).alias("safety_score"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("seen"))
+    path = f"{rows._cut_path}-arrived"
+    for part in range(3):
+        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    clock.coalesce(1).write.mode("append").parquet(path)  # time goes on
+    source = spark.readStream.schema(clock.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    states = drained(stopping_stream(source, PATIENCE, DELTA, "seen", "10 seconds", wait=86_400), "update", ["run_id"], "epoch")
+    return states.filter("run_id <> 'clock'").select("run_id", "best_score", "best_epoch", "stopped")
+
+
+@query(with_(fx.HISTORY) + "select run_id, epoch, safety_score from hist", "safety_score")
+def streamed_history(spark, d):
+    """Epochs that a source delivers twice, kept once as long as the watermark remembers them; the sink takes each batch once."""
+    from tidemark.sources.files import append_history, read_history
+    from tidemark.streaming.metrics import once_per_image
+    from tidemark.streaming.runs import kept_history
+
+    seen = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("epoch"))
+    rows = cut(fx.history(spark, d).withColumn("seen", seen), "history")
+    again = rows.withColumn("safety_score", F.col("safety_score") + 1)  # a second delivery that must not count
+    path = f"{rows._cut_path}-twice"
+    for part in (rows, again):
+        part.coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    kept_history(once_per_image(source, ["run_id", "epoch"], "seen", "30 days"), f"{path}-kept", f"{path}-state")
+    append_history(again, f"{path}-kept", 0)  # a batch that runs again
+    return read_history(spark, f"{path}-kept", rows.schema).drop("seen")
+
+
+@query(with_(fx.LABELLED.replace("from lineitem", ", l_shipdate as day from lineitem")) + f"select (epoch(day::TIMESTAMP)::BIGINT // 2592000) * 2592000 as start, {CM} from px where day is not null group by 1")
+def streamed_windows(spark, d):
+    """Confusion sums of 30-day windows of event time, over a stream."""
+    from tidemark.streaming.metrics import windowed_confusion
+    from tidemark.streaming.runs import drained
+
+    source = spark.readStream.schema(fx.table(spark, d, "lineitem").schema).parquet(f"{d}/lineitem.parquet*")
+    flag = F.col("l_returnflag")
+    target = F.when(F.col("l_linenumber") == 7, 4).when(flag == "A", 0).when(flag == "N", 1).otherwise(2)
+    px = source.select(F.col("l_shipdate").cast("timestamp").alias("day"), target.alias("target"), (F.col("l_quantity").cast("int") % 3).alias("pred"))
+    sums = windowed_confusion(px.filter("day is not null"), "day", "30 days", "100 years")
+    sums = sums.select(F.unix_timestamp("window.start").alias("start"), *[c for c in sums.columns if c != "window"])
+    return drained(sums, "update", ["start"])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Near-duplicate groups by embedding, a grouped split of them, and its audit: one row a split."""
     members, mix = _members(spark, d), fx.class_mix(spark, d)

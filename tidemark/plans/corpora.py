@@ -153,11 +153,41 @@ def experiment_registry(spark, d):
 
 @query(with_(fx.HISTORY) + "select run_id, epoch, safety_score from hist", "safety_score")
 def appended_history(spark, d):
-    """Odd epochs, then even ones, appended to one history."""
+    """Odd epochs with scores that are to be replaced, then all; each batch comes twice and counts once."""
     path, rows = _folder(spark, "history"), cut(fx.history(spark, d), "epochs")
-    for odd in (1, 0):
-        files.append_history(rows.filter(F.col("epoch") % 2 == odd).repartition("run_id"), path)
-    return spark.read.parquet(path).select(F.col("run_id").cast("string").alias("run_id"), "epoch", "safety_score")
+    early = rows.filter(F.col("epoch") % 2 == 1).withColumn("safety_score", F.lit(-1.0))
+    for number, part in ((0, early), (0, early.limit(0)), (1, rows), (1, early)):
+        files.append_history(part, path, number)
+    return files.read_history(spark, path, rows.schema)
+
+
+@query(with_(fx.SPLIT) + "select split, stem, row_number() over (partition by split order by stem) as line_no from split")
+def numbered_splits(spark, d):
+    """Lists written in several sorted parts, and the line of each entry by their manifest."""
+    root = _folder(spark, "written")
+    files.write_splits(fx.split(spark, d), root, parts=8)
+    return files.numbered_splits(spark, root)
+
+
+@query("select event_type as run_id, count(*) as n, true as refused, true as replaced from events group by event_type")
+def guarded_results(spark, d):
+    """Results that are there are not overwritten unless asked for: the table is as it was after a refused write, and new after one that is asked for."""
+    path = _folder(spark, "guarded")
+    rows = cut(fx.table(spark, d, "events").groupBy(F.col("event_type").alias("run_id")).agg(F.count(F.lit(1)).alias("n")), "guarded-rows")
+    schema = "run_id string, n bigint"
+    files.refuse_existing(spark, path, ("report", "best"))
+    files.write_report(rows, f"{path}/report")
+    refused = 0
+    for attempt in (lambda: files.refuse_existing(spark, path, ("report", "best")), lambda: files.write_report(rows.limit(0), f"{path}/report"), lambda: files.write_splits(rows.select(F.col("run_id").alias("split"), F.col("run_id").alias("stem")), f"{path}/report")):
+        try:
+            attempt()
+        except Exception as e:  # noqa: BLE001
+            refused += "EXISTS" in str(e).upper() or isinstance(e, FileExistsError)
+    before = cut(files.read_report(spark, f"{path}/report", schema, lines=True), "guarded-before")
+    files.refuse_existing(spark, path, ("report", "best"), overwrite=True)
+    files.write_report(rows.withColumn("n", -F.col("n")), f"{path}/report", "overwrite")
+    after = files.read_report(spark, f"{path}/report", schema, lines=True).select("run_id", F.col("n").alias("m"))
+    return before.join(after, "run_id").select("run_id", "n", F.lit(refused == 3).alias("refused"), (F.col("m") == -F.col("n")).alias("replaced"))
 
 
 @query(with_(fx.HISTORY) + "select run_id, count(*) as epochs, 12 as patience, 42 as seed from hist group by run_id")

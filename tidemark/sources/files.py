@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,9 +121,28 @@ def missing_splits(lists: DataFrame, wanted: tuple[str, ...] = ("train", "val",
     return names.join(lists.select("split").distinct(), "split", "left_anti")
 
 
-def write_splits(split: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One sorted list for each split, below ``split=<name>/``."""
-    split.select("split", "stem").distinct().repartition("split").sortWithinPartitions("split", "stem").select("split", "stem").write.mode(mode).partitionBy("split").text(path)
+def write_splits(split: DataFrame, path: str, mode: str = "errorifexists", parts: int | None = None) -> None:
+    """A sorted list for each split below ``split=<name>/``, in parts that follow each other by name: no task holds more than a range of it.
+
+    ``parts`` fixes the number of ranges over all splits; otherwise it follows the session's and the rows'.
+    """
+    rows = split.select("split", "stem").distinct().repartitionByRange(*([parts] if parts else []), "split", "stem").sortWithinPartitions("split", "stem")
+    rows.write.mode(mode).partitionBy("split").text(path)
+
+
+def split_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest of written lists: ``split, part, lines, first_line`` (from 1) of each part in order."""
+    read = spark.read.text(path).select("split", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("part"))
+    parts = read.groupBy("split", "part").agg(F.count(F.lit(1)).alias("lines"))
+    before = F.sum("lines").over(Window.partitionBy("split").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("first_line", F.coalesce(before, F.lit(0)) + 1)
+
+
+def numbered_splits(spark: SparkSession, path: str) -> DataFrame:
+    """``split, stem, line_no`` of written lists: a line's number is that of its part's first line and its place in the part."""
+    lines = spark.read.text(path).select("split", F.col("value").alias("stem"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("part"))
+    place = F.row_number().over(Window.partitionBy("split", "part").orderBy("stem")) - 1  # parts are sorted
+    return lines.withColumn("place", place).join(split_parts(spark, path), ["split", "part"]).select("split", "stem", (F.col("first_line") + F.col("place")).alias("line_no"))
 
 
 def read_report(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False) -> DataFrame:
@@ -132,12 +151,48 @@ def read_report(spark: SparkSession, path: str, schema: T.StructType | str, line
 
 
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """JSON lines; what is there already is not overwritten unless ``mode`` says so."""
     report.write.mode(mode).json(path)
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    """Add epochs to a run history, laid out by run."""
-    rows.write.mode("append").partitionBy("run_id").parquet(path)
+def _path(spark: SparkSession, path: str):
+    """Hadoop's file system and path of a place."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def append_history(rows: DataFrame, path: str, batch: int) -> bool:
+    """Add the rows of a numbered batch to a history once: false, and nothing changes, where that batch is there already.
+
+    A batch is a folder that counts from when its marker is written, after its files: a job that fails in between leaves a folder that no reader sees and
+    that the next try replaces.
+    """
+    system, marker = _path(rows.sparkSession, f"{path}/_batches/{batch}")
+    if system.exists(marker):
+        return False
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    system.create(marker, True).close()
+    return True
+
+
+def read_history(spark: SparkSession, path: str, schema: T.StructType | str, keys: tuple[str, ...] = ("run_id", "epoch")) -> DataFrame:
+    """One row for each run and epoch: that of the last batch which has it (the largest row, if a batch repeats one)."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    system, folder = _path(spark, f"{path}/_batches")
+    found = [f"{path}/batch={s.getPath().getName()}" for s in system.listStatus(folder)] if system.exists(folder) else []
+    if not found:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).option("basePath", path).parquet(*found)
+    rest = [f.name for f in schema.fields if f.name not in keys]
+    last = rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("last"))
+    return last.select(*[F.col(f.name) if f.name in keys else F.col(f"last.{f.name}").alias(f.name) for f in schema.fields])
+
+
+def refuse_existing(spark: SparkSession, folder: str, names: tuple[str, ...], overwrite: bool = False) -> None:
+    """Raise FileExistsError, with the names, where a run's folder holds any of its results and overwriting is not asked for."""
+    found = [n for n in names if (p := _path(spark, f"{folder}/{n}"))[0].exists(p[1])]
+    if found and not overwrite:
+        raise FileExistsError(f"{folder} holds {', '.join(found)}: take another folder or ask for overwriting")
 
 
 def write_masks(masks: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.session import shared_dir
+from tidemark.sources.files import append_history
 
 
 def drained(stream: DataFrame, mode: str, keys: list[str], order: str | None = None) -> DataFrame:
@@ -32,3 +33,12 @@ def drained(stream: DataFrame, mode: str, keys: list[str], order: str | None = N
     out = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{base}/out")
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch"), *([F.desc(order)] if order else [])))
     return out.withColumn("__n", last).filter("__n = 1").drop("__n", "batch")
+
+
+def kept_history(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append all that a stream's source holds now to a history (``files.append_history``), batch by batch: one that runs again changes nothing."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        append_history(batch, path, number)
+
+    stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.session import ship
@@ -25,41 +26,80 @@ def advance(state: tuple, epoch: int, score: float | None, patience: int, min_de
 
 
 class _Stopping(StatefulProcessor):
-    """State of a run: its fold, the next epoch it waits for, and epochs that came early."""
+    """State of a run: its fold, the next epoch it waits for, epochs that came early with the time they came, and the timer that ends the wait."""
 
-    def __init__(self, patience: int, min_delta: float):
-        self.patience, self.min_delta = patience, min_delta
+    def __init__(self, patience: int, min_delta: float, wait: int | None):
+        self.patience, self.min_delta, self.wait = patience, min_delta, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fold = handle.getValueState("fold", "best double, at int, stale int, stop int, next int")
-        self.early = handle.getMapState("early", "epoch int", "score double")
+        self.handle = handle
+        self.fold = handle.getValueState("fold", "best double, at int, stale int, stop int, next int, held int")
+        self.early = handle.getMapState("early", "epoch int", "score double, came bigint")
+        self.timer = handle.getValueState("timer", "at bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best, at, stale, stop, due = self.fold.get() if self.fold.exists() else (-1.0, None, 0, None, 1)
+        came = {}
         for frame in rows:
-            for epoch, score in zip(frame.epoch, frame.safety_score, strict=True):
-                if epoch >= due and not self.early.containsKey((int(epoch),)):
-                    self.early.updateValue((int(epoch),), (None if pd.isna(score) else float(score),))
-        while self.early.containsKey((due,)):
-            score = self.early.getValue((due,))[0]
-            self.early.removeKey((due,))
-            best, at, stale, stop = advance((best, at, stale, stop), due, score, self.patience, self.min_delta)
+            for epoch, score, at in zip(frame.epoch, frame.safety_score, frame.came, strict=True):
+                came.setdefault(int(epoch), (None if pd.isna(score) else float(score), int(at)))
+        yield self._advanced(key, timerValues.getCurrentWatermarkInMs() if self.wait is not None else 0, came)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        yield self._advanced(key, timerValues.getCurrentWatermarkInMs(), {})
+
+    def _advanced(self, key, now: int, came: dict[int, tuple]) -> pd.DataFrame:
+        best, at, stale, stop, due, held = self.fold.get() if self.fold.exists() else (-1.0, None, 0, None, 1, 0)
+        stored = {epoch[0]: tuple(value) for epoch, value in self.early.iterator()} if held else {}
+        waiting = {e: v for e, v in (came | stored).items() if e >= due}
+        deadline = None
+        while waiting:
+            if due not in waiting:
+                deadline = min(v[1] for v in waiting.values()) + self.wait if self.wait is not None else None
+                if deadline is None or deadline > now:
+                    break
+                due, deadline = min(waiting), None  # what is missing has had its time
+            best, at, stale, stop = advance((best, at, stale, stop), due, waiting.pop(due)[0], self.patience, self.min_delta)
             due += 1
-        self.fold.update((best, at, stale, stop, due))
-        yield pd.DataFrame({
+        for epoch in stored.keys() - waiting.keys():
+            self.early.removeKey((epoch,))
+        for epoch in waiting.keys() - stored.keys():
+            self.early.updateValue((epoch,), waiting[epoch])
+        self._remind(deadline)
+        self.fold.update((best, at, stale, stop, due, len(waiting)))
+        return pd.DataFrame({
             "run_id": [str(key[0])], "epoch": [due - 1], "best_score": [best if at is not None else None],
             "best_epoch": pd.array([at], "Int32"), "stale": [stale], "stopped": [stop is not None],
         })
 
+    def _remind(self, deadline: int | None) -> None:
+        """One timer, at the deadline of the epoch that has waited longest."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old == deadline:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+            self.timer.clear()
+        if deadline is not None:
+            self.handle.registerTimer(deadline)
+            self.timer.update((deadline,))
+
     def close(self) -> None:
         pass
 
 
-def stopping_stream(history: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
+def stopping_stream(history: DataFrame, patience: int, min_delta: float = 0.0, time_col: str | None = None, delay: str = "0 seconds", wait: int | None = None) -> DataFrame:
     """The state of each run after each batch of ``run_id, epoch, safety_score``.
 
-    Epochs count from 1; one that comes early waits in the state until those before it have come, repeats are ignored. Needs the RocksDB
-    state store.
+    Epochs count from 1; one that comes early waits in the state until those before it have come, repeats are ignored. With ``wait`` (seconds of event time, by
+    ``time_col`` and a watermark of ``delay``) it waits no longer than that: a timer then releases the run, and epochs that are missing are passed over as if the
+    run had never had them. Without, a missing epoch holds its run for good. Rows later than the watermark do not count. Needs the RocksDB state store.
     """
     ship(history.sparkSession)
-    return history.groupBy("run_id").transformWithStateInPandas(_Stopping(patience, min_delta), OUTPUT, "update", "none")
+    if wait is None:
+        rows = history.select("run_id", "epoch", "safety_score", F.lit(0).cast("bigint").alias("came"))
+        return rows.groupBy("run_id").transformWithStateInPandas(_Stopping(patience, min_delta, None), OUTPUT, "update", "none")
+    if time_col is None:
+        raise ValueError("a wait needs the column of event time")
+    rows = history.withWatermark(time_col, delay).select("run_id", "epoch", "safety_score", F.unix_millis(time_col).alias("came"), time_col)
+    return rows.groupBy("run_id").transformWithStateInPandas(_Stopping(patience, min_delta, 1000 * wait), OUTPUT, "update", "EventTime")
