@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts, text_or_empty
 
-#: Bounds of the fit: labelled rows of each class, the share of them that calibrates, blocks of a text (from all over it) and their characters.
-FIT_ROWS, CALIBRATION, FIT_BLOCKS, FIT_CHARS = 1500, 4, 32, 1024
+#: Bounds of the fit: labelled rows of each class, and the share of them that calibrates.
+FIT_ROWS, CALIBRATION = 1500, 4
 #: Dictionary bytes, compression level, block bytes, and sizes that dampen the difference and the score of very short texts.
 DICT_BYTES, LEVEL, BLOCK, DAMP, SHORT = 49_152, 3, 2048, 48, 48
 
@@ -95,7 +97,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS
 ) -> QualityModel | None:
-    """Fit on at most ``rows`` labelled texts of each class, chosen by a hash of their id, FIT_BLOCKS blocks of FIT_CHARS characters each.
+    """Fit on at most ``rows`` labelled texts of each class, chosen by a hash of their id and read whole.
 
     ``labels`` holds what may be learnt from. Null labels and ids with contradicting labels are left out. Every
     CALIBRATION-th chosen text calibrates, the rest make the dictionaries. None where a class has no text at all.
@@ -114,12 +116,8 @@ def fit_quality(
     if not chosen:
         return None
     picked = docs.filter(F.col(id_col).isin(list(chosen)) & F.col(text_col).isNotNull())
-    # a longer text is represented by blocks from all over it, drawn by a hash of their places; of rows that repeat an id the least text counts
-    places = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / FIT_CHARS).cast("int"))
-    drawn = F.slice(F.array_sort(F.transform(places, lambda n: F.struct(F.xxhash64("id", n).alias("h"), n.alias("n")))), 1, FIT_BLOCKS)
-    blocks = F.transform(F.array_sort(F.transform(drawn, lambda x: x["n"])), lambda n: F.substring(F.col("text"), n * FIT_CHARS + 1, F.lit(FIT_CHARS)))
-    sample = F.when(F.length("text") <= FIT_BLOCKS * FIT_CHARS, F.col("text")).otherwise(F.array_join(blocks, ""))
-    texts = picked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", sample.alias("text")).groupBy("id").agg(F.min("text")).collect()
+    # of rows that repeat an id the least text counts
+    texts = picked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).groupBy("id").agg(F.min("text")).collect()
     texts = sorted((chosen[i], t) for i, t in texts)
     sides = {y: [t for (_, k), t in texts if k == y] for y in (0, 1)}
     if not all(sides.values()):
@@ -165,9 +163,10 @@ def quality_column(model: QualityModel | None, text_col: str = "text") -> Column
     """The score as a column, for filters that keep a table's other columns where they are."""
 
     @F.pandas_udf("double")
-    def score(texts):
-        sizes = Sizes(model.good, model.bad) if model else None
-        return texts.map(lambda t: _score(model, sizes, t))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sizes = Sizes(model.good, model.bad) if model else None  # once a task
+        for texts in batches:
+            yield texts.map(lambda t: _score(model, sizes, t))
 
     return score(text_or_empty(text_col))
 
