@@ -10,7 +10,9 @@ which need no padding.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +27,25 @@ from tidemark.session import ship
 WINDOW, OPEN_WINDOWS = 2048, 4096
 
 
+class _Spelled(dict):
+    """Ids of parts between white space; one that is missing is cut to words, and each word spelled once."""
+
+    def __init__(self, words: Callable[[str], list[str]], tokenize: Callable, letters: dict[int, str]):
+        super().__init__()
+        self.words, self.tokenize, self.letters = words, tokenize, letters
+
+    def __missing__(self, part: str) -> bytes:
+        # letters alone are one word, which the pattern need not find; a word cut off by the pattern is cut no further
+        words = None if part.isalpha() else self.words(part)
+        if words is not None and words != [part]:
+            ids = b"".join([self[w] for w in words])
+        else:
+            spelled = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            ids = array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
+        self[part] = ids
+        return ids
+
+
 class WordIds:
     """Ids of whole texts as the tokenizers library gives them, each word's looked up once.
 
@@ -39,20 +60,20 @@ class WordIds:
     BYTES = {b: chr(b) for b in PRINTED} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)).difference(PRINTED)))}
     OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa7\xa9\xab\xac\xae\xb0\xb1\xb6\xb7\xbb\xbf\xc0-\xffŒœ–—‘-”…€]|<\\|")
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, entries: int = 2 * MEMO_ENTRIES):
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words = regex.compile(self.PATTERN).findall
         self.plain = self._plain(path)
         self.entries = entries
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts = _Spelled(regex.compile(self.PATTERN).findall, self.library.model.tokenize, self.BYTES)
 
     def _plain(self, path: str) -> bool:
         import json
 
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            return False
         with open(path, encoding="utf-8") as f:
             split = json.load(f).get("pre_tokenizer") or {}
         parts = split.get("pretokenizers", [split])
@@ -62,27 +83,9 @@ class WordIds:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not self.plain or self.OTHER.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.lower().split()
-        new = set(parts).difference(self.parts)
-        if new:
-            if len(self.parts) > self.entries:
-                self.parts = {}
-                new = set(parts)
-            self._learn(new)
-        return b"".join(map(self.parts.__getitem__, parts))
-
-    def _learn(self, parts: set[str]) -> None:
-        """Ids of parts between white space, from those of their words."""
-        cut = {p: self.words(p) for p in parts}
-        new = {w for words in cut.values() for w in words}.difference(self.memo)
-        if len(self.memo) > 2 * self.entries:
-            self.memo = {}
-            new = {w for words in cut.values() for w in words}
-        for word in new:
-            spelled = word if word.isascii() else "".join(self.BYTES[b] for b in word.encode())
-            self.memo[word] = np.array([t.id for t in self.library.model.tokenize(spelled)], "<u4").tobytes()
-        for part, words in cut.items():
-            self.parts[part] = b"".join(map(self.memo.__getitem__, words))
+        if len(self.parts) > self.entries:
+            self.parts.clear()
+        return b"".join(map(self.parts.__getitem__, text.lower().split()))
 
 
 class Packer:
