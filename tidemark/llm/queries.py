@@ -112,6 +112,15 @@ select doc_id, max(doc_id) over (partition by text_sha256) as keep_id,
 """
 
 
+OP7_SQL = """
+with recursive v as (select vec_id, label, embedding::DOUBLE[] as e from embeddings where label is not null and embedding is not null),
+p as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select vec_id as x, vec_id as y from embeddings union select r.x, p.y from reach r join p on p.x = r.y),
+low as (select x, min(y) as component_id from reach group by x), links as (select x, count(*) as n from p group by x)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join low on low.x = vec_id left join links on links.x = vec_id
+"""
+
 #: Bytes of a text, and their CRC-32 by a table of 256 steps (``crc.t``).
 CRC = """tab(n, v, k) as (select range::UBIGINT, range::UBIGINT, 0 from range(256) union all
   select n, xor(v >> 1, (v & 1) * 3988292384::UBIGINT), k + 1 from tab where k < 8),
@@ -202,6 +211,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": OP2_SQL,
         "op3_exact_dedup": OP3_SQL,
+        "op7_embedding_dedup": OP7_SQL,
         "op11_conversation_trie": OP11_SQL,
         "op12_resampling": OP12_SQL,
         "op13_sharding": OP13_SQL,
