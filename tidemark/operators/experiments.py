@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import fresh_name
 from tidemark.functions.vectors import uniform
+from tidemark.operators.ranges import places
 from tidemark.session import cut
 
 # The augmentation profiles' probabilities and ranges.
@@ -122,21 +124,13 @@ def side_by_side(scores: DataFrame, official: DataFrame, modes: tuple[str, ...]
 
 def placed(rows: DataFrame, order: str, out: str) -> DataFrame:
     """Adds each row's place (from 1) in an order, without one window over all rows."""
-    return _placed(rows, order).withColumnRenamed("__r", out)
+    return places(rows, [order], out)
 
 
 def pages(rows: DataFrame, size: int, order: str = "stem") -> DataFrame:
     """Adds ``sheet`` and ``slot`` (from 1): rows in order, ``size`` to a sheet."""
-    return _placed(rows, order).withColumns({"sheet": F.floor((F.col("__r") - 1) / size) + 1, "slot": (F.col("__r") - 1) % size + 1}).drop("__r")
-
-
-def _placed(rows: DataFrame, order: str) -> DataFrame:
-    """Each row's place (from 1) in an order, by ranges: counts of earlier ranges plus the place within the range."""
-    ranged = cut(rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ranges")
-    before = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(order))
-    return ranged.withColumn("__i", inside).join(before.select("__p", "__before"), "__p").withColumn("__r", F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
+    at = fresh_name("at", [*rows.columns, "sheet", "slot"])
+    return places(rows, [order], at, start=0).withColumns({"sheet": F.floor(F.col(at) / size) + 1, "slot": F.col(at) % size + 1}).drop(at)
 
 
 def first_rows(lines: DataFrame, split: DataFrame, name: str, limit: int) -> DataFrame:
@@ -155,7 +149,7 @@ def batches(stems: DataFrame, size: int, epoch: int, seed: int = 42, drop_last:
 
 def variants(stems: DataFrame, count: int, seed: int = 42) -> DataFrame:
     """``stem, sample_index, variant, variant_seed``: ``seed + 1000 * sample_index + variant`` over the ordered stems."""
-    placed = _placed(stems.select("stem"), "stem").withColumn("sample_index", F.col("__r") - 1).drop("__r")
+    placed = places(stems.select("stem"), ["stem"], "sample_index", start=0)
     out = placed.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
     return out.withColumn("variant_seed", F.lit(seed) + 1000 * F.col("sample_index") + F.col("variant"))
 
@@ -207,8 +201,10 @@ def bootstrap(per_unit: DataFrame, num: str, den: str, unit: str = "stem", repli
 
 def teacher_gate(teacher: DataFrame, student: DataFrame, gain: float = 0.005, more_fp: float = 5.0) -> DataFrame:
     """Teachers that may teach: score at least the student's plus ``gain``, false positives at most ``more_fp`` above."""
-    s = student.select(F.col("safety_score").alias("s_score"), F.col("fp").alias("s_fp")).withColumn("k", F.lit(1))
-    out = teacher.withColumn("k", F.lit(1)).join(F.broadcast(s), "k").drop("k")  # the student is one row
+    rows = student.select(F.col("safety_score").cast("double"), F.col("fp").cast("double")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("the student is one row")
+    out = teacher.withColumns({"s_score": F.lit(rows[0][0]), "s_fp": F.lit(rows[0][1])})
     return out.withColumn("accepted", (F.col("safety_score") >= F.col("s_score") + gain) & (F.col("fp") <= F.col("s_fp") + more_fp))
 
 

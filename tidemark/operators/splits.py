@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import fresh_name
 from tidemark.operators.ranges import places
 from tidemark.session import cut
 
@@ -34,12 +35,13 @@ def ranked(rows: DataFrame, order: Column, out: str = "rank", buckets: int = 409
     are summed in one window) plus its place in its own.
     """
     digits = max(1, min(3, len(f"{buckets:x}") - 1))
-    keyed = rows.withColumns({"__o": order, "__b": F.substring(order, 1, digits)})
-    sizes = keyed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__o"))
-    joined = keyed.withColumn("__i", inside).join(before.select("__b", F.coalesce("__before", F.lit(0)).alias("__before")), "__b")
-    return joined.withColumn(out, F.col("__before") + F.col("__i")).drop("__o", "__b", "__i", "__before")
+    o, b, n, before, i = (fresh_name(c, [*rows.columns, out]) for c in ("o", "b", "n", "before", "i"))
+    keyed = rows.withColumns({o: order, b: F.substring(order, 1, digits)})
+    sizes = keyed.groupBy(b).agg(F.count(F.lit(1)).alias(n))
+    earlier = F.coalesce(F.sum(n).over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(b).orderBy(o))
+    joined = keyed.withColumn(i, inside).join(sizes.select(b, earlier.alias(before)), b)
+    return joined.select(*rows.columns, (F.col(before) + F.col(i)).alias(out))
 
 
 def ranked_within(rows: DataFrame, key: str, order: Column, out: str = "rank") -> DataFrame:
@@ -47,12 +49,13 @@ def ranked_within(rows: DataFrame, key: str, order: Column, out: str = "rank") -
 
     As ``ranked``: counts by the digest's first three digits, and places inside those.
     """
-    keyed = rows.withColumns({"__o": order, "__b": F.substring(order, 1, 3)})
-    sizes = keyed.groupBy(key, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy(key, "__b").orderBy("__o"))
-    joined = keyed.withColumn("__i", inside).join(sizes.withColumn("__before", before).drop("__n"), [key, "__b"])
-    return joined.withColumn(out, F.col("__before") + F.col("__i")).drop("__o", "__b", "__i", "__before")
+    o, b, n, before, i = (fresh_name(c, [*rows.columns, out]) for c in ("o", "b", "n", "before", "i"))
+    keyed = rows.withColumns({o: order, b: F.substring(order, 1, 3)})
+    sizes = keyed.groupBy(key, b).agg(F.count(F.lit(1)).alias(n))
+    earlier = F.coalesce(F.sum(n).over(Window.partitionBy(key).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(key, b).orderBy(o))
+    joined = keyed.withColumn(i, inside).join(sizes.select(key, b, earlier.alias(before)), [key, b])
+    return joined.select(*rows.columns, (F.col(before) + F.col(i)).alias(out))
 
 
 def random_split(stems: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42, id_col: str = "stem") -> DataFrame:
