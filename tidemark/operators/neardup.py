@@ -25,26 +25,25 @@ def _probes(radius: int, width: int) -> list[int]:
     return [sum(1 << b for b in chosen) for k in range(radius + 1) for chosen in combinations(range(width), k)]
 
 
-def probe_plan(threshold: int, rows: int) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of each block: the number of blocks that leaves the fewest probes and candidates for so many distinct hashes.
+def probe_plan(threshold: int, rows: int) -> tuple[float, list[tuple[int, int, int]]]:
+    """Keys and candidates of a hash, and (shift, width, radius) of each block: the number of blocks that leaves the fewest for so many distinct hashes.
 
     Radii, each plus one, add up to the threshold plus one, so that not all blocks can differ by more than theirs.
     """
     best = None
-    for m in range(2, threshold + 2):
+    for m in range(min(2, threshold + 1), threshold + 2):
         edges = [64 * k // m for k in range(m + 1)]
         spare = threshold + 1 - m
         plan = [(edges[k], edges[k + 1] - edges[k], spare // m + (k < spare % m)) for k in range(m)]
         probes = [sum(comb(w, r) for r in range(radius + 1)) for _, w, radius in plan]
-        cost = sum(n * (1 + rows / 2**w) for n, (_, w, _) in zip(probes, plan, strict=True))
+        cost = m + sum(n * (1 + rows / 2**w) for n, (_, w, _) in zip(probes, plan, strict=True))
         if max(probes) <= MOST_PROBES and (best is None or cost < best[0]):
             best = cost, plan
-    return best[1]
+    return best
 
 
-def _probed_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
-    plan = probe_plan(threshold, distinct.count())
-    bits = lambda h, shift, width: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1))
+def _probed_pairs(distinct: DataFrame, threshold: int, plan: list[tuple[int, int, int]]) -> DataFrame:
+    bits = lambda h, shift, width: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
     left = distinct.select(F.col("h").alias("a"), F.inline(F.array(*[F.struct(F.lit(n).alias("band"), bits(F.col("h"), s, w).alias("bits")) for n, (s, w, _) in enumerate(plan)])))
     parts = []
     for n, (shift, width, radius) in enumerate(plan):
@@ -87,15 +86,19 @@ def class_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_co
 def hash_pairs(hashes: DataFrame, threshold: int, hash_col: str = "h") -> DataFrame:
     """``a, b, distance`` for distinct hashes a < b with distance <= threshold: classes of equal hashes are one row each.
 
-    Up to 8 bits: of threshold + 3 blocks of bits three agree at least, so that an equi-join on three blocks (17 to 63 bits wide) finds every pair.
-    Up to 20 bits: blocks of bits with a radius each that add up, with one more for each but one, to the threshold: one block differs in no more bits than its radius,
+    Up to 8 bits, where that leaves fewer keys and candidates: of threshold + 3 blocks of bits three agree at least, so that an equi-join on three blocks (17 to 63 bits wide)
+    finds every pair. Otherwise up to 20 bits: blocks of bits with a radius each that add up, with one more for each but one, to the threshold: one block differs in no more bits than its radius,
     and one side probes that radius (``probe_plan``). Beyond, where most hashes of a corpus are near each other, pruned tiles of the bits as vectors.
     """
     distinct = hashes.select(F.col(hash_col).alias("h")).filter("h is not null").distinct()
     if threshold > PROBED:
         return _sign_pairs(distinct, threshold)
-    if threshold > 8:
-        return _probed_pairs(cut(distinct, "hashes"), threshold)
+    distinct = cut(distinct, "hashes")
+    rows = distinct.count()
+    probed, plan = probe_plan(threshold, rows)
+    agreeing = comb(threshold + 3, 3) * (2 + rows / 2 ** (3 * 64 // (threshold + 3)))
+    if threshold > 8 or probed < agreeing:
+        return _probed_pairs(distinct, threshold, plan)
     edges = [64 * k // (threshold + 3) for k in range(threshold + 4)]
     masks = [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(threshold + 3), 3)]
     keys = F.array(*[F.struct(F.lit(n).alias("band"), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for n, m in enumerate(masks)])

@@ -121,10 +121,10 @@ def manifest_digest(pairs: DataFrame) -> DataFrame:
 
 
 def merkle_digest(pairs: DataFrame, buckets: int = 4096) -> DataFrame:
-    """Another digest of the same lines that no task sees whole: of the digests of ``buckets`` parts, by a hash of the stem."""
+    """Another digest of the same lines that no task sees whole: of the digests of ``buckets`` parts, by a hash of the stem; parts stream through their hash."""
     part = F.conv(F.substring(F.sha2("stem", 256), 1, 8), 16, 10).cast("bigint") % buckets
-    ordered = F.array_sort(F.collect_list(F.struct("stem", _manifest_line().alias("line"))))
-    parts = pairs.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), ""), 256).alias("d"))
+    lines = pairs.select(part.alias("part"), "stem", _manifest_line().alias("line"))
+    parts = ordered_digests(lines, "part", ["stem", "line"], "line").withColumnRenamed("sha256", "d")
     tops = F.array_sort(F.collect_list(F.struct("part", "d")))
     return parts.agg(F.sha2(F.array_join(F.transform(tops, lambda x: F.concat(x["part"].cast("string"), F.lit(":"), x["d"])), "\n"), 256).alias("merkle_sha256"))
 
