@@ -58,12 +58,12 @@ def hash_blocks(blocks: DataFrame, key: str, order: list[str], text: str, betwee
 
 
 def ordered_blocks(rows: DataFrame, key: str, order: list[str], text: str, size: int = 1 << 20) -> DataFrame:
-    """``key, part, seq, block``: the texts of each key, in order, joined to blocks of about ``size`` characters.
+    """``key, part, seq, block`` (with underscores where the key has such a name): the texts of each key, in order, joined to blocks of about ``size`` characters.
 
     Rows are sorted in ranges of (key, order), many tasks to a large key; blocks are made as the rows stream by.
     """
     ship(rows.sparkSession)
-    out = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("part", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("block", T.StringType())])
+    out = T.StructType([T.StructField(key, rows.schema[key].dataType), *[T.StructField(fresh_name(n, [key]), k()) for n, k in (("part", T.IntegerType), ("seq", T.LongType), ("block", T.StringType))]])
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +89,9 @@ def ordered_blocks(rows: DataFrame, key: str, order: list[str], text: str, size:
 
 def ordered_digests(rows: DataFrame, key: str, order: list[str], text: str) -> DataFrame:
     """``key, sha256`` of each key's texts joined in order; no value, task or group holds a key's text whole."""
-    return hash_blocks(ordered_blocks(rows, key, order, text), key, ["part", "seq"], "block")
+    blocks = ordered_blocks(rows, key, order, text)
+    _, part, seq, block = blocks.columns
+    return hash_blocks(blocks, key, [part, seq], block)
 
 
 def split_digests(lines: DataFrame, ordered: str | None = None) -> DataFrame:
