@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import fresh_name, text_or_empty
+from tidemark.llm.common import fresh_name, give_back, text_or_empty
 from tidemark.session import cut, drop_cut, ship
 
 #: Words are told apart by the first so many bits of their digests; with a line's number they make one 64-bit number.
@@ -170,7 +170,7 @@ def _map_lines(docs: DataFrame, id_col: str, text_col: str, schema: str, make: C
                 at = until
                 yield from map(pack, kernel(part.column(0), part.column(2), part.column(1).to_pylist()))
         yield from map(pack, kernel(None, None, None))
-        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
+        give_back()  # the worker goes on to other stages
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_or_empty(text_col).alias("text"), F.xxhash64(id_col).alias("digest"))
     return rows.mapInArrow(run, spark_schema)
@@ -442,7 +442,7 @@ def _found(packed: DataFrame, id_type: T.DataType, threshold: float, limit: int,
         if held:
             yield work()
         held.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     # lines of bucket -1 need not meet
     salt = F.when(F.col("bucket") == -1, F.xxhash64("rows")).otherwise(F.lit(0))
@@ -687,6 +687,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = {**{n: part.column(n) for n in order}, text_col: texts}
                 columns |= {"n_lines": lines, "n_removed": pa.compute.coalesce(pa.compute.list_value_length(gone), 0)}
                 yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return joined.mapInArrow(run, schema)

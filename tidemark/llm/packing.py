@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import MEMO_ENTRIES, text_or_empty, tokenizer_path
+from tidemark.llm.common import MEMO_ENTRIES, give_back, text_or_empty, tokenizer_path
 from tidemark.session import ship
 
 WINDOW, OPEN_WINDOWS = 2048, 4096
@@ -225,5 +225,7 @@ def pack(
                     yield flush()
         packer.close()
         yield flush()
+        words.parts.clear()
+        give_back()
 
     return docs.select(F.col(id_col), text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)

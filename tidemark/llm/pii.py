@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import map_texts, text_or_empty
+from tidemark.llm.common import give_back, map_texts, text_or_empty
 from tidemark.llm.pii_model import KINDS, BiLstmCrf, codes, padded, reconcile, tags_of, windows
 from tidemark.session import cut, drop_cut, ship
 
@@ -335,6 +335,6 @@ def redact_pii(docs: DataFrame, text_col: str = "text", model: BiLstmCrf | None
                     texts = pa.compute.replace_with_mask(texts, some, pa.array(done, texts.type))
                 columns = [(texts if f.name == text_col else part.column(f.name)).cast(f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

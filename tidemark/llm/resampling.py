@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.llm.common import map_texts, text_or_empty
+from tidemark.llm.common import give_back, map_texts, text_or_empty
 from tidemark.operators.ranges import places
 from tidemark.session import cut, ship
 
@@ -222,7 +222,7 @@ def bucket_counts(texts: DataFrame, text_col: str, longest: int, buckets: int) -
                     np.add.at(total, table.bucket, table.count)  # empty slots count nothing
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], schema=arrow)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     out = np.zeros(buckets, np.int64)
     for row in texts.select(text_or_empty(text_col).alias("text")).mapInArrow(run, kind).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
