@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +12,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often the body or its lambdas name it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
 def l2_normalise(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(1e-12)))
+    return let(F.greatest(norm(a), F.lit(1e-12)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -30,7 +37,7 @@ def pack_bits(bits: Column) -> Column:
 def block_hash(block: Column) -> Column:
     """Bits above the median of all but the first of 64 coefficients (the middle one of 63)."""
     middle = F.element_at(F.array_sort(F.slice(block, 2, 63)), 32)
-    return pack_bits(F.transform(block, lambda v: v > middle))
+    return let(middle, lambda m: pack_bits(F.transform(block, lambda v: v > m)))
 
 
 def argmax(logits: Column) -> Column:
@@ -39,16 +46,15 @@ def argmax(logits: Column) -> Column:
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(logits).cast("double")
-    e = F.transform(logits, lambda x: F.exp((x.cast("double") - top) / temperature))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    raised = lambda top: F.transform(logits, lambda x: F.exp((x.cast("double") - top) / temperature))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return let(let(F.array_max(logits).cast("double"), raised), lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(logits).cast("double")
-    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp((x.cast("double") - top) / temperature))
-    return F.transform(logits, lambda x: (x.cast("double") - top) / temperature - F.log(total))
+    total = lambda top: F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp((x.cast("double") - top) / temperature))
+    each = lambda top, log: F.transform(logits, lambda x: (x.cast("double") - top) / temperature - log)
+    return let(F.array_max(logits).cast("double"), lambda top: let(F.log(total(top)), lambda log: each(top, log)))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:

@@ -9,6 +9,8 @@ from tidemark.functions.vectors import block_hash
 from tidemark.operators.splits import random_split
 
 HEIGHT, WIDTH = 24, 32
+#: Images that a task makes the pixels of, and vectors that it hashes, about.
+IMAGES, VECTORS = 250, 5000
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,7 +22,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).select("stem", block_hash(F.col("embedding")).alias("h"))
+    rows = vectors(spark, d)
+    return rows.repartition(-(-rows.count() // VECTORS) or 1).select("stem", block_hash(F.col("embedding")).alias("h"))
 
 
 HASHES = """hashes as (select stem,
@@ -61,8 +64,9 @@ LABELLED = """px as (select l_suppkey as stem, case when l_linenumber = 7 then 4
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
-    """A 24 x 32 image for each supplier: ``stem, y, x, target, pred``."""
+    """A 24 x 32 image for each supplier: ``stem, y, x, target, pred``; small tables are dealt before they grow, so that a task makes some IMAGES."""
     grid = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("stem")).filter("stem is not null")
+    grid = grid.repartition(-(-grid.count() // IMAGES) or 1, "stem")
     grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))))
     return grid.selectExpr(
         "stem", "y", "x",
