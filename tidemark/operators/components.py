@@ -24,7 +24,7 @@ def label_runs(runs_: DataFrame) -> DataFrame:
     edges = adjacent_runs(runs_).select(node(F.col("y"), F.col("x0")).alias("src"), node(F.col("y") + 1, F.col("below_x0")).alias("dst"))
     nodes = runs_.select("*", node(F.col("y"), F.col("x0")).alias("id"))
     parts = connected_components(edges).select("id", F.col("component.at").alias("first"))
-    return nodes.join(parts, "id", "left").select("stem", "y", "x0", "x1", F.coalesce("first", F.col("id.at")).alias("component"))
+    return nodes.join(parts.hint("merge"), "id", "left").select("stem", "y", "x0", "x1", F.coalesce("first", F.col("id.at")).alias("component"))
 
 
 def component_areas(labelled: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def overlaps(targets: DataFrame, preds: DataFrame) -> DataFrame:
     """``stem, gt, pred, inter``: pixels that a target and a predicted component share, from their runs."""
     a = targets.select("stem", "y", "x0", "x1", F.col("component").alias("gt"))
     b = preds.select("stem", "y", F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("component").alias("pred"))
-    both = a.join(b, ["stem", "y"]).filter("x0 <= p1 and x1 >= p0")
+    both = a.join(b.hint("merge"), ["stem", "y"]).filter("x0 <= p1 and x1 >= p0")
     return both.groupBy("stem", "gt", "pred").agg(F.sum(F.least("x1", "p1") - F.greatest("x0", "p0") + 1).alias("inter"))
 
 
@@ -142,11 +142,11 @@ def match_components(shared: DataFrame, gt_areas: DataFrame, pred_areas: DataFra
     """
     a = gt_areas.select("stem", F.col("component").alias("gt"), F.col("area").alias("gt_area"))
     b = pred_areas.select("stem", F.col("component").alias("pred"), F.col("area").alias("pred_area"))
-    pairs = shared.join(a, ["stem", "gt"]).join(b, ["stem", "pred"])
+    pairs = shared.join(a.hint("merge"), ["stem", "gt"]).join(b.hint("merge"), ["stem", "pred"])
     pairs = cut(pairs.withColumn("iou", F.col("inter") / F.greatest(F.col("gt_area") + F.col("pred_area") - F.col("inter"), F.lit(1))), "pairs")
     node = lambda side, c: F.struct("stem", F.lit(side).alias("side"), F.col(c).alias("c"))
     parts = connected_components(pairs.select(node(0, "gt").alias("src"), node(1, "pred").alias("dst")))
-    pairs = pairs.withColumn("id", node(0, "gt")).join(parts, "id").drop("id").withColumnRenamed("component", "block")
+    pairs = pairs.withColumn("id", node(0, "gt")).join(parts.hint("merge"), "id").drop("id").withColumnRenamed("component", "block")
     w = Window.partitionBy("block")
     pairs = pairs.withColumns({"lo": F.min("gt").over(w) == F.max("gt").over(w), "ro": F.min("pred").over(w) == F.max("pred").over(w)})
     one = F.row_number().over(w.orderBy(F.desc("iou"), "gt", "pred"))
@@ -186,7 +186,7 @@ def component_outcomes(pixels: DataFrame, coverage: float = 0.5, least_area: int
     pairs = match_components(overlaps(gt_runs, pred_runs), gt, pred).filter(F.col("inter") / F.greatest("gt_area", F.lit(1)) >= coverage)
     pairs = cut(pairs.select("stem", "gt", "pred"), "accepted")
     done = lambda c: pairs.select("stem", F.col(c).alias("component"), F.lit(True).alias("accepted"))
-    sides = [t.join(done(c), ["stem", "component"], "left").withColumn("side", F.lit(s)) for t, c, s in ((gt, "gt", "target"), (pred, "pred", "pred"))]
+    sides = [t.join(done(c).hint("merge"), ["stem", "component"], "left").withColumn("side", F.lit(s)) for t, c, s in ((gt, "gt", "target"), (pred, "pred", "pred"))]
     out = sides[0].unionByName(sides[1]).withColumn("accepted", F.coalesce("accepted", F.lit(False)))
     fp = (F.col("side") == "pred") & ~F.col("accepted") & (F.col("area") >= least_area)
     return out.select("stem", "side", "component", "area", area_bin(F.col("area")).alias("bin"), "accepted", fp.alias("false_positive"))

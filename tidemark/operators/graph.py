@@ -25,8 +25,8 @@ def connected_components(
     """Smallest reachable id for each vertex: ``(vertex, component)``.
 
     Alternates two star contractions (each vertex links its larger neighbours, then its smaller ones, to the
-    smallest it knows); a path of n vertices needs O(log n) rounds. Minima come from partial aggregation and are joined back, so that
-    a hub's edges can be split by the skew join. Each round is written to the shared folder. Null ids and loops
+    smallest it knows); a path of n vertices needs O(log n) rounds. Minima come from partial aggregation and are joined back by sorting (packed files
+    look small enough to broadcast long before they are), so that a hub's edges can be split by the skew join. Each round is written to the shared folder. Null ids and loops
     are ignored; ``vertices`` adds the isolated ones.
     """
     u, v = F.col("u"), F.col("v")
@@ -38,9 +38,9 @@ def connected_components(
             break
         both = state.unionByName(state.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter(v > u).join(low, "u").select(v.alias("u"), F.col("m").alias("v")).filter(u != v).distinct()
+        large = both.filter(v > u).join(low.hint("merge"), "u").select(v.alias("u"), F.col("m").alias("v")).filter(u != v).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(low, "u").filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
+        rest = large.join(low.hint("merge"), "u").filter(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
         after = cut(rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         mark = _fingerprint(after)
         drop_cut(state)
@@ -56,7 +56,7 @@ def connected_components(
     if vertices is None:
         return labels
     ids = vertices.select(F.col(vertex)).distinct()
-    return ids.join(labels, vertex, "left").select(vertex, F.coalesce("component", vertex).alias("component"))
+    return ids.join(labels.hint("merge"), vertex, "left").select(vertex, F.coalesce("component", vertex).alias("component"))
 
 
 def group_members(edges: DataFrame, vertices: DataFrame, src: str = "src", dst: str = "dst", vertex: str = "stem") -> DataFrame:

@@ -26,7 +26,7 @@ def _per_image(pixels: DataFrame, highest: float) -> DataFrame:
 
 def pair_logits(student: DataFrame, teacher: DataFrame) -> DataFrame:
     """Student and teacher logits of the same pixel."""
-    return student.join(teacher.select("stem", "y", "x", F.col("student").alias("teacher")), ["stem", "y", "x"])
+    return student.join(teacher.select("stem", "y", "x", F.col("student").alias("teacher")).hint("merge"), ["stem", "y", "x"])  # pixels are never broadcast
 
 
 def objective(
@@ -45,7 +45,7 @@ def objective(
     if boundary_weight > 0:
         px = boundary(px, (F.col("target") == OBSTACLE) & _valid(), radius, "band")
     if sparse_weight > 0:
-        px = px.join(_per_image(pixels, highest), "stem")
+        px = px.join(_per_image(pixels, highest).hint("merge"), "stem")
     px = px.withColumns({"ce": _ce(), "ok": _valid()})
     mean = lambda v, w=None: ratio(F.coalesce(F.sum(v), F.lit(0.0)), F.count_if("ok") if w is None else F.sum(w))
     terms = {"cross_entropy": mean(F.col("ce"))}
@@ -84,13 +84,13 @@ def region_weights(pixels: DataFrame, small: DataFrame, low: float = 0.25, high:
     from tidemark.functions.vectors import argmax, clamp, softmax
 
     px = boundary(pixels, (F.col("target") == OBSTACLE) & _valid(), 3, "band")
-    px = px.join(small.select("stem", "y", "x", F.lit(1).alias("s")).distinct(), ["stem", "y", "x"], "left").filter(_valid())
+    px = px.join(small.select("stem", "y", "x", F.lit(1).alias("s")).distinct().hint("merge"), ["stem", "y", "x"], "left").filter(_valid())
     sure = clamp((F.array_max(softmax(F.col("teacher"))) - 0.5) / 0.5, 0.0, 1.0)
     region = 1 + (F.col("target") == OBSTACLE).cast("int") + 2 * F.coalesce("s", F.lit(0)) + F.col("band").cast("int")
     region = region + (argmax(F.col("teacher")) != argmax(F.col("student"))).cast("int")
     px = px.withColumn("w", clamp(region * (0.25 + 0.75 * sure), low, high))
     mean = px.agg(F.avg("w").alias("m")).withColumn("k", F.lit(1))
-    return px.withColumn("k", F.lit(1)).join(mean, "k").select("stem", "y", "x", (F.col("w") / F.col("m")).alias("weight"), "student", "teacher")
+    return px.withColumn("k", F.lit(1)).join(F.broadcast(mean), "k").select("stem", "y", "x", (F.col("w") / F.col("m")).alias("weight"), "student", "teacher")
 
 
 def weighted_kd(weighted: DataFrame, temperature: float = 4.0) -> DataFrame:

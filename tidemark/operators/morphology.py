@@ -57,7 +57,7 @@ def adjacent_runs(runs_: DataFrame) -> DataFrame:
     a = runs_.select("stem", "y", "x0", "x1")
     b = runs_.select("stem", (F.col("y") - 1).alias("y"), F.col("x0").alias("bx0"), F.col("x1").alias("bx1"))
     touch = (F.col("x0") <= F.col("bx1") + 1) & (F.col("x1") >= F.col("bx0") - 1)
-    return a.join(b, ["stem", "y"]).filter(touch).select("stem", "y", "x0", F.col("bx0").alias("below_x0"))
+    return a.join(b.hint("merge"), ["stem", "y"]).filter(touch).select("stem", "y", "x0", F.col("bx0").alias("below_x0"))
 
 
 def boundary_counts(pixels: DataFrame, tolerances: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

@@ -416,7 +416,7 @@ def _region_sql() -> str:
 def region_weighted_kd(spark, d):
     px = fx.logits(spark, d)
     found = cut(components.pixel_components(px, F.col("target") == 0), "runs")
-    small = found.join(components.component_areas(found).filter("area <= 1024"), ["stem", "component"]).select("stem", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+    small = found.join(components.component_areas(found).filter("area <= 1024").hint("merge"), ["stem", "component"]).select("stem", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
     return losses.weighted_kd(losses.region_weights(px, small))
 
 
