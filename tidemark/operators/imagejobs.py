@@ -266,7 +266,7 @@ def resize_pixels(pixels: DataFrame, sizes: DataFrame, height: int, width: int)
     grid = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     src = lambda at, have, want: F.least(F.floor((F.col(at) + 0.5) * F.col(have) / want), F.col(have) - 1)
     grid = grid.select("stem", "y", "x", src("y", "height", height).alias("sy"), src("x", "width", width).alias("sx"))
-    return grid.join(pixels.withColumnsRenamed({"y": "sy", "x": "sx"}), ["stem", "sy", "sx"]).drop("sy", "sx")
+    return grid.join(pixels.withColumnsRenamed({"y": "sy", "x": "sx"}).hint("merge"), ["stem", "sy", "sx"]).drop("sy", "sx")
 
 
 def _shift_hue(x: np.ndarray, turn: float) -> np.ndarray:
