@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.vectors import hamming
-from tidemark.operators.cosine import BLOCK, cosine_pairs, extremes_across, tiles, top_across
-from tidemark.session import cut
+from tidemark.operators.cosine import BLOCK, block_pairs, cosine_pairs, extremes_across, tiles, top_across
+from tidemark.session import cut, ship
 
 #: Copies of a hash that stand under one key of an expansion.
 COPIES = 1024
+#: Least and most hashes of a block of arrays, distances held at a time, comparisons of arrays that cost what a key of a join does, and keys that a task makes.
+HASH_BLOCKS, SLICE, JOINED, KEYS = (4096, 65_536), 1 << 18, 500, 1_000_000
 #: Most bits that are probed for, and most probes of a block.
 PROBED, MOST_PROBES = 20, 50_000
 
@@ -57,21 +63,56 @@ def _probed_pairs(distinct: DataFrame, threshold: int, plan: list[tuple[int, int
     first = F.lit(True)
     for n in range(1, len(plan)):
         first &= (F.col("band") < n) | far[n - 1]
-    near = left.join(right, ["band", "bits"]).filter((F.col("a") < F.col("b")) & first & (hamming(F.col("a"), F.col("b")) <= threshold))
+    near = left.join(right.hint("merge"), ["band", "bits"]).filter((F.col("a") < F.col("b")) & first & (hamming(F.col("a"), F.col("b")) <= threshold))
     return near.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
-def _sign_pairs(distinct: DataFrame, threshold: int) -> DataFrame:
-    """Bits as components -1 and 1: of 64, d differ where the cosine is 1 - d / 32."""
-    sign = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("h", k).cast("double") * 2 - 1)
-    near = cosine_pairs(distinct.select("h", sign.alias("v")), 1 - threshold / 32 - 1e-9, "h", "v").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return near.withColumn("distance", hamming(F.col("a"), F.col("b"))).filter(F.col("distance") <= threshold)
+def _tiled_pairs(distinct: DataFrame, threshold: int, rows: int) -> DataFrame:
+    """All pairs of blocks of hashes, compared as arrays: a task holds two blocks and a slice of their distances at a time."""
+    ship(distinct.sparkSession)
+    block = min(HASH_BLOCKS[1], max(HASH_BLOCKS[0], rows // 16))
+    n = max(1, -(-rows // block))
+    dealt = block_pairs(distinct.select(F.col("h").alias("id")), block, rows)
+    dealt = dealt.repartition(n * (n + 1) // 2, "ba", "bb").sortWithinPartitions("ba", "bb").select("ba", "bb", "own", "id")
+    schema = T.StructType.fromDDL("a long, b long, distance int")
+    arrow = to_arrow_schema(schema)
+
+    def compare(ba: int, bb: int, own: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left = h[own == ba]
+        right = left if ba == bb else h[own == bb]
+        step = max(1, SLICE // max(1, len(right)))
+        for at in range(0, len(left), step):
+            apart = np.bitwise_count((left[at : at + step, None] ^ right[None, :]).view(np.uint64))
+            i, j = np.nonzero(apart <= threshold)
+            x, y = left[at + i], right[j]
+            keep = x < y if ba == bb else np.ones(len(x), bool)
+            if keep.any():
+                values = (np.minimum(x, y)[keep], np.maximum(x, y)[keep], apart[i, j][keep].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            ba, bb, own, h = (batch.column(k).to_numpy() for k in range(4))
+            ends = np.flatnonzero((np.diff(ba) != 0) | (np.diff(bb) != 0)) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(ba)], strict=True):
+                if lo == hi:
+                    continue
+                if now is not None and now != (ba[lo], bb[lo]):
+                    yield from compare(*now, *(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = []
+                now = (ba[lo], bb[lo])
+                held.append((own[lo:hi].copy(), h[lo:hi].copy()))
+        if held:
+            yield from compare(*now, *(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return dealt.mapInArrow(run, schema)
 
 
 def hash_classes(hashes: DataFrame, id_col: str = "stem", hash_col: str = "h") -> DataFrame:
     """``id, h, class_id``: membership in classes of equal hashes, named by their smallest id; ids and hashes that are null are left out."""
     rows = hashes.select(F.col(id_col), F.col(hash_col).alias("h")).filter(F.col(id_col).isNotNull() & F.col("h").isNotNull())
-    return rows.join(rows.groupBy("h").agg(F.min(id_col).alias("class_id")), "h").select(id_col, "h", "class_id")
+    return rows.join(rows.groupBy("h").agg(F.min(id_col).alias("class_id")).hint("merge"), "h").select(id_col, "h", "class_id")
 
 
 def class_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_col: str = "h") -> DataFrame:
@@ -79,24 +120,28 @@ def class_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_co
     names = hashes.filter(F.col(id_col).isNotNull() & F.col(hash_col).isNotNull()).groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("class"))
     names = cut(names, "classes")
     a, b = (names.select(F.col("h").alias(x), F.col("class").alias(f"{x}_name")) for x in "ab")
-    near = hash_pairs(names, threshold).join(a, "a").join(b, "b")
+    near = hash_pairs(names, threshold).join(a.hint("merge"), "a").join(b.hint("merge"), "b")
     return near.select(F.least("a_name", "b_name").alias("a_class"), F.greatest("a_name", "b_name").alias("b_class"), "distance")
 
 
 def hash_pairs(hashes: DataFrame, threshold: int, hash_col: str = "h") -> DataFrame:
     """``a, b, distance`` for distinct hashes a < b with distance <= threshold: classes of equal hashes are one row each.
 
-    Up to 8 bits, where that leaves fewer keys and candidates: of threshold + 3 blocks of bits three agree at least, so that an equi-join on three blocks (17 to 63 bits wide)
+    All pairs of blocks as arrays, where that is less work than keys and candidates of a join (JOINED), and beyond 20 bits, where most hashes of a corpus are near each other. Else,
+    up to 8 bits, where that leaves fewer keys and candidates: of threshold + 3 blocks of bits three agree at least, so that an equi-join on three blocks (17 to 63 bits wide)
     finds every pair. Otherwise up to 20 bits: blocks of bits with a radius each that add up, with one more for each but one, to the threshold: one block differs in no more bits than its radius,
-    and one side probes that radius (``probe_plan``). Beyond, where most hashes of a corpus are near each other, pruned tiles of the bits as vectors.
+    and one side probes that radius (``probe_plan``).
     """
-    distinct = hashes.select(F.col(hash_col).alias("h")).filter("h is not null").distinct()
-    if threshold > PROBED:
-        return _sign_pairs(distinct, threshold)
-    distinct = cut(distinct, "hashes")
+    distinct = cut(hashes.select(F.col(hash_col).alias("h")).filter("h is not null").distinct(), "hashes")
     rows = distinct.count()
+    if threshold > PROBED:
+        return _tiled_pairs(distinct, threshold, rows)
     probed, plan = probe_plan(threshold, rows)
     agreeing = comb(threshold + 3, 3) * (2 + rows / 2 ** (3 * 64 // (threshold + 3)))
+    least = probed if threshold > 8 else min(probed, agreeing)
+    if rows / 2 <= JOINED * least:
+        return _tiled_pairs(distinct, threshold, rows)
+    distinct = distinct.repartition(int(rows * least) // KEYS + 1, "h")  # dealt before it grows
     if threshold > 8 or probed < agreeing:
         return _probed_pairs(distinct, threshold, plan)
     edges = [64 * k // (threshold + 3) for k in range(threshold + 4)]
@@ -104,7 +149,7 @@ def hash_pairs(hashes: DataFrame, threshold: int, hash_col: str = "h") -> DataFr
     keys = F.array(*[F.struct(F.lit(n).alias("band"), F.col("h").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("bits")) for n, m in enumerate(masks)])
     rows = distinct.select("h", F.inline(keys))
     left, right = rows.withColumnRenamed("h", "a"), rows.withColumnRenamed("h", "b")
-    near = left.join(right, ["band", "bits"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold))
+    near = left.join(right.hint("merge"), ["band", "bits"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= threshold))
     return near.select("a", "b").distinct().withColumn("distance", hamming(F.col("a"), F.col("b")))
 
 
@@ -115,8 +160,8 @@ def hamming_edges(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_
     """
     rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("id is not null and h is not null")
     low = rows.groupBy("h").agg(F.min("id").alias("low"))
-    copies = rows.join(low, "h").filter("id <> low").select(F.col("low").alias("src"), F.col("id").alias("dst"))
-    near = hash_pairs(rows, threshold).join(low.select(F.col("h").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("h").alias("b"), F.col("low").alias("y")), "b")
+    copies = rows.join(low.hint("merge"), "h").filter("id <> low").select(F.col("low").alias("src"), F.col("id").alias("dst"))
+    near = hash_pairs(rows, threshold).join(low.select(F.col("h").alias("a"), F.col("low").alias("x")).hint("merge"), "a").join(low.select(F.col("h").alias("b"), F.col("low").alias("y")).hint("merge"), "b")
     return near.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).unionByName(copies)
 
 
@@ -131,13 +176,13 @@ def hamming_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_
     rows = cut(hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("id is not null and h is not null"), "hash-rows")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / COPIES), F.lit(1)).cast("int")
     classes = cut(rows.groupBy("h").agg(blocks.alias("blocks")), "hash-blocks")
-    dealt = rows.join(classes, "h").select("id", "h", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    dealt = rows.join(classes.hint("merge"), "h").select("id", "h", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     side = lambda x: classes.select(F.col("h").alias(x), F.col("blocks").alias(f"{x}_blocks"))
     near = hash_pairs(classes, threshold).unionByName(classes.select(F.col("h").alias("a"), F.col("h").alias("b"), F.lit(0).alias("distance")))
-    met = near.join(side("a"), "a").join(side("b"), "b").withColumn("i", upto("a_blocks")).withColumn("j", upto("b_blocks")).filter("a <> b or i <= j")
-    met = met.join(dealt.select(F.col("h").alias("a"), F.col("block").alias("i"), F.col("id").alias("x")), ["a", "i"])
-    met = met.join(dealt.select(F.col("h").alias("b"), F.col("block").alias("j"), F.col("id").alias("y")), ["b", "j"])
+    met = near.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").withColumn("i", upto("a_blocks")).withColumn("j", upto("b_blocks")).filter("a <> b or i <= j")
+    met = met.join(dealt.select(F.col("h").alias("a"), F.col("block").alias("i"), F.col("id").alias("x")).hint("merge"), ["a", "i"])
+    met = met.join(dealt.select(F.col("h").alias("b"), F.col("block").alias("j"), F.col("id").alias("y")).hint("merge"), ["b", "j"])
     met = met.filter("x <> y and (a <> b or i <> j or x < y)")
     return met.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "distance")
 
@@ -159,7 +204,7 @@ def cosine_pairs_lsh(vectors: DataFrame, threshold: float, id_col: str = "stem",
 
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
     """``pairs, found, recall`` of an approximate join against the exact one."""
-    hit = exact.join(found.select("src", "dst").distinct().withColumn("hit", F.lit(1)), ["src", "dst"], "left")
+    hit = exact.join(found.select("src", "dst").distinct().withColumn("hit", F.lit(1)).hint("merge"), ["src", "dst"], "left")
     return hit.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found")).withColumn("recall", F.col("found") / F.greatest("pairs", F.lit(1)))
 
 
@@ -174,7 +219,7 @@ def across_splits(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs whose ends are in different splits, with ``left_split, right_split``."""
     left = members.select(F.col("stem").alias("src"), F.col("split").alias("left_split"))
     right = members.select(F.col("stem").alias("dst"), F.col("split").alias("right_split"))
-    return pairs.join(left, "src").join(right, "dst").filter("left_split <> right_split")
+    return pairs.join(left.hint("merge"), "src").join(right.hint("merge"), "dst").filter("left_split <> right_split")
 
 
 def top_across_splits(vectors: DataFrame, members: DataFrame, limit: int = 20, block: int = BLOCK) -> DataFrame:
@@ -216,7 +261,7 @@ def _hash_extremes(rows: DataFrame, threshold: int) -> tuple[int, int]:
     while True:
         near = hash_pairs(counts.select("h"), radius)
         left, right = (counts.select(F.col("h").alias(x), F.col("split").alias(f"{x}_split"), F.col("n").alias(f"{x}_n")) for x in "ab")
-        across = near.join(left, "a").join(right, "b").filter("a_split <> b_split")
+        across = near.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter("a_split <> b_split")
         row = across.agg(F.coalesce(F.sum(F.when(F.col("distance") <= threshold, F.col("a_n") * F.col("b_n"))), F.lit(0)).alias("n"), F.min("distance").alias("d")).first()
         if equal or row.d is not None or radius == 64:
             return equal + row.n, 0 if equal else 64 if row.d is None else row.d
