@@ -57,3 +57,25 @@ def test_joined_and_tiled_hash_pairs_are_the_same(spark, rows, monkeypatch, thre
     tiled = rows(neardup.hash_pairs(hashes, threshold))
     monkeypatch.setattr(neardup, "JOINED", 0)
     assert tiled == rows(neardup.hash_pairs(hashes, threshold)) and (tiled or not threshold)
+
+
+def test_tiles_are_shipped_once_to_a_pair_of_heads(spark, rows, monkeypatch):
+    import numpy as np
+
+    from tidemark.operators import cosine, graph
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 8))
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "stem long, embedding array<double>")
+    monkeypatch.setattr(cosine, "MANY_HEADS", 4)
+    found = rows(cosine.cosine_pairs(table, 0.7, block=16))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert [r[:2] for r in sorted(found)] == [(i, j) for i in range(400) for j in range(i + 1, 400) if u[i] @ u[j] >= 0.7]
+    tiles = cosine.tiles(table, "stem", "embedding", block=16)
+    assert tiles.select(F.shiftright("tile", 32)).distinct().count() == 4
+    shipped = cosine.tile_products(tiles, cosine.tile_pairs(tiles), lambda a, b, same: {"n": [1]}, "n long")
+    assert shipped.count() == tiles.count() * (tiles.count() + 1) // 2
+    thin = graph.thinned(cosine.cosine_pairs(table, 0.7, block=16), most=10**9)
+    assert thin.count() < len(found)
+    members = lambda e: rows(graph.group_members(e, table.select("stem")))
+    assert members(thin) == members(cosine.cosine_pairs(table, 0.7, block=16))

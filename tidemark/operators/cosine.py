@@ -28,8 +28,8 @@ TILE_DIRECTIONS = 4
 SLACK = 1e-7
 #: Tile pairs of the first round of a search for the best; each round takes four times as many.
 FIRST_ROUND = 64
-#: Partners of a tile that one group of shipped tiles has, about.
-PARTNERS = 64
+#: Least and most full tiles of a head, which stand together while others pass, heads of a table between both, and tasks of a join.
+HEADS, MANY_HEADS, MOST_TASKS = (1, 32), 24, 2000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -127,7 +127,8 @@ def tiles(vectors: DataFrame, id_col: str, vector_col: str, label_col: str | Non
             yield tile()
 
     order = ["c1", "c2", "angle", "id"]
-    dealt = rows.mapInArrow(place, placed).repartitionByRange(*order).sortWithinPartitions(*order)
+    head = min(HEADS[1] * block, max(HEADS[0] * block, total // MANY_HEADS))
+    dealt = rows.mapInArrow(place, placed).repartitionByRange(max(1, -(-total // head)), *order).sortWithinPartitions(*order)
     return cut(dealt.select("c1", "body", "label", "id").mapInArrow(build, made), "tiles")
 
 
@@ -183,34 +184,36 @@ class Tile:
 def tile_products(table: DataFrame, pairs: DataFrame, kernel: Callable[[Tile, Tile, bool], dict[str, object]], schema: T.StructType | str) -> DataFrame:
     """Run ``kernel(left, right, same)`` over pairs of tiles ``a, b``; it returns columns.
 
-    Each pair ships one tile to a group of the other's partners; which of both is the group's is a matter of a hash, so that groups are even though a tile may be in every pair.
+    Tiles meet in pairs of heads (HEADS full tiles of neighbours, one partition of ``tiles``): each tile is shipped once to a pair of heads in which it has a partner, so that what moves is
+    the table times the number of heads. A task holds the tiles of one head and one tile of the other.
     """
     ship(table.sparkSession)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(schema)
-    chunks = max(1, table.count() // (2 * PARTNERS))
-    turned = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 1
-    oriented = pairs.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("l"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("r"))
-    oriented = oriented.withColumn("chunk", F.pmod(F.xxhash64("r"), F.lit(chunks)))
+    heads = (table.agg(F.max(F.shiftright("tile", 32))).first()[0] or 0) + 1
     body = table.select("tile", "n", "ids", "labels", "body")
-    heads = oriented.groupBy("l", "chunk").agg(F.max((F.col("l") == F.col("r")).cast("int")).alias("kind"))
-    left = heads.join(body, F.col("l") == F.col("tile")).withColumn("kind", F.col("kind") - 2)  # -2: partners only, -1: itself as well
-    right = oriented.filter("l <> r").join(body, F.col("r") == F.col("tile")).withColumn("kind", F.lit(1)).drop("r")
-    rows = left.select("l", "chunk", "kind", "tile", "n", "ids", "labels", "body").unionByName(right.select("l", "chunk", "kind", "tile", "n", "ids", "labels", "body"))
-    rows = rows.repartition("l", "chunk").sortWithinPartitions("l", "chunk", "kind", "tile").select("kind", "n", "ids", "labels", "body")
+    met = pairs.select("a", "b", F.shiftright("a", 32).alias("ha"), F.shiftright("b", 32).alias("hb"))
+    left = met.groupBy("ha", "hb", F.col("a").alias("tile")).agg(F.lit(None).cast("array<bigint>").alias("partners"))
+    right = met.groupBy("ha", "hb", F.col("b").alias("tile")).agg(F.collect_list("a").alias("partners"))
+    sides_ = left.withColumn("kind", F.lit(0)).unionByName(right.withColumn("kind", F.lit(1)))
+    rows = body.join(sides_.hint("merge"), "tile").repartition(min(heads * (heads + 1) // 2, MOST_TASKS), "ha", "hb").sortWithinPartitions("ha", "hb", "kind", "tile")
+    rows = rows.select("ha", "hb", "partners", "tile", "n", "ids", "labels", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None
+        now, held = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
-                kind = batch.column(0)[k].as_py()
-                tile = Tile(batch.column(2)[k].values, batch.column(3)[k].as_py(), batch.column(4)[k].as_py(), batch.column(1)[k].as_py())
-                if kind < 0:
-                    head = tile
-                    if kind == -2:
-                        continue
-                out = kernel(head, tile, kind < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                ha, hb, partners, at, n = (batch.column(c)[k].as_py() for c in range(5))
+                tile = Tile(batch.column(5)[k].values, batch.column(6)[k].as_py(), batch.column(7)[k].as_py(), n)
+                if now != (ha, hb):
+                    now, held = (ha, hb), {}
+                if partners is None:
+                    held[at] = tile
+                    continue
+                found = [kernel(held[p], tile, p == at) for p in partners]
+                columns = [pa.concat_arrays([pa.array(out[f.name], type=f.type) for out in found if len(out[f.name])] or [pa.array([], type=f.type)]) for f in arrow]
+                if len(columns[0]):
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return rows.mapInArrow(run, schema)
 

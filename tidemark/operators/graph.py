@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemark.session import cut, drop_cut
+from tidemark.functions.forest import Forest
+from tidemark.session import cut, drop_cut, ship
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -14,6 +21,34 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def thinned(edges: DataFrame, src: str = "src", dst: str = "dst", most: int = 1_000_000) -> DataFrame:
+    """``src, dst``: of each ``most`` edges of a task only those that connect what was apart, which leaves the components as they are. Ids are numbers; nulls and loops go."""
+    kind = edges.schema[src].dataType
+    schema = T.StructType().add("src", kind).add("dst", kind)
+    arrow = to_arrow_schema(schema)
+    ship(edges.sparkSession)
+
+    def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([r.column(k).to_numpy() for r in held]) for k in range(2))
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = Forest(len(ids)).add(at[: len(a)], at[len(a) :])
+        return pa.RecordBatch.from_arrays([pa.array(ids[v], type=f.type) for v, f in zip((x, y), arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                yield forest(held)
+                held, size = [], 0
+        if held:
+            yield forest(held)
+
+    rows = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).filter("src is not null and dst is not null and src <> dst")
+    return rows.mapInArrow(run, schema)
+
+
 def connected_components(
     edges: DataFrame,
     vertices: DataFrame | None = None,

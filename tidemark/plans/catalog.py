@@ -492,7 +492,7 @@ GROUPED = _recursive(VEC, PAIRS, EDGES, REACH, MEMBERS)
 
 
 def _members(spark, d) -> DataFrame:
-    return cut(graph.group_members(neardup.cosine_pairs(fx.vectors(spark, d), 0.4), fx.vectors(spark, d)), "members")
+    return cut(graph.group_members(graph.thinned(neardup.cosine_pairs(fx.vectors(spark, d), 0.4)), fx.vectors(spark, d)), "members")
 
 
 @query(GROUPED + "select stem, group_id from members")
@@ -617,7 +617,7 @@ def cross_split_extremes(spark, d):
 )
 def dataset_summary(spark, d):
     edges = cut(neardup.union_edges(neardup.hamming_pairs(fx.hashes(spark, d), 17), neardup.cosine_pairs(fx.vectors(spark, d), 0.4)), "edges")
-    return audit.dataset_summary(graph.group_members(edges, fx.vectors(spark, d)), edges)
+    return audit.dataset_summary(graph.group_members(graph.thinned(edges), fx.vectors(spark, d)), edges)
 
 
 @query(with_(fx.MIX, EMB_SPLIT) + "select split, o as obstacle, w as water, s as sky, o / greatest(o + w + s, 1) as obstacle_ratio, w / greatest(o + w + s, 1) as water_ratio, s / greatest(o + w + s, 1) as sky_ratio from (select split, sum(obstacle)::BIGINT as o, sum(water)::BIGINT as w, sum(sky)::BIGINT as s from mix join split using (stem) group by split)", "obstacle_ratio water_ratio sky_ratio")
