@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _spread(pixels: DataFrame, value: Column, radius: int, agg, out: str) -> DataFrame:
-    """Separable square neighbourhood: along rows, then along columns; frames end at the image's border."""
-    row = Window.partitionBy("stem", "y").orderBy("x").rangeBetween(-radius, radius)
-    column = Window.partitionBy("stem", "x").orderBy("y").rangeBetween(-radius, radius)
-    return pixels.withColumn("__m", agg(value.cast("int")).over(row)).withColumn(out, (agg("__m").over(column)).cast("boolean")).drop("__m")
+def _spread(pixels: DataFrame, wanted: dict[str, tuple[Column, int, Callable]]) -> DataFrame:
+    """Separable square neighbourhoods, each ``name: (value, radius, aggregate)``: along rows, then along columns; frames end at the image's border.
+
+    All of them share one sort along rows and one along columns.
+    """
+    row = lambda r: Window.partitionBy("stem", "y").orderBy("x").rangeBetween(-r, r)
+    column = lambda r: Window.partitionBy("stem", "x").orderBy("y").rangeBetween(-r, r)
+    across = pixels.withColumns({f"__m_{n}": agg(v.cast("int")).over(row(r)) for n, (v, r, agg) in wanted.items()})
+    return across.withColumns({n: agg(f"__m_{n}").over(column(r)).cast("boolean") for n, (_, r, agg) in wanted.items()}).drop(*[f"__m_{n}" for n in wanted])
 
 
 def dilate(pixels: DataFrame, mask: Column, radius: int, out: str) -> DataFrame:
     """True where any pixel within the square radius is; outside counts as false."""
-    return _spread(pixels, mask, radius, F.max, out)
+    return _spread(pixels, {out: (mask, radius, F.max)})
 
 
 def erode(pixels: DataFrame, mask: Column, radius: int, out: str) -> DataFrame:
     """True where all pixels within the square radius are; outside counts as true."""
-    return _spread(pixels, mask, radius, F.min, out)
+    return _spread(pixels, {out: (mask, radius, F.min)})
+
+
+def boundaries(pixels: DataFrame, masks: dict[str, Column], radius: int) -> DataFrame:
+    """Dilation without erosion, of each ``name: mask``. Images' borders make none."""
+    wanted = {f"__{k}_{n}": (m, radius, agg) for n, m in masks.items() for k, agg in (("d", F.max), ("e", F.min))}
+    return _spread(pixels, wanted).withColumns({n: F.col(f"__d_{n}") & ~F.col(f"__e_{n}") for n in masks}).drop(*wanted)
 
 
 def boundary(pixels: DataFrame, mask: Column, radius: int, out: str) -> DataFrame:
-    """Dilation without erosion. Images' borders make none."""
-    pixels = dilate(pixels, mask, radius, "__d")
-    return erode(pixels, mask, radius, "__e").withColumn(out, F.col("__d") & ~F.col("__e")).drop("__d", "__e")
+    """The same of one mask."""
+    return boundaries(pixels, {out: mask}, radius)
 
 
 def dense_boundary(mask: np.ndarray, radius: int) -> np.ndarray:
@@ -68,11 +79,9 @@ def boundary_counts(pixels: DataFrame, tolerances: tuple[int, ...] = (1, 3, 5))
     """
     from tidemark.functions.labels import OBSTACLE, valid
 
-    px = boundary(pixels, F.col("pred") == OBSTACLE, 1, "pb")
-    px = boundary(px, F.col("target") == OBSTACLE, 1, "tb")
+    px = boundaries(pixels, {"pb": F.col("pred") == OBSTACLE, "tb": F.col("target") == OBSTACLE}, 1)
     px = px.withColumns({"pb": F.col("pb") & valid(), "tb": F.col("tb") & valid()})
-    for d in tolerances:
-        px = dilate(dilate(px, F.col("pb"), d, f"pd{d}"), F.col("tb"), d, f"td{d}")
+    px = _spread(px, {f"{s}d{d}": (F.col(f"{s}b"), d, F.max) for d in tolerances for s in "pt"})
     sums = [
         F.struct(
             F.lit(d).alias("tolerance"),
