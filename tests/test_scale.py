@@ -79,3 +79,23 @@ def test_tiles_are_shipped_once_to_a_pair_of_heads(spark, rows, monkeypatch):
     assert thin.count() < len(found)
     members = lambda e: rows(graph.group_members(e, table.select("stem")))
     assert members(thin) == members(cosine.cosine_pairs(table, 0.7, block=16))
+
+
+def test_boundaries_share_two_sorts_a_pass(spark, suppliers):
+    assert joins(catalog.QUERIES["boundary_matches"](spark, suppliers)).count("Window [") <= 4
+
+
+def test_pixels_leave_a_task_some_images_at_a_time(spark, monkeypatch):
+    from tidemark.operators import imagejobs, scoring
+
+    monkeypatch.setattr(imagejobs, "PIXELS", 10)
+    masks = spark.createDataFrame([("a", 2, bytes([1, 2, 3, 4, 5, 6])), ("b", 3, None), ("c", 4, bytes(range(16))), ("d", 1, b"")], "stem string, width int, labels binary").coalesce(1)
+    got = [tuple(r) for r in scoring.pixel_rows(masks, "v").collect()]
+    assert got == [("a", k // 2, k % 2, k + 1) for k in range(6)] + [("c", k // 4, k % 4, k) for k in range(16)]
+
+
+def test_pictures_are_written_where_they_are_read(spark, suppliers):
+    few = spark.read.parquet(f"{suppliers}/supplier.parquet").limit(3)
+    few.write.mode("overwrite").parquet(f"{suppliers}/few/supplier.parquet")
+    root = corpora.pictures(spark, f"{suppliers}/few", "images")
+    assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).count() == 3

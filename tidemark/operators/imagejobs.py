@@ -9,14 +9,20 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.jpeg import compressed
 from tidemark.functions.labels import IGNORE, OBSTACLE, UNKNOWN
 from tidemark.session import ship
 
 # Channel means and deviations (red, green, blue).
+#: Images of a batch that leaves a kernel, and pixels of a batch of rows.
+SLICE, PIXELS = 64, 100_000
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
@@ -27,11 +33,45 @@ def _each(rows: DataFrame, schema: str, work: Callable[[pd.Series], dict | None]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([work(row) for row in frame.itertuples(index=False)], columns=names)
+            for at in range(0, max(1, len(frame)), SLICE):
+                yield pd.DataFrame([work(row) for row in frame.iloc[at : at + SLICE].itertuples(index=False)], columns=names)
 
     return rows.mapInPandas(run, schema)
 
 
+def unrolled(images: DataFrame, keep: list[str], data: str, values: dict[str, str], depth: int = 1) -> DataFrame:
+    """``keep, y, x, values`` (names and types): one row for each pixel of the bytes in ``data``, ``depth`` bytes each, for images with a ``width``.
+
+    Some images at a time, PIXELS pixels or one image: a task never holds a whole batch as pixels.
+    """
+    fields = [images.schema[n] for n in keep]
+    schema = T.StructType([*fields, T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType())])
+    for n, kind in values.items():
+        schema = schema.add(T.StructType.fromDDL(f"`{n}` {kind}")[n])
+    arrow, m = to_arrow_schema(schema), len(keep)
+    ship(images.sparkSession)
+
+    def rows(part: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        width = part.column(m).to_numpy(zero_copy_only=False)[owner].astype(np.int64)
+        found = np.frombuffer(b"".join(b or b"" for b in part.column(m + 1).to_pylist()), np.uint8).reshape(-1, depth)
+        columns = [part.column(k).take(pa.array(owner)) for k in range(m)] + [pa.array(v) for v in (at // width, at % width)] + [pa.array(found[:, k]) for k in range(depth)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(m + 1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // depth
+            low = 0
+            while low < batch.num_rows:
+                high = max(low + 1, low + int(np.searchsorted(np.cumsum(sizes[low:]), PIXELS, "right")))
+                if sizes[low:high].any():
+                    yield rows(batch.slice(low, high - low), sizes[low:high])
+                low = high
+
+    return images.select(*keep, "width", data).mapInArrow(run, schema)
+
+
 def pixels_of(row) -> np.ndarray:
     """Height x width x channels, red first, from Spark's image columns (blue first)."""
     data = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
@@ -331,11 +371,4 @@ def apply_augmentation(samples: DataFrame, planned: DataFrame) -> DataFrame:
 
 def rgb_rows(images: DataFrame) -> DataFrame:
     """``stem, variant, y, x, red, green, blue`` of augmented images."""
-
-    @F.pandas_udf("array<array<int>>")
-    def values(data):
-        return data.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int32).reshape(-1, 3).tolist())
-
-    flat = images.select("stem", "variant", "width", F.posexplode(values("image")).alias("at", "v"))
-    place = (F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"))
-    return flat.select("stem", "variant", *place, *[F.get("v", k).alias(n) for k, n in enumerate(("red", "green", "blue"))])
+    return unrolled(images, ["stem", "variant"], "image", {"red": "int", "green": "int", "blue": "int"}, 3)

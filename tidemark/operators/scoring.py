@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geometry import geometry
 from tidemark.functions.labels import UNKNOWN
 from tidemark.operators.dense import report_masks
-from tidemark.operators.imagejobs import from_model, pixels_of, to_model
+from tidemark.operators.imagejobs import from_model, pixels_of, to_model, unrolled
 from tidemark.operators.splits import in_split
 from tidemark.session import ship
 
@@ -72,13 +72,7 @@ def geometry_manifest(images: DataFrame, target: tuple[int, int], mode: str) ->
 
 def pixel_rows(masks: DataFrame, name: str) -> DataFrame:
     """``stem, y, x, <name>`` of dense masks."""
-
-    @F.pandas_udf("array<smallint>")
-    def values(data):
-        return data.map(lambda b: np.frombuffer(b, np.uint8).astype(np.int16))
-
-    flat = masks.select("stem", "width", F.posexplode(values("labels")).alias("at", name))
-    return flat.select("stem", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), name)
+    return unrolled(masks, ["stem"], "labels", {name: "smallint"})
 
 
 def aligned(masks: DataFrame, scored: DataFrame) -> DataFrame:
