@@ -199,7 +199,7 @@ def run_configs(spark, d):
 # --- decoded images -----------------------------------------------------------------------------------------------
 
 
-def _png_rows(spark, d) -> DataFrame:
+def _png_rows(spark, d, kinds) -> DataFrame:
     """``path, content`` of an RGB image for each supplier (red the prediction, green the target, blue both), its mask (gray, or coloured for odd ones), and some IMU masks."""
 
     def run(frames):
@@ -214,14 +214,15 @@ def _png_rows(spark, d) -> DataFrame:
                 out.append((f"masks/{r.stem:06d}m.png", imagejobs.encode_png(t[:, :, None] if r.stem % 2 == 0 else colour)))
                 if r.stem % 4 == 0:
                     out.append((f"imus/{r.stem:06d}.png", imagejobs.encode_png((p == 2).astype(np.uint8)[:, :, None])))
-            yield pd.DataFrame(out, columns=["path", "content"])
+            yield pd.DataFrame([r for r in out if r[0].partition("/")[0] in kinds], columns=["path", "content"])
 
     return dense.mask_pairs(fx.pixels(spark, d)).mapInPandas(run, "path string, content binary")
 
 
-def pictures(spark: SparkSession, d: str) -> str:
+def pictures(spark: SparkSession, d: str, *kinds: str) -> str:
+    """A folder of the pictures; ``kinds`` names the folders below it that the caller reads (none: all)."""
     root = _folder(spark, "pictures")
-    files.write_files(_png_rows(spark, d), root)
+    files.write_files(_png_rows(spark, d, kinds or ("images", "masks", "imus")), root)
     return root
 
 
@@ -251,8 +252,7 @@ def sample_records(spark, d):
 @query(with_(PX) + "select stem, 2 as files, 1 as hashes from (select distinct stem from pn)")
 def image_hashes(spark, d):
     """Each picture and its copy in another folder have one perceptual hash."""
-    root = pictures(spark, d)
-    a, b = (imagejobs.image_hashes(files.images(spark, r + "/images")) for r in (root, pictures(spark, d)))
+    a, b = (imagejobs.image_hashes(files.images(spark, r + "/images")) for r in (pictures(spark, d, "images"), pictures(spark, d, "images")))
     return a.unionByName(b).groupBy("stem").agg(F.count(F.lit(1)).cast("int").alias("files"), F.count_distinct("h").cast("int").alias("hashes"))
 
 
@@ -271,7 +271,7 @@ cut as (select *, (select median(m.d) from low m where m.stem = low.stem and m.s
 @query(with_(PX, HASH_SQL) + "select stem, sum(case when d > middle and spot < 32 then 1::BIGINT << (31 - spot)::INT else 0 end)::BIGINT as hi, sum(case when d > middle and spot >= 32 then 1::BIGINT << (63 - spot)::INT else 0 end)::BIGINT as lo from cut group by stem")
 def image_hash_values(spark, d):
     """The perceptual hash of each picture in two halves: gray, resampled in whole numbers, transformed, cut at the median."""
-    h = imagejobs.image_hashes(files.images(spark, pictures(spark, d) + "/images"))
+    h = imagejobs.image_hashes(files.images(spark, pictures(spark, d, "images") + "/images"))
     return h.select("stem", F.shiftrightunsigned("h", 32).alias("hi"), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).alias("lo"))
 
 
@@ -434,7 +434,7 @@ def _picture_split(spark, d) -> DataFrame:
 @query(*report_sql("select *, 0 as k from px0 where stem % 3 = 0"))
 def evaluated_split(spark, d):
     """A model scored over one split, end to end: decode, score, align, report."""
-    root = pictures(spark, d)
+    root = pictures(spark, d, "images", "masks")
     return scoring.evaluate(files.images(spark, root + "/images"), _masks(spark, root), _picture_split(spark, d), "val", _red_model, (fx.HEIGHT, fx.WIDTH))
 
 

@@ -33,9 +33,13 @@ def write_files(rows: DataFrame, root: str) -> int:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        made = set()
         for frame in frames:
             for path, content in zip(frame.path, frame.content, strict=True):
-                system.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                folder = f"{base}/{path}".rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(f"{base}/{path}") as out:
                     out.write(content)
             yield pd.DataFrame({"n": [len(frame)]})
