@@ -99,3 +99,27 @@ def test_pictures_are_written_where_they_are_read(spark, suppliers):
     few.write.mode("overwrite").parquet(f"{suppliers}/few/supplier.parquet")
     root = corpora.pictures(spark, f"{suppliers}/few", "images")
     assert spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).count() == 3
+
+
+@pytest.mark.parametrize("n", [64, 4000])
+def test_what_a_cosine_join_moves_is_the_table_times_the_same_heads(spark, n):
+    """Floats stay floats, and a larger table has no more heads."""
+    from tidemark.operators import cosine
+
+    vectors = spark.range(n).select(F.col("id").alias("stem"), F.array(*[(F.hash("id", F.lit(k)) / 2**31).cast("float") for k in range(4)]).alias("embedding"))
+    table = cosine.tiles(vectors, "stem", "embedding")
+    heads, rows, size = table.agg(F.count_distinct(F.shiftright("tile", 32)), F.sum("n"), F.sum(F.length("body"))).first()
+    assert (heads, rows, size) == (8, n, 16 * n)
+
+
+def test_cosines_at_a_threshold_are_decided_in_double_precision(spark, rows):
+    """Copies among them, and neighbours that go to the kernel together."""
+    import numpy as np
+
+    from tidemark.operators import cosine
+
+    angles = np.arccos(0.4) + np.array([-2e-9, 2e-9, -1e-5, 1e-5])
+    v = [[1.0, 0.0]] * 3 + [[float(np.cos(a)), float(np.sin(a))] for a in angles]
+    frame = spark.createDataFrame(list(enumerate(v)), "stem long, embedding array<double>")
+    found = {r[:2] for r in rows(cosine.cosine_pairs(frame, 0.4, block=2))}
+    assert found == {(i, j) for i in range(7) for j in range(i + 1, 7) if i > 2 or j not in (4, 6)}
