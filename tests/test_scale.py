@@ -123,3 +123,19 @@ def test_cosines_at_a_threshold_are_decided_in_double_precision(spark, rows):
     frame = spark.createDataFrame(list(enumerate(v)), "stem long, embedding array<double>")
     found = {r[:2] for r in rows(cosine.cosine_pairs(frame, 0.4, block=2))}
     assert found == {(i, j) for i in range(7) for j in range(i + 1, 7) if i > 2 or j not in (4, 6)}
+
+
+def test_an_approximate_join_finds_what_spark_finds_and_writes_no_candidates_out(spark, rows):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    from tidemark.operators import neardup
+
+    v = spark.range(120).select(F.col("id").alias("stem"), F.array(*[F.hash("id", F.lit(k)) / 2**31 for k in range(4)]).alias("embedding"))
+    unit = v.select("stem", array_to_vector(vectors.l2_normalise(F.col("embedding"))).alias("f")).persist()
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="buckets", bucketLength=0.4, numHashTables=2, seed=42).fit(unit)
+    near = model.approxSimilarityJoin(unit, unit, (2 - 2 * 0.8) ** 0.5, "d").filter("datasetA.stem < datasetB.stem")
+    want = rows(near.select("datasetA.stem", "datasetB.stem"))
+    found = neardup.cosine_pairs_lsh(v, 0.8, tables=2, bucket=0.4)
+    assert rows(found.select("src", "dst")) == want and 0 < len(want) < neardup.cosine_pairs(v, 0.8).count()
+    assert "Join" not in joins(neardup.cosine_pairs_lsh(v, 0.8)).replace("SortMergeJoin [tile", "")

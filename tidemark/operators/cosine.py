@@ -338,6 +338,31 @@ def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "stem", vec
     return tile_products(table, tile_pairs(table, threshold), kernel, schema, MERGED)
 
 
+def pairs_in_buckets(vectors: DataFrame, threshold: float, id_col: str, vector_col: str, buckets_col: str, block: int = BLOCK) -> DataFrame:
+    """``src, dst, cosine`` as ``cosine_pairs``, of rows that share a bucket in one hash table at least: ``buckets_col`` has a row's bucket in each table, joined by commas.
+
+    A pair meets once, whatever number of buckets it shares: no candidates are written out.
+    """
+    table = tiles(vectors, id_col, vector_col, buckets_col, block)
+    kind = table.schema["ids"].dataType.elementType
+
+    def buckets(tile: Tile, rows: np.ndarray) -> np.ndarray:
+        own, at = np.unique(rows, return_inverse=True)
+        return np.array([x.split(",") for x in tile.labels[own]], "U11").reshape(len(own), -1)[at]
+
+    def kernel(left: Tile, right: Tile, same: bool) -> dict[str, object]:
+        i, j, cosine = above(left, right, same, False, threshold)
+        if len(i):
+            shared = (buckets(left, i) == buckets(right, j)).any(1)
+            i, j, cosine = i[shared], j[shared], cosine[shared]
+        src, dst, _ = ordered(left, right, i, j)
+        keep = np.asarray(src != dst, bool)
+        return {"src": src[keep], "dst": dst[keep], "cosine": cosine[keep]}
+
+    schema = T.StructType().add("src", kind).add("dst", kind).add("cosine", "double")
+    return tile_products(table, tile_pairs(table, threshold), kernel, schema, MERGED)
+
+
 def best_across(table: DataFrame, limit: int) -> tuple[list, int, int]:
     """The ``limit`` most similar pairs of rows of different labels, ties by both ids downwards; the tile pairs read, and all.
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.vectors import hamming
-from tidemark.operators.cosine import BLOCK, block_pairs, cosine_pairs, extremes_across, tiles, top_across
+from tidemark.operators.cosine import BLOCK, block_pairs, cosine_pairs, extremes_across, pairs_in_buckets, tiles, top_across
 from tidemark.session import cut, ship
 
 #: Copies of a hash that stand under one key of an expansion.
@@ -188,18 +188,23 @@ def hamming_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_
 
 
 def cosine_pairs_lsh(vectors: DataFrame, threshold: float, id_col: str = "stem", vector_col: str = "embedding", tables: int = 12, bucket: float = 1.0) -> DataFrame:
-    """The same pairs by random projections, then exactly verified; may miss some (see ``recall_of``)."""
+    """The same pairs by random projections, then exactly verified; may miss some (see ``recall_of``).
+
+    Those that Spark's ``approxSimilarityJoin`` with this model finds: pairs that share a bucket in one table at least. That join writes every candidate out once for each bucket shared, and where
+    buckets are wide (unit vectors fall into two of width 1) those are nearly all pairs several times; here rows with their buckets meet as arrays over tiles (``cosine.pairs_in_buckets``).
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    from tidemark.functions.vectors import dot, l2_normalise
+    from tidemark.functions.vectors import l2_normalise
 
-    unit = cut(vectors.select(F.col(id_col).alias("id"), l2_normalise(F.col(vector_col)).alias("v")).withColumn("f", array_to_vector("v")), "unit")
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
+    unit = rows.withColumn("f", array_to_vector(l2_normalise(F.col("v"))))
+    if rows.isEmpty():
+        return cosine_pairs(rows, threshold, "id", "v")
     model = BucketedRandomProjectionLSH(inputCol="f", outputCol="buckets", bucketLength=bucket, numHashTables=tables, seed=42).fit(unit)
-    far = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    found = model.approxSimilarityJoin(unit, unit, far, "distance").filter("datasetA.id < datasetB.id")
-    found = found.select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"), dot(F.col("datasetA.v"), F.col("datasetB.v")).alias("cosine"))
-    return found.filter(F.col("cosine") >= threshold)
+    buckets = F.concat_ws(",", *[vector_to_array(F.col("buckets")[k])[0].cast("int").cast("string") for k in range(tables)])
+    return pairs_in_buckets(cut(model.transform(unit).select("id", "v", buckets.alias("in")), "buckets"), threshold, "id", "v", "in")
 
 
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
