@@ -67,3 +67,28 @@ def test_chains_names_and_nothing(spark):
     docs = spark.createDataFrame([("a", " ".join(one)), ("b", " ".join(two)), ("c", " ".join(base)), ("d", " ".join(base[30:]))], "name string, text string")
     got = {r.name for r in shingle_dedup.near_copies(docs, "name").collect()}
     assert got == {"c"} and shingle_dedup.near_copies(docs.limit(0), "name").count() == 0
+
+
+def test_pipeline_verifies_what_simhash_links(spark, monkeypatch):
+    """Without any min-hash proposal the documents that SimHash links go, where their similarity is 0.8."""
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(2000)]
+    near, far = [*base[:-1], "x"], [w for k in range(100) for w in base[20 * k : 20 * k + 18]]
+    texts = [" ".join(t) for t in (base, near, far)] + ["others " * 9, "a b c d e f", "a b c d e f"]
+    docs = spark.createDataFrame([(10 - n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.doc, r.other) for r in corpus_pipeline.simhash_links(docs).collect()} >= {(10, 9), (6, 5)}
+    monkeypatch.setattr(shingle_dedup, "_proposals", lambda c, *_: {"sig": c["sig"][:0], "other": c["sig"][:0], "full": c["sig"][:0] > 0})
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [5, 7, 8, 9]
+    chained = [(1, base), (2, near), (3, [f"y{k}" for k in range(500)])]
+    links = spark.createDataFrame([(2, 1), (3, 1)], "doc long, other long")
+    docs = spark.createDataFrame([(n, " ".join(t)) for n, t in chained], "doc_id long, text string")
+    assert [r.doc_id for r in shingle_dedup.near_copies(docs, links=links).collect()] == [2]
+
+
+def test_rows_that_repeat_an_id_are_judged_each(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
+    docs = spark.createDataFrame([(3, one, 0), (5, one, 1), (5, two, 2), (7, two, 3), (5, None, 4), (2, "", 5)], "doc_id long, text string, n int")
+    assert sorted(r.n for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 5]

@@ -171,3 +171,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(label, "fp", "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def simhash_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """``doc, other``: links between ids, the larger one first, enough of them to connect what ``simhash_components`` does.
+
+    Documents of one fingerprint are linked with the smallest of them, fingerprints of at most ``radius`` bits by their smallest ids. Null ids take no part.
+    """
+    rows = cut(fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, shingle).select(F.col(id_col).alias("id"), "fp"), "prints")
+    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    same = rows.join(distinct, "fp").filter("id <> low").select(F.col("id").alias("doc"), F.col("low").alias("other"))
+    ends = (distinct.select(F.col("fp").alias(fp), F.col("low").alias(low)) for fp, low in (("src", "a"), ("dst", "b")))
+    near = hamming_links(distinct, radius)
+    for end in ends:
+        near = near.join(end, end.columns[0])
+    return cut(near.filter("a <> b").select(F.greatest("a", "b").alias("doc"), F.least("a", "b").alias("other")).unionByName(same).distinct(), "links")
