@@ -46,6 +46,26 @@ def test_a_missing_epoch_is_waited_for_and_then_passed_over(spark, tmp_path):
         stopping_stream(stream, 5, wait=3)
 
 
+def test_waiting_epochs_are_few_values_of_the_state(spark, tmp_path):
+    """Epochs of many runs in any order, one of them missing: the state holds one value a bucket, and the folds are those of the whole table."""
+    table = spark.range(60 * 30).select((F.col("id") % 60).cast("string").alias("run_id"), (F.floor(F.col("id") / 60) + 1).cast("int").alias("epoch"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("safety_score"))
+    arrived = table.withColumn("safety_score", F.when(F.col("safety_score") > 0.1, F.col("safety_score"))).withColumn("part", F.pmod(F.xxhash64("run_id", "epoch"), F.lit(3)))
+    seen = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("part"))
+    for part in range(3):
+        arrived.filter((F.col("part") == part) & (F.col("epoch") != 7)).select("run_id", "epoch", "safety_score", seen.alias("seen")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("run_id string, epoch int, safety_score double, seen timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    states, held = stopping_stream(stream, 5, 0.0, "seen", "0 seconds", wait=100, buckets=4), []
+    q = states.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda batch, n: held.append(batch.count())).start()
+    q.awaitTermination()
+    assert held[0] == 60 and q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    clock = spark.createDataFrame([("0", 31, 0.0, 1_700_009_999)], "run_id string, epoch int, safety_score double, s int")
+    clock.select("run_id", "epoch", "safety_score", F.timestamp_seconds("s").alias("seen")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = {r.run_id: (r.best_epoch, r.best_score, r.stopped) for r in drained(states, "update", ["run_id"], "epoch").collect()}
+    whole = arrived.filter("epoch <> 7").withColumn("real", F.col("epoch")).withColumn("epoch", F.when(F.col("epoch") > 7, F.col("epoch") - 1).otherwise(F.col("epoch")))
+    want = {r.run_id: (r.best_epoch + (r.best_epoch > 6), r.best_score, r.stop_epoch is not None) for r in stopping(whole.drop("part", "real"), 5).collect()}
+    assert got == want and len(got) == 60
+
+
 def test_history_takes_a_batch_once(spark, tmp_path, rows):
     path, schema = f"file://{tmp_path}/history", "run_id string, epoch int, score double"
     make = lambda *r: spark.createDataFrame(list(r), schema)

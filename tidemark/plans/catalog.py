@@ -1030,6 +1030,8 @@ def streamed_stopping(spark, d):
     return drained(states, "update", ["run_id"], "epoch").select("run_id", "best_score", "best_epoch", "stopped")
 
 
+#: Rows of a file of a stream's source.
+ARRIVED = 500_000
 GAPS = "hist as (select run_id, (row_number() over (partition by run_id order by epoch))::INT as epoch, epoch as real, safety_score from (" + fx.HISTORY.split("(", 1)[1].rsplit(")", 1)[0] + ") where (epoch + run_id::BIGINT) % 5 <> 3)"
 
 
@@ -1044,10 +1046,11 @@ def streamed_stopping_gaps(spark, d):
     rows = cut(history.select("run_id", "epoch", "safety_score", seen.alias("seen"), "part"), "history")
     clock = spark.range(1).select(F.lit("clock").alias("run_id"), F.lit(1).alias("epoch"), F.lit(0.0).alias("safety_score"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("seen"))
     path = f"{rows._cut_path}-arrived"
+    files = rows.count() // (3 * ARRIVED) + 1  # of a part, which is a batch
     for part in range(3):
-        rows.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+        rows.filter(F.col("part") == part).drop("part").repartition(files).write.mode("append").parquet(path)
     clock.coalesce(1).write.mode("append").parquet(path)  # time goes on
-    source = spark.readStream.schema(clock.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    source = spark.readStream.schema(clock.schema).option("maxFilesPerTrigger", files).parquet(path)
     states = drained(stopping_stream(source, PATIENCE, DELTA, "seen", "10 seconds", wait=86_400), "update", ["run_id"], "epoch")
     return states.filter("run_id <> 'clock'").select("run_id", "best_score", "best_epoch", "stopped")
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.session import ship
 
 OUTPUT = "run_id string, epoch int, best_score double, best_epoch int, stale int, stopped boolean"
+#: Buckets of runs: each is one value of the state.
+BUCKETS = 1024
 
 
 def advance(state: tuple, epoch: int, score: float | None, patience: int, min_delta: float) -> tuple:
@@ -25,81 +29,63 @@ def advance(state: tuple, epoch: int, score: float | None, patience: int, min_de
     return best, at, stale, epoch if patience > 0 and stale >= patience else None
 
 
-class _Stopping(StatefulProcessor):
-    """State of a run: its fold, the next epoch it waits for, epochs that came early with the time they came, and the timer that ends the wait."""
-
-    def __init__(self, patience: int, min_delta: float, wait: int | None):
-        self.patience, self.min_delta, self.wait = patience, min_delta, wait
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.fold = handle.getValueState("fold", "best double, at int, stale int, stop int, next int, held int")
-        self.early = handle.getMapState("early", "epoch int", "score double, came bigint")
-        self.timer = handle.getValueState("timer", "at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+def _released(held: tuple, came: dict[int, tuple], now: int, patience: int, min_delta: float, wait: int | None) -> tuple:
+    """A run (its fold, the next epoch it waits for, epochs that came early with the time they came, the end of the wait) after more of its epochs."""
+    state, due, early, _ = held
+    waiting = early | {e: v for e, v in came.items() if e >= due and e not in early}
+    order, oldest, deadline, done = sorted(waiting), None, None, 0
+    for epoch in order:
+        if epoch > due:
+            if wait is None:
+                break
+            if oldest is None:  # of all that wait from here on
+                oldest = list(accumulate((waiting[e][1] for e in order[::-1]), min))[::-1]
+            if oldest[done] + wait > now:
+                deadline = oldest[done] + wait
+                break  # else what is missing has had its time
+        state = advance(state, epoch, waiting[epoch][0], patience, min_delta)
+        due, done = epoch + 1, done + 1
+    return state, due, {e: waiting[e] for e in order[done:]}, deadline
+
+
+def _stopping(patience: int, min_delta: float, wait: int | None):
+    """What a batch does to a bucket of runs: its state is read and written once, and its timer is the first of its runs' deadlines."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        runs = pickle.loads(state.get[0]) if state.exists else {}
+        now = state.getCurrentWatermarkMs() if wait is not None else 0
         came = {}
-        for frame in rows:
-            for epoch, score, at in zip(frame.epoch, frame.safety_score, frame.came, strict=True):
-                came.setdefault(int(epoch), (None if pd.isna(score) else float(score), int(at)))
-        yield self._advanced(key, timerValues.getCurrentWatermarkInMs() if self.wait is not None else 0, came)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        yield self._advanced(key, timerValues.getCurrentWatermarkInMs(), {})
-
-    def _advanced(self, key, now: int, came: dict[int, tuple]) -> pd.DataFrame:
-        best, at, stale, stop, due, held = self.fold.get() if self.fold.exists() else (-1.0, None, 0, None, 1, 0)
-        stored = {epoch[0]: tuple(value) for epoch, value in self.early.iterator()} if held else {}
-        waiting = {e: v for e, v in (came | stored).items() if e >= due}
-        deadline = None
-        while waiting:
-            if due not in waiting:
-                deadline = min(v[1] for v in waiting.values()) + self.wait if self.wait is not None else None
-                if deadline is None or deadline > now:
-                    break
-                due, deadline = min(waiting), None  # what is missing has had its time
-            best, at, stale, stop = advance((best, at, stale, stop), due, waiting.pop(due)[0], self.patience, self.min_delta)
-            due += 1
-        for epoch in stored.keys() - waiting.keys():
-            self.early.removeKey((epoch,))
-        for epoch in waiting.keys() - stored.keys():
-            self.early.updateValue((epoch,), waiting[epoch])
-        self._remind(deadline)
-        self.fold.update((best, at, stale, stop, due, len(waiting)))
-        return pd.DataFrame({
-            "run_id": [str(key[0])], "epoch": [due - 1], "best_score": [best if at is not None else None],
-            "best_epoch": pd.array([at], "Int32"), "stale": [stale], "stopped": [stop is not None],
-        })
-
-    def _remind(self, deadline: int | None) -> None:
-        """One timer, at the deadline of the epoch that has waited longest."""
-        old = self.timer.get()[0] if self.timer.exists() else None
-        if old == deadline:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old)
-            self.timer.clear()
-        if deadline is not None:
-            self.handle.registerTimer(deadline)
-            self.timer.update((deadline,))
-
-    def close(self) -> None:
-        pass
-
-
-def stopping_stream(history: DataFrame, patience: int, min_delta: float = 0.0, time_col: str | None = None, delay: str = "0 seconds", wait: int | None = None) -> DataFrame:
+        for frame in frames:
+            for run, epoch, score, at in zip(frame.run_id.tolist(), frame.epoch.tolist(), frame.safety_score.tolist(), frame.came.tolist(), strict=True):
+                came.setdefault(str(run), {}).setdefault(int(epoch), (score, at))
+        moved = came.keys() | {run for run, held in runs.items() if held[3] is not None and held[3] <= now}
+        for run in moved:
+            runs[run] = _released(runs.get(run, ((-1.0, None, 0, None), 1, {}, None)), came.get(run, {}), now, patience, min_delta, wait)
+        state.update((pickle.dumps(runs),))
+        ends = [held[3] for held in runs.values() if held[3] is not None]
+        if ends:
+            state.setTimeoutTimestamp(min(ends))
+        if moved:
+            rows = [(run, due - 1, best if at is not None else None, at, stale, stop is not None) for run in moved for (best, at, stale, stop), due, _, _ in [runs[run]]]
+            yield pd.DataFrame(rows, columns=["run_id", "epoch", "best_score", "best_epoch", "stale", "stopped"]).astype({"best_score": "Float64", "best_epoch": "Int32"})
+
+    return step
+
+
+def stopping_stream(history: DataFrame, patience: int, min_delta: float = 0.0, time_col: str | None = None, delay: str = "0 seconds", wait: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The state of each run after each batch of ``run_id, epoch, safety_score``.
 
     Epochs count from 1; one that comes early waits in the state until those before it have come, repeats are ignored. With ``wait`` (seconds of event time, by
     ``time_col`` and a watermark of ``delay``) it waits no longer than that: a timer then releases the run, and epochs that are missing are passed over as if the
-    run had never had them. Without, a missing epoch holds its run for good. Rows later than the watermark do not count. Needs the RocksDB state store.
+    run had never had them. Without, a missing epoch holds its run for good. Rows later than the watermark do not count. Runs are dealt to ``buckets``
+    (not to be changed over a checkpoint), whose states move with their rows, one value a batch however many runs and epochs wait. The RocksDB state store keeps them off the heap.
     """
     ship(history.sparkSession)
+    bucket = F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket")
     if wait is None:
-        rows = history.select("run_id", "epoch", "safety_score", F.lit(0).cast("bigint").alias("came"))
-        return rows.groupBy("run_id").transformWithStateInPandas(_Stopping(patience, min_delta, None), OUTPUT, "update", "none")
+        rows = history.select(bucket, "run_id", "epoch", "safety_score", F.lit(0).cast("bigint").alias("came"))
+        return rows.groupBy("bucket").applyInPandasWithState(_stopping(patience, min_delta, None), OUTPUT, "runs binary", "update", GroupStateTimeout.NoTimeout)
     if time_col is None:
         raise ValueError("a wait needs the column of event time")
-    rows = history.withWatermark(time_col, delay).select("run_id", "epoch", "safety_score", F.unix_millis(time_col).alias("came"), time_col)
-    return rows.groupBy("run_id").transformWithStateInPandas(_Stopping(patience, min_delta, 1000 * wait), OUTPUT, "update", "EventTime")
+    rows = history.withWatermark(time_col, delay).select(bucket, "run_id", "epoch", "safety_score", F.unix_millis(time_col).alias("came"), time_col)
+    return rows.groupBy("bucket").applyInPandasWithState(_stopping(patience, min_delta, 1000 * wait), OUTPUT, "runs binary", "update", GroupStateTimeout.EventTimeTimeout)
