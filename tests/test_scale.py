@@ -139,3 +139,38 @@ def test_an_approximate_join_finds_what_spark_finds_and_writes_no_candidates_out
     found = neardup.cosine_pairs_lsh(v, 0.8, tables=2, bucket=0.4)
     assert rows(found.select("src", "dst")) == want and 0 < len(want) < neardup.cosine_pairs(v, 0.8).count()
     assert "Join" not in joins(neardup.cosine_pairs_lsh(v, 0.8)).replace("SortMergeJoin [tile", "")
+
+
+@pytest.mark.parametrize("threshold", [4, 10, 17, 24])
+def test_hashes_of_a_tile_meet_in_near_buckets(monkeypatch, threshold):
+    """The pairs of all comparisons, each once, from less than half of them; few buckets that hold most are compared whole."""
+    import numpy as np
+
+    from tidemark.operators import neardup
+
+    rng = np.random.default_rng(threshold)
+    left = rng.integers(-(2**63), 2**63 - 1, 3000)
+    right = np.append(left[:2000], rng.integers(-(2**63), 2**63 - 1, 1500)) ^ np.array([sum(1 << int(k) for k in rng.choice(63, rng.integers(0, threshold + 3), replace=False)) for _ in range(3500)])
+    alike = left % 50
+    compared, whole = [], neardup._all_near
+    monkeypatch.setattr(neardup, "_all_near", lambda a, b, t: compared.append(len(a) * len(b)) or whole(a, b, t))
+    monkeypatch.setattr(neardup, "SLICE", 1000)
+    for name in ("CALL", "PROBE", "GATHERED"):
+        monkeypatch.setattr(neardup, name, 0)
+    for a, b in ((left, right), (right, right), (alike, right), (alike, alike), (left[:0], right)):
+        parts = lambda found: sorted(p for x, y, n in found for p in zip(x.tolist(), y.tolist(), n.tolist(), strict=True))
+        compared.clear()
+        got = parts(neardup._near(a, b, threshold))
+        assert got == parts(whole(a, b, threshold))
+        assert sum(compared) <= len(a) * len(b) and (a is not left or threshold > 17 or sum(compared) < len(a) * len(b) / 2)
+
+
+def test_tiled_hash_pairs_move_packed_blocks(spark, rows, monkeypatch):
+    from tidemark.operators import neardup
+
+    hashes = spark.range(900).select(F.xxhash64(F.col("id") % 300).bitwiseXOR(F.expr("shiftleft(1L, cast(id % 7 as int)) - 1")).alias("h"))
+    whole = rows(neardup.hash_pairs(hashes, 6))
+    for name, value in (("HASH_BLOCKS", (64, 64)), ("CALL", 0), ("PROBE", 0), ("GATHERED", 0)):
+        monkeypatch.setattr(neardup, name, value)
+    near = neardup.hash_pairs(hashes, 6)
+    assert rows(near) == whole and "piece" in joins(near)

@@ -15,13 +15,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.functions.vectors import hamming
-from tidemark.operators.cosine import BLOCK, block_pairs, cosine_pairs, extremes_across, pairs_in_buckets, tiles, top_across
+from tidemark.operators.cosine import BLOCK, cosine_pairs, extremes_across, pairs_in_buckets, tiles, top_across
 from tidemark.session import cut, ship
 
 #: Copies of a hash that stand under one key of an expansion.
 COPIES = 1024
 #: Least and most hashes of a block of arrays, distances held at a time, comparisons of arrays that cost what a key of a join does, and keys that a task makes.
-HASH_BLOCKS, SLICE, JOINED, KEYS = (4096, 65_536), 1 << 18, 500, 1_000_000
+HASH_BLOCKS, SLICE, JOINED, KEYS = (4096, 1 << 18), 1 << 18, 500, 1_000_000
+#: Comparisons of arrays that cost what the call for a bucket does, what a probe of it does, what a hash that it gathers does, and most bits of a bucket's number.
+CALL, PROBE, GATHERED, BUCKET = 25_000, 400, 4, 16
 #: Most bits that are probed for, and most probes of a block.
 PROBED, MOST_PROBES = 20, 50_000
 
@@ -31,23 +33,41 @@ def _probes(radius: int, width: int) -> list[int]:
     return [sum(1 << b for b in chosen) for k in range(radius + 1) for chosen in combinations(range(width), k)]
 
 
-def probe_plan(threshold: int, rows: int) -> tuple[float, list[tuple[int, int, int]]]:
-    """Keys and candidates of a hash, and (shift, width, radius) of each block: the number of blocks that leaves the fewest for so many distinct hashes.
+def _blocks(threshold: int, m: int) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of m blocks of bits: radii, each plus one, add up to the threshold plus one, so that not all blocks can differ by more than theirs."""
+    edges = [64 * k // m for k in range(m + 1)]
+    spare = threshold + 1 - m
+    return [(edges[k], edges[k + 1] - edges[k], spare // m + (k < spare % m)) for k in range(m)]
 
-    Radii, each plus one, add up to the threshold plus one, so that not all blocks can differ by more than theirs.
-    """
+
+def _counts(plan: list[tuple[int, int, int]]) -> list[int]:
+    """Probes of each block."""
+    return [sum(comb(w, r) for r in range(radius + 1)) for _, w, radius in plan]
+
+
+def probe_plan(threshold: int, rows: int) -> tuple[float, list[tuple[int, int, int]]]:
+    """Keys and candidates of a hash, and (shift, width, radius) of each block: the number of blocks that leaves the fewest for so many distinct hashes."""
     best = None
     for m in range(min(2, threshold + 1), threshold + 2):
-        edges = [64 * k // m for k in range(m + 1)]
-        spare = threshold + 1 - m
-        plan = [(edges[k], edges[k + 1] - edges[k], spare // m + (k < spare % m)) for k in range(m)]
-        probes = [sum(comb(w, r) for r in range(radius + 1)) for _, w, radius in plan]
+        plan = _blocks(threshold, m)
+        probes = _counts(plan)
         cost = m + sum(n * (1 + rows / 2**w) for n, (_, w, _) in zip(probes, plan, strict=True))
         if max(probes) <= MOST_PROBES and (best is None or cost < best[0]):
             best = cost, plan
     return best
 
 
+def bucket_plan(threshold: int, left: int, right: int) -> tuple[float, list[tuple[int, int, int]] | None]:
+    """Comparisons that two arrays of so many hashes cost, and the blocks of ``_blocks`` whose buckets are compared; none where comparing all pairs costs less."""
+    best = left * right, None
+    for m in range(-(-64 // BUCKET), min(threshold + 1, 32) + 1):
+        plan = _blocks(threshold, m)
+        cost = sum(2**w * (CALL + n * PROBE) + n * right * (left / 2**w + GATHERED) for n, (_, w, _) in zip(_counts(plan), plan, strict=True))
+        if cost < best[0]:
+            best = cost, plan
+    return best
+
+
 def _probed_pairs(distinct: DataFrame, threshold: int, plan: list[tuple[int, int, int]]) -> DataFrame:
     bits = lambda h, shift, width: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
     left = distinct.select(F.col("h").alias("a"), F.inline(F.array(*[F.struct(F.lit(n).alias("band"), bits(F.col("h"), s, w).alias("bits")) for n, (s, w, _) in enumerate(plan)])))
@@ -67,44 +87,106 @@ def _probed_pairs(distinct: DataFrame, threshold: int, plan: list[tuple[int, int
     return near.select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
+def _all_near(left: np.ndarray, right: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``x, y, distance`` of all pairs of two arrays within the threshold, SLICE distances at a time."""
+    for lo in range(0, len(right), SLICE):
+        part = right[lo : lo + SLICE]
+        step = max(1, SLICE // len(part))
+        for at in range(0, len(left), step):
+            apart = np.bitwise_count((left[at : at + step, None] ^ part[None, :]).view(np.uint64)).ravel()
+            found = np.flatnonzero(apart <= threshold)
+            if len(found):
+                yield left[at + found // len(part)], part[found % len(part)], apart[found]
+
+
+def _near(left: np.ndarray, right: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same, each pair once: buckets of equal bits of a block are compared with those within the block's radius, where that is less work on these arrays."""
+    whole, plan = bucket_plan(threshold, len(left), len(right))
+    bits = lambda h, shift, width: (h.view(np.uint64) >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
+    tables, cost = [], 0
+    for shift, width, radius in plan or []:
+        of = [bits(h, shift, width) for h in (left, right)]
+        sizes = [np.bincount(b, minlength=1 << width) for b in of]
+        patterns, places = np.array(_probes(radius, width)), np.arange(1 << width)
+        cost += sum(int(sizes[0] @ sizes[1][places ^ p]) for p in patterns)
+        tables.append((of, sizes, patterns))
+    if not plan or cost > len(left) * len(right):  # few buckets hold most
+        yield from _all_near(left, right, threshold)
+        return
+    for n, (of, sizes, patterns) in enumerate(tables):
+        (l, r), (l_end, r_end) = (h[np.argsort(b, kind="stable")] for h, b in zip((left, right), of, strict=True)), (np.cumsum(z) for z in sizes)
+        for bucket in np.flatnonzero(sizes[0]).tolist():
+            at = patterns ^ bucket
+            at = at[sizes[1][at] > 0]
+            if not len(at):
+                continue
+            ends = r_end[at]
+            probed = np.concatenate([r[a:b] for a, b in zip((ends - sizes[1][at]).tolist(), ends.tolist(), strict=True)])
+            for x, y, apart in _all_near(l[l_end[bucket] - sizes[0][bucket] : l_end[bucket]], probed, threshold):
+                # a pair meets once in each block within its radius: the first of them keeps it
+                keep = np.ones(len(x), bool)
+                for shift, width, radius in plan[:n]:
+                    keep &= np.bitwise_count(bits(x ^ y, shift, width)) > radius
+                if keep.any():
+                    yield x[keep], y[keep], apart[keep]
+
+
+def _hash_blocks(rows: int) -> tuple[int, int]:
+    """Hashes of a block, and number of blocks."""
+    block = min(HASH_BLOCKS[1], max(HASH_BLOCKS[0], rows // 16))
+    return block, max(1, -(-rows // block))
+
+
 def _tiled_pairs(distinct: DataFrame, threshold: int, rows: int) -> DataFrame:
-    """All pairs of blocks of hashes, compared as arrays: a task holds two blocks and a slice of their distances at a time."""
+    """All pairs of blocks of hashes, compared as arrays: a task holds two blocks and a slice of their distances at a time. What moves are pieces of blocks, packed."""
     ship(distinct.sparkSession)
-    block = min(HASH_BLOCKS[1], max(HASH_BLOCKS[0], rows // 16))
-    n = max(1, -(-rows // block))
-    dealt = block_pairs(distinct.select(F.col("h").alias("id")), block, rows)
-    dealt = dealt.repartition(n * (n + 1) // 2, "ba", "bb").sortWithinPartitions("ba", "bb").select("ba", "bb", "own", "id")
+    n = _hash_blocks(rows)[1]
+    packed = T.StructType.fromDDL("own int, piece binary")
     schema = T.StructType.fromDDL("a long, b long, distance int")
     arrow = to_arrow_schema(schema)
 
-    def compare(ba: int, bb: int, own: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        left = h[own == ba]
-        right = left if ba == bb else h[own == bb]
-        step = max(1, SLICE // max(1, len(right)))
-        for at in range(0, len(left), step):
-            apart = np.bitwise_count((left[at : at + step, None] ^ right[None, :]).view(np.uint64))
-            i, j = np.nonzero(apart <= threshold)
-            x, y = left[at + i], right[j]
-            keep = x < y if ba == bb else np.ones(len(x), bool)
-            if keep.any():
-                values = (np.minimum(x, y)[keep], np.maximum(x, y)[keep], apart[i, j][keep].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], schema=arrow)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, h = (batch.column(k).to_numpy() for k in range(2))
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+            pieces = [p.tobytes() for p in np.split(h, starts[1:])] if len(own) else []
+            yield pa.RecordBatch.from_arrays([pa.array(own[starts], pa.int32()), pa.array(pieces, pa.binary())], schema=to_arrow_schema(packed))
+
+    own = distinct.select(F.pmod(F.xxhash64("h"), F.lit(n)).cast("int").alias("own"), "h")
+    pieces = own.repartition(n, "own").sortWithinPartitions("own").mapInArrow(pack, packed)
+    dealt = pieces.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"ba": F.least("own", "o"), "bb": F.greatest("own", "o")})
+    dealt = dealt.repartition(n * (n + 1) // 2, "ba", "bb").sortWithinPartitions("ba", "bb").select("ba", "bb", "own", "piece")
+
+    def batch_of(found: list) -> pa.RecordBatch:
+        x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (np.minimum(x, y), np.maximum(x, y), apart.astype(np.int32))], schema=arrow)
+
+    def compare(ba: int, bb: int, held: list) -> Iterator[pa.RecordBatch]:
+        sides = [np.concatenate([np.frombuffer(p, np.int64) for own, p in held if own == side] or [np.zeros(0, np.int64)]) for side in (ba, bb)]
+        found, size = [], 0
+        for x, y, apart in _near(*sides, threshold):
+            if ba == bb:
+                once = x < y
+                x, y, apart = x[once], y[once], apart[once]
+            found.append((x, y, apart))
+            size += len(x)
+            if size >= SLICE:
+                yield batch_of(found)
+                found, size = [], 0
+        if size:
+            yield batch_of(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            ba, bb, own, h = (batch.column(k).to_numpy() for k in range(4))
-            ends = np.flatnonzero((np.diff(ba) != 0) | (np.diff(bb) != 0)) + 1
-            for lo, hi in zip([0, *ends], [*ends, len(ba)], strict=True):
-                if lo == hi:
-                    continue
-                if now is not None and now != (ba[lo], bb[lo]):
-                    yield from compare(*now, *(np.concatenate(c) for c in zip(*held, strict=True)))
+            for ba, bb, own, piece in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if now is not None and now != (ba, bb):
+                    yield from compare(*now, held)
                     held = []
-                now = (ba[lo], bb[lo])
-                held.append((own[lo:hi].copy(), h[lo:hi].copy()))
+                now = (ba, bb)
+                held.append((own, piece))
         if held:
-            yield from compare(*now, *(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield from compare(*now, held)
 
     return dealt.mapInArrow(run, schema)
 
@@ -127,7 +209,7 @@ def class_pairs(hashes: DataFrame, threshold: int, id_col: str = "stem", hash_co
 def hash_pairs(hashes: DataFrame, threshold: int, hash_col: str = "h") -> DataFrame:
     """``a, b, distance`` for distinct hashes a < b with distance <= threshold: classes of equal hashes are one row each.
 
-    All pairs of blocks as arrays, where that is less work than keys and candidates of a join (JOINED), and beyond 20 bits, where most hashes of a corpus are near each other. Else,
+    Pairs of blocks as arrays, by buckets of near bits or all pairs, where that is less work than keys and candidates of a join (JOINED), and beyond 20 bits, where most hashes of a corpus are near each other. Else,
     up to 8 bits, where that leaves fewer keys and candidates: of threshold + 3 blocks of bits three agree at least, so that an equi-join on three blocks (17 to 63 bits wide)
     finds every pair. Otherwise up to 20 bits: blocks of bits with a radius each that add up, with one more for each but one, to the threshold: one block differs in no more bits than its radius,
     and one side probes that radius (``probe_plan``).
@@ -139,7 +221,9 @@ def hash_pairs(hashes: DataFrame, threshold: int, hash_col: str = "h") -> DataFr
     probed, plan = probe_plan(threshold, rows)
     agreeing = comb(threshold + 3, 3) * (2 + rows / 2 ** (3 * 64 // (threshold + 3)))
     least = probed if threshold > 8 else min(probed, agreeing)
-    if rows / 2 <= JOINED * least:
+    block, n = _hash_blocks(rows)
+    block = max(1, min(block, rows))
+    if JOINED * n + n / 2 * bucket_plan(threshold, block, block)[0] / block <= JOINED * least:  # its copies, and what they are compared with
         return _tiled_pairs(distinct, threshold, rows)
     distinct = distinct.repartition(int(rows * least) // KEYS + 1, "h")  # dealt before it grows
     if threshold > 8 or probed < agreeing:
