@@ -23,7 +23,7 @@ COPIES = 1024
 #: Least and most hashes of a block of arrays, distances held at a time, comparisons of arrays that cost what a key of a join does, and keys that a task makes.
 HASH_BLOCKS, SLICE, JOINED, KEYS = (4096, 1 << 18), 1 << 18, 500, 1_000_000
 #: Comparisons of arrays that cost what the call for a bucket does, what a probe of it does, what a hash that it gathers does, and most bits of a bucket's number.
-CALL, PROBE, GATHERED, BUCKET = 25_000, 400, 4, 16
+CALL, PROBE, GATHERED, BUCKET = 50_000, 2_000, 4, 16
 #: Most bits that are probed for, and most probes of a block.
 PROBED, MOST_PROBES = 20, 50_000
 
